@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert
+from tesserae.llm import exact, hilbert, licenses, media
 
 
 def queries() -> dict:
     return {
         "op2_hilbert_shards": hilbert.op2_hilbert_shards,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op9_media_columns": media.op9_media_columns,
+        "op10_license_scan": licenses.op10_license_scan,
     }
 
 
