@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, licenses, media
+from tesserae.llm import exact, hilbert, licenses, media, mixing, pieces
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_hilbert_shards": hilbert.op2_hilbert_shards,
+        "op4_mixing": mixing.op4_mixing,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
@@ -15,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": exact.OP6_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact.OP6_SQL}
