@@ -59,43 +59,6 @@ def _places(words: Column, spaced: Column, phrase: str) -> Column:
     return F.when(F.contains(spaced, F.lit(f" {phrase} ")), at).otherwise(F.array().cast("array<int>"))
 
 
-def _agreement(words: Column, t: Column, keep: int) -> Column:
-    """The best verified place's part of the weight looked up for template t, 0 without one."""
-    looked_up = F.slice(F.array_intersect(t["rare"], words), 1, keep)
-    total = F.aggregate(looked_up, F.lit(0.0), lambda a, w: a + t["weight"][w])
-    half = F.ceil(F.size(looked_up) / 2)
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda h: F.array_contains(looked_up, h["w"]))
-    votes = F.flatten(F.transform(hits, lambda h: F.transform(t["postings"][h["w"]], lambda p: F.struct((h["i"] - p).alias("start"), h["w"].alias("w")))))
-    starts = F.array_distinct(F.transform(votes, lambda v: v["start"]))
-
-    def at(start: Column) -> Column:
-        found = F.array_distinct(F.transform(F.filter(votes, lambda v: v["start"] == start), lambda v: v["w"]))
-        there = F.concat(F.lit(" "), F.array_join(F.slice(words, F.greatest(start, F.lit(0)) + 1, t["n"] + 4), " "), F.lit(" "))
-        verified = (F.size(found) >= half) & F.forall(t["phrases"], lambda p: F.contains(there, p))
-        return F.when(verified, F.aggregate(found, F.lit(0.0), lambda a, w: a + t["weight"][w]) / total).otherwise(0.0)
-
-    return F.coalesce(F.array_max(F.transform(starts, at)), F.lit(0.0))
-
-
-def _index(templates, weights: dict[str, float]) -> Column:
-    """The templates as an array of structs: words by falling weight, their postings, and the phrases."""
-    out = []
-    for label, notice, phrases in templates:
-        words = notice.split()
-        rare = sorted(set(words), key=lambda x: (-weights[x], x))
-        out.append(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.lit(len(words)).alias("n"),
-                F.array(*map(F.lit, rare)).alias("rare"),
-                F.create_map(*(F.lit(x) for w in rare for x in (w, weights[w]))).alias("weight"),
-                F.create_map(*(x for w in rare for x in (F.lit(w), F.array(*(F.lit(i) for i, y in enumerate(words) if y == w))))).alias("postings"),
-                F.array(*(F.lit(f" {p} ") for p in phrases)).alias("phrases"),
-            )
-        )
-    return F.array(*out)
-
-
 def word_weights(held: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of the templates' words over all rows (column held: those in the text)."""
     # a row for each word of the templates at most
@@ -104,6 +67,38 @@ def word_weights(held: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     return {w: math.log((total + 1) / (counts.get(w, 0) + 0.5)) + 0.01 for w in vocabulary}
 
 
+def _matches(hits: DataFrame, templates, weights: dict[str, float], keep: int) -> DataFrame:
+    """Per row with a verified place: row, found (labels), best (the largest part of a looked-up weight)."""
+    rare = [sorted(set(notice.split()), key=lambda x: (-weights[x], x)) for _, notice, _ in templates]
+    index = hits.sparkSession.createDataFrame(
+        [(t, w, i, float(weights[w])) for t, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split())], "t int, w string, at int, weight double"
+    )
+    heads = F.array(
+        *(
+            F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(len(notice.split())).alias("n"), F.array(*map(F.lit, rare[t])).alias("rare"), F.array(*(F.lit(f" {p} ") for p in ps)).alias("phrases"))
+            for t, (label, notice, ps) in enumerate(templates)
+        )
+    )
+    # a file without a template's mandatory phrases cannot verify, so it needs no votes
+    pairs = hits.select("row", "words", "held", "hit", F.explode(heads).alias("h")).where(F.forall("h.phrases", lambda p: F.contains("hit", p)))
+    pairs = pairs.select("row", "words", "h.t", F.slice(F.array_intersect("h.rare", "held"), 1, keep).alias("looked_up"))
+    places = pairs.select("row", "t", "looked_up", F.posexplode("words").alias("i", "w")).where(F.array_contains("looked_up", F.col("w")))
+    votes = places.join(F.broadcast(index), ["t", "w"])  # a row for each word of the templates
+    agreed = (
+        votes.groupBy("row", "t", (F.col("i") - F.col("at")).alias("start"))
+        .agg(F.collect_set(F.struct("w", "weight")).alias("found"), F.first("looked_up").alias("looked_up"))
+        .where(F.size("found") >= F.ceil(F.size("looked_up") / 2))
+    )
+    weight = F.create_map(*(F.lit(x) for w in sorted(weights) for x in (w, float(weights[w]))))
+    total = F.aggregate(F.transform("looked_up", lambda w: weight[w]), F.lit(0.0), lambda a, x: a + x)
+    part = F.aggregate(F.array_sort("found"), F.lit(0.0), lambda a, x: a + x["weight"]) / total
+    head = F.element_at(heads, F.col("t") + 1)
+    placed = agreed.select("row", "start", part.alias("part"), head.alias("h")).join(hits.select("row", "words"), "row")
+    there = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("h.n") + 4), " "), F.lit(" "))
+    verified = placed.select("row", "part", "h.label", "h.phrases", there.alias("there")).where(F.forall("phrases", lambda p: F.contains("there", p)))
+    return verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("part").alias("best"))
+
+
 def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = 6) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
@@ -125,30 +120,25 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = 6) -> DataFra
             F.when(F.length("spaced") > 2, F.size(words)).otherwise(0).cast("long").alias("n_words"),
             F.array_intersect(words, F.array(*map(F.lit, vocabulary))).alias("held"),
             F.when(any_phrase, F.col("spaced")).alias("hit"),
-        ),
+            F.when(any_phrase, words).alias("words"),
+        ).withColumn("row", F.monotonically_increasing_id()),
         "license-gate",
     )
-    weights = word_weights(gate, vocabulary)
-    hits = gate.where("hit IS NOT NULL").select("doc_id", "n_words", "hit", F.split(F.trim("hit"), " ").alias("words"))
-    w, s = F.col("words"), F.col("hit")
+    hits = gate.where("hit IS NOT NULL")
+    matched = _matches(hits, templates, word_weights(gate, vocabulary), keep)
     none = F.array().cast("array<int>")
-
-    # a file without a template's mandatory phrases cannot verify, so it needs no votes
-    possible = F.filter(_index(templates, weights), lambda t: F.forall(t["phrases"], lambda p: F.contains(s, p)))
-    scored = F.transform(possible, lambda t: F.struct(t["label"].alias("label"), _agreement(w, t, keep).alias("score")))
-    matched = F.filter(scored, lambda x: x["score"] > 0)
-
-    empty = F.array().cast("array<struct<label:string,score:double>>")
-    found = hits.select(
+    found = hits.join(matched, "row", "left").select(
         "doc_id",
         "n_words",
-        *(_places(w, s, p).alias(f"base{i}") for i, p in enumerate(BASE)),
-        matched.alias("matched"),
-    ).unionByName(gate.where("hit IS NULL").select("doc_id", "n_words", *(none.alias(f"base{i}") for i in range(len(BASE))), empty.alias("matched")))
+        *(_places(F.col("words"), F.col("hit"), p).alias(f"base{i}") for i, p in enumerate(BASE)),
+        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
+        F.coalesce("best", F.lit(0.0)).alias("best"),
+    )
+    rest = gate.where("hit IS NULL").select("doc_id", "n_words", *(none.alias(f"base{i}") for i in range(len(BASE))), F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("best"))
+    found = found.unionByName(rest)
     base = F.array_distinct(F.concat(*(F.when(F.size(f"base{i}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, label in enumerate(BASE.values()))))
     places = F.concat(*(F.col(f"base{i}") for i in range(len(BASE))))
-    labels = F.array_distinct(F.concat(base, F.transform("matched", lambda m: m["label"])))
-    best = F.coalesce(F.array_max(F.transform("matched", lambda m: m["score"])), F.lit(0.0))
+    labels = F.array_distinct(F.concat(base, F.col("found")))
     return found.select(
         "doc_id",
         "n_words",
@@ -157,7 +147,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = 6) -> DataFra
         F.array_max(places).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.least(F.lit(1.0), F.greatest(best, F.when(F.size(places) > 0, 0.5).otherwise(0.0))).alias("score"),
+        F.least(F.lit(1.0), F.greatest(F.col("best"), F.when(F.size(places) > 0, 0.5).otherwise(0.0))).alias("score"),
     )
 
 
