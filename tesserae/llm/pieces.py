@@ -2,12 +2,13 @@
 
 A BPE model's text becomes symbols, one per character; an agenda holds the candidate merges of neighbours and
 takes the best-scored, leftmost one first. With dropout each candidate is skipped if a keyed hash of (seed,
-document, its two symbols' places, its piece) falls below the rate, so a seed and a document give one
+word, variant, its two symbols' places, its piece) falls below the rate, so a seed and a document give one
 segmentation wherever and however often it is computed, and other seeds give others. Decoding joins the
 pieces; unknown characters travel as bytes, so every segmentation decodes to the text itself.
 
 Words are worked on together: merges never cross the start of a word, so one numpy round takes the agenda's
-top of each word of a block. Words of over LONG symbols use a heap of their own.
+top of each word of a block. Words of over LONG symbols use a heap of their own. The document's id and the
+word's place in it draw one of VARIANTS keys for the word, so equal words with equal keys are cut once.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.blocks import mix, pieces, utf8
+from tesserae.llm.blocks import mix, pieces, powers, utf8
 from tesserae.llm.shared import documents, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 11
 LONG = 200
+#: Segmentations that one word can have under one seed (a power of two), and words whose pieces a task keeps.
+VARIANTS, CACHED = 16, 1 << 19
 _MARK = 0x2581  # stands for a space inside pieces
 _OTHER = 0x110000  # stands for that mark itself where a text has it
 _NEVER = np.int64(2**62)
@@ -46,6 +49,7 @@ class Merger:
 
     def __init__(self, model: tuple[list[str], list[float], list[bool], list[bool]]):
         names, scores, is_byte, is_special = model
+        self.cached_for, self.known = None, None
         self.size = len(names)
         text = {p: i for i, p in enumerate(names) if not is_byte[i] and not is_special[i]}
         if any("▁" in p.lstrip("▁") for p in text):
@@ -119,17 +123,52 @@ class Merger:
     def encode(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts, and the n + 1 places where each text's pieces start."""
         code, at = self._characters(data, offsets)
-        sym = self.of_char[code]
-        mark = code == _MARK
         head = np.zeros(len(code) + 1, bool)
         head[at] = True
+        mark = code == _MARK
         head[1:-1] |= mark[1:] & ~mark[:-1]
         starts = np.flatnonzero(head[:-1])
         lengths = np.diff(np.concatenate([starts, [len(code)]]))
-        sym = sym.astype(np.int64)
+        first = np.searchsorted(starts, at)  # words before each text
+        up, down = powers(len(code) + 1)
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum((code + 1).view(np.uint64) * up[: len(code)], out=total[1:])
+        word = mix((total[starts + lengths] - total[starts]) * down[starts] + lengths.view(np.uint64))
+        if dropout > 0:
+            # the document and the word's place in it draw one of the word's variants under this seed
+            place = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).view(np.uint64)
+            drawn = mix(np.repeat(mix(ids.view(np.uint64) + np.uint64(1)), np.diff(first)) + place) & np.uint64(VARIANTS - 1)
+            word = mix(word + drawn * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed & (2**64 - 1)], np.uint64))
+        keys, one, which = np.unique(word, return_index=True, return_inverse=True)
+        if self.cached_for != (seed, dropout):
+            self.cached_for, self.known = (seed, dropout), (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
+        known, known_at, known_ids = self.known
+        spot = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        old = known[spot] == keys if len(known) else np.zeros(len(keys), bool)
+        new = np.flatnonzero(~old)
+        made, made_at = self._segment(code, starts[one[new]], lengths[one[new]], keys[new], dropout)
+        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        begin[old], size[old] = known_at[spot[old]], np.diff(known_at)[spot[old]]
+        begin[new], size[new] = made_at[:-1] + len(known_ids), np.diff(made_at)
+        pool = np.concatenate([known_ids, made])
+        counts = size[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = pool[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], counts)]
+        if len(known) < CACHED and len(new):
+            order = np.argsort(np.concatenate([known, keys[new]]), kind="stable")
+            sizes = np.concatenate([np.diff(known_at), np.diff(made_at)])[order]
+            froms = np.concatenate([known_at[:-1], made_at[:-1] + len(known_ids)])[order]
+            held = np.concatenate([[0], np.cumsum(sizes)])
+            self.known = np.concatenate([known, keys[new]])[order], held, pool[np.arange(held[-1]) + np.repeat(froms - held[:-1], sizes)]
+        return out, ends[first]
+
+    def _segment(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of some words of ``code`` and the n + 1 places where each word's start."""
+        before = np.cumsum(lengths) - lengths
+        code = code[np.arange(lengths.sum()) + np.repeat(starts - before, lengths)]
+        sym = self.of_char[code].astype(np.int64)
+        key = np.repeat(keys, lengths) + (np.arange(len(code)) - np.repeat(before, lengths)).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         limit = np.uint64(min(max(dropout, 0.0), 1.0) * (2**64 - 2048))
-        key = np.repeat(mix(mix(ids.astype(np.uint64)) ^ np.uint64(seed & (2**64 - 1))), np.diff(at))
-        key += (np.arange(len(code)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
         def candidates(left, right, where, mid):
             """The agenda's order of each pair (rank, then place) and its piece; dropped pairs are never taken."""
@@ -144,9 +183,9 @@ class Merger:
 
         done = np.full(len(code), -2, np.int64)
         long = lengths > LONG
-        for s, n in zip(starts[long], lengths[long]):
+        for s, n in zip(before[long], lengths[long]):
             self._agenda(sym, int(s), int(n), candidates, done)
-        self._rounds(sym, starts[~long], lengths[~long], candidates, done)
+        self._rounds(sym, before[~long], lengths[~long], candidates, done)
         place = np.flatnonzero(done > -2)
         found = done[place]
         unknown = (found < 0) | (found >= self.size)
@@ -155,8 +194,8 @@ class Merger:
         counts[unknown] = [len(x) for x in spelled]
         out = np.repeat(found, counts)
         out[np.repeat(unknown, counts)] = self.byte[np.frombuffer(b"".join(spelled), np.uint8)]
-        before = np.concatenate([[0], np.cumsum(counts)])
-        return out.astype(np.int32), before[np.searchsorted(place, at)]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return out.astype(np.int32), ends[np.searchsorted(place, np.concatenate([before, [len(code)]]))]
 
     @staticmethod
     def _characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +307,7 @@ def encoder(spark: SparkSession, model: str = MODEL, seed: int = SEED, dropout:
         data, offsets = utf8(text)
         ids = doc_id.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
         out, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-        for i, j in pieces(offsets, 1 << 20):
+        for i, j in pieces(offsets, 1 << 19):
             found, at = m.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], ids[i:j], seed, dropout)
             out.append(found)
             counts.append(np.diff(at))
@@ -286,8 +325,14 @@ def decoder(spark: SparkSession, model: str = MODEL):
     def decode(ids: pa.Array) -> pa.Array:
         at = ids.offsets.to_numpy().astype(np.int64)
         values = ids.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
-        data, ends = _merger(shared.value).decode(values, at - at[0])
-        return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+        at = at - at[0]
+        parts, sizes = [], [np.zeros(1, np.int64)]
+        for i, j in pieces(at, 1 << 18):
+            data, ends = _merger(shared.value).decode(values[at[i] : at[j]], at[i : j + 1] - at[i])
+            parts.append(data.tobytes())
+            sizes.append(np.diff(ends))
+        ends = np.cumsum(np.concatenate(sizes))
+        return pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(ends), pa.py_buffer(b"".join(parts))).cast(pa.string())
 
     return decode
 

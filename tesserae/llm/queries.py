@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, licenses, media, mixing, pieces
+from tesserae.llm import exact, hilbert, licenses, media, mixing, pieces, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_hilbert_shards": hilbert.op2_hilbert_shards,
         "op4_mixing": mixing.op4_mixing,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
     }
