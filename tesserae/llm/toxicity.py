@@ -1,9 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has an interpolated model. Its discounted counts of word pairs back off to a Kneser-Ney model that both classes
-share (discounted pair counts, then continuation counts: after how many different words has a word been
-seen?); where a pair is too rare, the class's discounted counts of the word back off to the shared
-continuation counts. Discounts are in proportion to the classes' sizes, so an expression too rare to tell the
+A word's count in a class is Kneser-Ney's: after how many different words has it been seen there? So copies of a
+document count once. Each class's model has these counts, discounted; what the discounts free goes to the
+word's count over both classes, the backoff that they share. Discounts are in proportion to the classes' sizes, so an expression too rare to tell the
 classes apart has the shared probability in either, and its logarithms differ by a constant only.
 A document is judged by its length-normalised log-likelihoods - over all its words, and over its most telling
 single words - put on a scale from 0 to 1 by a logistic fit on labelled rows that the models have not seen.
@@ -52,7 +51,7 @@ def _pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's different word pairs, and with the first pair of each word ``fresh`` = 1."""
+    """Each document's different word pairs."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         data, offsets = utf8(batch.column(0))
@@ -60,24 +59,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word, prior, before = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             doc = np.repeat(np.arange(j - i), np.diff(before)).astype(np.uint64)
             _, at = np.unique(_pair(doc, _pair(prior, word)), return_index=True)
-            _, first = np.unique(_pair(doc, word), return_index=True)
-            once = np.zeros(len(word), np.int32)
-            once[first] = 1
-            extra = first[~np.isin(first, at)]  # a word's first place may repeat no pair, so this is empty
-            at = np.concatenate([at, extra])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prior[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(toxic[i:j][doc[at].astype(np.int64)].astype(np.int32)), pa.array(once[at])],
-                names=["prior", "word", "toxic", "once"],
+                [pa.array(prior[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(toxic[i:j][doc[at].astype(np.int64)].astype(np.int32))],
+                names=["prior", "word", "toxic"],
             )
 
 
 class Models:
-    """The log ratio of the classes' probabilities for each word and word pair as sorted arrays. Only what exceeds a
-    discount is kept, so 1/discount of the learning rows' words bounds them; all else has one ratio."""
+    """The log ratio of the classes' probabilities for each word as sorted arrays. Only words that exceed a discount
+    are kept, so 1/discount of the learning rows' words bounds them; all others have one ratio."""
 
-    def __init__(self, words: np.ndarray, word_ratio: np.ndarray, other_ratio: float, pairs: np.ndarray, pair_ratio: np.ndarray):
+    def __init__(self, words: np.ndarray, word_ratio: np.ndarray, other_ratio: float):
         self.words, self.word_ratio, self.other_ratio = words, word_ratio, other_ratio
-        self.pairs, self.pair_ratio = pairs, pair_ratio
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,18 +79,16 @@ class Models:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return keys[at] == wanted, at
 
-    def ratios(self, word: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        """Log of toxic to ordinary probability of each word in its place."""
+    def ratios(self, word: np.ndarray) -> np.ndarray:
+        """Log of toxic to ordinary probability of each word."""
         out = np.full(len(word), self.other_ratio)
         known, at = self._find(self.words, word)
         out[known] = self.word_ratio[at[known]]
-        known, at = self._find(self.pairs, _pair(prior, word))
-        out[known] = self.pair_ratio[at[known]]
         return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        word, prior, before = _hashed(data, offsets)
-        ratio = self.ratios(word, prior)
+        word, _, before = _hashed(data, offsets)
+        ratio = self.ratios(word)
         n = np.diff(before)
         out = np.zeros((len(n), 4))
         total = np.concatenate([[0], np.cumsum(ratio)])
@@ -120,42 +111,19 @@ class Models:
 
 
 def train_models(counted: DataFrame, discount: float = DISCOUNT) -> Models:
-    """counted: prior, word, toxic, once of the learning rows (their number is bounded, so is what comes here)."""
-    pairs = durable(
-        counted.groupBy("prior", "word").agg(
-            F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"), F.sum(F.col("once") * (1 - F.col("toxic"))).alias("d0"), F.sum(F.col("once") * F.col("toxic")).alias("d1")
-        ),
-        "toxicity-pairs",
-    )
-    words = pairs.groupBy("word").agg(F.sum("d0").alias("n0"), F.sum("d1").alias("n1"), F.count(F.lit(1)).alias("before"))
-    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "before"))).first()
-    n = np.array([total["n0"], total["n1"]], float)
-    d = np.maximum(discount * n / max(n[n > 0].min(initial=np.inf) if (n > 0).any() else 1, 1), discount)
-    over = f"n0 > {d[0]!r} OR n1 > {d[1]!r}".replace("np.float64", "")
-    kept = words.where(over).toPandas().sort_values("word")
-    rest = np.ones(2)  # mass that each class leaves to the shared counts
-    excess = np.maximum(kept[["n0", "n1"]].to_numpy(float) - d, 0) / np.maximum(n, 1)
-    rest -= excess.sum(axis=0)
-    rest = np.maximum(rest, 1e-9)
-    shared = kept["before"].to_numpy(float) / max(total["before"], 1)
-    p = excess + rest * shared[:, None]
-    order = np.argsort(kept["word"].to_numpy(np.int64).view(np.uint64))
-    words_, word_p = kept["word"].to_numpy(np.int64).view(np.uint64)[order], p[order]
-    sums = pairs.groupBy("prior").agg(F.sum("n0").alias("c0"), F.sum("n1").alias("c1"), F.count(F.lit(1)).alias("after"))
-    often = pairs.where(over).join(sums, "prior").join(words.select("word", "before"), "word").toPandas()
-    c, m = often[["c0", "c1"]].to_numpy(float), often[["n0", "n1"]].to_numpy(float)
-    both = np.maximum(c.sum(axis=1), 1)
-    p = np.maximum(m.sum(axis=1) - 0.75, 0) / both + 0.75 * often["after"].to_numpy(float) / both * often["before"].to_numpy(float) / max(total["before"], 1)
-    part = np.maximum(m - d, 0) / np.maximum(c, 1)
-    left = np.ones((len(often), 2))  # what a class leaves to the shared model after the same prior word
-    _, which = np.unique(often["prior"].to_numpy(np.int64), return_inverse=True)
-    taken = np.zeros((which.max() + 1 if len(which) else 0, 2))
-    np.add.at(taken, which, part)
-    left = np.maximum(left - taken[which], 1e-9)
-    q = part + left * p[:, None]
-    key = _pair(often["prior"].to_numpy(np.int64).view(np.uint64), often["word"].to_numpy(np.int64).view(np.uint64))
-    at = np.argsort(key)
-    return Models(words_, np.log(word_p[:, 1] / word_p[:, 0]), float(np.log(rest[1] / rest[0])), key[at], np.log(q[:, 1] / q[:, 0])[at])
+    """counted: prior, word, toxic of the learning rows (their number is bounded, so is what comes here)."""
+    pairs = counted.groupBy("prior", "word").agg(F.min("toxic").alias("least"), F.max("toxic").alias("most"))
+    words = durable(pairs.groupBy("word").agg(F.sum(1 - F.col("least")).alias("n0"), F.sum("most").alias("n1"), F.count(F.lit(1)).alias("both")), "toxicity-words")
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "both"))).first()
+    n = np.maximum([total["n0"], total["n1"]], 1).astype(float)
+    d = discount * n / n.min()
+    kept = words.where((F.col("n0") > float(d[0])) | (F.col("n1") > float(d[1]))).toPandas()
+    excess = np.maximum(kept[["n0", "n1"]].to_numpy(float) - d, 0) / n
+    rest = np.maximum(1 - excess.sum(axis=0), 1e-9)  # what each class leaves to the shared counts
+    p = excess + rest * (kept["both"].to_numpy(float) / max(total["both"], 1))[:, None]
+    word = kept["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return Models(word[order], np.log(p[:, 1] / p[:, 0])[order], float(np.log(rest[1] / rest[0])))
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
@@ -199,7 +167,7 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_
     ]
     # at most model_rows + fit_rows rows of two numbers
     sample = durable(docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("text", "toxic", "fit"), "toxicity-sample")
-    counted = sample.where("fit = 0").select("text", "toxic").mapInArrow(_count_words, "prior long, word long, toxic int, once int")
+    counted = sample.where("fit = 0").select("text", "toxic").mapInArrow(_count_words, "prior long, word long, toxic int")
     models = spark.sparkContext.broadcast(train_models(counted))
 
     def measured(batches):
