@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, licenses, media, mixing, pieces, toxicity
+from tesserae.llm import exact, hilbert, katz, licenses, media, mixing, pieces, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_hilbert_shards": hilbert.op2_hilbert_shards,
         "op4_mixing": mixing.op4_mixing,
+        "op5_katz": katz.op5_katz,
         "op6_exact_dedup": exact.op6_exact_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_media_columns": media.op9_media_columns,
