@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, katz, licenses, media, mixing, pieces, toxicity
+from tesserae.llm import exact, hilbert, katz, licenses, media, mixing, pieces, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_mixing": mixing.op4_mixing,
         "op5_katz": katz.op5_katz,
         "op6_exact_dedup": exact.op6_exact_dedup,
+        "op7_suffix_dedup": suffixes.op7_suffix_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
