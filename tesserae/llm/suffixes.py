@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.blocks import _BYTE_VALUE, mix, powers
+from tesserae.llm.blocks import _BYTE_VALUE, mix, pieces, powers
 from tesserae.llm.packing import pack, spans_union, text_blocks, unpack
 from tesserae.llm.shared import documents, durable, whole
 
 LENGTH, GRAM = 50, 16
 #: Bytes of texts worked on together; suffixes sorted together; strings of a run at most (longer runs are split).
-BLOCK, BATCH, RUN = 10 << 20, 1 << 15, 255
+BLOCK, BATCH, RUN = 8 << 20, 1 << 15, 255
 _LAST = np.iinfo(np.int64).max
 
 
@@ -85,7 +85,9 @@ def _send(batches, buckets: int):
         block = TaskContext.get().partitionId() << 24 | k
         ids, hashes = rows["id"].combine_chunks().to_numpy(), rows["hash"].combine_chunks().to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([-1 - block % buckets], kinds[0]), pa.array([block], kinds[1]), pa.array([pack([ids, hashes, offsets.astype(np.int64)])], kinds[2])], names=names)
-        gram, first, size, stretch = runs(data, offsets)
+        found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 1 << 20)]
+        gram, _, size, stretch = (np.concatenate([x[c] for x in found]) for c in range(4))
+        first = np.concatenate([x[1] + offsets[i] for x, (i, _) in zip(found, pieces(offsets, 1 << 20))])
         bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         key = gram.astype(np.uint32)  # the lower half; the upper one chose the bucket
         doc = np.searchsorted(offsets, first, "right") - 1
