@@ -1,0 +1,27 @@
+"""Connected components of a table of links, by rounds of joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tesserae.llm.shared import durable
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (x long, y long): node and component, the smallest node it is connected with.
+
+    Each round a node takes the smallest label among its neighbours' and its own, then its label's label; both
+    steps aggregate before they shuffle. Rounds end when no label changes: about the logarithm of the longest
+    path. A row per node that has a link; an empty table gives none.
+    """
+    both = durable(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct(), "links")
+    labels = durable(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "node"), "labels")
+    while True:
+        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
+        new = labels.join(near, labels.node == near.x).select("node", F.col("label").alias("old"), F.least("label", "near").alias("next"))
+        roots = new.select(F.col("node").alias("root"), F.col("next").alias("further"))
+        jumped = durable(new.join(roots, new.next == roots.root, "left").select("node", "old", F.least("next", F.coalesce("further", "next")).alias("label")), "labels")
+        labels = jumped.select("node", "label")
+        if jumped.where("old <> label").isEmpty():
+            return labels.withColumnRenamed("label", "component")
