@@ -29,7 +29,7 @@ WIDTH = 5
 SKETCH = 18
 #: Lists of up to LIST sets are compared in full; longer ones by pivots, PIVOTS of them before all that is left.
 LIST, PIVOTS = 24, 4
-PIECE, BLOCK = 1 << 20, 8 << 20
+PIECE, BLOCK = 1 << 19, 4 << 20
 _H = np.uint64((1 << 44) - 1)
 _LAST = np.iinfo(np.int64).max
 

@@ -28,7 +28,7 @@ from tesserae.llm.shared import documents, durable, whole
 
 LENGTH, GRAM = 50, 16
 #: Bytes of texts worked on together; suffixes sorted together; strings of a run at most (longer runs are split).
-BLOCK, BATCH, RUN = 8 << 20, 1 << 15, 255
+BLOCK, BATCH, RUN = 4 << 20, 1 << 16, 255
 _LAST = np.iinfo(np.int64).max
 
 
@@ -71,7 +71,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         first, size = np.repeat(first, parts) + step * RUN, np.minimum(np.repeat(size, parts) - step * RUN, RUN)
     stop = first + size + length - 1
     stretch = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
-    return least[first], first, size, stretch
+    return mix(least[first] + np.uint64(1)), first, size, stretch  # smallest hashes are small: spread them over the buckets
 
 
 _RUNS = [np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.int64, np.uint32]
@@ -85,9 +85,9 @@ def _send(batches, buckets: int):
         block = TaskContext.get().partitionId() << 24 | k
         ids, hashes = rows["id"].combine_chunks().to_numpy(), rows["hash"].combine_chunks().to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([-1 - block % buckets], kinds[0]), pa.array([block], kinds[1]), pa.array([pack([ids, hashes, offsets.astype(np.int64)])], kinds[2])], names=names)
-        found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets, 1 << 20)]
+        found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
         gram, _, size, stretch = (np.concatenate([x[c] for x in found]) for c in range(4))
-        first = np.concatenate([x[1] + offsets[i] for x, (i, _) in zip(found, pieces(offsets, 1 << 20))])
+        first = np.concatenate([x[1] + offsets[i] for x, (i, _) in zip(found, pieces(offsets))])
         bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         key = gram.astype(np.uint32)  # the lower half; the upper one chose the bucket
         doc = np.searchsorted(offsets, first, "right") - 1
@@ -224,31 +224,37 @@ class Family:
 def repeated(stretches: np.ndarray, size: np.ndarray, ids: np.ndarray, batch: int = BATCH) -> np.ndarray:
     """Which strings also start in a stretch of a smaller id. stretches: the bytes one after the other, ``size`` + LENGTH - 1
     of each; the result has ``size`` flags of each."""
-    at = np.concatenate([[0], np.cumsum(size + LENGTH - 1)])
-    out_at = np.concatenate([[0], np.cumsum(size)])
-    out = np.zeros(out_at[-1], bool)
-    order = np.argsort(ids, kind="stable")
-    strings = np.lib.stride_tricks.sliding_window_view(stretches, LENGTH)
+    at = np.cumsum(size + LENGTH - 1) - size - LENGTH + 1
+    out_at = np.cumsum(size) - size
+    out = np.zeros(size.sum(), bool)
+    place = np.arange(len(out)) + np.repeat(at - out_at, size)
+    up, down = powers(len(stretches) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[stretches] * up[: len(stretches)], dtype=np.uint64)])
+    hashes = (total[place + LENGTH] - total[place]) * down[place]
+    del total
+    # strings of which no other document has one with the same hash cannot repeat; all others are compared byte for byte
+    order = np.argsort(hashes)
+    head = np.flatnonzero(_starts(hashes[order]))
+    owner = np.repeat(np.arange(len(size)), size)
+    doc = ids[owner[order]]
+    shared = np.minimum.reduceat(doc, head) != np.maximum.reduceat(doc, head) if len(head) else np.zeros(0, bool)
+    chosen = np.sort(order[np.repeat(shared, np.diff(np.concatenate([head, [len(order)]])))])
+    chosen = chosen[np.argsort(ids[owner[chosen]], kind="stable")]
+    doc = ids[owner[chosen]]
+    del order, hashes, owner
+    strings = np.lib.stride_tricks.sliding_window_view(stretches, LENGTH) if len(stretches) >= LENGTH else None
     family = Family(batch)
     i = 0
-    while i < len(order):
-        total = np.cumsum(size[order[i:]])
-        j = i + max(1, int(np.searchsorted(total, batch, "right")))
-        while j < len(order) and ids[order[j]] == ids[order[j - 1]]:
-            j += 1  # a document is in one batch
-        own = order[i:j]
-        n = size[own]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = np.repeat(at[own], n) + step
-        suffix = np.ascontiguousarray(strings[place]).view(f"S{LENGTH}").ravel()
-        doc = np.repeat(ids[own], n)
+    while i < len(chosen):
+        j = min(i + batch, len(chosen))
+        j = int(np.searchsorted(doc, doc[j - 1], "right"))  # a document is in one batch
+        suffix = np.ascontiguousarray(strings[place[chosen[i:j]]]).view(f"S{LENGTH}").ravel()
         array = np.argsort(suffix, kind="stable")  # documents are in order, so equal suffixes are too
-        suffix, doc = suffix[array], doc[array]
+        suffix, own = suffix[array], doc[i:j][array]
         head = np.flatnonzero(_starts(suffix))
         repeats = np.diff(np.concatenate([head, [len(suffix)]]))
         different = suffix[head]
-        gone = np.repeat(family.scan(different), repeats) | (doc > np.repeat(doc[head], repeats))
-        out[(np.repeat(out_at[own], n) + step)[array]] = gone
+        out[chosen[i:j][array]] = np.repeat(family.scan(different), repeats) | (own > np.repeat(own[head], repeats))
         family.add(different)
         i = j
     return out
