@@ -17,12 +17,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.blocks import LOWER, mix, pieces, shingle_hashes, word_hashes, words
 from tesserae.llm.components import components
 from tesserae.llm.packing import pack, text_blocks, unpack
-from tesserae.llm.shared import documents, durable, whole
+from tesserae.llm.shared import documents, durable, fresh, whole
 
 WIDTH = 5
 #: The count table has 2**SKETCH counters, whatever the size of the corpus.
@@ -275,14 +276,8 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
 
-def near_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, A-Z in lower case. Texts with fewer than five words have one
-    shingle, null, empty and blank texts none: these link with nothing and are their own component. Rows
-    with equal sets are one node, so repeated rows and copies share a component. A null doc_id counts as
-    larger than any other; alone, its component is null. An empty table gives no rows.
-    """
+def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Per row: id, hash (of the text), n (its shingles), least (its component's smallest id)."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash"), whole("text").alias("text"))
@@ -330,9 +325,33 @@ def near_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")
     alone = rows.where("n = 1").groupBy("name").agg(F.min("id").alias("least"))
-    out = rows.join(named.unionByName(alone), "name", "left").select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("least"))
+    return rows.join(named.unionByName(alone), "name", "left").select("id", "hash", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("least"))
+
+def near_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    Words are runs of other characters than ``[\\x20\\x09-\\x0D]``, A-Z in lower case. Texts with fewer than five words have one
+    shingle, null, empty and blank texts none: these link with nothing and are their own component. Rows
+    with equal sets are one node, so repeated rows and copies share a component. A null doc_id counts as
+    larger than any other; alone, its component is null. An empty table gives no rows.
+    """
+    out = _members(docs, buckets)
     return out.select(F.nullif("id", F.lit(_LAST)).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("least", F.lit(_LAST)).alias("component_id"))
 
 
+def near_dedup(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, with all columns of docs.
+
+    Rows without words link with nothing, so all of them stay. Of rows that repeat the smallest doc_id one stays.
+    """
+    names = {c: fresh(docs, c) for c in ("id", "hash", "empty", "order")}
+    own = F.coalesce("doc_id", F.lit(_LAST)).cast("long"), F.xxhash64(whole("text"))
+    kept = _members(docs, buckets).where("id = least").groupBy("id", "least", F.when(F.col("n") == 0, F.col("hash")).alias("own")).agg(F.min("hash").alias("hash"), F.max(F.col("n") == 0).alias("empty"))
+    kept = kept.select(*(F.col(c).alias(names[c]) for c in ("id", "hash", "empty")))
+    found = docs.withColumn(names["id"], own[0]).withColumn(names["hash"], own[1]).join(kept, [names["id"], names["hash"]])
+    first = W.partitionBy(names["id"], names["hash"]).orderBy(F.lit(0))
+    return found.withColumn(names["order"], F.row_number().over(first)).where((F.col(names["order"]) == 1) | F.col(names["empty"])).select(*docs.columns)
+
+
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_components(documents(spark, sf_dir))

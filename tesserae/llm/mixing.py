@@ -106,8 +106,8 @@ def plan(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int
     return budgets.join(ends, list(LEVELS), "left")
 
 
-def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
-    """All columns of docs and ``mix``: a struct of domain, lang, source, tokens, epoch (from 0), and take,
+def mix(docs: DataFrame, seed: int = SEED, name: str = "mix", **options) -> DataFrame:
+    """All columns of docs and one more (``name``): a struct of domain, lang, source, tokens, epoch (from 0), and take,
     the tokens that count of this row in this epoch. A row comes once for each epoch that has it.
 
     take is below tokens only for the document in which a leaf's prefix ends. Tokens are words of
@@ -115,9 +115,7 @@ def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     or inside a prefix. Rows that repeat a doc_id stand at one place of the order and come together. An
     empty table gives no rows. Texts are not shuffled: a row's epochs follow from its leaf's plan.
     """
-    leaf, name = fresh(docs, "leaf"), "mix"
-    if name in docs.columns:
-        docs = docs.drop(name)
+    leaf = fresh(docs, "leaf")
     ends = plan(docs, seed=seed, **options)
     ends = ends.select(F.struct(*LEVELS).alias(leaf), F.struct("passes", "rest", "last_place", "last_take").alias(fresh(docs, "plan")))
     p, words = F.col(fresh(docs, "plan")), F.col(fresh(docs, "words"))

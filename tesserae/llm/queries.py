@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, katz, licenses, media, mixing, pieces, suffixes, toxicity
+from tesserae.llm import exact, hilbert, jaccard, katz, licenses, media, mixing, pieces, suffixes, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_sentencepiece": pieces.op1_sentencepiece,
         "op2_hilbert_shards": hilbert.op2_hilbert_shards,
+        "op3_jaccard_join": jaccard.op3_jaccard_join,
         "op4_mixing": mixing.op4_mixing,
         "op5_katz": katz.op5_katz,
         "op6_exact_dedup": exact.op6_exact_dedup,
