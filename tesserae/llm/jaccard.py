@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.blocks import LOWER, mix, pieces, shingle_hashes, word_hashes, words
 from tesserae.llm.components import components
 from tesserae.llm.packing import pack, text_blocks, unpack
-from tesserae.llm.shared import documents, durable, fresh, whole
+from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
 
 WIDTH = 5
 #: The count table has 2**SKETCH counters, whatever the size of the corpus.
@@ -279,6 +279,7 @@ def _verify(batches):
 def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row: id, hash (of the text), n (its shingles), least (its component's smallest id)."""
     spark = docs.sparkSession
+    text_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash"), whole("text").alias("text"))
     survey = durable(texts.mapInArrow(_survey, "id long, hash long, n long, name long, part int, counts binary"), "jaccard-survey")

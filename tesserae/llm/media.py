@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.shared import documents, whole
+from tesserae.llm.shared import documents, text_batches, whole
 
 #: A payload is a positive multiple of UNIT bytes; a row of the image is WIDTH of them.
 UNIT, WIDTH = 576, 192
@@ -175,6 +175,7 @@ def media_features(docs: DataFrame) -> DataFrame:
     A null or empty text is one unit of bytes 255. Rows of equal texts have equal values; rows are
     independent of each other, so repeated rows, null ids and an empty table need no rule.
     """
+    text_batches(docs.sparkSession)
     facts: Column = png_facts(to_png(whole("text")))
     rows = docs.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), facts.alias("f"))
     return rows.select("doc_id", "n_bytes", *(f"f.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")), F.lower(F.hex("f.hash")).alias("feature"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm.blocks import mix, pieces, powers, utf8
-from tesserae.llm.shared import documents, whole
+from tesserae.llm.shared import documents, text_batches, whole
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 11
@@ -344,6 +344,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, drop
     repeated rows have equal ids. Texts of any length are encoded whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     ids: Column = encoder(spark, model, seed, dropout)(whole("text"), F.col("doc_id"))
     rows = docs.select("doc_id", whole("text").alias("text"), ids.alias("ids"))
     back = decoder(spark, model)("ids")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.blocks import _BYTE_VALUE, mix, pieces, powers
 from tesserae.llm.packing import pack, spans_union, text_blocks, unpack
-from tesserae.llm.shared import documents, durable, whole
+from tesserae.llm.shared import documents, durable, text_batches, whole
 
 LENGTH, GRAM = 50, 16
 #: Bytes of texts worked on together; suffixes sorted together; strings of a run at most (longer runs are split).
@@ -308,6 +308,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, buckets: int | None
     A null doc_id is larger than any other. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     identity: list[Column] = [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash")]
     texts = docs.select("doc_id", whole("text").alias("text"), *identity)

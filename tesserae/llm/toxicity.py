@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from tesserae.llm.blocks import pieces, utf8, word_hashes
 from tesserae.llm.blocks import words as split_words
-from tesserae.llm.shared import documents, durable, fresh, whole
+from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
 
 #: Labelled rows that the models and the logistic fit may learn from, at most; those with the smallest hash are taken.
 MODEL_ROWS, FIT_ROWS = 12_000, 6_000
@@ -160,6 +160,7 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_
     a document, documents without a label and null labels are left out. With one class only every score is
     the share of toxic rows."""
     spark = docs.sparkSession
+    text_batches(spark)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold() != 0)
     taken = [
         known.where(part).withColumn("fit", F.lit(fit)).orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id").limit(rows)
