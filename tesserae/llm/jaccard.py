@@ -29,7 +29,7 @@ WIDTH = 5
 #: The count table has 2**SKETCH counters, whatever the size of the corpus.
 SKETCH = 18
 #: Lists of up to LIST sets are compared in full; longer ones by pivots, PIVOTS of them before all that is left.
-LIST, PIVOTS = 24, 4
+LIST, PIVOTS = 24, 2
 PIECE, BLOCK = 1 << 19, 4 << 20
 _H = np.uint64((1 << 44) - 1)
 _LAST = np.iinfo(np.int64).max
@@ -97,16 +97,16 @@ def need(n):
 def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     """The size up to which sets enumerate pairs: while the pairs of one set cost less than scanning its lists.
 
-    The mean length of a list is estimated from the count table (its second moment, less what sets share a counter by
-    chance). sizes: sets by size class.
+    Lists hold rare shingles, whose counters are below twice the mean. If each shingle there came m times, those
+    counters' variance would be m times their mean, so the quotient is the mean length of a list.
+    sizes: sets by size class.
     """
-    total = float(counts.sum())
-    square = float((counts.astype(float) ** 2).sum())
-    shared = max((square - total**2 / len(counts)) / max(total, 1), 1.0)
+    rare = counts[counts < 2 * max(counts.mean(), 1)].astype(float)
+    length = max(rare.var() / max(rare.mean(), 1e-9), 1.0) if len(rare) else 1.0
     out = 0
     for n in sorted(sizes):
         prefix = n - -(-3 * n // 4) + 1
-        if (prefix + 1) * prefix / 2 > prefix * (1 + shared):
+        if (prefix + 1) * prefix / 2 > prefix * (1 + length):
             break
         out = n
     return out
@@ -305,23 +305,23 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
         return found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long")
 
+    def across(turn: int):
+        return lambda table: _across(table, turn)
+
     links = durable(linked(pairs), "jaccard-links")
-    tried, turn = pairs, 0
+    tried = pairs
     any_list = not lists.isEmpty()
     found = components(links)
-    while any_list:
+    for now in range(PIVOTS + 1) if any_list else ():
         named = lists.join(found, lists.x == found.node, "left").withColumn("component", F.coalesce("component", "x")).select("bucket", "list", "x", "n", "place", "role", "component")
         split = named.groupBy("bucket", "list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "list")
-        now = turn
-        more = named.join(split, ["bucket", "list"]).groupBy("bucket", "list").applyInArrow(lambda t: _across(t, now), "x long, y long")
+        more = named.join(split, ["bucket", "list"]).groupBy("bucket", "list").applyInArrow(across(now), "x long, y long")
         more = durable(more.distinct().join(tried, ["x", "y"], "left_anti"), "jaccard-more")
-        if more.isEmpty() and turn >= PIVOTS:
-            break
+        # after the last turn every pair has been tried, or both its sets were in one component already
         if not more.isEmpty():
-            tried = durable(tried.unionByName(more), "jaccard-tried")
+            tried = durable(tried.unionByName(more), "jaccard-tried") if now < PIVOTS else tried
             links = durable(links.unionByName(linked(more)), "jaccard-links")
             found = components(links)
-        turn += 1
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")
