@@ -64,9 +64,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of at most ``rows``: Spark's 10,000 suit numbers, but texts of many kilobytes
-    would fill an executor's memory beside the heap. A smaller setting of the session stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def text_batches(spark: SparkSession, rows: int = 250) -> None:
+    """Read and hand over texts and packed columns in batches of at most ``rows``: Spark's thousands of rows suit
+    numbers, but with many kilobytes a row they fill an executor's memory. Smaller settings of the session stay."""
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, str(rows))
