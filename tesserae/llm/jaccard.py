@@ -30,7 +30,7 @@ WIDTH = 5
 SKETCH = 18
 #: Lists of up to LIST sets are compared in full; longer ones by pivots, PIVOTS of them before all that is left.
 LIST, PIVOTS = 24, 2
-PIECE, BLOCK = 1 << 19, 4 << 20
+PIECE, BLOCK, BITS = 1 << 19, 4 << 20, 1024
 _H = np.uint64((1 << 44) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -219,25 +219,36 @@ def _lists(table: pa.Table) -> pa.Table:
 
 
 def _across(table: pa.Table, turn: int) -> pa.Table:
-    """One long list (columns x, n, place, role, component): pairs to compare across components. In the first turns a pivot with all
-    sets outside its component; then every possible pair."""
+    """One long list (columns x, n, place, role, component, bits): pairs to compare across components. In the first
+    turns a pivot with the sets outside its component; then every possible pair.
+
+    bits holds the parities of a set's shingles in BITS classes. Classes in which two sets differ are shingles that
+    one of them lacks, so pairs that differ in too many cannot link and are left out here.
+    """
     t = {c: table[c].to_numpy() for c in ("x", "n", "place", "role", "component")}
+    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
     order = np.lexsort((t["x"], t["n"]))
     x, n, place, role, comp = (t[c][order].astype(np.int64) for c in ("x", "n", "place", "role", "component"))
+    bits = bits[order]
+
+    def near(i: int, j: np.ndarray) -> np.ndarray:
+        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        return j[7 * differ <= n[j] + n[i]]
+
     left, right = [], []
     if turn < PIVOTS:
         names, sizes = np.unique(comp, return_counts=True)
         largest = np.flatnonzero(comp == names[sizes.argmax()])
-        pivot = largest[np.argsort(mix(x[largest].view(np.uint64) + np.uint64(turn)))[0]]
+        pivot = int(largest[np.argsort(mix(x[largest].view(np.uint64) + np.uint64(turn)))[0]])
         other = np.flatnonzero(comp != comp[pivot])
-        a, b = np.minimum(other, pivot), np.maximum(other, pivot)
-        fits = 4 * n[a] >= 3 * n[b]
-        left, right = [x[a[fits]]], [x[b[fits]]]
+        low, high = np.minimum(n[other], n[pivot]), np.maximum(n[other], n[pivot])
+        other = near(pivot, other[4 * low >= 3 * high])
+        left, right = [np.full(len(other), x[pivot])], [x[other]]
     else:
         for i in range(len(x) - 1):
-            to = np.searchsorted(n, 4 * n[i] // 3, "right")
-            j = np.arange(i + 1, to)
-            j = j[(comp[j] != comp[i]) & _possible(n[i], n[j], place[i], place[j], role[i], role[j])]
+            j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, "right"))
+            j = j[comp[j] != comp[i]]
+            j = near(i, j[_possible(n[i], n[j], place[i], place[j], role[i], role[j])])
             left.append(np.full(len(j), x[i]))
             right.append(x[j])
     a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (left, right))
@@ -245,13 +256,18 @@ def _across(table: pa.Table, turn: int) -> pa.Table:
 
 
 def _sets_of(batches):
-    """name and shingles of documents (40 bits each, sorted)."""
+    """name, shingles of documents (40 bits each, sorted), and the parities of BITS classes of them."""
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
         for _, _, both, at in _pieces(data, offsets):
-            _, name = _set_keys(both, at)
+            n, name = _set_keys(both, at)
             short = np.sort((both >> np.uint64(44)) << np.uint64(40) | both & np.uint64((1 << 40) - 1)) & np.uint64((1 << 40) - 1)
             five = short.view(np.uint8).reshape(-1, 8)[:, :5]
-            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array([five[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["name", "shingles"])
+            owner = np.repeat(np.arange(len(n)), n)
+            odd = np.bincount(owner * BITS + (mix(both & _H) % np.uint64(BITS)).view(np.int64), minlength=len(n) * BITS) & 1
+            bits = np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(name), pa.array([five[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary())], names=["name", "shingles", "bits"]
+            )
 
 
 def _shingles(data) -> np.ndarray:
@@ -299,7 +315,7 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
     involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary").dropDuplicates(["name"]), "jaccard-sets")
+    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary").dropDuplicates(["name"]), "jaccard-sets")
 
     def linked(found: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
@@ -315,7 +331,8 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     for now in range(PIVOTS + 1) if any_list else ():
         named = lists.join(found, lists.x == found.node, "left").withColumn("component", F.coalesce("component", "x")).select("bucket", "list", "x", "n", "place", "role", "component")
         split = named.groupBy("bucket", "list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "list")
-        more = named.join(split, ["bucket", "list"]).groupBy("bucket", "list").applyInArrow(across(now), "x long, y long")
+        marked = named.join(split, ["bucket", "list"]).join(sets.select(F.col("name").alias("x"), "bits"), "x")
+        more = marked.groupBy("bucket", "list").applyInArrow(across(now), "x long, y long")
         more = durable(more.distinct().join(tried, ["x", "y"], "left_anti"), "jaccard-more")
         # after the last turn every pair has been tried, or both its sets were in one component already
         if not more.isEmpty():
