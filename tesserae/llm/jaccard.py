@@ -48,10 +48,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _pieces(data, offsets):
-    """Sets of up to PIECE bytes and 2**16 texts at a time."""
+    """Sets of up to PIECE bytes and 2**12 texts at a time."""
     for i, j in pieces(offsets, PIECE):
-        for a in range(i, j, 1 << 16):
-            b = min(a + (1 << 16), j)
+        for a in range(i, j, 1 << 12):
+            b = min(a + (1 << 12), j)
             yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
