@@ -277,6 +277,15 @@ def _shingles(data) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def _near(batches):
+    """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y; n: five per shingle)."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_x", "bits_y"))
+        differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        keep = 35 * differ <= batch.column("n_x").to_numpy().astype(np.int64) + batch.column("n_y").to_numpy()
+        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
+
+
 def _verify(batches):
     """x, y of pairs that link (columns x, y, a, b: both sets)."""
     last, other = None, None
@@ -315,9 +324,13 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
     involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary").dropDuplicates(["name"]), "jaccard-sets")
+    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "jaccard-sets")  # rows that repeat a document repeat links at most
 
     def linked(found: DataFrame) -> DataFrame:
+        marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
+        for side in ("x", "y"):
+            found = found.join(marks.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        found = found.mapInArrow(_near, "x long, y long")
         a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
         return found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long")
 
