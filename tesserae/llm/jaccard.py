@@ -218,22 +218,36 @@ def _lists(table: pa.Table) -> pa.Table:
     return pa.table(cols, names=["bucket", "list", "x", "y", "n", "place", "role"])
 
 
+def folded(rows: np.ndarray, to: int) -> np.ndarray:
+    """Parities of ``to`` bytes of classes, from those of a power of two times as many."""
+    return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, to // 8), axis=1)
+
+
 def _across(table: pa.Table, turn: int) -> pa.Table:
     """One long list (columns x, n, place, role, component, bits): pairs to compare across components. In the first
     turns a pivot with the sets outside its component; then every possible pair.
 
-    bits holds the parities of a set's shingles in BITS classes. Classes in which two sets differ are shingles that
-    one of them lacks, so pairs that differ in too many cannot link and are left out here.
+    bits holds the parities of a set's shingles in BITS or more classes, at least twice as many as it has shingles. Classes in
+    which two sets differ are shingles that one of them lacks, so pairs that differ in too many cannot link
+    and are left out here.
     """
     t = {c: table[c].to_numpy() for c in ("x", "n", "place", "role", "component")}
-    bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
     order = np.lexsort((t["x"], t["n"]))
     x, n, place, role, comp = (t[c][order].astype(np.int64) for c in ("x", "n", "place", "role", "component"))
-    bits = bits[order]
+    bits = [table["bits"][int(k)].as_buffer() for k in order]
+    size = np.array([len(b) for b in bits])  # grows with n, so it is in order too
+    planes = {w: np.frombuffer(b"".join(bits[k] for k in np.flatnonzero(size == w)), np.uint64).reshape(-1, w // 8) for w in np.unique(size).tolist()}
+    row = np.arange(len(size)) - np.searchsorted(size, size)
 
     def near(i: int, j: np.ndarray) -> np.ndarray:
-        differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        return j[7 * differ <= n[j] + n[i]]
+        keep = np.zeros(len(j), bool)
+        for w, plane in planes.items():
+            own = np.flatnonzero(size[j] == w)
+            if len(own):
+                to = min(w, int(size[i]))
+                differ = np.bitwise_count(folded(plane[row[j[own]]], to) ^ folded(planes[int(size[i])][row[i] : row[i] + 1], to)).sum(axis=1, dtype=np.int64)
+                keep[own] = 7 * differ <= n[j[own]] + n[i]
+        return j[keep]
 
     left, right = [], []
     if turn < PIVOTS:
@@ -259,14 +273,17 @@ def _sets_of(batches):
     """name, shingles of documents (40 bits each, sorted), and the parities of BITS classes of them."""
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
         for _, _, both, at in _pieces(data, offsets):
-            n, name = _set_keys(both, at)
+            _, name = _set_keys(both, at)
             short = np.sort((both >> np.uint64(44)) << np.uint64(40) | both & np.uint64((1 << 40) - 1)) & np.uint64((1 << 40) - 1)
             five = short.view(np.uint8).reshape(-1, 8)[:, :5]
-            owner = np.repeat(np.arange(len(n)), n)
-            odd = np.bincount(owner * BITS + (mix(both & _H) % np.uint64(BITS)).view(np.int64), minlength=len(n) * BITS) & 1
-            bits = np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1)
+            spread = mix(both & _H)
+            bits = []
+            for i, j in zip(at[:-1], at[1:]):
+                width = max(BITS, 1 << int(2 * (j - i) - 1).bit_length())
+                odd = np.bincount((spread[i:j] % np.uint64(width)).view(np.int64), minlength=width) & 1
+                bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array([five[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()), pa.array([b.tobytes() for b in bits], pa.binary())], names=["name", "shingles", "bits"]
+                [pa.array(name), pa.array([five[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()), pa.array(bits, pa.binary())], names=["name", "shingles", "bits"]
             )
 
 
@@ -280,9 +297,11 @@ def _shingles(data) -> np.ndarray:
 def _near(batches):
     """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y; n: five per shingle)."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, BITS // 64) for c in ("bits_x", "bits_y"))
-        differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
-        keep = 35 * differ <= batch.column("n_x").to_numpy().astype(np.int64) + batch.column("n_y").to_numpy()
+        keep = np.zeros(len(batch), bool)
+        for k, (a, b, m, n) in enumerate(zip(batch.column("bits_x"), batch.column("bits_y"), batch.column("n_x").to_pylist(), batch.column("n_y").to_pylist())):
+            a, b = (np.frombuffer(v.as_buffer(), np.uint64)[None] for v in (a, b))
+            to = 8 * min(a.shape[1], b.shape[1])
+            keep[k] = 35 * int(np.bitwise_count(folded(a, to) ^ folded(b, to)).sum()) <= m + n
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
 
