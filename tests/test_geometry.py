@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import box_ring, intersection_area, overlap_area, polygon_area, polygon_centroid, ring_pixels
 from tesserae.operators import batching, curation, density, genes, segmentation, targets, tiling
-from tesserae.operators.tiling import Grid, boxes
+from tesserae.operators.tiling import Grid
 
 L_SHAPE = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float)
 
