@@ -46,8 +46,8 @@ def ensure_ccw(ring: Column) -> Column:
 
 def with_bbox(df: DataFrame, ring: str = "ring") -> DataFrame:
     """Adds xmin, ymin, xmax, ymax of the ring."""
-    ends = {"xmin": (F.array_min, "x"), "ymin": (F.array_min, "y"), "xmax": (F.array_max, "x"), "ymax": (F.array_max, "y")}
-    return df.withColumns({c: f(F.transform(F.col(ring), lambda p, k=k: p[k])) for c, (f, k) in ends.items()})
+    xs, ys = F.col(ring)["x"], F.col(ring)["y"]
+    return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
 
 
 def box_overlap(a: str, b: str) -> Column:
