@@ -6,15 +6,15 @@ not seen has alpha(history) p(word). Words are discounted the same way and what
 probability of an unknown word. alpha is what the history's pairs leave, divided by the probability
 of all words not seen after it, so every distribution adds up to one exactly.
 
-Histories are the start of a text and the words that make up at least a ``share`` of the training tokens: at
-most 1/share, so their counts and weights are small tables. After any other word the model backs off with
-weight one.
-
-Work is cut by word, not by text. Each task packs its texts' tokens into one row per bucket of words: which word,
-after which history, in which text, how often. A bucket therefore holds all that is known of its words: their
-counts, their pairs' counts. It is stored with these counts (the model's partitioned table); the few
-sums over buckets (counts of counts, and those by history) fix the discounts and weights; then
-each bucket sends every block of texts its part of their scores.
+Every word is a history, and so is the start of a text; ``share`` above 0 leaves that to words that make up so much of
+the training tokens, and after any other word the model backs off with weight one.
+
+Work is cut by pair. Each task packs its texts' pairs into one row per bucket of pairs, so a bucket holds all counts of
+its pairs, whichever history they have: a frequent history is spread over all buckets. Counts are stored as tables. What a
+pair needs besides, the counts of its two words and its history's weight, is summed and answered by buckets of words: each
+part of a table sends its own sums and asks for the whole ones, so a word costs a row of numbers per part and not per
+pair. Only the counts of counts reach the driver. Then the texts' pairs meet the finished table bucket by bucket, and each
+block of texts gets its part of the scores.
 """
 
 from __future__ import annotations
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.blocks import LOWER, pieces, word_hashes, words
+from tesserae.llm.blocks import LOWER, mix, pieces, word_hashes, words
 from tesserae.llm.packing import pack, text_blocks, unpack
 from tesserae.llm.shared import documents, durable, text_batches, whole
 
-#: Counts up to K are discounted. SHARE: of the training tokens, for a word to be a history.
-K, SHARE = 5, 1e-4
-#: Bytes and texts that are packed together.
-PACK_BYTES, PACK_TEXTS = 3 << 20, 60_000
+#: Counts up to K are discounted. SHARE: of the training tokens, for a word to be a history (0: every word is one).
+K, SHARE = 5, 0.0
+#: Bytes and texts that are packed together; tokens whose pairs are found together; pairs in a row of a stored table.
+PACK_BYTES, PACK_TEXTS, SLICE, PART = 3 << 20, 60_000, 1 << 22, 1 << 15
 START, END = np.uint64(1), np.uint64(2)  # as hashes of words
 
 
@@ -70,160 +70,182 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
         yield rows["doc_id"].combine_chunks(), rows["held"].to_numpy().astype(bool), data, offsets
 
 
-def _frequent(batches):
-    """Words of at least a tenth of SHARE of this task's training tokens, and the number of those (word 0)."""
+#: Some pairs: histories, pairs of each, words of all, and each pair's word among these (two halves: the upper one is
+#: nearly always 0). Then what is known of each pair.
+_NAMES = [np.uint64, np.uint32, np.uint64, np.uint16, np.uint16]
+_COUNTED = [*_NAMES, np.uint32]
+#: Entries of each pair; text and times of each of these.
+_PLACED = [*_NAMES, np.uint16, np.uint16, np.uint16]
+#: A part of a bucket's table: history, word, count of the pair; then also counts of the history (0: none) and the word.
+_PAIRS = [np.uint64, np.uint64, np.int64]
+_KNOWN = [*_PAIRS, np.int64, np.int64]
+_ROWS = "bucket int, kind int, block long, n array<long>, data binary"
+_TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "n": pa.list_(pa.int64()), "data": pa.binary()}
+
+
+def _rows(found: list[tuple]) -> pa.Table:
+    """Rows of bucket, kind, block, n, data."""
+    return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(_TYPES.values())], names=list(_TYPES))
+
+
+def _send(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    for f in found:
+        yield from _rows([f]).to_batches()
+
+
+def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    """By the hash's top."""
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sums(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, head) if len(head) else x[:0]
+
+
+def _slices(token: np.ndarray, prior: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """The tokens in pieces, with their words and each token's place of history << 24 | place of word among these."""
+    for i in range(0, len(token), SLICE):
+        s = slice(i, i + SLICE)
+        unique, which = np.unique(np.concatenate([token[s], [START, prior[i]]]), return_inverse=True)
+        word, history = which[:-2], np.concatenate([which[-1:], which[:-3]])
+        yield s, unique, np.where(prior[s] == START, which[-2], history) << 24 | word
+
+
+def _deal(unique: np.ndarray, pair: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """Sorted pairs by bucket: which of them, and their _NAMES."""
+    history, word = pair >> 24, pair & 0xFFFFFF
+    bucket = _bucket(mix(unique[history] * np.uint64(0xA5A3564EDCE5B0B3) + unique[word]), buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        c = order[cuts[b] : cuts[b + 1]]
+        head = _heads(history[c])
+        words_, at = np.unique(word[c], return_inverse=True)
+        runs = np.diff(np.concatenate([head, [len(c)]]))
+        yield int(b), c, [unique[history[c[head]]], runs.astype(np.uint32), unique[words_], (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16)]
+
+
+def _places(vocabulary: np.ndarray, names: list[np.ndarray]) -> np.ndarray:
+    """place of the history in the vocabulary << 32 | place of the word, of each pair."""
+    word = np.searchsorted(vocabulary, names[2])[names[3].astype(np.int64) | names[4].astype(np.int64) << 16]
+    return np.repeat(np.searchsorted(vocabulary, names[0]), names[1]) << 32 | word
 
-    def run(share: float):
-        known: dict[int, int] = {}
-        total = 0
-        for _, held, data, offsets in _blocks(batches):
-            token, _, at = _tokens(data, offsets)
-            token = token[np.repeat(~held, np.diff(at))]
-            total += len(token)
-            word, n = np.unique(token, return_counts=True)
-            # a word of this share of the task has it in one block at least, but its other blocks count too
-            keep = n >= max(share * len(token) / 100, 1)
-            for w, c in zip(word[keep].view(np.int64).tolist(), n[keep].tolist()):
-                known[w] = known.get(w, 0) + c
-        rows = [(w, c) for w, c in known.items() if c >= share * total / 20]
-        yield pa.RecordBatch.from_arrays([pa.array([0, *(w for w, _ in rows)], pa.int64()), pa.array([total, *(c for _, c in rows)], pa.int64())], names=["word", "n"])
 
-    return run
-
-
-def histories(texts: DataFrame, share: float) -> tuple[np.ndarray, int]:
-    """Hashes of the history words, sorted, and the number of training tokens.
-
-    First each task names words that are frequent in it; what it leaves out cannot add up to more than a part of
-    ``share``, so the words whose named counts reach 0.8 share are all that can qualify: at most 1.25/share.
-    Then these are counted exactly.
-    """
-    named = texts.mapInArrow(lambda b: _frequent(b)(share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    named = durable(named, "katz-frequent")
-    total = named.where("word = 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = named.where((F.col("word") != 0) & (F.col("n") >= 0.8 * share * total)).select("word").toPandas()
-    candidates = np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
-    shared = texts.sparkSession.sparkContext.broadcast(candidates)
-
-    def count(batches):
-        wanted = shared.value
-        n = np.zeros(len(wanted), np.int64)
-        for _, held, data, offsets in _blocks(batches):
-            token, _, at = _tokens(data, offsets)
-            token = token[np.repeat(~held, np.diff(at))]
-            if len(wanted) and len(token):
-                place = np.minimum(np.searchsorted(wanted, token), len(wanted) - 1)
-                n += np.bincount(place[wanted[place] == token], minlength=len(wanted))
-        yield pa.RecordBatch.from_arrays([pa.array(wanted.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-    exact = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = exact.where((F.col("n") >= share * total) & (F.col("n") > 0)).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)
-    return np.unique(np.concatenate([found[found != END], [START]])), int(total)
-
-
-#: A block's tokens of one bucket: words, pairs of each word, history of each pair (0: none), texts of each pair, text and
-#: times of each of these, and which texts are held out.
-_PACKED = [np.uint64, np.uint16, np.uint16, np.uint16, np.uint16, np.uint16, np.uint8]
-
-
-def _pack_tokens(word, history, text, held, buckets: int) -> Iterator[tuple[int, bytes]]:
-    unique, which = np.unique(word, return_inverse=True)
-    # by bucket, then word: the bucket is the hash's top
-    bucket = ((unique >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-    key = np.sort(which.astype(np.int64) << 32 | history.astype(np.int64) << 16 | text)
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    times = np.diff(np.concatenate([head, [len(key)]]))
-    key = key[head]
-    copies = -(-times // 65535)  # more times than 16 bits hold: several entries
-    key = np.repeat(key, copies)
-    part = np.full(len(key), 65535, np.int64)
-    last = np.cumsum(copies) - 1
-    part[last] = times - (copies - 1) * 65535
-    pair = key >> 16
-    first = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-    entries = np.diff(np.concatenate([first, [len(key)]]))
-    pair = pair[first]
-    owner = pair >> 16
-    pairs = np.bincount(owner, minlength=len(unique))
-    pair_at = np.concatenate([[0], np.cumsum(pairs)])
-    entry_at = np.concatenate([[0], np.cumsum(entries)])
-    bits = np.packbits(held)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        w0, w1 = cuts[b], cuts[b + 1]
-        if w0 == w1:
-            continue
-        p0, p1 = pair_at[w0], pair_at[w1]
-        e0, e1 = entry_at[p0], entry_at[p1]
-        yield b, pack(
-            [unique[w0:w1], pairs[w0:w1].astype(np.uint16), (pair[p0:p1] & 0xFFFF).astype(np.uint16), entries[p0:p1].astype(np.uint16), (key[e0:e1] & 0xFFFF).astype(np.uint16), part[e0:e1].astype(np.uint16), bits]
-        )
-
-
-def _keys(packed: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
-    """(place of the word in the vocabulary) << 16 | history, of each pair of a block."""
-    return np.repeat(np.searchsorted(vocabulary, packed[0]), packed[1]) << 16 | packed[2]
-
-
-def _training_counts(packed: list[np.ndarray]) -> np.ndarray:
-    held = np.unpackbits(packed[6]).astype(bool)
-    counts = np.where(held[packed[4]], 0, packed[5].astype(np.int64))
-    return np.add.reduceat(counts, np.cumsum(packed[3], dtype=np.int64) - packed[3]) if len(counts) else counts
-
-
-def _bucket_counts(blocks: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their training counts, pair keys, and their training counts."""
-    vocabulary = np.unique(np.concatenate([p[0] for p in blocks]))
-    keys = np.concatenate([_keys(p, vocabulary) for p in blocks])
-    pairs, which = np.unique(keys, return_inverse=True)
-    n = np.bincount(which, np.concatenate([_training_counts(p) for p in blocks]), len(pairs)).astype(np.int64)
-    return vocabulary, np.bincount(pairs >> 16, n, len(vocabulary)).astype(np.int64), pairs, n
-
-
-_TABLE = "bucket int, kind int, block long, history int, n array<long>, data binary"
-
-
-def _store(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """One bucket's blocks, its counts, and its part of the sums over all buckets.
-
-    kind 0: a block with its words' and pairs' counts; 2: sums by history; 3: a block's ids (which stay as they are).
-    """
-    rows: dict[str, list] = {c: [] for c in ("bucket", "kind", "block", "history", "n", "data")}
-
-    def add(bucket, kind, block=None, history=None, n=None, data=None):
-        for c, x in zip(rows, (bucket, kind, block, history, n, data)):
-            rows[c].append(x)
-
-    kinds, blocks, bucket = table["kind"].to_pylist(), [], 0
-    for i, k in enumerate(kinds):
-        data, block = table["data"][i].as_buffer(), table["block"][i].as_py()
-        if k == 3:
-            add(table["bucket"][i].as_py(), 3, block, data=data.to_pybytes())
-        else:
-            bucket = table["bucket"][i].as_py()
-            blocks.append((block, unpack(data, _PACKED)))
-    if blocks:
-        vocabulary, count, pairs, n = _bucket_counts([p for _, p in blocks])
-        for block, p in blocks:
-            at = np.searchsorted(vocabulary, p[0])
-            own = n[np.searchsorted(pairs, np.repeat(at, p[1]) << 16 | p[2])]
-            add(bucket, 0, block, data=pack([count[at].astype(np.uint64), own.astype(np.uint64 if own.max(initial=0) >> 32 else np.uint32), *p[1:6]]))
-        history, of, seen = pairs & 0xFFFF, count[pairs >> 16], n > 0
-        sums = np.zeros((65536, 2 + 2 * K + 2), np.int64)  # of history: all counts; counts 1 to K + 1; its words by count 1 to K; counts of its other words
-        np.add.at(sums[:, 0], history, n)
-        for r in range(1, K + 2):
-            sums[:, r] = np.bincount(history[n == r], minlength=65536)
-        for r in range(1, K + 1):
-            sums[:, K + 1 + r] = np.bincount(history[seen & (of == r)], minlength=65536)
-        sums[:, 2 * K + 2] = np.bincount(history[seen & (of > K)], of[seen & (of > K)], 65536)
-        for h in np.flatnonzero(sums.any(axis=1)):
-            if h:
-                add(bucket, 2, history=int(h), n=sums[h].tolist())
-        words_ = [int(count.sum()), *(int((count == r).sum()) for r in range(1, K + 2)), int((count > 0).sum())]
-        add(bucket, 2, history=0, n=words_ + [0] * (2 * K + 4 - len(words_)))
-    kinds_ = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "history": pa.int32(), "n": pa.list_(pa.int64()), "data": pa.binary()}
-    for i in range(0, len(rows["kind"]), 20):
-        yield pa.RecordBatch.from_arrays([pa.array(rows[c][i : i + 20], t) for c, t in kinds_.items()], names=list(rows))
+def _count(batches, buckets: int) -> Iterator[tuple]:
+    """Pairs of each block with their training counts; those of held-out texts alone have 0."""
+    for _, held, data, offsets in _blocks(batches):
+        token, prior, at = _tokens(data, offsets)
+        train = np.repeat(~held, np.diff(at))
+        for s, unique, pair in _slices(token, prior):
+            pair, which = np.unique(pair, return_inverse=True)
+            n = np.bincount(which, train[s], len(pair)).astype(np.uint32)
+            for b, c, names in _deal(unique, pair, buckets):
+                yield b, 0, None, None, pack([*names, n[c]])
+
+
+def _place(batches, buckets: int) -> Iterator[tuple]:
+    """Pairs of each block with the texts that have them (kind 0), and the block's rows (kind 3)."""
+    from pyspark import TaskContext
+
+    for k, (ids, held, data, offsets) in enumerate(_blocks(batches)):
+        block = TaskContext.get().partitionId() << 24 | k
+        token, prior, at = _tokens(data, offsets)
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        yield block % buckets, 3, block, None, pack([ids.cast(pa.int64()).fill_null(0).to_numpy(), valid.astype(np.uint8), held.astype(np.uint8), np.diff(at).astype(np.int64)])
+        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        for s, unique, pair in _slices(token, prior):
+            key = np.sort(pair.astype(np.uint64) << np.uint64(16) | text[s].astype(np.uint64))  # 24, 24 and 16 bits
+            head = _heads(key)
+            times = np.diff(np.concatenate([head, [len(key)]]))
+            copies = -(-times // 65535)  # more times than 16 bits hold: several entries
+            key = np.repeat(key[head], copies)
+            part = np.full(len(key), 65535, np.int64)
+            part[np.cumsum(copies) - 1] = times - (copies - 1) * 65535
+            pair = (key >> np.uint64(16)).astype(np.int64)
+            first = _heads(pair)
+            entries = np.diff(np.concatenate([first, [len(key)]]))
+            for b, c, names in _deal(unique, pair[first], buckets):
+                n = entries[c]
+                e = np.arange(n.sum()) + np.repeat(first[c] - np.cumsum(n) + n, n)
+                yield b, 0, block, None, pack([*names, n.astype(np.uint16), (key[e] & np.uint64(0xFFFF)).astype(np.uint16), part[e].astype(np.uint16)])
+
+
+def _table(table: pa.Table) -> pa.Table:
+    """One bucket's pairs with their training counts, in parts (kind 1) sorted by history, then word."""
+    parts = [unpack(x.as_buffer(), _COUNTED) for x in table["data"]]
+    vocabulary = np.unique(np.concatenate([x for p in parts for x in (p[0], p[2])]))
+    pairs, which = np.unique(np.concatenate([_places(vocabulary, p) for p in parts]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([p[5] for p in parts]), len(pairs)).astype(np.int64)
+    history, word = vocabulary[pairs >> 32], vocabulary[pairs & 0xFFFFFFFF]
+    bucket = table["bucket"][0].as_py()
+    return _rows([(bucket, 1, i, None, pack([x[i : i + PART] for x in (history, word, n)])) for i in range(0, len(n), PART)])
+
+
+def _counted_as(history: np.ndarray) -> np.ndarray:
+    """The token that comes as often as this history: the word itself, or for the start the end."""
+    return np.where(history == START, END, history)
+
+
+def _ask(key: np.ndarray, values: list[np.ndarray], bucket: int, part: int, buckets: int) -> Iterator[tuple]:
+    """Values of unique words, to the words' buckets; block tells who asks."""
+    to = _bucket(mix(key), buckets)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)):
+        c = order[cuts[b] : cuts[b + 1]]
+        yield int(b), 0, bucket << 32 | part, None, pack([key[c], *(x[c] for x in values)])
+
+
+def _ask_words(bucket: int, part: int, data, buckets: int) -> Iterator[tuple]:
+    history, word, n = unpack(data, _PAIRS)
+    key, at = np.unique(np.concatenate([word, _counted_as(history)]), return_inverse=True)
+    return _ask(key, [np.bincount(at[: len(n)], n, len(key)).astype(np.int64)], bucket, part, buckets)
+
+
+def _by_count(n: np.ndarray) -> list[int]:
+    return np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+
+
+def _answer_words(table: pa.Table) -> pa.Table:
+    """One bucket of words: each part's words with their counts (kind 4), and sums of all (kind 2)."""
+    asked = [unpack(x.as_buffer(), [np.uint64, np.int64]) for x in table["data"]]
+    words_, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+    count = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words_)).astype(np.int64)
+    cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
+    out = [(block >> 32, 4, block & 0xFFFFFFFF, None, pack([a[0], count[at[i:j]]])) for block, a, i, j in zip(table["block"].to_pylist(), asked, cuts, cuts[1:])]
+    return _rows([*out, (0, 2, None, [int(count.sum()), *_by_count(count), int((count > 0).sum())], None)])
+
+
+def _by_kind(table: pa.Table, kinds: dict[int, list]) -> dict[int, list[tuple[int, list[np.ndarray]]]]:
+    """Block and arrays of the rows of each kind, by block."""
+    found = zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["data"])
+    rows = [(k, block, x) for k, block, x in found if k in kinds]
+    return {kind: sorted(((block, unpack(x.as_buffer(), types)) for k, block, x in rows if k == kind), key=lambda r: r[0]) for kind, types in kinds.items()}
+
+
+def _answers(rows: list) -> list[np.ndarray]:
+    """Sorted words and their values from all answers to a bucket."""
+    columns = [np.concatenate(c) for c in zip(*(r for _, r in rows))]
+    key, at = np.unique(columns[0], return_index=True)
+    return [key, *(c[at] for c in columns[1:])]
+
+
+def _know(table: pa.Table, least: float) -> pa.Table:
+    """One bucket's parts with the counts of histories and words, and how many pairs are seen how often (kind 2)."""
+    rows = _by_kind(table, {1: _PAIRS, 4: [np.uint64, np.int64]})
+    words_, count = _answers(rows[4])
+    bucket, out, sums = table["bucket"][0].as_py(), [], np.zeros(K + 1, np.int64)
+    for part, (history, word, n) in rows[1]:
+        of = count[np.searchsorted(words_, _counted_as(history))]
+        of = np.where((history == START) | (of >= least), of, 0)
+        n = np.where(of > 0, n, 0)
+        sums += _by_count(n)
+        out.append((bucket, 1, part, None, pack([history, word, n, of, count[np.searchsorted(words_, word)]])))
+    return _rows([*out, (bucket, 2, None, sums.tolist(), None)])
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -241,53 +263,85 @@ def discounts(of: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """What all buckets need: discounts, totals, and each history's count and backoff weight."""
+    """What all buckets need: totals and discounts."""
 
-    def __init__(self, word_sums: np.ndarray, by_history: dict[int, np.ndarray], n_histories: int):
+    def __init__(self, word_sums: np.ndarray, pair_sums: np.ndarray):
         self.tokens, self.types = int(word_sums[0]), int(word_sums[K + 2])
         self.d_word = discounts(word_sums[1 : K + 2].astype(float))
-        r = np.arange(1, K + 1)
-        left = float((word_sums[1 : K + 1] * r * (1 - self.d_word)).sum()) / max(self.tokens, 1)
+        left = float((word_sums[1 : K + 1] * np.arange(1, K + 1) * (1 - self.d_word)).sum()) / max(self.tokens, 1)
         # nothing is discounted: one more token makes room for an unknown word
         self.scale = 1.0 if left > 0 else self.tokens / (self.tokens + 1)
         self.unknown = left if left > 0 else 1 / (self.tokens + 1)
-        total = sum(by_history.values(), np.zeros(2 * K + 4))
-        self.d_pair = discounts(total[1 : K + 2].astype(float))
-        self.count = np.zeros(n_histories + 1)
-        self.alpha, self.pair_scale = np.ones(n_histories + 1), np.ones(n_histories + 1)
-        for h, s in by_history.items():
-            self.count[h] = s[0]
-            if not s[0]:
-                continue
-            beta = float((s[1 : K + 1] * r * (1 - self.d_pair)).sum()) / s[0]
-            if beta <= 0:  # as for words
-                self.pair_scale[h], beta = s[0] / (s[0] + 1), 1 / (s[0] + 1)
-            seen = self.scale * float((s[K + 2 : 2 * K + 2] * r * self.d_word).sum() + s[2 * K + 2]) / self.tokens
-            self.alpha[h] = beta / max(1 - seen, self.unknown)
+        self.d_pair = discounts(pair_sums.astype(float))
 
     def word_probability(self, count: np.ndarray) -> np.ndarray:
         d = np.concatenate([[0], self.d_word, [1]])[np.minimum(count, K + 1)]
         return np.where(count > 0, self.scale * d * count / max(self.tokens, 1), self.unknown)
 
-    def pair_probability(self, n: np.ndarray, history: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """word: the words' own probabilities, to which unseen pairs back off."""
-        d = np.concatenate([[0], self.d_pair, [1]])[np.minimum(n, K + 1)]
-        seen = self.pair_scale[history] * d * n / np.maximum(self.count[history], 1)
-        return np.where((n > 0) & (history > 0), seen, self.alpha[history] * word)
+    def left_and_seen(self, n: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the discount of each pair frees, and the probability of its word if the pair is seen."""
+        d = np.concatenate([[1], self.d_pair, [1]])[np.minimum(n, K + 1)]
+        return (1 - d) * n, np.where(n > 0, word, 0.0)
 
+    def alpha(self, count: np.ndarray, left: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Backoff weight of histories and the factor of their pairs."""
+        some = left > 0  # if not, as for words
+        beta = np.where(some, left / count, 1 / (count + 1))
+        return beta / np.maximum(1 - seen, self.unknown), np.where(some, 1.0, count / (count + 1))
 
-def _parts(weights: Weights, data) -> bytes:
-    """A bucket's part of a block's texts: known tokens, base score, score; and the texts' places."""
-    count, n, pairs, history, entries, texts, times = unpack(data, [np.int64, np.uint32, *_PACKED[1:6]])
-    if len(n) != len(history):
-        n = n.view(np.uint64)
-    count, n, history, times = np.repeat(count, pairs), n.astype(np.int64), history.astype(np.int64), times.astype(float)
+    def pair_probability(self, n: np.ndarray, history: np.ndarray, alpha: np.ndarray, scale: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """history: counts; word: the words' own probabilities, to which unseen pairs back off."""
+        d = np.concatenate([[0], self.d_pair, [1]])[np.minimum(n, K + 1)]
+        return np.where(n > 0, scale * d * n / np.maximum(history, 1), alpha * word)
+
+
+def _ask_weights(bucket: int, part: int, data, weights: Weights, buckets: int) -> Iterator[tuple]:
+    history, _, n, of, count = unpack(data, _KNOWN)
+    head = _heads(history)
+    left, seen = (_sums(x, head) for x in weights.left_and_seen(n, weights.word_probability(count)))
+    keep = of[head] > 0
+    return _ask(history[head][keep], [x[keep] for x in (of[head], left, seen)], bucket, part, buckets)
+
+
+def _answer_weights(table: pa.Table, weights: Weights) -> pa.Table:
+    """One bucket of histories: each part's histories with their weights (kind 5)."""
+    blocks, data = table["block"].to_pylist(), table["data"]
+    order = sorted(range(len(blocks)), key=blocks.__getitem__)  # sums do not hang on the rows' order
+    asked = [unpack(data[i].as_buffer(), [np.uint64, np.int64, np.float64, np.float64]) for i in order]
+    names, first, at = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
+    count, left, seen = (np.concatenate([a[c] for a in asked]) for c in (1, 2, 3))
+    alpha, scale = weights.alpha(count[first], np.bincount(at, left, len(names)), np.bincount(at, seen, len(names)))
+    cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
+    return _rows([(blocks[o] >> 32, 5, blocks[o] & 0xFFFFFFFF, None, pack([a[0], alpha[at[i:j]], scale[at[i:j]]])) for o, a, i, j in zip(order, asked, cuts, cuts[1:])])
+
+
+def _score(table: pa.Table, weights: Weights) -> pa.Table:
+    """One bucket: its part of each block's texts (places, known tokens, base score, score), and the blocks' rows as they are."""
+    bucket = table["bucket"][0].as_py()
+    own = [(bucket, 3, block, None, x.as_py()) for k, block, x in zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["data"]) if k == 3]
+    rows = _by_kind(table, {0: _PLACED, 1: _KNOWN, 5: [np.uint64, np.float64, np.float64]})
+    if not rows[1]:
+        return _rows(own)
+    history, word, n, of, count = (np.concatenate(c) for c in zip(*(r for _, r in rows[1])))
+    alpha, scale = np.ones(len(n)), np.ones(len(n))
+    if rows[5]:
+        names, *found = _answers(rows[5])
+        at = np.minimum(np.searchsorted(names, history), len(names) - 1)
+        alpha, scale = (np.where(of > 0, x[at], 1.0) for x in found)
     base = np.log10((count + 0.1) / (weights.tokens + 0.1 * (weights.types + 1)))
-    score = np.log10(weights.pair_probability(n, history, weights.word_probability(count)))
-    size = int(texts.max()) + 1
-    sums = [np.bincount(texts, times * np.repeat(x, entries), size) for x in ((count > 0).astype(float), base, score)]
-    there = np.flatnonzero(np.bincount(texts, minlength=size))
-    return pack([there.astype(np.uint16), sums[0][there].astype(np.uint32), sums[1][there], sums[2][there]])
+    score = np.log10(weights.pair_probability(n, of, alpha, scale, weights.word_probability(count)))
+    known = (count > 0).astype(float)
+    vocabulary = np.unique(np.concatenate([history, word]))
+    keys = np.searchsorted(vocabulary, history) << 32 | np.searchsorted(vocabulary, word)
+    out = own
+    for block, p in rows[0]:
+        at = np.repeat(np.searchsorted(keys, _places(vocabulary, p)), p[5])
+        texts, times = p[6], p[7].astype(float)
+        size = int(texts.max()) + 1
+        sums = [np.bincount(texts, times * x[at], size) for x in (known, base, score)]
+        there = np.flatnonzero(np.bincount(texts, minlength=size))
+        out.append((bucket, 0, block, None, pack([there.astype(np.uint16), sums[0][there].astype(np.uint32), sums[1][there], sums[2][there]])))
+    return _rows(out)
 
 
 def katz_scores(docs: DataFrame, share: float = SHARE, buckets: int | None = None) -> DataFrame:
@@ -301,42 +355,35 @@ def katz_scores(docs: DataFrame, share: float = SHARE, buckets: int | None = Non
     text_batches(spark, 64)  # a bucket's rows have up to some hundred kilobytes
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held"), whole("text").alias("text"))
-    names, _ = histories(texts, share)
-    shared = spark.sparkContext.broadcast(names)
-
-    def send(batches):
-        from pyspark import TaskContext
-
-        known = shared.value
-        for k, (ids, held, data, offsets) in enumerate(_blocks(batches)):
-            block = TaskContext.get().partitionId() << 24 | k
-            token, prior, at = _tokens(data, offsets)
-            place = np.minimum(np.searchsorted(known, prior), len(known) - 1)
-            history = np.where(known[place] == prior, place + 1, 0)
-            text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            own = pack([ids.cast(pa.int64()).fill_null(0).to_numpy(), valid.astype(np.uint8), held.astype(np.uint8), np.diff(at).astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array([block % buckets], pa.int32()), pa.array([3], pa.int32()), pa.array([block], pa.int64()), pa.array([own], pa.binary())], names=["bucket", "kind", "block", "data"])
-            for b, payload in _pack_tokens(token, history, text, held, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([0], pa.int32()), pa.array([block], pa.int64()), pa.array([payload], pa.binary())], names=["bucket", "kind", "block", "data"])
-
-    packed = texts.mapInArrow(send, "bucket int, kind int, block long, data binary")
-    stored = durable(packed.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(list(_store(t))), _TABLE), "katz-buckets")
-    sums = stored.where("kind = 2").groupBy("history").agg(F.array(*(F.sum(F.col("n")[i]) for i in range(2 * K + 4))).alias("n"))
-    # a row per history: at most 1/share + 2
-    by_history = {r["history"]: np.array(r["n"], float) for r in sums.collect()}
-    weights = spark.sparkContext.broadcast(Weights(by_history.pop(0, np.zeros(2 * K + 4)), by_history, len(names)))
-
-    def score(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_parts(weights.value, x.as_buffer()) for x in batch.column(1)], pa.binary())], names=["block", "data"])
-
-    parts = stored.where("kind = 0").select("block", "data").mapInArrow(score, "block long, data binary")
-    own = stored.where("kind = 3").select("block", "data", F.lit(1).alias("own"))
+    counted = texts.mapInArrow(lambda b: _send(_count(b, buckets)), _ROWS)
+    tables = durable(counted.groupBy("bucket").applyInArrow(_table, _ROWS), "katz-pairs")
+
+    def asking(df: DataFrame, ask) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for bucket, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    yield from _send(ask(bucket, part, data.as_buffer()))
+
+        return df.where("kind = 1").select("bucket", "block", "data").mapInArrow(run, _ROWS)
+
+    answers = durable(asking(tables, lambda *r: _ask_words(*r, buckets)).groupBy("bucket").applyInArrow(_answer_words, _ROWS), "katz-words")
+
+    def total(df: DataFrame, size: int) -> np.ndarray:
+        row = df.where("kind = 2").agg(*(F.sum(F.col("n")[i]) for i in range(size))).first()
+        return np.array([x or 0 for x in row], np.int64)
+
+    word_sums = total(answers, K + 3)
+    least = share * int(word_sums[0])
+    known = tables.unionByName(answers.where("kind = 4")).groupBy("bucket").applyInArrow(lambda t: _know(t, least), _ROWS)
+    known = durable(known, "katz-known")
+    weights = spark.sparkContext.broadcast(Weights(word_sums, total(known, K + 1)))
+    alphas = asking(known, lambda *r: _ask_weights(*r, weights.value, buckets)).groupBy("bucket").applyInArrow(lambda t: _answer_weights(t, weights.value), _ROWS)
+    placed = texts.mapInArrow(lambda b: _send(_place(b, buckets)), _ROWS)
+    scored = placed.unionByName(known.where("kind = 1")).unionByName(alphas).groupBy("bucket").applyInArrow(lambda t: _score(t, weights.value), _ROWS)
 
     def gather(table: pa.Table) -> pa.Table:
-        flags = table["own"].to_pylist()
-        ids, valid, held, tokens = unpack(table["data"][flags.index(1)].as_buffer(), [np.int64, np.uint8, np.uint8, np.int64])
+        flags = [k == 3 for k in table["kind"].to_pylist()]
+        ids, valid, held, tokens = unpack(table["data"][flags.index(True)].as_buffer(), [np.int64, np.uint8, np.uint8, np.int64])
         sums = np.zeros((3, len(ids)))
         for i, f in enumerate(flags):
             if not f:
@@ -347,7 +394,7 @@ def katz_scores(docs: DataFrame, share: float = SHARE, buckets: int | None = Non
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
-    rows = own.unionByName(parts.withColumn("own", F.lit(0))).groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    rows = scored.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -74,3 +74,13 @@ def test_empty_table_and_null_ids(spark):
     got = katz_scores(spark.createDataFrame([(None, "a b", ""), (None, "a b", ""), (1, None, "")], SCHEMA)).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 3, 3] and len({r["score"] for r in got if r["n_tokens"] == 3}) == 1
     assert all(math.isfinite(r["score"]) for r in got)
+
+
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_pairs_after_rare_words_of_a_large_table(spark, buckets):
+    """Histories far below 1/10,000 of the tokens, and more pairs than a stored row holds."""
+    rows = list(enumerate(" ".join(f"w{(i * 37 + k * k) % 9000} x{(i + k) % 50} of the" for k in range(60)) + f" rare{i % 300} pair{i % 300}" for i in range(900)))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
+    for g, w in zip(sorted(map(tuple, katz_scores(docs, buckets=buckets).collect())), brute(rows, 0), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:])
