@@ -2,13 +2,13 @@
 
 A BPE model's text becomes symbols, one per character; an agenda holds the candidate merges of neighbours and
 takes the best-scored, leftmost one first. With dropout each candidate is skipped if a keyed hash of (seed,
-word, variant, its two symbols' places, its piece) falls below the rate, so a seed and a document give one
+doc_id, the word and its place in the document, its two symbols' places, its piece) falls below the rate, so a seed and a document give one
 segmentation wherever and however often it is computed, and other seeds give others. Decoding joins the
 pieces; unknown characters travel as bytes, so every segmentation decodes to the text itself.
 
 Words are worked on together: merges never cross the start of a word, so one numpy round takes the agenda's
-top of each word of a block. Words of over LONG symbols use a heap of their own. The document's id and the
-word's place in it draw one of VARIANTS keys for the word, so equal words with equal keys are cut once.
+top of each word of a block. Words of over LONG symbols use a heap of their own. Equal words are cut once without
+dropout, and the candidates met then are kept. Where none of them is skipped that cut stands; all other words are cut anew.
 """
 
 from __future__ import annotations
@@ -28,13 +28,17 @@ from tesserae.llm.shared import documents, text_batches, whole
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 11
 LONG = 200
-#: Segmentations that one word can have under one seed (a power of two), and words whose pieces a task keeps.
-VARIANTS, CACHED = 16, 1 << 19
+#: Words whose pieces without dropout a task keeps.
+CACHED = 1 << 19
 _MARK = 0x2581  # stands for a space inside pieces
 _OTHER = 0x110000  # stands for that mark itself where a text has it
 _NEVER = np.int64(2**62)
 
 
+def _limit(dropout: float) -> np.uint64:
+    return np.uint64(min(max(dropout, 0.0), 1.0) * (2**64 - 2048))
+
+
 def read_model(path: str = MODEL) -> tuple[list[str], list[float], list[bool], list[bool]]:
     """Pieces, scores, which are bytes, and which are neither text nor bytes."""
     import sentencepiece
@@ -50,6 +54,7 @@ class Merger:
     def __init__(self, model: tuple[list[str], list[float], list[bool], list[bool]]):
         names, scores, is_byte, is_special = model
         self.cached_for, self.known = None, None
+        self.met: list | None = None
         self.size = len(names)
         text = {p: i for i, p in enumerate(names) if not is_byte[i] and not is_special[i]}
         if any("▁" in p.lstrip("▁") for p in text):
@@ -134,49 +139,83 @@ class Merger:
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum((code + 1).view(np.uint64) * up[: len(code)], out=total[1:])
         word = mix((total[starts + lengths] - total[starts]) * down[starts] + lengths.view(np.uint64))
-        if dropout > 0:
-            # the document and the word's place in it draw one of the word's variants under this seed
-            place = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).view(np.uint64)
-            drawn = mix(np.repeat(mix(ids.view(np.uint64) + np.uint64(1)), np.diff(first)) + place) & np.uint64(VARIANTS - 1)
-            word = mix(word + drawn * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed & (2**64 - 1)], np.uint64))
         keys, one, which = np.unique(word, return_index=True, return_inverse=True)
         if self.cached_for != (seed, dropout):
-            self.cached_for, self.known = (seed, dropout), (np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32))
-        known, known_at, known_ids = self.known
+            none = np.zeros(1, np.int64)
+            self.cached_for, self.known = (seed, dropout), (np.zeros(0, np.uint64), none, np.zeros(0, np.int32), none, np.zeros(0, np.uint64))
+        known, known_at, known_ids, met_at, met = self.known
         spot = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
         old = known[spot] == keys if len(known) else np.zeros(len(keys), bool)
         new = np.flatnonzero(~old)
-        made, made_at = self._segment(code, starts[one[new]], lengths[one[new]], keys[new], dropout)
-        begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        begin[old], size[old] = known_at[spot[old]], np.diff(known_at)[spot[old]]
-        begin[new], size[new] = made_at[:-1] + len(known_ids), np.diff(made_at)
-        pool = np.concatenate([known_ids, made])
-        counts = size[which]
+        made, made_at, found, found_at = self._plain(code, starts[one[new]], lengths[one[new]], dropout > 0)
+
+        def joined(at, values, more_at, more):
+            """Begin and size of each key's values, and all values."""
+            begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+            begin[old], size[old] = at[spot[old]], np.diff(at)[spot[old]]
+            begin[new], size[new] = more_at[:-1] + len(values), np.diff(more_at)
+            return begin, size, np.concatenate([values, more])
+
+        begin, size, pool = joined(known_at, known_ids, made_at, made)
+        froms, counts, out = begin[which], size[which], pool
+        if dropout > 0:
+            # seed, document and the word's place in it are the key
+            place = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).view(np.uint64)
+            own = mix(np.repeat(mix(ids.view(np.uint64) + np.uint64(1)), np.diff(first)) + place)
+            own = mix(word + own * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed & (2**64 - 1)], np.uint64))
+            begin, size, candidates = joined(met_at, met, found_at, found)
+            n = size[which]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            skipped = mix(candidates[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], n)] + np.repeat(own, n)) < _limit(dropout)
+            skipped = np.concatenate([[0], np.cumsum(skipped)])[ends]
+            again = np.flatnonzero(np.diff(skipped))
+            cut, cut_at = self._segment(code, starts[again], lengths[again], own[again], dropout)
+            froms[again], counts[again] = cut_at[:-1] + len(pool), np.diff(cut_at)
+            out = np.concatenate([pool, cut])
         ends = np.concatenate([[0], np.cumsum(counts)])
-        out = pool[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], counts)]
+        out = out[np.arange(ends[-1]) + np.repeat(froms - ends[:-1], counts)]
         if len(known) < CACHED and len(new):
             order = np.argsort(np.concatenate([known, keys[new]]), kind="stable")
-            sizes = np.concatenate([np.diff(known_at), np.diff(made_at)])[order]
-            froms = np.concatenate([known_at[:-1], made_at[:-1] + len(known_ids)])[order]
-            held = np.concatenate([[0], np.cumsum(sizes)])
-            self.known = np.concatenate([known, keys[new]])[order], held, pool[np.arange(held[-1]) + np.repeat(froms - held[:-1], sizes)]
+
+            def merged(at, values, more_at, more):
+                sizes = np.concatenate([np.diff(at), np.diff(more_at)])[order]
+                froms = np.concatenate([at[:-1], more_at[:-1] + len(values)])[order]
+                held = np.concatenate([[0], np.cumsum(sizes)])
+                return held, np.concatenate([values, more])[np.arange(held[-1]) + np.repeat(froms - held[:-1], sizes)]
+
+            self.known = np.concatenate([known, keys[new]])[order], *merged(known_at, known_ids, made_at, made), *merged(met_at, met, found_at, found)
         return out, ends[first]
 
+    def _plain(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, candidates: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' pieces without dropout and where they start; if wanted, the candidates met (as they are added to a
+        word's key) and where each word's start."""
+        self.met = [] if candidates else None
+        made, made_at = self._segment(code, starts, lengths, np.zeros(len(starts), np.uint64), 0.0)
+        met, self.met = self.met or [], None
+        place = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in met)])
+        found = np.concatenate([np.zeros(0, np.uint64), *(m[1] for m in met)])
+        order = np.argsort(place, kind="stable")
+        before = np.concatenate([[0], np.cumsum(lengths)])
+        return made, made_at, found[order], np.searchsorted(place[order], before)
+
     def _segment(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keys: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of some words of ``code`` and the n + 1 places where each word's start."""
         before = np.cumsum(lengths) - lengths
         code = code[np.arange(lengths.sum()) + np.repeat(starts - before, lengths)]
         sym = self.of_char[code].astype(np.int64)
         key = np.repeat(keys, lengths) + (np.arange(len(code)) - np.repeat(before, lengths)).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        limit = np.uint64(min(max(dropout, 0.0), 1.0) * (2**64 - 2048))
+        limit = _limit(dropout)
 
         def candidates(left, right, where, mid):
             """The agenda's order of each pair (rank, then place) and its piece; dropped pairs are never taken."""
             piece = self.merged(left, right)
             good = np.flatnonzero(piece >= 0)
-            if dropout > 0:
-                h = mix(key[where[good]] + (mid[good] - where[good]).view(np.uint64) * np.uint64(0xA5A3564EDCE5B0B3) + piece[good].view(np.uint64))
-                good = good[h >= limit]
+            if dropout > 0 or self.met is not None:
+                h = key[where[good]] + (mid[good] - where[good]).view(np.uint64) * np.uint64(0xA5A3564EDCE5B0B3) + piece[good].view(np.uint64)
+                if self.met is not None:
+                    self.met.append((where[good], h))
+                if dropout > 0:
+                    good = good[mix(h) >= limit]
             order = np.full(len(piece), _NEVER)
             order[good] = self.rank[piece[good]] << 32 | where[good]
             return order, piece

@@ -41,6 +41,40 @@ def test_seeds_vary_and_repeat(merger):
     assert one == two != three
 
 
+def test_equal_words_are_cut_freely(merger):
+    """A frequent word has as many segmentations as its candidates allow, each candidate skipped at the rate."""
+    n = 4000
+    ids, at = encode(merger, ["international"] * n, 7, 0.1)
+    cuts = [tuple(ids[a:b]) for a, b in zip(at, at[1:])]
+    assert len(set(cuts)) > 16
+    ids, at = encode(merger, ["aa"] * n, 7, 0.1)
+    plain = encode(merger, ["aa"])[0].tolist()
+    kept = sum(ids[a:b].tolist() == plain for a, b in zip(at, at[1:]))
+    assert len(plain) < 3 and 0.7 < kept / n < 0.95
+
+
+def test_cached_words_as_cut_anew(merger):
+    """Words whose cut without dropout stands are what the agenda gives them."""
+    texts = [" ".join(TEXTS)] * 20
+    cached = encode(merger, texts, 5, 0.05)
+    plain = merger._plain
+    merger._plain = lambda code, starts, lengths, candidates: (*plain(code, starts, lengths, False)[:2], np.zeros(len(starts), np.uint64), np.arange(len(starts) + 1))
+    limit, pieces._limit = pieces._limit, lambda d: np.uint64(2**64 - 1)  # all words are cut anew
+    try:
+        segment = merger._segment
+
+        def anew(*a):
+            pieces._limit = limit
+            return segment(*a)
+
+        merger._segment = lambda *a: anew(*a) if a[-1] > 0 else segment(*a)
+        again = encode(merger, texts, 5, 0.05)
+    finally:
+        pieces._limit = limit
+        del merger._plain, merger._segment
+    assert cached[0].tolist() == again[0].tolist() and cached[1].tolist() == again[1].tolist()
+
+
 def test_rounds_are_the_agenda(merger, monkeypatch):
     rounds = encode(merger, MARKED, 5, 0.2)
     monkeypatch.setattr(pieces, "LONG", 0)
