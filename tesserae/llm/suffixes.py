@@ -3,7 +3,8 @@
 A byte goes if a string of LENGTH bytes over it also starts in a document with a smaller doc_id. Work is cut by
 content. The LENGTH-byte strings of a text are grouped by the smallest hash of the GRAM-byte grams inside
 them: a run of neighbouring strings with one smallest gram is a stretch of text, and equal strings always fall
-to equal grams. Each run is reported to its gram's bucket with a hash of the stretch.
+to equal grams. Each run is reported to its gram's bucket with a hash of the stretch, of 128 bits. Grams only bring runs
+together, so 32 bits of theirs do.
 
 A bucket settles equal stretches at once: all but those of the smallest doc_id go. Only where one gram has
 different stretches of different documents are their bytes fetched and their suffixes compared: in the order of doc_id
@@ -30,12 +31,14 @@ LENGTH, GRAM = 50, 16
 #: Bytes of texts worked on together; suffixes sorted together; strings of a run at most (longer runs are split).
 BLOCK, BATCH, RUN = 4 << 20, 1 << 16, 255
 _LAST = np.iinfo(np.int64).max
+#: Values of bytes in the second half of a stretch's hash, independent of those in the first.
+_SECOND_VALUE = np.random.Generator(np.random.PCG64(20250311)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest gram's hash, first place, number of strings, and stretch hash of each run of strings."""
+def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest gram's hash, first place, number of strings, and the two halves of the stretch's hash of each run of strings."""
     n = len(data)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if n < length:
         return none
     up, down = powers(n + 1)
@@ -71,10 +74,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         first, size = np.repeat(first, parts) + step * RUN, np.minimum(np.repeat(size, parts) - step * RUN, RUN)
     stop = first + size + length - 1
     stretch = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
-    return mix(least[first] + np.uint64(1)), first, size, stretch  # smallest hashes are small: spread them over the buckets
+    np.cumsum(_SECOND_VALUE[data] * up[:n], out=total[1:])
+    second = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
+    return mix(least[first] + np.uint64(1)), first, size, stretch, second  # smallest hashes are small: spread them over the buckets
 
 
-_RUNS = [np.uint32, np.uint32, np.uint32, np.uint8, np.uint32, np.int64, np.uint32]
+_RUNS = [np.uint32, np.uint32, np.uint64, np.uint64, np.uint8, np.uint32, np.int64, np.uint32]
 
 
 def _send(batches, buckets: int):
@@ -86,19 +91,19 @@ def _send(batches, buckets: int):
         ids, hashes = rows["id"].combine_chunks().to_numpy(), rows["hash"].combine_chunks().to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([-1 - block % buckets], kinds[0]), pa.array([block], kinds[1]), pa.array([pack([ids, hashes, offsets.astype(np.int64)])], kinds[2])], names=names)
         found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
-        gram, _, size, stretch = (np.concatenate([x[c] for x in found]) for c in range(4))
+        gram, _, size, stretch, second = (np.concatenate([x[c] for x in found]) for c in range(5))
         first = np.concatenate([x[1] + offsets[i] for x, (i, _) in zip(found, pieces(offsets))])
         bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         key = gram.astype(np.uint32)  # the lower half; the upper one chose the bucket
         doc = np.searchsorted(offsets, first, "right") - 1
         # of equal stretches of one document and gram, one stands for all if it is settled here
-        order = np.lexsort((ids[doc], stretch, key, bucket))
-        key, first, size, stretch, doc, bucket = key[order], first[order], size[order], stretch[order], doc[order], bucket[order]
+        order = np.lexsort((ids[doc], second, stretch, key, bucket))
+        key, first, size, stretch, second, doc, bucket = (x[order] for x in (key, first, size, stretch, second, doc, bucket))
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
             here, which = np.unique(doc[s], return_inverse=True)
-            payload = pack([key[s], first[s].astype(np.uint32), stretch[s].astype(np.uint32), size[s].astype(np.uint8), which.astype(np.uint32), ids[here], here.astype(np.uint32)])
+            payload = pack([key[s], first[s].astype(np.uint32), stretch[s], second[s], size[s].astype(np.uint8), which.astype(np.uint32), ids[here], here.astype(np.uint32)])
             yield pa.RecordBatch.from_arrays([pa.array([b], kinds[0]), pa.array([block], kinds[1]), pa.array([payload], kinds[2])], names=names)
 
 
@@ -122,13 +127,13 @@ def _settle(table: pa.Table) -> pa.Table:
     blocks = table["block"].to_numpy()
     parts = [unpack(x.as_buffer(), _RUNS) for x in table["data"]]
     sizes = [len(p[0]) for p in parts]
-    key, first, stretch, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    ids = np.concatenate([p[5][p[4]] for p in parts])
-    doc = np.concatenate([p[6][p[4]] for p in parts])
+    key, first, stretch, second, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    ids = np.concatenate([p[6][p[5]] for p in parts])
+    doc = np.concatenate([p[7][p[5]] for p in parts])
     block = np.repeat(np.arange(len(parts)), sizes)
-    order = np.lexsort((ids, stretch, key))
-    k, s, i = key[order], stretch[order], ids[order]
-    same_key, same = _starts(k), _starts(k, s)
+    order = np.lexsort((ids, second, stretch, key))
+    k, i = key[order], ids[order]
+    same_key, same = _starts(k), _starts(k, stretch[order], second[order])
     at = np.flatnonzero(same)
     smallest = np.repeat(i[at], np.diff(np.concatenate([at, [len(k)]])))
     gone = i > smallest

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from tesserae.llm.suffixes import LENGTH, Family, remove_repeats, repeated
+from tesserae.llm.blocks import _BYTE_VALUE, mix, powers
+from tesserae.llm.suffixes import GRAM, LENGTH, Family, remove_repeats, repeated, runs
 
 
 def brute(rows):
@@ -64,3 +65,26 @@ def test_small_batches_find_the_same():
     ids = np.array([4, 2, 9, 2])
     flags = repeated(text, size, ids, batch=5)
     assert flags.tolist() == repeated(text, size, ids, batch=10_000).tolist() and flags.any()
+
+
+def test_stretches_that_agree_in_32_bits_stay(spark):
+    """Different stretches under one gram, of which 32 bits of the hash are equal."""
+    r = np.random.default_rng(5)
+    n = 200_000
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    # the gram of the smallest hash among many stands for the strings that it is in
+    some = letters[r.integers(0, 26, 20_000)]
+    up, down = powers(len(some) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUE[some] * up[: len(some)], dtype=np.uint64)])
+    best = int(np.argmin(mix((total[GRAM:] - total[:-GRAM]) * down[: len(some) - GRAM + 1])))
+    texts = letters[r.integers(0, 26, (n, LENGTH))]
+    texts[:, :GRAM] = some[best : best + GRAM]
+    found = runs(texts.ravel(), np.arange(n + 1) * LENGTH)
+    key = np.stack([found[0], found[3] & np.uint64(0xFFFFFFFF)])
+    order = np.lexsort(key)
+    same = np.flatnonzero((key[:, order[1:]] == key[:, order[:-1]]).all(axis=0))
+    assert len(same)
+    pair = [texts[found[1][order[same[0] + k]] // LENGTH].tobytes().decode() for k in (0, 1)]
+    assert pair[0] != pair[1]
+    docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
+    assert [x["n_removed"] for x in remove_repeats(docs).collect()] == [0, 0]
