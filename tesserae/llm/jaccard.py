@@ -5,11 +5,14 @@ global order, rare shingles first (by a table of counts over the whole corpus),
 shingle early in that order: within the first n - ceil(6n/7) + 1 of the smaller, and n - ceil(3n/4) + 1 of the
 larger. Heavy sets put these into inverted lists and scan the lists. Light sets instead enumerate all pairs
 of their first n - ceil(3n/4) + 2 shingles: linked sets share a pair, and far fewer others do. The
-boundary is the size at which enumerating starts to cost more than scanning. Candidates are verified exactly.
-
-Equal sets are one node from the start. In a long list not all pairs are compared: its sets are compared with a
-pivot, linked ones fall into one component, and only sets still in different components are compared further.
-That loses nothing, since a component is what is asked for.
+boundary is the size at which enumerating starts to cost more than scanning. Shingles are 64-bit hashes of their words,
+candidates are verified on whole sets of these, and equal sets, told by a 64-bit hash of the set, are one node from the start.
+
+Lists of up to LIST sets give all their pairs. Longer lists are worked on by rounds: each set chooses one of its long lists
+and is compared with one pivot there, so a round makes a row per set, however long the lists are and however many a set is
+in. Linked sets fall into one component. When a round adds no link, the sets of a list that are not in its largest
+component yet are compared with all others of other components, block by block. That loses nothing, since a component is what
+is asked for.
 """
 
 from __future__ import annotations
@@ -26,25 +29,32 @@ from tesserae.llm.packing import pack, text_blocks, unpack
 from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
 
 WIDTH = 5
-#: The count table has 2**SKETCH counters, whatever the size of the corpus.
-SKETCH = 18
-#: Lists of up to LIST sets are compared in full; longer ones by pivots, PIVOTS of them before all that is left.
-LIST, PIVOTS = 24, 2
+#: The table of counts has 2**18 counters for up to 2**18 rows and one for each row of larger tables, 2**22 at most: a shingle
+#: that comes more often than a counter's mean is told apart, and only those make long lists.
+SKETCH = 18, 22
+#: Lists of up to LIST sets are compared in full. Rounds of pivots end after ROUNDS, or when one adds no link. A
+#: list's sets are compared in blocks of CHUNK. A bucket of lists is made for each SHARE shingles at least.
+LIST, ROUNDS, CHUNK, SHARE = 24, 8, 2048, 4 << 20
 PIECE, BLOCK, BITS = 1 << 19, 4 << 20, 1024
-_H = np.uint64((1 << 44) - 1)
 _LAST = np.iinfo(np.int64).max
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Text (above bit 44) and shingle hash (below) of all sets, sorted; and where each text's set starts."""
+    """The different shingle hashes of each text, sorted, and where each text's begin."""
     low = LOWER[data]
     starts, ends, before = words(low, offsets)
     hashes, at = shingle_hashes(word_hashes(low, starts, ends), before, WIDTH)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.uint64)
-    both = np.sort(text << np.uint64(44) | hashes & _H)
-    if len(both):
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])]
-    return both, np.searchsorted(both, np.arange(len(offsets), dtype=np.uint64) << np.uint64(44))
+    _sort_each(hashes, at)
+    once = np.ones(len(hashes), bool)
+    once[1:] = hashes[1:] != hashes[:-1]
+    once[at[:-1][np.diff(at) > 0]] = True
+    return hashes[once], np.concatenate([[0], np.cumsum(once)])[at]
+
+
+def _sort_each(values: np.ndarray, at: np.ndarray) -> None:
+    """Sort each run in place. A call per text is far cheaper than one sort that keeps the texts apart."""
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        values[a:b].sort()
 
 
 def _pieces(data, offsets):
@@ -55,26 +65,26 @@ def _pieces(data, offsets):
             yield a, b, *shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def _set_keys(both: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A set's size, and its name: a 64-bit hash of all its shingles."""
-    spread = mix((both & _H) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    spread = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
     total = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
     n = np.diff(at)
     return n, mix(total[at[1:]] - total[at[:-1]] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
 
 
-def _survey(batches):
+def _survey(batches, bits: int):
     """Each document's set size and name; and this task's counts of shingles by the lower bits of their hashes."""
     names = ["id", "hash", "n", "name", "part", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    counts = np.zeros(1 << SKETCH, np.uint32)
+    counts = np.zeros(1 << bits, np.uint32)
     for rows, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
         sizes, keys = [], []
-        for _, _, both, at in _pieces(data, offsets):
-            n, key = _set_keys(both, at)
+        for _, _, h, at in _pieces(data, offsets):
+            n, key = _set_keys(h, at)
             sizes.append(n)
             keys.append(key)
-            np.add.at(counts, (both & np.uint64((1 << SKETCH) - 1)).view(np.int64), 1)
+            np.add.at(counts, (h & np.uint64((1 << bits) - 1)).view(np.int64), 1)
         m = rows.num_rows
         yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks(), rows["hash"].combine_chunks(), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.nulls(m, kinds[4]), pa.nulls(m, kinds[5])], names=names)
     parts = [x.tobytes() for x in counts.reshape(64, -1)] if counts.any() else []
@@ -83,17 +93,12 @@ def _survey(batches):
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
-    total = np.zeros((1 << SKETCH) // 64, np.int64)
+    total = np.zeros(len(table["counts"][0].as_buffer()) // 4, np.int64)
     for x in table["counts"]:
         total += np.frombuffer(x.as_buffer(), np.uint32)
     return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def need(n):
-    """Shingles that two sets of ``n`` shingles together must share."""
-    return -(-3 * n // 7)
-
-
 def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     """The size up to which sets enumerate pairs: while the pairs of one set cost less than scanning its lists.
 
@@ -117,11 +122,10 @@ _LISTED = [np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.uint32]
 INDEX, PROBE, SUBSET = 1, 2, 4
 
 
-def _entries(both: np.ndarray, at: np.ndarray, light: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+def _entries(h: np.ndarray, at: np.ndarray, light: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
     """Keys, set, place in the order, and role of all entries of some sets."""
-    h = both & _H
-    order = np.sort((both >> np.uint64(44)) << np.uint64(48) | rank[(h & np.uint64((1 << SKETCH) - 1)).view(np.int64)] << np.uint64(44) | h)
-    h = order & _H
+    order = rank[(h & np.uint64(len(rank) - 1)).view(np.int64)] << np.uint64(60) | h >> np.uint64(4)
+    _sort_each(order, at)
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
     place = np.arange(len(owner)) - at[:-1][owner]
@@ -130,13 +134,13 @@ def _entries(both: np.ndarray, at: np.ndarray, light: int, rank: np.ndarray) ->
     index = (place < size - -(-6 * size // 7) + 1) & (heavy | (4 * size > 3 * light))
     probe = (place < size - -(-3 * size // 4) + 1) & heavy
     used = np.flatnonzero(index | probe)
-    keys, sets, places, roles = [mix(h[used] + np.uint64(1))], [owner[used]], [place[used]], [(index * INDEX + probe * PROBE)[used]]
+    keys, sets, places, roles = [mix(order[used] + np.uint64(1))], [owner[used]], [place[used]], [(index * INDEX + probe * PROBE)[used]]
     first = np.flatnonzero((n <= light) & (n > 1))
     reach = n[first] - -(-3 * n[first] // 4) + 2
     for i in range(int(reach.max(initial=0))):
         for j in range(i + 1, int(reach.max())):
             some = first[reach > j]
-            keys.append(mix(h[at[some] + i] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(h[at[some] + j])))
+            keys.append(mix(order[at[some] + i] * np.uint64(0xC2B2AE3D27D4EB4F) + mix(order[at[some] + j])))
             sets.append(some)
             places.append(np.full(len(some), i))
             roles.append(np.full(len(some), SUBSET))
@@ -146,17 +150,14 @@ def _entries(both: np.ndarray, at: np.ndarray, light: int, rank: np.ndarray) ->
 def _send(batches, buckets: int, light: int, rank: np.ndarray):
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
         found, seen = [], np.zeros(0, np.int64)
-        for _, _, both, at in _pieces(data, offsets):
-            n, name = _set_keys(both, at)
+        for _, _, h, at in _pieces(data, offsets):
+            n, name = _set_keys(h, at)
             _, one = np.unique(name, return_index=True)
             one = one[(n[one] > 1) & ~np.isin(name[one], seen)]  # equal sets of a block go once; single shingles link with equal sets only
             seen = np.union1d(seen, name[one])
             keep = np.zeros(len(n), bool)
             keep[one] = True
-            kept = both[np.repeat(keep, n)]
-            # rows are renumbered, so a text's number still fits above its shingles
-            renumbered = np.repeat(np.arange(keep.sum(), dtype=np.uint64), n[keep]) << np.uint64(44) | kept & _H
-            key, owner, place, role = _entries(renumbered, np.concatenate([[0], np.cumsum(n[keep])]), light, rank)
+            key, owner, place, role = _entries(h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])]), light, rank)
             found.append((key, name[keep][owner], n[keep][owner], place, role))
         if not found:
             continue
@@ -223,117 +224,170 @@ def folded(rows: np.ndarray, to: int) -> np.ndarray:
     return np.bitwise_xor.reduce(rows.reshape(len(rows), -1, to // 8), axis=1)
 
 
-def _across(table: pa.Table, turn: int) -> pa.Table:
-    """One long list (columns x, n, place, role, component, bits): pairs to compare across components. In the first
-    turns a pivot with the sets outside its component; then every possible pair.
+def _planes(bits: list) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray]:
+    """Bytes of each of some parities; for each number of bytes those that have it; and each one's row there."""
+    size = np.array([len(b) for b in bits], np.int64)
+    planes, row = {}, np.zeros(len(size), np.int64)
+    for w in np.unique(size).tolist():
+        own = np.flatnonzero(size == w)
+        planes[w] = np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(-1, w // 8)
+        row[own] = np.arange(len(own))
+    return size, planes, row
+
+
+def _differ(x: tuple, y: tuple) -> np.ndarray:
+    """In how many classes pairs of sets have another parity; of each set its planes, bytes and row. The parities of a set's
+    shingles are kept for BITS classes or more, at least twice as many as it has shingles. Classes in which two sets
+    differ are shingles that one of them lacks, so pairs that differ in more than a seventh of their shingles cannot link."""
+    (a, size_a, row_a), (b, size_b, row_b) = x, y
+    out = np.zeros(len(size_a), np.int64)
+    for v, w in set(zip(size_a.tolist(), size_b.tolist())):
+        own, to = np.flatnonzero((size_a == v) & (size_b == w)), min(v, w)
+        out[own] = np.bitwise_count(folded(a[v][row_a[own]], to) ^ folded(b[w][row_b[own]], to)).sum(axis=1, dtype=np.int64)
+    return out
 
-    bits holds the parities of a set's shingles in BITS or more classes, at least twice as many as it has shingles. Classes in
-    which two sets differ are shingles that one of them lacks, so pairs that differ in too many cannot link
-    and are left out here.
-    """
-    t = {c: table[c].to_numpy() for c in ("x", "n", "place", "role", "component")}
-    order = np.lexsort((t["x"], t["n"]))
-    x, n, place, role, comp = (t[c][order].astype(np.int64) for c in ("x", "n", "place", "role", "component"))
-    bits = [table["bits"][int(k)].as_buffer() for k in order]
-    size = np.array([len(b) for b in bits])  # grows with n, so it is in order too
-    planes = {w: np.frombuffer(b"".join(bits[k] for k in np.flatnonzero(size == w)), np.uint64).reshape(-1, w // 8) for w in np.unique(size).tolist()}
-    row = np.arange(len(size)) - np.searchsorted(size, size)
-
-    def near(i: int, j: np.ndarray) -> np.ndarray:
-        keep = np.zeros(len(j), bool)
-        for w, plane in planes.items():
-            own = np.flatnonzero(size[j] == w)
-            if len(own):
-                to = min(w, int(size[i]))
-                differ = np.bitwise_count(folded(plane[row[j[own]]], to) ^ folded(planes[int(size[i])][row[i] : row[i] + 1], to)).sum(axis=1, dtype=np.int64)
-                keep[own] = 7 * differ <= n[j[own]] + n[i]
-        return j[keep]
 
+def _across(table: pa.Table) -> pa.Table:
+    """One block of a long list (columns x, n, place, role, component, rest, bits): pairs of a set of the rest and one of the
+    others, in different components, that may link."""
+    t = {c: table[c].to_numpy().astype(np.int64) for c in ("x", "n", "place", "role", "component", "rest")}
+    order = np.argsort(t["n"], kind="stable")
+    x, n, place, role, comp, rest = (t[c][order] for c in ("x", "n", "place", "role", "component", "rest"))
+    size, planes, row = _planes([table["bits"][int(k)].as_buffer() for k in order])
     left, right = [], []
-    if turn < PIVOTS:
-        names, sizes = np.unique(comp, return_counts=True)
-        largest = np.flatnonzero(comp == names[sizes.argmax()])
-        pivot = int(largest[np.argsort(mix(x[largest].view(np.uint64) + np.uint64(turn)))[0]])
-        other = np.flatnonzero(comp != comp[pivot])
-        low, high = np.minimum(n[other], n[pivot]), np.maximum(n[other], n[pivot])
-        other = near(pivot, other[4 * low >= 3 * high])
-        left, right = [np.full(len(other), x[pivot])], [x[other]]
-    else:
-        for i in range(len(x) - 1):
-            j = np.arange(i + 1, np.searchsorted(n, 4 * n[i] // 3, "right"))
-            j = j[comp[j] != comp[i]]
-            j = near(i, j[_possible(n[i], n[j], place[i], place[j], role[i], role[j])])
-            left.append(np.full(len(j), x[i]))
-            right.append(x[j])
+    for i in np.flatnonzero(rest):
+        j = np.arange(np.searchsorted(n, -(-3 * n[i] // 4)), np.searchsorted(n, 4 * n[i] // 3, "right"))
+        j = j[(comp[j] != comp[i]) & (rest[j] == 0)]
+        a, b = np.minimum(i, j), np.maximum(i, j)
+        j = j[_possible(n[a], n[b], place[a], place[b], role[a], role[b])]
+        own = np.full(len(j), i)
+        j = j[7 * _differ((planes, size[own], row[own]), (planes, size[j], row[j])) <= n[j] + n[i]]
+        left.append(np.full(len(j), x[i]))
+        right.append(x[j])
     a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (left, right))
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
 
 def _sets_of(batches):
-    """name, shingles of documents (40 bits each, sorted), and the parities of BITS classes of them."""
+    """name, shingles of documents (sorted), and the parities of BITS or more classes of them."""
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
-        for _, _, both, at in _pieces(data, offsets):
-            _, name = _set_keys(both, at)
-            short = np.sort((both >> np.uint64(44)) << np.uint64(40) | both & np.uint64((1 << 40) - 1)) & np.uint64((1 << 40) - 1)
-            five = short.view(np.uint8).reshape(-1, 8)[:, :5]
-            spread = mix(both & _H)
+        for _, _, h, at in _pieces(data, offsets):
+            _, name = _set_keys(h, at)
+            spread = mix(h)
             bits = []
-            for i, j in zip(at[:-1], at[1:]):
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 width = max(BITS, 1 << int(2 * (j - i) - 1).bit_length())
                 odd = np.bincount((spread[i:j] % np.uint64(width)).view(np.int64), minlength=width) & 1
                 bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(name), pa.array([five[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary()), pa.array(bits, pa.binary())], names=["name", "shingles", "bits"]
-            )
-
-
-def _shingles(data) -> np.ndarray:
-    five = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), np.uint8)
-    out[:, :5] = five
-    return out.view(np.uint64).ravel()
+            shingles = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h)])
+            yield pa.RecordBatch.from_arrays([pa.array(name), shingles.cast(pa.binary()), pa.array(bits, pa.binary())], names=["name", "shingles", "bits"])
 
 
 def _near(batches):
-    """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y; n: five per shingle)."""
+    """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y; n: bytes of shingles)."""
     for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for k, (a, b, m, n) in enumerate(zip(batch.column("bits_x"), batch.column("bits_y"), batch.column("n_x").to_pylist(), batch.column("n_y").to_pylist())):
-            a, b = (np.frombuffer(v.as_buffer(), np.uint64)[None] for v in (a, b))
-            to = 8 * min(a.shape[1], b.shape[1])
-            keep[k] = 35 * int(np.bitwise_count(folded(a, to) ^ folded(b, to)).sum()) <= m + n
+        sides = []
+        for c in ("bits_x", "bits_y"):
+            size, planes, row = _planes([v.as_buffer() for v in batch.column(c)])
+            sides.append((planes, size, row))
+        keep = 56 * _differ(*sides) <= batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
 
+def shared_counts(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray) -> np.ndarray:
+    """How many values the k-th run of ``a`` and the k-th of ``b`` share; runs are sorted and without repeats."""
+    m = len(a_at) - 1
+    owner = np.repeat(np.arange(m, dtype=np.uint64), np.diff(a_at))
+    shift = np.uint64(max(m - 1, 1).bit_length())
+    short = lambda own, x: own << (np.uint64(64) - shift) | x >> shift
+    theirs = short(np.repeat(np.arange(m, dtype=np.uint64), np.diff(b_at)), b)
+    if not len(theirs):
+        return np.zeros(m, np.int64)
+    mine = short(owner, a)
+    at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+    hit = b[at] == a
+    close = theirs[at] == mine
+    out = np.bincount(owner[hit & close].view(np.int64), minlength=m)
+    for k in np.unique(owner[close & ~hit]).tolist():  # other values that begin alike
+        out[k] = len(np.intersect1d(a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]], assume_unique=True))
+    return out
+
+
 def _verify(batches):
     """x, y of pairs that link (columns x, y, a, b: both sets)."""
-    last, other = None, None
+
+    def runs(column) -> tuple[np.ndarray, np.ndarray]:
+        column = column.cast(pa.large_binary())
+        at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2][int(at[0]) : int(at[-1])], np.uint64), (at - at[0]) // 8
+
     for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for i, (x, a, b) in enumerate(zip(batch.column("x").to_pylist(), batch.column("a"), batch.column("b"))):
-            if x != last:
-                last, other = x, _shingles(a.as_buffer())
-            mine = _shingles(b.as_buffer())
-            small, large = (other, mine) if len(other) <= len(mine) else (mine, other)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            keep[i] = 7 * int((large[at] == small).sum()) >= 3 * (len(small) + len(large))
-        yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
+        if len(batch):
+            (a, a_at), (b, b_at) = runs(batch.column("a")), runs(batch.column("b"))
+            keep = 7 * shared_counts(a, a_at, b, b_at) >= 3 * (np.diff(a_at) + np.diff(b_at))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
+
+
+def _named(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The lists' entries with each set's component."""
+    return lists.join(found, lists.x == found.node, "left").select(*lists.columns, F.coalesce("component", "x").alias("component"))
+
+
+def _stars(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """x, y: each set and the pivot of one of its long lists, if they are not in one component yet."""
+    choice = F.struct(F.xxhash64("bucket", "list", F.lit(turn)).alias("order"), "bucket", "list")
+    chosen = _named(lists.groupBy("x").agg(F.min(choice).alias("c"), F.first("n").alias("n")).select("x", "n", "c.bucket", "c.list"), found)
+    chosen = durable(chosen, "jaccard-chosen")
+    pivot = F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("order"), "x", "n", "component")).alias("p")
+    pivots = durable(chosen.groupBy("bucket", "list").agg(pivot).select("bucket", "list", F.col("p.x").alias("y"), F.col("p.n").alias("m"), F.col("p.component").alias("other")), "jaccard-pivots")
+    met = chosen.join(pivots, ["bucket", "list"]).where("component <> other AND 4 * least(n, m) >= 3 * greatest(n, m)")
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _blocks_of(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of lists with several components, in blocks in which all pairs of a block's rest with others are to be compared:
+    bucket, list, i, j and the entry. The rest are the sets outside a list's largest component."""
+    named = _named(lists, found)
+    counted = named.groupBy("bucket", "list", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = F.max(F.struct("k", "component")).alias("top")
+    split = durable(counted.groupBy("bucket", "list").agg(largest, F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "list", F.col("top.component").alias("crowd"), "all", F.col("top.k").alias("k")), "jaccard-split")
+    entries = named.join(split, ["bucket", "list"]).withColumn("rest", (F.col("component") != F.col("crowd")).cast("int"))
+    rests, alls = (F.ceil(c / CHUNK).cast("int") for c in (F.col("all") - F.col("k"), F.col("all")))
+    own = F.pmod(F.xxhash64("x"), F.when(F.col("rest") == 1, rests).otherwise(alls)).cast("int")
+    # block (i, j) has the rest's i-th chunk and everyone's j-th; of the rest every set is in chunk i and in chunk j
+    every = F.pmod(F.xxhash64("x", F.lit(1)), alls).cast("int")
+    as_rest = F.transform(F.sequence(F.lit(0), alls - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(1).alias("rest")))
+    as_any = F.transform(F.sequence(F.lit(0), rests - 1), lambda i: F.struct(i.alias("i"), every.alias("j"), F.lit(0).alias("rest")))
+    places = F.when(F.col("rest") == 1, F.concat(as_rest, as_any)).otherwise(as_any)
+    return entries.select("bucket", "list", "x", "n", "place", "role", "component", F.explode(places).alias("at")).select("bucket", "list", "x", "n", "place", "role", "component", "at.i", "at.j", "at.rest")
+
+
+def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
+    """found with the components that new links join."""
+    for side in ("x", "y"):
+        links = links.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+    roots = links.select(*(F.coalesce(f"c_{side}", side).alias(side) for side in ("x", "y"))).where("x <> y")
+    joined = durable(components(roots).withColumnsRenamed({"node": "root", "component": "further"}), "jaccard-joined")
+    old = found.join(joined, found.component == joined.root, "left").select("node", F.coalesce("further", "component").alias("component"))
+    alone = joined.join(found, joined.root == found.node, "left_anti").select(F.col("root").alias("node"), F.col("further").alias("component"))
+    return durable(old.unionByName(alone), "jaccard-found")
 
 
 def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row: id, hash (of the text), n (its shingles), least (its component's smallest id)."""
     spark = docs.sparkSession
     text_batches(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash"), whole("text").alias("text"))
-    survey = durable(texts.mapInArrow(_survey, "id long, hash long, n long, name long, part int, counts binary"), "jaccard-survey")
+    width = min(max(max(docs.count(), 1).bit_length(), SKETCH[0]), SKETCH[1])
+    survey = durable(texts.mapInArrow(lambda b: _survey(b, width), "id long, hash long, n long, name long, part int, counts binary"), "jaccard-survey")
     rows = survey.where("part IS NULL").select("id", "hash", "n", "name")
-    # 64 parts of a table of fixed size
+    # 64 parts of a table of bounded size
     parts = survey.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
-    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(1 << SKETCH, np.int64)
+    counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(1 << width, np.int64)
     # a row per size class: eight to each doubling
     classes = rows.where("n > 1").groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k")).collect()
     light = boundary({r["n"]: r["k"] for r in classes}, counts)
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SHARE)
     # shingles by how much more often than the mean their counter was hit: 0 below twice the mean, then by doublings
     rank = np.clip(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)).astype(np.int64), 0, 15).astype(np.uint64)
     table = spark.sparkContext.broadcast(rank)
@@ -343,7 +397,8 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
     involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "jaccard-sets")  # rows that repeat a document repeat links at most
+    # rows that repeat a document repeat links at most
+    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "jaccard-sets")
 
     def linked(found: DataFrame) -> DataFrame:
         marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
@@ -351,32 +406,27 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             found = found.join(marks.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
         found = found.mapInArrow(_near, "x long, y long")
         a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
-        return found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long")
-
-    def across(turn: int):
-        return lambda table: _across(table, turn)
-
-    links = durable(linked(pairs), "jaccard-links")
-    tried = pairs
-    any_list = not lists.isEmpty()
-    found = components(links)
-    for now in range(PIVOTS + 1) if any_list else ():
-        named = lists.join(found, lists.x == found.node, "left").withColumn("component", F.coalesce("component", "x")).select("bucket", "list", "x", "n", "place", "role", "component")
-        split = named.groupBy("bucket", "list").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket", "list")
-        marked = named.join(split, ["bucket", "list"]).join(sets.select(F.col("name").alias("x"), "bits"), "x")
-        more = marked.groupBy("bucket", "list").applyInArrow(across(now), "x long, y long")
-        more = durable(more.distinct().join(tried, ["x", "y"], "left_anti"), "jaccard-more")
-        # after the last turn every pair has been tried, or both its sets were in one component already
-        if not more.isEmpty():
-            tried = durable(tried.unionByName(more), "jaccard-tried") if now < PIVOTS else tried
-            links = durable(links.unionByName(linked(more)), "jaccard-links")
-            found = components(links)
+        return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
+
+    found = components(linked(pairs))
+    if not lists.isEmpty():
+        for turn in range(ROUNDS):
+            links = linked(_stars(lists, found, turn))
+            if links.isEmpty():
+                break
+            found = _contracted(links, found)
+        left = _blocks_of(lists, found).join(sets.select(F.col("name").alias("x"), "bits"), "x")
+        # every pair of the lists has been tried then, or both its sets were in one component already
+        links = linked(durable(left.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more"))
+        if not links.isEmpty():
+            found = _contracted(links, found)
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")
     alone = rows.where("n = 1").groupBy("name").agg(F.min("id").alias("least"))
     return rows.join(named.unionByName(alone), "name", "left").select("id", "hash", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("least"))
 
+
 def near_components(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 

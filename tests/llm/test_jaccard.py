@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 import tesserae.llm.jaccard as jaccard
@@ -50,11 +51,14 @@ def test_edges(edge, nothing):
 
 
 @pytest.mark.parametrize("longest", [24, 3])
-@pytest.mark.parametrize("light", [None, 0, 400])
-def test_same_as_brute_force(spark, monkeypatch, light, longest):
+@pytest.mark.parametrize("chunk", [2048, 2])
+@pytest.mark.parametrize("light", [None, 40])
+def test_same_as_brute_force(spark, monkeypatch, light, longest, chunk):
     """Chains and crowds of near copies, with long lists and either boundary."""
     r = random.Random(5)
     monkeypatch.setattr(jaccard, "LIST", longest)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1 if chunk == 2 else 8)
     if light is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda sizes, counts: min(light, 40))
     texts = []
@@ -70,3 +74,32 @@ def test_same_as_brute_force(spark, monkeypatch, light, longest):
     texts += [f"common passage here that all of them share {i} {i + 1} {i + 2}" for i in range(40)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     assert rows_of(near_components(docs, 5)) == brute(docs.collect())
+
+
+def test_a_crowd_of_near_copies(spark):
+    """2,000 copies with a word or two of their own, others with a passage of theirs, and a row per set and round."""
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(2000):
+        words = list(base)
+        for k in r.sample(range(120), r.randrange(1, 3)):
+            words[k] = f"own{i}x{k}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[20:60], *(f"other{i}y{k}" for k in range(80))]) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in near_components(docs).collect()}
+    assert all(got[i] == 0 for i in range(2000)) and all(got[i] == i for i in range(2000, 2300))
+
+
+def test_one_round_makes_a_row_per_set(spark):
+    lists = spark.range(40_000).selectExpr("cast(id % 50 as int) AS bucket", "id % 50 AS list", "id div 50 AS x", "100 AS n", "0 AS place", "1 AS role")
+    found = spark.createDataFrame([], "node long, component long")
+    assert jaccard._stars(lists, found, 0).count() < 800
+
+
+def test_counts_of_shared_values_that_begin_alike():
+    r = np.random.default_rng(1)
+    runs = [[np.unique(r.integers(0, 40, r.integers(0, 30)).astype(np.uint64)) for _ in range(50)] for _ in range(2)]
+    (a, b), at = [np.concatenate(x) for x in runs], [np.concatenate([[0], np.cumsum([len(v) for v in x])]) for x in runs]
+    assert jaccard.shared_counts(a, at[0], b, at[1]).tolist() == [len(np.intersect1d(x, y)) for x, y in zip(*runs)]
