@@ -8,7 +8,8 @@ pieces; unknown characters travel as bytes, so every segmentation decodes to the
 
 Words are worked on together: merges never cross the start of a word, so one numpy round takes the agenda's
 top of each word of a block. Words of over LONG symbols use a heap of their own. Equal words are cut once without
-dropout, and the candidates met then are kept. Where none of them is skipped that cut stands; all other words are cut anew.
+dropout, and the merges taken then are kept. Where none of these is skipped that cut stands, since a skipped candidate that
+would not have been taken changes nothing; all other words are cut anew.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ CACHED = 1 << 19
 _MARK = 0x2581  # stands for a space inside pieces
 _OTHER = 0x110000  # stands for that mark itself where a text has it
 _NEVER = np.int64(2**62)
+_WORD = 2**64 - 1
 
 
 def _limit(dropout: float) -> np.uint64:
@@ -48,12 +50,43 @@ def read_model(path: str = MODEL) -> tuple[list[str], list[float], list[bool], l
     return [m.id_to_piece(i) for i in n], [m.get_score(i) for i in n], [m.is_byte(i) for i in n], [m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in n]
 
 
+def _named(key: int, where: int, mid: int, piece: int) -> int:
+    """A candidate's number under a word's key; where and mid count from the word's start."""
+    return (key + where * 0xD6E8FEB86659FD93 + (mid - where) * 0xA5A3564EDCE5B0B3 + piece) & _WORD
+
+
+def _mix(x: int) -> int:
+    """blocks.mix of one number."""
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _WORD
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _WORD
+    return x ^ (x >> 31)
+
+
+class Pool:
+    """An array that grows."""
+
+    def __init__(self, kind):
+        self.values, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """Where the values begin."""
+        begin, end = self.size, self.size + len(values)
+        if end > len(self.values):
+            grown = np.zeros(max(end, 2 * len(self.values)), self.values.dtype)
+            grown[:begin] = self.values[:begin]
+            self.values = grown
+        self.values[begin:end] = values
+        self.size = end
+        return begin
+
+
 class Merger:
     """The model's tables for numpy."""
 
     def __init__(self, model: tuple[list[str], list[float], list[bool], list[bool]]):
         names, scores, is_byte, is_special = model
-        self.cached_for, self.known = None, None
+        self.cached_for, self.known = None, []
+        self.pool, self.met_pool = Pool(np.int32), Pool(np.uint64)
         self.met: list | None = None
         self.size = len(names)
         text = {p: i for i, p in enumerate(names) if not is_byte[i] and not is_special[i]}
@@ -79,6 +112,7 @@ class Merger:
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = i  # 40 bits, and 20 for the piece
         self._hash(pairs)
+        self.pairs = pairs
         self.byte = np.full(256, -1, np.int32)
         for i, p in enumerate(names):
             if is_byte[i]:
@@ -118,12 +152,14 @@ class Merger:
         """The piece that two neighbours make, or -1. An unknown symbol (-1) makes a key that no table has."""
         keys = (left << 20 | right).view(np.uint64)
         a, b = self._places(keys)
-        out = np.full(len(keys), -1, np.int64)
-        for side, at in ((0, a), (1, b)):
-            found = self.tables[side][at]
-            hit = np.flatnonzero(found >> np.uint64(20) == keys)
-            out[hit] = (found[hit] & np.uint64(0xFFFFF)).view(np.int64)
-        return out
+        found = self.tables[0][a]
+        hit = found >> np.uint64(20) == keys
+        rest = np.flatnonzero(~hit)
+        other = self.tables[1][b[rest]]
+        there = other >> np.uint64(20) == keys[rest]
+        rest = rest[there]
+        found[rest], hit[rest] = other[there], True
+        return np.where(hit, (found & np.uint64(0xFFFFF)).view(np.int64), -1)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of all texts, and the n + 1 places where each text's pieces start."""
@@ -141,55 +177,63 @@ class Merger:
         word = mix((total[starts + lengths] - total[starts]) * down[starts] + lengths.view(np.uint64))
         keys, one, which = np.unique(word, return_index=True, return_inverse=True)
         if self.cached_for != (seed, dropout):
-            none = np.zeros(1, np.int64)
-            self.cached_for, self.known = (seed, dropout), (np.zeros(0, np.uint64), none, np.zeros(0, np.int32), none, np.zeros(0, np.uint64))
-        known, known_at, known_ids, met_at, met = self.known
-        spot = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        old = known[spot] == keys if len(known) else np.zeros(len(keys), bool)
-        new = np.flatnonzero(~old)
+            self.cached_for, self.known = (seed, dropout), []
+            self.pool.size = self.met_pool.size = 0
+        # where the words' pieces without dropout are, and the merges taken: from the tables of earlier blocks or made now
+        at_pool = np.zeros((4, len(keys)), np.int64)
+        new = np.arange(len(keys))
+        for known, places in self.known:
+            spot = np.minimum(np.searchsorted(known, keys[new]), len(known) - 1)
+            old = known[spot] == keys[new]
+            at_pool[:, new[old]] = places[:, spot[old]]
+            new = new[~old]
         made, made_at, found, found_at = self._plain(code, starts[one[new]], lengths[one[new]], dropout > 0)
-
-        def joined(at, values, more_at, more):
-            """Begin and size of each key's values, and all values."""
-            begin, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-            begin[old], size[old] = at[spot[old]], np.diff(at)[spot[old]]
-            begin[new], size[new] = more_at[:-1] + len(values), np.diff(more_at)
-            return begin, size, np.concatenate([values, more])
-
-        begin, size, pool = joined(known_at, known_ids, made_at, made)
-        froms, counts, out = begin[which], size[which], pool
+        sizes = self.pool.size, self.met_pool.size
+        at_pool[:, new] = made_at[:-1] + self.pool.add(made), np.diff(made_at), found_at[:-1] + self.met_pool.add(found), np.diff(found_at)
+        froms, counts = at_pool[0][which], at_pool[1][which]
+        cut = np.zeros(0, np.int32)
         if dropout > 0:
             # seed, document and the word's place in it are the key
             place = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).view(np.uint64)
             own = mix(np.repeat(mix(ids.view(np.uint64) + np.uint64(1)), np.diff(first)) + place)
-            own = mix(word + own * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed & (2**64 - 1)], np.uint64))
-            begin, size, candidates = joined(met_at, met, found_at, found)
-            n = size[which]
-            ends = np.concatenate([[0], np.cumsum(n)])
-            skipped = mix(candidates[np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1], n)] + np.repeat(own, n)) < _limit(dropout)
-            skipped = np.concatenate([[0], np.cumsum(skipped)])[ends]
-            again = np.flatnonzero(np.diff(skipped))
+            own = mix(word + own * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed & _WORD], np.uint64))
+            again = np.flatnonzero(self._skips(self.met_pool.values, at_pool[2][which], at_pool[3][which], own, dropout))
             cut, cut_at = self._segment(code, starts[again], lengths[again], own[again], dropout)
-            froms[again], counts[again] = cut_at[:-1] + len(pool), np.diff(cut_at)
-            out = np.concatenate([pool, cut])
+            begin = self.pool.add(cut)
+            froms[again], counts[again] = cut_at[:-1] + begin, np.diff(cut_at)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        out = out[np.arange(ends[-1]) + np.repeat(froms - ends[:-1], counts)]
-        if len(known) < CACHED and len(new):
-            order = np.argsort(np.concatenate([known, keys[new]]), kind="stable")
-
-            def merged(at, values, more_at, more):
-                sizes = np.concatenate([np.diff(at), np.diff(more_at)])[order]
-                froms = np.concatenate([at[:-1], more_at[:-1] + len(values)])[order]
-                held = np.concatenate([[0], np.cumsum(sizes)])
-                return held, np.concatenate([values, more])[np.arange(held[-1]) + np.repeat(froms - held[:-1], sizes)]
-
-            self.known = np.concatenate([known, keys[new]])[order], *merged(known_at, known_ids, made_at, made), *merged(met_at, met, found_at, found)
+        out = self.pool.values[np.arange(ends[-1]) + np.repeat(froms - ends[:-1], counts)]
+        if sum(len(t[0]) for t in self.known) < CACHED:
+            sizes = sizes[0] + len(made), sizes[1] + len(found)
+            self._keep(keys[new], at_pool[:, new])
+        self.pool.size, self.met_pool.size = sizes
         return out, ends[first]
 
-    def _plain(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, candidates: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The words' pieces without dropout and where they start; if wanted, the candidates met (as they are added to a
+    @staticmethod
+    def _skips(met: np.ndarray, begin: np.ndarray, n: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+        """Whether any merge of each word (n of them from ``begin`` on in ``met``) is skipped under the word's key."""
+        out, limit = np.zeros(len(n), bool), _limit(dropout)
+        left = np.arange(len(n))  # words with more than k merges and none skipped so far
+        for k in range(int(n.max(initial=0))):
+            left = left[n[left] > k]
+            hit = mix(met[begin[left] + k] + keys[left]) < limit
+            out[left[hit]] = True
+            left = left[~hit]
+        return out
+
+    def _keep(self, keys: np.ndarray, places: np.ndarray) -> None:
+        """A table of words: sorted keys and their places in the pools. Tables of about equal size merge, so there are few."""
+        while len(self.known) and len(keys) and 2 * len(keys) > len(self.known[-1][0]):
+            other, at = self.known.pop()
+            order = np.argsort(np.concatenate([keys, other]), kind="stable")
+            keys, places = np.concatenate([keys, other])[order], np.concatenate([places, at], axis=1)[:, order]
+        if len(keys):
+            self.known.append((keys, places))
+
+    def _plain(self, code: np.ndarray, starts: np.ndarray, lengths: np.ndarray, merges: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words' pieces without dropout and where they start; if wanted, the merges taken (as they are added to a
         word's key) and where each word's start."""
-        self.met = [] if candidates else None
+        self.met = [] if merges else None
         made, made_at = self._segment(code, starts, lengths, np.zeros(len(starts), np.uint64), 0.0)
         met, self.met = self.met or [], None
         place = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in met)])
@@ -206,16 +250,20 @@ class Merger:
         key = np.repeat(keys, lengths) + (np.arange(len(code)) - np.repeat(before, lengths)).view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         limit = _limit(dropout)
 
+        def name(where, mid, piece):
+            """A candidate's number within its word, added to the word's key."""
+            return key[where] + (mid - where).view(np.uint64) * np.uint64(0xA5A3564EDCE5B0B3) + piece.view(np.uint64)
+
+        def taken(where, mid, piece):
+            if self.met is not None:
+                self.met.append((where, name(where, mid, piece)))
+
         def candidates(left, right, where, mid):
             """The agenda's order of each pair (rank, then place) and its piece; dropped pairs are never taken."""
             piece = self.merged(left, right)
             good = np.flatnonzero(piece >= 0)
-            if dropout > 0 or self.met is not None:
-                h = key[where[good]] + (mid[good] - where[good]).view(np.uint64) * np.uint64(0xA5A3564EDCE5B0B3) + piece[good].view(np.uint64)
-                if self.met is not None:
-                    self.met.append((where[good], h))
-                if dropout > 0:
-                    good = good[mix(h) >= limit]
+            if dropout > 0:
+                good = good[mix(name(where[good], mid[good], piece[good])) >= limit]
             order = np.full(len(piece), _NEVER)
             order[good] = self.rank[piece[good]] << 32 | where[good]
             return order, piece
@@ -223,8 +271,8 @@ class Merger:
         done = np.full(len(code), -2, np.int64)
         long = lengths > LONG
         for s, n in zip(before[long], lengths[long]):
-            self._agenda(sym, int(s), int(n), candidates, done)
-        self._rounds(sym, before[~long], lengths[~long], candidates, done)
+            self._agenda(sym, int(s), int(n), int(key[s]), dropout, candidates, done)
+        self._rounds(sym, before[~long], lengths[~long], candidates, taken, done)
         place = np.flatnonzero(done > -2)
         found = done[place]
         unknown = (found < 0) | (found >= self.size)
@@ -249,7 +297,7 @@ class Merger:
         code[text] = np.where(plain == _MARK, _OTHER, np.where(plain == 32, _MARK, plain))
         return code, at
 
-    def _rounds(self, sym, starts, lengths, candidates, done) -> None:
+    def _rounds(self, sym, starts, lengths, candidates, taken, done) -> None:
         """Merge the top of every word's agenda, round by round, until no word has any.
 
         Symbols stand where their first characters do; after and prior link those that are left.
@@ -275,6 +323,7 @@ class Merger:
                 i = top[word] & 0xFFFFFFFF
                 j = after[i]
                 k, h = after[j], prior[i]
+                taken(i, j, piece[i])
                 done[i] = piece[i]
                 done[j] = -2
                 after[i] = k
@@ -290,25 +339,28 @@ class Merger:
             keep = np.repeat(live, lengths)
             place, starts, lengths = place[keep], starts[live], lengths[live]
 
-    def _agenda(self, sym, start: int, n: int, candidates, done) -> None:
-        """One word by a heap."""
+    def _agenda(self, sym, start: int, n: int, key: int, dropout: float, candidates, done) -> None:
+        """One word by a heap, in plain numbers."""
         place = np.arange(start, start + n)
         now, size, after, prior = sym[place].tolist(), [1] * n, list(range(1, n + 1)), list(range(-1, n - 1))
         order, piece = candidates(sym[place[:-1]], sym[place[1:]], place[:-1], place[1:])
-        heap = [(o, i, i + 1, p, 2) for i, (o, p) in enumerate(zip(order.tolist(), piece.tolist())) if o < _NEVER]
+        heap = [(o & 0xFFFFFFFF00000000 | i, i, i + 1, p, 2) for i, (o, p) in enumerate(zip(order.tolist(), piece.tolist())) if o < _NEVER]
         heapq.heapify(heap)
+        rank, limit = self.rank, int(_limit(dropout))
         while heap:
             _, i, j, p, both = heapq.heappop(heap)
             if not size[i] or not size[j] or size[i] + size[j] != both:
                 continue  # one of its symbols has been merged since
+            if self.met is not None:
+                self.met.append((np.array([start + i]), np.array([_named(key, i, j, p)], np.uint64)))
             now[i], size[i], size[j], after[i] = p, both, 0, after[j]
             if after[i] < n:
                 prior[after[i]] = i
             for a, b in ((prior[i], i), (i, after[i])):
                 if a >= 0 and b < n:
-                    o, q = candidates(*(np.array([x]) for x in (now[a], now[b], start + a, start + b)))
-                    if o[0] < _NEVER:
-                        heapq.heappush(heap, (int(o[0]), a, b, int(q[0]), size[a] + size[b]))
+                    q = self.pairs.get(now[a] << 20 | now[b], -1)
+                    if q >= 0 and (not limit or _mix(_named(key, a, b, q)) >= limit):
+                        heapq.heappush(heap, (int(rank[q]) << 32 | a, a, b, q, size[a] + size[b]))
         for i in range(n):
             if size[i]:
                 done[start + i] = now[i]

@@ -4,7 +4,7 @@ import pytest
 import sentencepiece
 
 import tesserae.llm.pieces as pieces
-from tesserae.llm.blocks import utf8
+from tesserae.llm.blocks import mix, powers, utf8
 
 TEXTS = ["", " ", "  two  spaces\n\tand tab ", "ﬁ①Ａ é é", "the\x00z", "a\r\nb", "antidisestablish" * 60, "日本語テキスト" * 50, "   " * 30, "The quick brown fox, über naïve; 12345 $$ {x}"]
 MARKED = [*TEXTS, "x▁y ▁", "▁"]
@@ -82,6 +82,50 @@ def test_rounds_are_the_agenda(merger, monkeypatch):
     assert rounds[0].tolist() == agenda[0].tolist() and rounds[1].tolist() == agenda[1].tolist()
 
 
+def written_down(m, text, doc, seed, dropout):
+    """One text's pieces, candidate by candidate, from the docstring's words."""
+    out, limit = [], int(pieces._limit(dropout))
+    data, offsets = utf8(pa.array([text]))
+    code, _ = m._characters(data, offsets)
+    starts = [i for i, c in enumerate(code) if i == 0 or (c == 0x2581 and code[i - 1] != 0x2581)]
+    for number, (a, b) in enumerate(zip(starts, [*starts[1:], len(code)])):
+        word = code[a:b]
+        up, down = powers(len(code) + 1)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((word + 1).view(np.uint64) * up[: len(word)], dtype=np.uint64)])
+        name = mix(total[-1:] + np.array([len(word)], np.uint64))
+        own = mix(mix(np.array([doc + 1], np.uint64)) + np.uint64(number))
+        key = int((mix(name + own * np.uint64(0xA5A3564EDCE5B0B3)) ^ mix(np.array([seed], np.uint64)))[0])
+        symbols = [(i, int(m.of_char[c])) for i, c in enumerate(word)]
+        while True:
+            best = None
+            for k, ((i, x), (j, y)) in enumerate(zip(symbols, symbols[1:])):
+                piece = m.pairs.get(x << 20 | y, -1)
+                if piece >= 0 and pieces._mix(pieces._named(key, i, j, piece)) >= limit:
+                    best = min(best or (int(m.rank[piece]), i, k, piece), (int(m.rank[piece]), i, k, piece))
+            if best is None:
+                break
+            _, i, k, piece = best
+            symbols[k : k + 2] = [(i, piece)]
+        for i, x in symbols:
+            spelled = "▁" if word[i] == 0x110000 else chr(word[i])
+            out += [x] if 0 <= x < m.size else [int(m.byte[v]) for v in spelled.encode()]
+    return out
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.4])
+def test_as_written_down(merger, dropout):
+    """Every candidate skipped by its own hash, one document after the other, whatever other words a block has."""
+    texts = [*MARKED, "the international cat " * 30, "antidisestablishmentarianism " * 20]
+    ids, at = encode(merger, texts, 5, dropout)
+    for i, text in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == written_down(merger, text, i, 5, dropout)
+
+
+def test_a_very_long_word(merger):
+    ids, at = encode(merger, ["abcde" * 40_000], 3, 0.1)
+    assert merger.decode(ids, at)[0].tobytes().decode() == "abcde" * 40_000
+
+
 def test_documents(edge, nothing):
     rows = pieces.encode_documents(edge).collect()
     assert len(rows) == edge.count() and all(r["lossless"] for r in rows)
