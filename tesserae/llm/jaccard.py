@@ -8,10 +8,10 @@ of their first n - ceil(3n/4) + 2 shingles: linked sets share a pair, and far fe
 boundary is the size at which enumerating starts to cost more than scanning. Shingles are 64-bit hashes of their words,
 candidates are verified on whole sets of these, and equal sets, told by a 64-bit hash of the set, are one node from the start.
 
-Lists of up to LIST sets give all their pairs. Longer lists are worked on by rounds: each set chooses one of its long lists
-and is compared with one pivot there, so a round makes a row per set, however long the lists are and however many a set is
-in. Linked sets fall into one component. When a round adds no link, the sets of a list that are not in its largest
-component yet are compared with all others of other components, block by block. That loses nothing, since a component is what
+Lists of up to LIST sets give all their pairs. Longer lists are worked on by rounds: each set chooses a few of its long lists
+and is compared with one pivot in each, so a round makes a few rows per set, however long the lists are and however many a set is
+in. Linked sets fall into one component, and only lists with several components go on. After the last round the sets of a list
+that are not in its largest component are compared with all others of other components, block by block. That loses nothing, since a component is what
 is asked for.
 """
 
@@ -32,9 +32,9 @@ WIDTH = 5
 #: The table of counts has 2**18 counters for up to 2**18 rows and one for each row of larger tables, 2**22 at most: a shingle
 #: that comes more often than a counter's mean is told apart, and only those make long lists.
 SKETCH = 18, 22
-#: Lists of up to LIST sets are compared in full. Rounds of pivots end after ROUNDS, or when one adds no link. A
-#: list's sets are compared in blocks of CHUNK. A bucket of lists is made for each SHARE shingles at least.
-LIST, ROUNDS, CHUNK, SHARE = 24, 8, 2048, 4 << 20
+#: Lists of up to LIST sets are compared in full. In each of ROUNDS a set meets the pivots of PIVOTS of its lists. What is
+#: left of lists is compared in blocks of CHUNK sets. A bucket of lists is made for each SHARE shingles at least.
+LIST, PIVOTS, ROUNDS, CHUNK, SHARE = 24, 3, 2, 2048, 4 << 20
 PIECE, BLOCK, BITS = 1 << 19, 4 << 20, 1024
 _LAST = np.iinfo(np.int64).max
 
@@ -328,38 +328,39 @@ def _verify(batches):
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
 
-def _named(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The lists' entries with each set's component."""
-    return lists.join(found, lists.x == found.node, "left").select(*lists.columns, F.coalesce("component", "x").alias("component"))
+def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries of the lists that still have several components: with each set's component, the list's largest (crowd), its
+    sets (k) and the list's (total)."""
+    named = lists.join(found, lists.x == found.node, "left").select(*lists.columns, F.coalesce("component", "x").alias("component"))
+    counted = named.groupBy("bucket", "list", "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = F.max(F.struct("k", "component")).alias("top")
+    split = counted.groupBy("bucket", "list").agg(largest, F.sum("k").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "list", F.col("top.component").alias("crowd"), F.col("top.k").alias("k"), "total")
+    return durable(named.join(durable(split, "jaccard-split"), ["bucket", "list"]), "jaccard-open")
 
 
-def _stars(lists: DataFrame, found: DataFrame, turn: int) -> DataFrame:
-    """x, y: each set and the pivot of one of its long lists, if they are not in one component yet."""
-    choice = F.struct(F.xxhash64("bucket", "list", F.lit(turn)).alias("order"), "bucket", "list")
-    chosen = _named(lists.groupBy("x").agg(F.min(choice).alias("c"), F.first("n").alias("n")).select("x", "n", "c.bucket", "c.list"), found)
-    chosen = durable(chosen, "jaccard-chosen")
+def _stars(lists: DataFrame, turn: int) -> DataFrame:
+    """x, y: each set and the pivots of PIVOTS of its lists, if they are not in one component yet (columns bucket, list, x, n, component)."""
+    choices = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("bucket", "list", F.lit(turn)).alias("order"), "bucket", "list"))), 1, PIVOTS)
+    chosen = lists.groupBy("x").agg(choices.alias("c"), F.first("n").alias("n"), F.first("component").alias("component"))
+    chosen = durable(chosen.select("x", "n", "component", F.explode("c").alias("c")).select("x", "n", "component", "c.bucket", "c.list"), "jaccard-chosen")
     pivot = F.min(F.struct(F.xxhash64("x", F.lit(turn)).alias("order"), "x", "n", "component")).alias("p")
     pivots = durable(chosen.groupBy("bucket", "list").agg(pivot).select("bucket", "list", F.col("p.x").alias("y"), F.col("p.n").alias("m"), F.col("p.component").alias("other")), "jaccard-pivots")
     met = chosen.join(pivots, ["bucket", "list"]).where("component <> other AND 4 * least(n, m) >= 3 * greatest(n, m)")
-    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def _blocks_of(lists: DataFrame, found: DataFrame) -> DataFrame:
-    """The entries of lists with several components, in blocks in which all pairs of a block's rest with others are to be compared:
-    bucket, list, i, j and the entry. The rest are the sets outside a list's largest component."""
-    named = _named(lists, found)
-    counted = named.groupBy("bucket", "list", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = F.max(F.struct("k", "component")).alias("top")
-    split = durable(counted.groupBy("bucket", "list").agg(largest, F.sum("k").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "list", F.col("top.component").alias("crowd"), "all", F.col("top.k").alias("k")), "jaccard-split")
-    entries = named.join(split, ["bucket", "list"]).withColumn("rest", (F.col("component") != F.col("crowd")).cast("int"))
-    rests, alls = (F.ceil(c / CHUNK).cast("int") for c in (F.col("all") - F.col("k"), F.col("all")))
-    own = F.pmod(F.xxhash64("x"), F.when(F.col("rest") == 1, rests).otherwise(alls)).cast("int")
+def _blocks_of(entries: DataFrame) -> DataFrame:
+    """Open lists in blocks in which all pairs of a block's rest with others are to be compared: bucket, list, i, j and the
+    entry. The rest are the sets outside a list's largest component."""
+    entries = entries.withColumn("rest", (F.col("component") != F.col("crowd")).cast("int"))
+    rests, alls = (F.ceil(c / CHUNK).cast("int") for c in (F.col("total") - F.col("k"), F.col("total")))
     # block (i, j) has the rest's i-th chunk and everyone's j-th; of the rest every set is in chunk i and in chunk j
-    every = F.pmod(F.xxhash64("x", F.lit(1)), alls).cast("int")
+    own, every = F.pmod(F.xxhash64("x"), rests).cast("int"), F.pmod(F.xxhash64("x", F.lit(1)), alls).cast("int")
     as_rest = F.transform(F.sequence(F.lit(0), alls - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(1).alias("rest")))
     as_any = F.transform(F.sequence(F.lit(0), rests - 1), lambda i: F.struct(i.alias("i"), every.alias("j"), F.lit(0).alias("rest")))
     places = F.when(F.col("rest") == 1, F.concat(as_rest, as_any)).otherwise(as_any)
-    return entries.select("bucket", "list", "x", "n", "place", "role", "component", F.explode(places).alias("at")).select("bucket", "list", "x", "n", "place", "role", "component", "at.i", "at.j", "at.rest")
+    wide = entries.select("bucket", "list", "x", "n", "place", "role", "component", F.explode(places).alias("at"))
+    return wide.select("bucket", "list", "x", "n", "place", "role", "component", "at.i", "at.j", "at.rest")
 
 
 def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
@@ -409,17 +410,16 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
 
     found = components(linked(pairs))
-    if not lists.isEmpty():
-        for turn in range(ROUNDS):
-            links = linked(_stars(lists, found, turn))
-            if links.isEmpty():
-                break
-            found = _contracted(links, found)
-        left = _blocks_of(lists, found).join(sets.select(F.col("name").alias("x"), "bits"), "x")
-        # every pair of the lists has been tried then, or both its sets were in one component already
-        links = linked(durable(left.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more"))
-        if not links.isEmpty():
-            found = _contracted(links, found)
+    for turn in range(ROUNDS + 1):
+        entries = lists.withColumn("component", F.col("x")) if turn == 0 else _open_lists(lists, found)
+        if entries.isEmpty():
+            break
+        if turn < ROUNDS:
+            more = _stars(entries, turn)
+        else:  # every pair of the lists has been tried then, or both its sets were in one component already
+            blocks = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x")
+            more = durable(blocks.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
+        found = _contracted(linked(more), found)
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")

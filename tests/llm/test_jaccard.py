@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import tesserae.llm.jaccard as jaccard
 from tesserae.llm.jaccard import near_components, near_dedup
@@ -58,7 +59,7 @@ def test_same_as_brute_force(spark, monkeypatch, light, longest, chunk):
     r = random.Random(5)
     monkeypatch.setattr(jaccard, "LIST", longest)
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
-    monkeypatch.setattr(jaccard, "ROUNDS", 1 if chunk == 2 else 8)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0 if chunk == 2 else 2)
     if light is not None:
         monkeypatch.setattr(jaccard, "boundary", lambda sizes, counts: min(light, 40))
     texts = []
@@ -92,10 +93,9 @@ def test_a_crowd_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(2000)) and all(got[i] == i for i in range(2000, 2300))
 
 
-def test_one_round_makes_a_row_per_set(spark):
+def test_one_round_makes_few_rows_per_set(spark):
     lists = spark.range(40_000).selectExpr("cast(id % 50 as int) AS bucket", "id % 50 AS list", "id div 50 AS x", "100 AS n", "0 AS place", "1 AS role")
-    found = spark.createDataFrame([], "node long, component long")
-    assert jaccard._stars(lists, found, 0).count() < 800
+    assert jaccard._stars(lists.withColumn("component", F.col("x")), 0).count() < 3 * 800
 
 
 def test_counts_of_shared_values_that_begin_alike():
