@@ -1,6 +1,6 @@
 """Sharding along a Hilbert curve.
 
-Several metadata dimensions are quantised at their own quantiles, a row's cell is mapped to its place on
+Several metadata dimensions are quantised at their own quantiles (of strings, whole values in order), a row's cell is mapped to its place on
 the Hilbert curve, rows are range-partitioned along the curve, and the curve is cut into runs of equal row
 counts. Neighbours on the curve are neighbours in every dimension, so each shard's minimum and maximum
 of each dimension are close together and readers can skip shards by any of them.
@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.llm.shared import documents, durable, whole
 
@@ -67,12 +68,29 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*map(F.lit, range(bits - 1, -1, -1))), start, step)["index"]
 
 
-def in_order(value: Column, kind: str) -> Column:
-    """A number in the order of the values: for strings, their first seven bytes. Null comes first."""
-    if kind == "string":
-        seven = F.hex(F.substring(value.cast("binary"), 1, 7))
-        value = F.conv(F.rpad(seven, 14, "0"), 16, 10).cast("long")
-    return F.coalesce(value.cast("double"), F.lit(-1.0))
+def _number(value: Column) -> Column:
+    """A number, a date or a boolean as a double; null comes first."""
+    return F.coalesce(F.when(value.isNotNull(), F.coalesce(value.cast("double"), F.unix_timestamp(value.cast("timestamp")).cast("double"))), F.lit(float("-inf")))
+
+
+def string_bounds(rows: DataFrame, name: str, cells: int) -> list[str]:
+    """The first values of all cells but the lowest, when the values in order are cut into ``cells`` runs of about equal row counts.
+
+    Whole values count. They are counted first, so only different ones are sorted, by ranges; a running sum within each
+    range and one row per range give a value's rank. What comes back are cells - 1 values at most.
+    """
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    placed = durable(counts.repartitionByRange(tasks, "value").withColumn("part", F.spark_partition_id()), "shard-values")
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    ranges = placed.groupBy("part").agg(F.sum("n").alias("own"))
+    # a row for each range
+    offsets = ranges.select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("offset"), F.sum("own").over(W.partitionBy()).alias("total"))
+    within = W.partitionBy("part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    ranked = placed.withColumn("so_far", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(offsets), "part")
+    cell = F.expr(f"(offset + so_far) * {cells} div total")
+    return sorted(r["first"] for r in ranked.groupBy(cell.alias("cell")).agg(F.min("value").alias("first")).where("cell > 0").collect())
 
 
 def hilbert_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...] = ("source", "lang", "size"), bits: int = 6) -> DataFrame:
@@ -80,8 +98,8 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...
 
     Sizes are the text's UTF-8 bytes plus 8; a null text has none and the checksum of the empty text. Row counts of the
     shards differ by one at most; slots count from 0 within a shard, along the curve. Within a cell equal
-    texts stand together, then doc_id decides; rows that repeat everything are interchangeable. Null
-    dimensions come first. A dimension that docs lacks counts as null. An empty table gives no rows.
+    texts stand together, then doc_id decides; rows that repeat everything are interchangeable. A null
+    string is an empty one, a null number comes first. A dimension that docs lacks counts as null. An empty table gives no rows.
     Only these few columns are shuffled, never the texts.
     """
     spark = docs.sparkSession
@@ -90,8 +108,10 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...
 
     def dimension(name: str) -> Column:
         if name == "size":
-            return in_order(size, "long")
-        return in_order(F.col(name), docs.schema[name].dataType.simpleString()) if name in docs.columns else F.lit(-1.0)
+            return size.cast("double")
+        if name not in docs.columns:
+            return F.lit(0.0)
+        return F.coalesce(F.col(name), F.lit("")) if isinstance(docs.schema[name].dataType, T.StringType) else _number(F.col(name))
 
     rows = durable(
         docs.select("doc_id", size.alias("size"), F.crc32(whole("text").cast("binary")).alias("text_crc32"), *(dimension(d).alias(n) for d, n in zip(dimensions, names))),
@@ -99,12 +119,16 @@ def hilbert_shards(docs: DataFrame, shards: int = 24, dimensions: tuple[str, ...
     )
     parts = (1 << bits) - 1
     at = F.array(*(F.lit((i + 1) / (parts + 1)) for i in range(parts)))
-    # one row of len(dimensions) arrays of 2**bits - 1 numbers, whatever the size of the input
-    bounds = rows.agg(*(F.percentile_approx(n, at, 1000).alias(n) for n in names)).first()
+    strings = [n for n in names if isinstance(rows.schema[n].dataType, T.StringType)]
+    # 2**bits - 1 values for each dimension, whatever the size of the input: a cell holds the values up to its bound
+    bounds = rows.agg(F.lit(0).alias("none"), *(F.percentile_approx(n, at, 1000).alias(n) for n in names if n not in strings)).first().asDict()
+    firsts = {n: string_bounds(rows, n, parts + 1) for n in strings}
 
     def cell(n: str) -> Column:
-        cuts = sorted(set(bounds[n] or []))
-        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b < F.col(n))) if cuts else F.lit(0)
+        cuts = firsts[n] if n in firsts else sorted(set(bounds[n] or []))
+        if not cuts:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda b: b <= F.col(n) if n in firsts else b < F.col(n)))
 
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["curve", "text_crc32", "doc_id", "size"]

@@ -21,10 +21,13 @@ LANG_WEIGHTS = {"en": 6, "de": 2, "fr": 1, "es": 1}
 SHARE, EPOCHS, SEED = 0.8, 2, 7
 
 
-def domain_of(source: Column) -> Column:
-    """The sources' domains; a table of them would do as well."""
+def domain_of(source: Column, domains: dict[str, str] = {}) -> Column:
+    """The source's domain in ``domains``; of a source that this lacks, one of three by its name's hash."""
     first = F.substring(F.md5(source.cast("binary")), 1, 1)
-    return F.when(first < "5", "web").when(first < "a", "books").otherwise("code")
+    other = F.when(first < "5", "web").when(first < "a", "books").otherwise("code")
+    if not domains:
+        return other
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in domains.items() for x in pair)), source), other)
 
 
 def _named(c: str, docs: DataFrame) -> Column:
@@ -79,14 +82,14 @@ def _order(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
 
 
-def plan(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS, source_weights={}) -> DataFrame:
+def plan(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int = SEED, domain_weights=DOMAIN_WEIGHTS, lang_weights=LANG_WEIGHTS, source_weights={}, domains: dict[str, str] = {}) -> DataFrame:
     """A row per leaf: the tree's names, tokens, budget, whole passes, and where the last pass ends.
 
     The last pass is not sorted: each leaf's tokens are summed by the first three hex digits of the order,
     and only the one slice in which the prefix ends is looked at document by document.
     """
     light = durable(
-        docs.select("doc_id", domain_of(_named("source", docs)).alias("domain"), _named("lang", docs).alias("lang"), _named("source", docs).alias("source"), F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("words")),
+        docs.select("doc_id", domain_of(_named("source", docs), domains).alias("domain"), _named("lang", docs).alias("lang"), _named("source", docs).alias("source"), F.regexp_count(whole("text"), F.lit(WORD)).cast("long").alias("words")),
         "mix-tokens",
     )
     leaves = light.groupBy(*LEVELS).agg(F.sum("words").alias("tokens"))
@@ -106,7 +109,7 @@ def plan(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: int
     return budgets.join(ends, list(LEVELS), "left")
 
 
-def mix(docs: DataFrame, seed: int = SEED, name: str = "mix", **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, name: str = "mix", domains: dict[str, str] = {}, **options) -> DataFrame:
     """All columns of docs and one more (``name``): a struct of domain, lang, source, tokens, epoch (from 0), and take,
     the tokens that count of this row in this epoch. A row comes once for each epoch that has it.
 
@@ -115,11 +118,13 @@ def mix(docs: DataFrame, seed: int = SEED, name: str = "mix", **options) -> Data
     or inside a prefix. Rows that repeat a doc_id stand at one place of the order and come together. An
     empty table gives no rows. Texts are not shuffled: a row's epochs follow from its leaf's plan.
     """
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {name} already")
     leaf = fresh(docs, "leaf")
-    ends = plan(docs, seed=seed, **options)
+    ends = plan(docs, seed=seed, domains=domains, **options)
     ends = ends.select(F.struct(*LEVELS).alias(leaf), F.struct("passes", "rest", "last_place", "last_take").alias(fresh(docs, "plan")))
     p, words = F.col(fresh(docs, "plan")), F.col(fresh(docs, "words"))
-    own = docs.withColumn(leaf, F.struct(domain_of(_named("source", docs)).alias("domain"), _named("lang", docs).alias("lang"), _named("source", docs).alias("source")))
+    own = docs.withColumn(leaf, F.struct(domain_of(_named("source", docs), domains).alias("domain"), _named("lang", docs).alias("lang"), _named("source", docs).alias("source")))
     own = own.withColumn(fresh(docs, "words"), F.regexp_count(whole("text"), F.lit(WORD)).cast("long")).join(ends, leaf)
     place = _order(seed, p["passes"], F.col("doc_id"))
 
@@ -133,8 +138,25 @@ def mix(docs: DataFrame, seed: int = SEED, name: str = "mix", **options) -> Data
     return own.select(*docs.columns, F.explode(F.concat(F.coalesce(passes, none), F.coalesce(prefix, none))).alias(name))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, with the columns of docs: a row for each epoch that has it. Where a leaf's prefix ends inside
+    a document, its text is cut after the words that count (and n_chars, if there is one, is what is left).
+    """
+    name = fresh(docs, "mix")
+    mixed = mix(docs, name=name, **options)
+    m = F.col(name)
+    with_space = F.regexp_extract_all(whole("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(m["take"] < m["tokens"], F.array_join(F.slice(with_space, 1, m["take"].cast("int")), "")).otherwise(F.col("text"))
+    mixed = mixed.withColumn("text", cut)
+    if "n_chars" in docs.columns:
+        mixed = mixed.withColumn("n_chars", F.when(m["take"] < m["tokens"], F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return mixed.select(*docs.columns)
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "mix.*")
+    docs = documents(spark, sf_dir)
+    name = fresh(docs, "mix")
+    return mix(docs, name=name).select("doc_id", f"{name}.*")
 
 
 def _level_sql(table: str, out: str, parent: str, name: str) -> str:

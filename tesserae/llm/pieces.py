@@ -15,17 +15,20 @@ would not have been taken changes nothing; all other words are cut anew.
 from __future__ import annotations
 
 import heapq
+import os
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.llm.blocks import mix, pieces, powers, utf8
 from tesserae.llm.shared import documents, text_batches, whole
 
+#: A BPE model of the sentencepiece library; every function here takes another one as ``model``.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 11
 LONG = 200
@@ -45,6 +48,8 @@ def read_model(path: str = MODEL) -> tuple[list[str], list[float], list[bool], l
     """Pieces, scores, which are bytes, and which are neither text nor bytes."""
     import sentencepiece
 
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no SentencePiece model at {path}: pass the path of one that the driver can read as model")
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     n = range(m.vocab_size())
     return [m.id_to_piece(i) for i in n], [m.get_score(i) for i in n], [m.is_byte(i) for i in n], [m.is_control(i) or m.is_unknown(i) or m.is_unused(i) for i in n]
@@ -428,18 +433,26 @@ def decoder(spark: SparkSession, model: str = MODEL):
     return decode
 
 
-def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, epochs: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, ids, lossless (whether the ids decode to the text).
 
     A null or empty text has no pieces. The segmentation depends on seed, doc_id (null: as -1) and text alone, so
-    repeated rows have equal ids. Texts of any length are encoded whole. An empty table gives no rows.
+    repeated rows have equal ids; with ``epochs`` the rows of one doc_id are its epochs (one more column, from 0, longer
+    texts first; of a null doc_id, rows of one text), each of which has merges skipped of its own. Texts of any length are
+    encoded whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    ids: Column = encoder(spark, model, seed, dropout)(whole("text"), F.col("doc_id"))
-    rows = docs.select("doc_id", whole("text").alias("text"), ids.alias("ids"))
+    rows, key = docs.select("doc_id", whole("text").alias("text")), F.col("doc_id")
+    if epochs:
+        same = W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+        rows = rows.withColumn("epoch", F.row_number().over(same.orderBy(F.length("text").desc(), F.xxhash64("text"))) - 1)
+        key = F.when(F.col("epoch") == 0, key).otherwise(F.xxhash64("doc_id", "epoch"))
+    ids: Column = encoder(spark, model, seed, dropout)(F.col("text"), key)
+    rows = rows.withColumn("ids", ids)
     back = decoder(spark, model)("ids")
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"), "ids", (back == F.col("text")).alias("lossless"))
+    more = ["epoch"] if epochs else []
+    return rows.select("doc_id", *more, F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_tokens"), "ids", (back == F.col("text")).alias("lossless"))
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
 from collections import Counter, defaultdict
 
-from tesserae.llm.mixing import mix, plan
+import pytest
+from pyspark.sql import functions as F
+
+from tesserae.llm.mixing import mix, mixed_documents, op4_mixing, plan
 
 
 def docs_of(spark):
@@ -41,7 +44,33 @@ def test_prefix_of_each_leaf(spark):
 
 
 def test_edges(edge, nothing):
-    rows = mix(edge.drop("mix"), share=1.0, epochs=1).collect()
+    rows = mix(edge, name="chosen", share=1.0, epochs=1).collect()
     assert len(rows) >= edge.count() - 4  # documents without words need a whole pass
-    assert mix(nothing.drop("mix")).count() == 0
+    assert mix(nothing, name="chosen").count() == 0
     assert mix(edge, name="chosen").columns == [*edge.columns, "chosen"]
+    with pytest.raises(ValueError):
+        mix(edge)
+
+
+def test_query_with_a_column_of_that_name(spark, edge, tmp_path):
+    edge.write.parquet(f"file://{tmp_path}/documents.parquet")
+    out = op4_mixing(spark, f"file://{tmp_path}")
+    assert out.columns == ["doc_id", "domain", "lang", "source", "tokens", "epoch", "take"] and out.count() > 0
+
+
+def test_domains_may_be_named(spark):
+    ends = plan(docs_of(spark), domains={f"s{i}": "news" for i in range(3)}).collect()
+    assert {r["source"] for r in ends if r["domain"] == "news"} == {"s0", "s1", "s2"}
+
+
+def test_documents_are_cut_where_the_prefix_ends(spark, edge, nothing):
+    docs = docs_of(spark).withColumn("text", F.concat(F.lit(" \t"), "text")).withColumn("n_chars", F.length("text"))
+    out = mixed_documents(docs, share=1.3, epochs=3)
+    assert out.columns == docs.columns
+    words = lambda t: len((t or "").split())
+    whole = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows, ends = out.collect(), plan(docs, share=1.3, epochs=3).collect()
+    assert sum(words(r["text"]) for r in rows) == sum(r["budget"] for r in ends)
+    assert all(whole[r["doc_id"]].startswith(r["text"]) and r["n_chars"] == len(r["text"]) for r in rows)
+    assert any(whole[r["doc_id"]] != r["text"] for r in rows)
+    assert mixed_documents(edge, share=1.0).columns == edge.columns and mixed_documents(nothing).count() == 0

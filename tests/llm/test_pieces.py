@@ -133,3 +133,19 @@ def test_documents(edge, nothing):
     twins = [r["ids"] for r in rows if r["doc_id"] == 10]
     assert twins[0] == twins[1]
     assert pieces.encode_documents(nothing).count() == 0
+
+
+def test_epochs_of_a_document_are_cut_apart(spark, nothing, edge):
+    text = "international antidisestablishmentarianism unbelievable " * 20
+    docs = spark.createDataFrame([(1, text), (1, text), (1, text + "more"), (2, text), (None, text), (None, text), (None, "x")], "doc_id long, text string")
+    rows = pieces.encode_documents(docs, epochs=True).collect()
+    assert sorted((r["doc_id"] or 0, r["epoch"]) for r in rows) == [(0, 0), (0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0)]
+    assert all(r["lossless"] for r in rows)
+    own = [tuple(r["ids"]) for r in rows if r["doc_id"] == 1 and r["n_bytes"] == len(text)]
+    assert len(set(own)) == 2
+    assert pieces.encode_documents(edge, epochs=True).count() == edge.count() and pieces.encode_documents(nothing, epochs=True).count() == 0
+
+
+def test_a_missing_model_is_named():
+    with pytest.raises(FileNotFoundError, match="no/such.model"):
+        pieces.read_model("/no/such.model")
