@@ -1,11 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A word's count in a class is Kneser-Ney's: after how many different words has it been seen there? So copies of a
-document count once. Each class's model has these counts, discounted; what the discounts free goes to the
-word's count over both classes, the backoff that they share. Discounts are in proportion to the classes' sizes, so an expression too rare to tell the
-classes apart has the shared probability in either, and its logarithms differ by a constant only.
-A document is judged by its length-normalised log-likelihoods - over all its words, and over its most telling
-single words - put on a scale from 0 to 1 by a logistic fit on labelled rows that the models have not seen.
+Each class has a model of word pairs. A pair counts once in every different text that has it, so copies weigh nothing. In a
+class a word follows another with its discounted share of the pairs of that history; what the discounts free goes to
+the class's word model. That counts as Kneser-Ney does: after how many different words has the word been seen in the class?
+It is discounted in turn, and what that frees goes to the word's count over both classes, the backoff that they share.
+Discounts are in proportion to the classes' sizes, for each history and for the words, so an expression too
+rare to tell the classes apart has the shared probability in either, and its logarithms differ by a constant only.
+
+A document is judged by the difference of its log-likelihoods in the two models, divided by the number of words that it is taken
+over: over all its words, over its most telling ones, and over its most telling one. A logistic fit on labelled
+rows that the models have not seen puts these, and the length, on a scale from 0 to 1.
 """
 
 from __future__ import annotations
@@ -66,11 +70,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Models:
-    """The log ratio of the classes' probabilities for each word as sorted arrays. Only words that exceed a discount
-    are kept, so 1/discount of the learning rows' words bounds them; all others have one ratio."""
+    """The log ratio of the classes' probabilities of words, as sorted arrays. Only words, histories and pairs that exceed a
+    discount are kept, so 1/discount of the learning rows' words bounds them; all others have one ratio.
 
-    def __init__(self, words: np.ndarray, word_ratio: np.ndarray, other_ratio: float):
-        self.words, self.word_ratio, self.other_ratio = words, word_ratio, other_ratio
+    word: of a word by itself. after: what backing off from a history adds. pair: of the pairs kept."""
+
+    def __init__(self, words: np.ndarray, word_ratio: np.ndarray, other_ratio: float, after: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]):
+        self.words, self.word_ratio, self.other_ratio, self.after, self.pairs = words, word_ratio, other_ratio, after, pairs
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,31 +85,32 @@ class Models:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return keys[at] == wanted, at
 
-    def ratios(self, word: np.ndarray) -> np.ndarray:
-        """Log of toxic to ordinary probability of each word."""
+    def ratios(self, word: np.ndarray, prior: np.ndarray) -> np.ndarray:
+        """Log of toxic to ordinary probability of each word after the word before it."""
         out = np.full(len(word), self.other_ratio)
         known, at = self._find(self.words, word)
         out[known] = self.word_ratio[at[known]]
+        known, at = self._find(self.after[0], prior)
+        out[known] += self.after[1][at[known]]
+        known, at = self._find(self.pairs[0], _pair(prior, word))
+        out[known] = self.pairs[1][at[known]]
         return out
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        word, _, before = _hashed(data, offsets)
-        ratio = self.ratios(word)
+        word, prior, before = _hashed(data, offsets)
+        ratio = self.ratios(word, prior)
         n = np.diff(before)
         out = np.zeros((len(n), 4))
         total = np.concatenate([[0], np.cumsum(ratio)])
         out[:, 0] = (total[before[1:]] - total[before[:-1]]) / np.maximum(n, 1)
         doc = np.repeat(np.arange(len(n)), n)
-        for k in range(TOP):  # the most telling word, then the next
-            filled = np.flatnonzero(np.diff(before) > 0)
-            if not len(filled):
-                break
-            best = np.maximum.reduceat(ratio, before[filled]) if len(ratio) else ratio
-            best = np.maximum(best, 0)
+        filled = np.flatnonzero(n > 0)
+        for k in range(TOP if len(filled) else 0):  # the most telling word, then the next
+            best = np.maximum.reduceat(ratio, before[filled])
             if k == 0:
-                out[filled, 1] = best
-            out[filled, 2] += best / TOP
-            order = np.flatnonzero(ratio == np.repeat(np.maximum.reduceat(ratio, before[filled]), n[filled]))
+                out[filled, 1] = np.maximum(best, 0)
+            out[filled, 2] += np.maximum(best, 0) / TOP
+            order = np.flatnonzero(ratio == np.repeat(best, n[filled]))
             _, first = np.unique(doc[order], return_index=True)
             ratio[order[first]] = -np.inf
         out[:, 3] = np.log1p(n)
@@ -111,19 +118,37 @@ class Models:
 
 
 def train_models(counted: DataFrame, discount: float = DISCOUNT) -> Models:
-    """counted: prior, word, toxic of the learning rows (their number is bounded, so is what comes here)."""
-    pairs = counted.groupBy("prior", "word").agg(F.min("toxic").alias("least"), F.max("toxic").alias("most"))
-    words = durable(pairs.groupBy("word").agg(F.sum(1 - F.col("least")).alias("n0"), F.sum("most").alias("n1"), F.count(F.lit(1)).alias("both")), "toxicity-words")
+    """counted: prior, word, toxic of the different pairs of each learning text (their number is bounded, so is what comes here)."""
+    pairs = durable(counted.groupBy("prior", "word").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")), "toxicity-pairs")
+    seen = [(F.col(c) > 0).cast("long") for c in ("n0", "n1")]
+    words = durable(pairs.groupBy("word").agg(F.sum(seen[0]).alias("n0"), F.sum(seen[1]).alias("n1"), F.count(F.lit(1)).alias("both")), "toxicity-words")
     total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "both"))).first()
     n = np.maximum([total["n0"], total["n1"]], 1).astype(float)
     d = discount * n / n.min()
-    kept = words.where((F.col("n0") > float(d[0])) | (F.col("n1") > float(d[1]))).toPandas()
-    excess = np.maximum(kept[["n0", "n1"]].to_numpy(float) - d, 0) / n
-    rest = np.maximum(1 - excess.sum(axis=0), 1e-9)  # what each class leaves to the shared counts
-    p = excess + rest * (kept["both"].to_numpy(float) / max(total["both"], 1))[:, None]
+    kept = words.where((F.col("n0") > float(d[0])) | (F.col("n1") > float(d[1])))
+    # a pair exceeds a discount if the rarer class alone would be expected to have it more than ``discount`` times
+    sums = pairs.groupBy("prior").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1")).where(f"least(h0, h1) > {discount}")
+    times = F.col("least_h") / F.lit(float(discount))
+    over = pairs.join(sums.withColumn("least_h", F.least("h0", "h1")), "prior").where((F.col("n0") * times > F.col("h0")) | (F.col("n1") * times > F.col("h1")))
+    over = over.join(words.select("word", "both", F.col("n0").alias("w0"), F.col("n1").alias("w1")), "word").toPandas()
+    kept = kept.toPandas()
+
+    def word_probability(counts: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return np.maximum(counts - d, 0) / n + rest * (both / max(total["both"], 1))[:, None]
+
+    rest = np.maximum(1 - (np.maximum(kept[["n0", "n1"]].to_numpy(float) - d, 0) / n).sum(axis=0), 1e-9)  # what each class leaves to the shared counts
+    p = word_probability(kept[["n0", "n1"]].to_numpy(float), kept["both"].to_numpy(float))
     word = kept["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
-    return Models(word[order], np.log(p[:, 1] / p[:, 0])[order], float(np.log(rest[1] / rest[0])))
+    h = over[["h0", "h1"]].to_numpy(float)
+    excess = np.maximum(over[["n0", "n1"]].to_numpy(float) / h - discount / h.min(axis=1, initial=np.inf)[:, None], 0)
+    prior = over["prior"].to_numpy(np.int64).view(np.uint64)
+    histories, which = np.unique(prior, return_inverse=True)
+    left = np.maximum(1 - np.stack([np.bincount(which, excess[:, c], len(histories)) for c in (0, 1)], 1), 1e-9)  # what each history leaves to the word model
+    q = excess + left[which] * word_probability(over[["w0", "w1"]].to_numpy(float), over["both"].to_numpy(float))
+    pair = _pair(prior, over["word"].to_numpy(np.int64).view(np.uint64))
+    by = np.argsort(pair)
+    return Models(word[order], np.log(p[:, 1] / p[:, 0])[order], float(np.log(rest[1] / rest[0])), (histories, np.log(left[:, 1] / left[:, 0])), (pair[by], np.log(q[:, 1] / q[:, 0])[by]))
 
 
 def fit_scale(x: np.ndarray, y: np.ndarray, penalty: float = 0.01) -> np.ndarray:
@@ -168,7 +193,9 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_
     ]
     # at most model_rows + fit_rows rows of two numbers
     sample = durable(docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("text", "toxic", "fit"), "toxicity-sample")
-    counted = sample.where("fit = 0").select("text", "toxic").mapInArrow(_count_words, "prior long, word long, toxic int")
+    # copies of a text count once
+    learned = sample.where("fit = 0").groupBy(F.xxhash64("text").alias("key"), "text").agg(F.max("toxic").alias("toxic"))
+    counted = learned.select("text", "toxic").mapInArrow(_count_words, "prior long, word long, toxic int")
     models = spark.sparkContext.broadcast(train_models(counted))
 
     def measured(batches):
