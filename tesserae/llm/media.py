@@ -13,16 +13,18 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.shared import documents, text_batches, whole
+from tesserae.llm.shared import documents, durable, text_batches, whole
 
 #: A payload is a positive multiple of UNIT bytes; a row of the image is WIDTH of them.
 UNIT, WIDTH = 576, 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 IDAT_BYTES = 1 << 16
+#: Rows of an image that are worked on together.
+ROWS = 1 << 12
 
 
 def payload(text: bytes) -> bytes:
@@ -35,16 +37,23 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
 
 
 def png_encode(samples: bytes, width: int = WIDTH, level: int = 3) -> bytes:
-    """An 8-bit greyscale PNG. Each row has the filter (none, left or above) with the least sum of magnitudes."""
+    """An 8-bit greyscale PNG. Each row has the filter (none, left or above) with the least sum of magnitudes. Rows are filtered
+    and compressed some at a time, so a large image needs little memory besides itself."""
     image = np.frombuffer(samples, np.uint8).reshape(-1, width)
-    tried = np.zeros((3, *image.shape), np.uint8)
-    tried[0] = image
-    tried[1, :, 0], tried[1, :, 1:] = image[:, 0], image[:, 1:] - image[:, :-1]
-    tried[2, 0], tried[2, 1:] = image[0], image[1:] - image[:-1]
-    cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2)
-    kind = cost.argmin(axis=0).astype(np.uint8)
-    rows = np.concatenate([kind[:, None], tried[kind, np.arange(len(image))]], axis=1)
-    body = zlib.compress(rows.tobytes(), level)
+    press, body = zlib.compressobj(level), []
+    above = np.zeros((1, width), np.uint8)
+    for at in range(0, len(image), ROWS):
+        some = image[at : at + ROWS]
+        tried = np.zeros((3, *some.shape), np.uint8)
+        tried[0] = some
+        tried[1, :, 0], tried[1, :, 1:] = some[:, 0], some[:, 1:] - some[:, :-1]
+        tried[2] = some - np.concatenate([above, some[:-1]])
+        above = some[-1:]
+        cost = np.abs(tried.view(np.int8).astype(np.int16)).sum(axis=2)
+        kind = cost.argmin(axis=0).astype(np.uint8)
+        rows = np.concatenate([kind[:, None], tried[kind, np.arange(len(some))]], axis=1)
+        body.append(press.compress(rows.tobytes()))
+    body = b"".join([*body, press.flush()])
     parts = [SIGNATURE, _chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(image), 8, 0, 0, 0, 0))]
     parts += [_chunk(b"IDAT", body[i : i + IDAT_BYTES]) for i in range(0, len(body), IDAT_BYTES)]
     return b"".join([*parts, _chunk(b"IEND", b"")])
@@ -118,19 +127,21 @@ def _averages(n: int, to: int) -> np.ndarray:
 _k, _x = np.arange(8)[:, None], np.arange(32)
 COSINES = np.cos(np.pi * (2 * _x + 1) * _k / 64)
 _across = _averages(WIDTH, 32).T @ COSINES.T
-_down: dict[int, np.ndarray] = {}
 
 
 def cosine_hash(image: np.ndarray) -> bytes:
-    """64 bits: which of the 8 x 8 low-frequency coefficients of the 32 x 32 image exceed their median."""
+    """64 bits: which of the 8 x 8 low-frequency coefficients of the 32 x 32 image exceed their median.
+
+    Rows are transformed some at a time; the means over 32 bands of rows follow from running sums of what is left, 8
+    numbers a row."""
     height, width = image.shape
     across = _across if width == WIDTH else _averages(width, 32).T @ COSINES.T
-    if height not in _down:
-        if len(_down) > 500:
-            _down.clear()
-        _down[height] = COSINES @ _averages(height, 32)
-    low = (_down[height] @ (image.astype(np.float64) @ across)).ravel()
-    low = np.round(low, 6)
+    rows = np.concatenate([image[i : i + ROWS].astype(np.float64) @ across for i in range(0, height, ROWS)])
+    total = np.concatenate([np.zeros((1, 8)), np.cumsum(rows, axis=0)])
+    edges = np.arange(33) * (height / 32)
+    down = np.minimum(edges.astype(np.int64), height - 1)
+    bands = np.diff(total[down] + (edges - down)[:, None] * rows[down], axis=0) * (32 / height)
+    low = np.round(COSINES @ bands, 6).ravel()
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
@@ -164,7 +175,9 @@ def from_png(media: pd.Series, n_bytes: pd.Series) -> pd.Series:
 
 
 def media_column(docs: DataFrame, name: str = "media") -> DataFrame:
-    """docs with a binary column of PNG images of its texts."""
+    """docs with a binary column of PNG images of its texts; docs must not have a column of that name."""
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has a column {name} already")
     return docs.withColumn(name, to_png("text"))
 
 
@@ -172,12 +185,14 @@ def media_features(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature
     (the cosine hash in hex).
 
-    A null or empty text is one unit of bytes 255. Rows of equal texts have equal values; rows are
+    The images are stored as a binary column in a table; everything but n_bytes comes from what that table gives back. A
+    null or empty text is one unit of bytes 255. Rows of equal texts have equal values; rows are
     independent of each other, so repeated rows, null ids and an empty table need no rule.
     """
     text_batches(docs.sparkSession)
-    facts: Column = png_facts(to_png(whole("text")))
-    rows = docs.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), facts.alias("f"))
+    texts = docs.select("doc_id", "text", F.octet_length(whole("text")).cast("long").alias("n_bytes"))
+    stored = durable(media_column(texts).drop("text"), "media")
+    rows = stored.select("doc_id", "n_bytes", png_facts("media").alias("f"))
     return rows.select("doc_id", "n_bytes", *(f"f.{c}" for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")), F.lower(F.hex("f.hash")).alias("feature"))
 
 

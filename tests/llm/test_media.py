@@ -4,7 +4,8 @@ import zlib
 import numpy as np
 import pytest
 
-from tesserae.llm.media import from_png, media_column, media_features, payload, png_decode, png_encode, unfilter
+import tesserae.llm.media as media
+from tesserae.llm.media import cosine_hash, from_png, media_column, media_features, payload, png_decode, png_encode, unfilter
 
 
 def refilter(image, kind):
@@ -69,3 +70,36 @@ def test_column_holds_the_text(edge):
 
     back = media_column(edge.where("text IS NOT NULL")).withColumn("back", from_png("media", F.octet_length("text")))
     assert back.where("back <> text").count() == 0
+
+
+def direct_hash(image):
+    """Area means by oversampling, then the cosine sums of each coefficient, one by one."""
+    h, w = image.shape
+    fine = np.repeat(np.repeat(image.astype(float), 32, axis=0), 32, axis=1)
+    small = fine.reshape(32, h, 32, w).mean(axis=(1, 3))
+    low = [[sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for v in range(8)] for u in range(8)]
+    low = np.round(np.array(low).ravel(), 6)
+    return np.packbits(low > np.median(low[1:])).tobytes()
+
+
+@pytest.mark.parametrize("height", [3, 6, 33, 70])
+@pytest.mark.parametrize("rows", [1 << 12, 5])
+def test_hash_is_the_direct_transform(monkeypatch, height, rows):
+    monkeypatch.setattr(media, "ROWS", rows)
+    image = np.random.default_rng(height).integers(0, 256, (height, 192), dtype=np.uint8)
+    assert cosine_hash(image) == direct_hash(image)
+    assert png_decode(png_encode(image.tobytes())).tobytes() == image.tobytes()
+
+
+def test_feature_comes_from_what_is_stored(edge):
+    rows = {r["doc_id"]: r for r in media_features(edge.where("doc_id IN (1, 8)")).collect()}
+    for r in edge.where("doc_id IN (1, 8)").collect():
+        data = payload(r["text"].encode())
+        png = png_encode(data)
+        assert rows[r["doc_id"]]["feature"] == direct_hash(np.frombuffer(data, np.uint8).reshape(-1, 192)).hex()
+        assert rows[r["doc_id"]]["media_sha256"] == hashlib.sha256(png).hexdigest() and rows[r["doc_id"]]["media_bytes"] == len(png)
+
+
+def test_a_column_of_that_name_is_not_overwritten(edge):
+    with pytest.raises(ValueError):
+        media_column(edge, "score")
