@@ -1,10 +1,11 @@
 """License scans by a positional index of rare words.
 
 The index holds every word of the licence templates with its positions. A word's rarity is its inverse document
-frequency over all scanned files. For each file and template, the rarest template words that the file holds
-are looked up; each occurrence votes for the place where the template would start (position in the file
-minus position in the template). A place that at least half of those words agree on is verified: the
-template's mandatory key phrases must stand there, word for word.
+frequency over all scanned files. A template's KEEP rarest words are looked up in each file; a file that holds half of them is a
+candidate. Every occurrence there votes for the place where the template would start (position in the file minus position in
+the template), and places that differ by a few words count as one, so names and dates put into a notice do not
+break it. A place that at least half of the looked-up words agree on is verified: the template's mandatory key phrases
+must stand within the template's extent there, word for word.
 """
 
 from __future__ import annotations
@@ -27,21 +28,56 @@ BASE = {
     "mit license": "mit",
 }
 
-#: label, notice, key phrases that must all stand in the notice's place
+_GNU = "{} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license or at your option any later version"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+
+# fixed values: the wording of public licences' notices, in small letters and without signs
+#: label, notice, key phrases that must all stand within its extent
 TEMPLATES = [
-    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license", "version 3"]),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license", "version 2"]),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", ["gnu lesser general public license"]),
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", ["gnu affero general public license"]),
+    ("gpl-3.0", _GNU.format("this program", "", "3"), ["gnu general public license", "version 3"]),
+    ("gpl-2.0", _GNU.format("this program", "", "2"), ["gnu general public license", "version 2"]),
+    ("lgpl-3.0", _GNU.format("this library", "lesser ", "3"), ["gnu lesser general public license", "version 3"]),
+    ("lgpl-2.1", _GNU.format("this library", "lesser ", "2 1"), ["gnu lesser general public license", "version 2 1"]),
+    ("agpl-3.0", _GNU.format("this program", "affero ", "3"), ["gnu affero general public license", "version 3"]),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", ["gnu general public license version 2"]),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", ["gnu affero general public license version 3"]),
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        ["apache license version 2 0"],
+    ),
     ("apache-2.0", "licensed under the apache license version 2 0", ["apache license version 2 0"]),
     ("mit", "released under the mit license", ["mit license"]),
+    ("mit", "licensed under the mit license", ["mit license"]),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ["permission is hereby granted free of charge", "without restriction"],
+    ),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ["permission is hereby granted free of charge"]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
+    ("bsd-2-clause", _BSD, ["redistribution and use in source and binary forms", "redistributions in binary form"]),
+    (
+        "bsd-3-clause",
+        _BSD + " neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        ["redistribution and use in source and binary forms", "neither the name", "endorse or promote products"],
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", ["mozilla public license v 2 0"]),
+    ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", ["mozilla public license version 2 0"]),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["permission to use copy modify", "with or without fee"]),
+    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("cc-by-4.0", "licensed under cc by 4 0", ["cc by 4 0"]),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ["cc by sa 4 0"]),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ["cc by nc 4 0"]),
-    ("mpl-2.0", "subject to the terms of the mozilla public license version 2 0", ["mozilla public license"]),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ["redistribution and use in source and binary forms"]),
 ]
+#: Words of a template that are looked up; words by which places of one notice may differ.
+KEEP, SLACK = 6, 16
 
 
 def _phrase_at(words: Column, phrase: list[str], i: Column) -> Column:
@@ -61,45 +97,52 @@ def _places(words: Column, spaced: Column, phrase: str) -> Column:
 
 def word_weights(held: DataFrame, vocabulary: list[str]) -> dict[str, float]:
     """Inverse document frequency of the templates' words over all rows (column held: those in the text)."""
-    # a row for each word of the templates at most
-    counts = {r["w"]: r["n"] for r in held.select(F.explode("held").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = max(held.count(), 1)
+    # a row for each word of the templates at most, and one (null) for all rows
+    words = held.select(F.explode(F.concat("held", F.array(F.lit(None).cast("string")))).alias("w"))
+    counts = {r["w"]: r["n"] for r in words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = max(counts.get(None, 0), 1)
     return {w: math.log((total + 1) / (counts.get(w, 0) + 0.5)) + 0.01 for w in vocabulary}
 
 
-def _matches(hits: DataFrame, templates, weights: dict[str, float], keep: int) -> DataFrame:
-    """Per row with a verified place: row, found (labels), best (the largest part of a looked-up weight)."""
-    rare = [sorted(set(notice.split()), key=lambda x: (-weights[x], x)) for _, notice, _ in templates]
+def rarest(templates, weights: dict[str, float], keep: int) -> list[list[str]]:
+    """The words of each template that are looked up."""
+    return [sorted(set(notice.split()), key=lambda x: (-weights[x], x))[:keep] for _, notice, _ in templates]
+
+
+def _matches(hits: DataFrame, templates, weights: dict[str, float], rare: list[list[str]], slack: int) -> DataFrame:
+    """Per row with a verified place: row, found (labels), best (the largest part of a template's looked-up weight).
+    hits: row, words, candidates (templates of which it holds half of the looked-up words)."""
     index = hits.sparkSession.createDataFrame(
-        [(t, w, i, float(weights[w])) for t, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split())], "t int, w string, at int, weight double"
+        [(t, w, i, float(weights[w]), len(rare[t])) for t, (_, notice, _) in enumerate(templates) for i, w in enumerate(notice.split()) if w in rare[t]],
+        "t int, w string, at int, weight double, looked_up int",
     )
-    heads = F.array(
+    facts = F.array(
         *(
-            F.struct(F.lit(t).alias("t"), F.lit(label).alias("label"), F.lit(len(notice.split())).alias("n"), F.array(*map(F.lit, rare[t])).alias("rare"), F.array(*(F.lit(f" {p} ") for p in ps)).alias("phrases"))
+            F.struct(F.lit(label).alias("label"), F.lit(len(notice.split())).alias("n"), F.lit(sum(float(weights[w]) for w in sorted(rare[t]))).alias("total"), F.array(*(F.lit(f" {p} ") for p in ps)).alias("phrases"))
             for t, (label, notice, ps) in enumerate(templates)
         )
     )
-    # a file without a template's mandatory phrases cannot verify, so it needs no votes
-    pairs = hits.select("row", "words", "held", "hit", F.explode(heads).alias("h")).where(F.forall("h.phrases", lambda p: F.contains("hit", p)))
-    pairs = pairs.select("row", "words", "h.t", F.slice(F.array_intersect("h.rare", "held"), 1, keep).alias("looked_up"))
-    places = pairs.select("row", "t", "looked_up", F.posexplode("words").alias("i", "w")).where(F.array_contains("looked_up", F.col("w")))
-    votes = places.join(F.broadcast(index), ["t", "w"])  # a row for each word of the templates
+    every = F.array(*map(F.lit, sorted({w for r in rare for w in r})))
+    places = hits.select("row", "candidates", F.posexplode("words").alias("i", "w")).where(F.array_contains(every, F.col("w")))
+    # a row for each looked-up word of the templates
+    votes = places.join(F.broadcast(index), "w").where(F.array_contains("candidates", F.col("t"))).withColumn("start", F.col("i") - F.col("at"))
+    # windows of ``slack`` words, each half over the next
+    near = votes.withColumn("window", F.explode(F.array(F.floor(F.col("start") * 2 / slack), F.floor(F.col("start") * 2 / slack) - 1)))
     agreed = (
-        votes.groupBy("row", "t", (F.col("i") - F.col("at")).alias("start"))
-        .agg(F.collect_set(F.struct("w", "weight")).alias("found"), F.first("looked_up").alias("looked_up"))
-        .where(F.size("found") >= F.ceil(F.size("looked_up") / 2))
+        near.groupBy("row", "t", "window")
+        .agg(F.collect_set(F.struct("w", "weight")).alias("agree"), F.first("looked_up").alias("looked_up"), F.min("start").alias("start"), F.max("start").alias("last"))
+        .where(F.size("agree") * 2 >= F.col("looked_up"))
     )
-    weight = F.create_map(*(F.lit(x) for w in sorted(weights) for x in (w, float(weights[w]))))
-    total = F.aggregate(F.transform("looked_up", lambda w: weight[w]), F.lit(0.0), lambda a, x: a + x)
-    part = F.aggregate(F.array_sort("found"), F.lit(0.0), lambda a, x: a + x["weight"]) / total
-    head = F.element_at(heads, F.col("t") + 1)
-    placed = agreed.select("row", "start", part.alias("part"), head.alias("h")).join(hits.select("row", "words"), "row")
-    there = F.concat(F.lit(" "), F.array_join(F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("h.n") + 4), " "), F.lit(" "))
+    fact = F.element_at(facts, F.col("t") + 1)
+    part = F.aggregate(F.array_sort("agree"), F.lit(0.0), lambda a, x: a + x["weight"]) / fact["total"]
+    placed = agreed.select("row", "start", "last", part.alias("part"), fact.alias("h")).join(hits.select("row", "words"), "row")
+    first = F.greatest(F.col("start"), F.lit(0))
+    there = F.concat(F.lit(" "), F.array_join(F.slice("words", first + 1, F.greatest(F.col("last") + F.col("h.n") - first, F.lit(0))), " "), F.lit(" "))
     verified = placed.select("row", "part", "h.label", "h.phrases", there.alias("there")).where(F.forall("phrases", lambda p: F.contains("there", p)))
     return verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("part").alias("best"))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = 6) -> DataFrame:
+def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = KEEP, slack: int = SLACK) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     A null text is empty: no words, no labels, score 0. Every occurrence counts, also in repeated rows and
@@ -108,46 +151,44 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, keep: int = 6) -> DataFra
     """
     vocabulary = sorted({w for _, notice, _ in templates for w in notice.split()})
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(whole("text")), BETWEEN, " ")), F.lit(" "))
-    texts = docs.select("doc_id", spaced.alias("spaced"))
+    words = F.split(F.trim("spaced"), " ")
+    texts = docs.select("doc_id", spaced.alias("spaced")).withColumn("words", words)
+    weights = word_weights(texts.select(F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("held")), vocabulary)
+    rare = rarest(templates, weights, keep)
+    looked_up = sorted({w for r in rare for w in r})
+    half = lambda t: F.size(F.array_intersect(F.array(*map(F.lit, rare[t])), F.col("held"))) * 2 >= len(rare[t])
     any_phrase = F.lit(False)
-    for p in sorted({*BASE, *(p for _, _, ps in templates for p in ps)}):
+    for p in BASE:
         any_phrase = any_phrase | F.contains("spaced", F.lit(f" {p} "))
-    words = F.split(F.trim("spaced"), " ")
-    # the texts are read once; kept of them are their template words, and whole those that hold a phrase
+    places = F.concat(*(F.when(any_phrase, _places(F.col("words"), F.col("spaced"), p)).otherwise(F.array().cast("array<int>")) for p in BASE))
+    base = F.array_compact(F.array_distinct(F.array(*(F.when(F.contains("spaced", F.lit(f" {p} ")), F.lit(label)) for p, label in BASE.items()))))
+    found = texts.withColumn("held", F.array_intersect("words", F.array(*map(F.lit, looked_up))))
+    found = found.withColumn("candidates", F.array_compact(F.array(*(F.when(half(t), F.lit(t)) for t in range(len(templates))))))
+    # whole words are kept only of candidates
     gate = durable(
-        texts.select(
+        found.select(
             "doc_id",
-            F.when(F.length("spaced") > 2, F.size(words)).otherwise(0).cast("long").alias("n_words"),
-            F.array_intersect(words, F.array(*map(F.lit, vocabulary))).alias("held"),
-            F.when(any_phrase, F.col("spaced")).alias("hit"),
-            F.when(any_phrase, words).alias("words"),
+            F.when(F.length("spaced") > 2, F.size("words")).otherwise(0).cast("long").alias("n_words"),
+            places.alias("places"),
+            base.alias("base"),
+            F.when(F.size("candidates") > 0, F.col("candidates")).alias("candidates"),
+            F.when(F.size("candidates") > 0, F.col("words")).alias("words"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "license-gate",
     )
-    hits = gate.where("hit IS NOT NULL")
-    matched = _matches(hits, templates, word_weights(gate, vocabulary), keep)
-    none = F.array().cast("array<int>")
-    found = hits.join(matched, "row", "left").select(
-        "doc_id",
-        "n_words",
-        *(_places(F.col("words"), F.col("hit"), p).alias(f"base{i}") for i, p in enumerate(BASE)),
-        F.coalesce("found", F.array().cast("array<string>")).alias("found"),
-        F.coalesce("best", F.lit(0.0)).alias("best"),
-    )
-    rest = gate.where("hit IS NULL").select("doc_id", "n_words", *(none.alias(f"base{i}") for i in range(len(BASE))), F.array().cast("array<string>").alias("found"), F.lit(0.0).alias("best"))
-    found = found.unionByName(rest)
-    base = F.array_distinct(F.concat(*(F.when(F.size(f"base{i}") > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for i, label in enumerate(BASE.values()))))
-    places = F.concat(*(F.col(f"base{i}") for i in range(len(BASE))))
-    labels = F.array_distinct(F.concat(base, F.col("found")))
-    return found.select(
+    matched = _matches(gate.where("candidates IS NOT NULL").select("row", "words", "candidates"), templates, weights, rare, slack)
+    facts = gate.select("row", "doc_id", "n_words", "places", "base").join(matched, "row", "left")
+    none = F.array().cast("array<string>")
+    labels = F.array_distinct(F.concat("base", F.coalesce("found", none)))
+    return facts.select(
         "doc_id",
         "n_words",
-        F.size(places).cast("long").alias("n_base"),
-        F.array_min(places).cast("long").alias("first_word"),
-        F.array_max(places).cast("long").alias("last_word"),
-        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places").cast("long").alias("first_word"),
+        F.array_max("places").cast("long").alias("last_word"),
+        F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(labels), ",").alias("labels"),
-        F.least(F.lit(1.0), F.greatest(F.col("best"), F.when(F.size(places) > 0, 0.5).otherwise(0.0))).alias("score"),
+        F.least(F.lit(1.0), F.greatest(F.coalesce("best", F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0))).alias("score"),
     )
 
 

@@ -1,6 +1,7 @@
+import math
 import re
 
-from tesserae.llm.licenses import BASE, license_scan
+from tesserae.llm.licenses import BASE, KEEP, SLACK, TEMPLATES, license_scan
 
 SEPARATOR = re.compile(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -27,6 +28,16 @@ TEXTS = [
 ]
 
 
+_BSD = next(notice for label, notice, _ in TEMPLATES if label == "bsd-2-clause")
+MORE = [
+    "x " * 70_000 + "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "Copyright A. B. " + _BSD.replace("copyright notice", "copyright notice of A B", 1),
+    next(notice for label, notice, _ in TEMPLATES if label == "bsd-3-clause").replace("copyright holder", "A B C D"),
+    " ".join(reversed(_BSD.split())),
+]
+
+
 def test_same_as_brute_force(spark, edge):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     docs = edge.select("doc_id", "text", "kept", "row").unionByName(spark.createDataFrame([(100 + i, t, None, None) for i, t in rows], "doc_id long, text string, kept boolean, row long"))
@@ -39,5 +50,40 @@ def test_same_as_brute_force(spark, edge):
     assert all(set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) for r in got)
 
 
+def whole_brute(texts):
+    """Labels and scores, place by place."""
+    split = [[w for w in SEPARATOR.split((t or "").translate({c: c + 32 for c in range(65, 91)})) if w] for t in texts]
+    vocabulary = {w for _, notice, _ in TEMPLATES for w in notice.split()}
+    weight = {w: math.log((len(texts) + 1) / (sum(w in words for words in map(set, split)) + 0.5)) + 0.01 for w in vocabulary}
+    out = []
+    for text, words in zip(texts, split):
+        labels, best = set(filter(None, brute(text)[4].split(","))), 0.5 * (brute(text)[1] > 0)
+        for label, notice, phrases in TEMPLATES:
+            notice = notice.split()
+            rare = sorted(set(notice), key=lambda w: (-weight[w], w))[:KEEP]
+            votes = [(i - p, w) for i, w in enumerate(words) if w in rare for p, v in enumerate(notice) if v == w]
+            for window in {k for s, _ in votes for k in (s * 2 // SLACK, s * 2 // SLACK - 1)}:
+                own = [(s, w) for s, w in votes if window in (s * 2 // SLACK, s * 2 // SLACK - 1)]
+                agree = {w for _, w in own}
+                if 2 * len(agree) < len(rare):
+                    continue
+                first, last = max(min(own)[0], 0), max(own)[0]
+                there = f" {' '.join(words[first : max(last + len(notice), first)])} "
+                if all(f" {p} " in there for p in phrases):
+                    labels.add(label)
+                    best = max(best, sum(weight[w] for w in agree) / sum(weight[w] for w in rare))
+        out.append((",".join(sorted(labels)), round(min(best, 1.0), 9)))
+    return out
+
+
+def test_labels_and_scores_as_by_brute_force(spark, edge):
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *MORE, *(r["text"] for r in edge.collect())])), "doc_id long, text string").repartition(3)
+    rows = sorted(docs.collect())
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan(docs).collect()}
+    assert [got[r["doc_id"]] for r in rows] == whole_brute([r["text"] for r in rows])
+    labels = [got[len(TEXTS) + k][0] for k in range(len(MORE))]
+    assert labels[0] == "gpl,gpl-3.0" and labels[1] == "lgpl-2.1" and labels[2] == "bsd,bsd-2-clause" and labels[3] == "bsd,bsd-2-clause,bsd-3-clause" and labels[4] == ""
+
+
 def test_empty_table(nothing):
     assert license_scan(nothing).count() == 0
