@@ -5,7 +5,7 @@ frequency over all scanned files. A template's KEEP rarest words are looked up i
 candidate. Every occurrence there votes for the place where the template would start (position in the file minus position in
 the template), and places that differ by a few words count as one, so names and dates put into a notice do not
 break it. A place that at least half of the looked-up words agree on is verified: the template's mandatory key phrases
-must stand within the template's extent there, word for word.
+must stand within the template's extent there (SLACK words before it included), word for word.
 """
 
 from __future__ import annotations
@@ -136,7 +136,7 @@ def _matches(hits: DataFrame, templates, weights: dict[str, float], rare: list[l
     fact = F.element_at(facts, F.col("t") + 1)
     part = F.aggregate(F.array_sort("agree"), F.lit(0.0), lambda a, x: a + x["weight"]) / fact["total"]
     placed = agreed.select("row", "start", "last", part.alias("part"), fact.alias("h")).join(hits.select("row", "words"), "row")
-    first = F.greatest(F.col("start"), F.lit(0))
+    first = F.greatest(F.col("start") - slack, F.lit(0))  # words put in may have moved the beginning
     there = F.concat(F.lit(" "), F.array_join(F.slice("words", first + 1, F.greatest(F.col("last") + F.col("h.n") - first, F.lit(0))), " "), F.lit(" "))
     verified = placed.select("row", "part", "h.label", "h.phrases", there.alias("there")).where(F.forall("phrases", lambda p: F.contains("there", p)))
     return verified.groupBy("row").agg(F.collect_set("label").alias("found"), F.max("part").alias("best"))

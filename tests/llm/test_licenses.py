@@ -67,7 +67,7 @@ def whole_brute(texts):
                 agree = {w for _, w in own}
                 if 2 * len(agree) < len(rare):
                     continue
-                first, last = max(min(own)[0], 0), max(own)[0]
+                first, last = max(min(own)[0] - SLACK, 0), max(own)[0]
                 there = f" {' '.join(words[first : max(last + len(notice), first)])} "
                 if all(f" {p} " in there for p in phrases):
                     labels.add(label)
