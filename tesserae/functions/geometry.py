@@ -40,6 +40,10 @@ def polygon_centroid(ring: Column) -> Column:
     )
 
 
+def perimeter(ring: Column) -> Column:
+    return _sum(ring, lambda p, q: F.sqrt((q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"])))
+
+
 def ensure_ccw(ring: Column) -> Column:
     return F.when(signed_area(ring) < 0, F.reverse(ring)).otherwise(ring)
 
@@ -50,6 +54,42 @@ def with_bbox(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df.withColumns({"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)})
 
 
+def is_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a ring is its own bounding box: its four corners are the box's."""
+    corner = lambda p: ((p["x"] == xmin) | (p["x"] == xmax)) & ((p["y"] == ymin) | (p["y"] == ymax))
+    return (F.size(ring) == 4) & (F.size(F.array_distinct(ring)) == 4) & F.forall(ring, corner)
+
+
+def _edges(ring: Column) -> Column:
+    following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+
+
+def _holds(ring: Column, point: Column) -> Column:
+    """Whether a point that is on no edge is inside: it is left of an odd number of edges."""
+
+    def left_of(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        x = p["x"] + (point["y"] - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"])
+        return ((p["y"] > point["y"]) != (q["y"] > point["y"])) & F.when(p["y"] != q["y"], point["x"] < x).otherwise(False)
+
+    return F.size(F.filter(_edges(ring), left_of)) % 2 == 1
+
+
+def rings_meet(a: Column, b: Column) -> Column:
+    """Whether two closed polygons have a point in common: two of their edges do, or one polygon is inside the other."""
+    side = lambda p, q, r: (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+
+    def meet(e: Column, f: Column) -> Column:
+        near = F.lit(True)
+        for c in ("x", "y"):
+            near = near & (F.least(e["p"][c], e["q"][c]) <= F.greatest(f["p"][c], f["q"][c])) & (F.least(f["p"][c], f["q"][c]) <= F.greatest(e["p"][c], e["q"][c]))
+        apart = lambda g, h: F.signum(side(g["p"], g["q"], h["p"])) * F.signum(side(g["p"], g["q"], h["q"])) <= 0
+        return near & apart(e, f) & apart(f, e)
+
+    return F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: meet(e, f))) | _holds(b, a[0]) | _holds(a, b[0])
+
+
 def box_overlap(a: str, b: str) -> Column:
     """Area of the intersection of two boxes with columns {a}xmin, …, {b}ymax; closed form."""
     side = lambda k: F.greatest(F.lit(0.0), F.least(F.col(f"{a}{k}max"), F.col(f"{b}{k}max")) - F.greatest(F.col(f"{a}{k}min"), F.col(f"{b}{k}min")))
@@ -105,18 +145,126 @@ def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap_area(ring_array(p), ring_array(q)) for p, q in zip(a, b)], dtype=float)
 
 
+def coverage(points: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """First row, first column, and how much of each pixel [p, p + 1) x [q, q + 1) of the bounding box the polygon covers.
+
+    By Green's theorem the polygon's area left of x within a row is the integral of min(X, x) dY along its edges there, so one
+    pass over edges and rows gives the areas left of all pixel borders, and differences give the pixels."""
+    (x0, y0), (x1, y1) = np.floor(points.min(axis=0)).astype(int), np.ceil(points.max(axis=0)).astype(int)
+    p, q = points, np.roll(points, -1, axis=0)
+    p, q = p[p[:, 1] != q[:, 1]], q[p[:, 1] != q[:, 1]]
+    out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0)))
+    borders = np.arange(x0, x1 + 1)[None]
+    for y in range(y0, y1):
+        a, b = (np.clip(v[:, 1], y, y + 1) for v in (p, q))
+        here = a != b
+        if not here.any():
+            continue
+        a, b, u, v = a[here], b[here], p[here], q[here]
+        slope = (v[:, 0] - u[:, 0]) / (v[:, 1] - u[:, 1])
+        ends = np.sort(np.stack([u[:, 0] + (a - u[:, 1]) * slope, u[:, 0] + (b - u[:, 1]) * slope]), axis=0)
+        low, high = ends[0][:, None], ends[1][:, None]
+        t = np.clip((borders - low) / np.where(high > low, high - low, 1), 0, 1)
+        t = np.where(high > low, t, (borders >= low).astype(float))
+        left = np.minimum(borders, high)
+        mean = t * (low + np.maximum(left, low)) / 2 + (1 - t) * borders  # of min(X, border) along the edge
+        out[y - y0] = np.abs(np.diff(((b - a)[:, None] * mean).sum(axis=0)))
+    return y0, x0, out
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())])))
 def ring_pixels(ring: pd.Series) -> pd.Series:
     """Pixels [p, p + 1) x [q, q + 1) whose open interior meets the polygon."""
 
-    def of(points: np.ndarray) -> list[tuple[int, int]]:
-        (x0, y0), (x1, y1) = np.floor(points.min(axis=0)).astype(int), np.ceil(points.max(axis=0)).astype(int)
-        out = []
-        for y in range(y0, y1):
-            row = clip(clip(points, 0, -1, -y), 0, 1, y + 1)
-            for x in range(x0, x1):
-                if abs(area_of(clip(clip(row, -1, 0, -x), 1, 0, x + 1))) > 1e-12:
-                    out.append({"y": y, "x": x})
-        return out
+    def of(points: np.ndarray) -> list[dict[str, int]]:
+        y0, x0, area = coverage(points)
+        y, x = np.nonzero(area > 1e-9)
+        return [{"y": a, "x": b} for a, b in zip((y + y0).tolist(), (x + x0).tolist())]
 
     return pd.Series([of(ring_array(r)) for r in ring])
+
+
+def outline_of_union(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """The rings around the union of simple polygons: outer ones counter-clockwise, holes clockwise.
+
+    All edges are cut where they meet another polygon's. A piece stays if its middle lies outside all other polygons; of pieces
+    that coincide, one stays if they run alike, none if they run against each other. Pieces that stay are joined end to end.
+    """
+    rings = [r if area_of(r) > 0 else r[::-1] for r in rings]
+    size = max(float(np.ptp(np.concatenate(rings), axis=0).max()), 1e-9)
+    near = 1e-9 * size
+    key = lambda v: tuple(np.floor(v / near / 8 + 0.2718281828).astype(int).tolist())
+    edges = [(k, r[i], r[(i + 1) % len(r)]) for k, r in enumerate(rings) for i in range(len(r))]
+    starts, ends = np.array([e[1] for e in edges]), np.array([e[2] for e in edges])
+    owner = np.array([e[0] for e in edges])
+    cross = lambda u, v: u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+    pieces: dict[tuple, list] = {}
+    for k, p, q in edges:
+        way = q - p
+        length = float(np.hypot(*way))
+        if length <= near:
+            continue
+        other = owner != k
+        u, v = starts[other], ends[other]
+        along = v - u
+        turn = cross(way, along)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, w = cross(u - p, along) / turn, cross(u - p, way) / turn
+        slack = near / length
+        meets = (np.abs(turn) > 1e-12 * length * size) & (w >= -1e-9) & (w <= 1 + 1e-9) & (t > slack) & (t < 1 - slack)
+        cuts = t[meets].tolist()
+        for corner in (u, v):  # corners of others on this edge
+            on = (corner - p) @ way / length**2
+            off = np.abs(cross(corner - p, way)) / length
+            cuts += on[(off <= near) & (on > slack) & (on < 1 - slack)].tolist()
+        places = [0.0, *sorted(cuts), 1.0]
+        for a, b in zip(places, places[1:]):
+            if (b - a) * length <= near:
+                continue
+            start, end = p + a * way, p + b * way
+            middle = (start + end) / 2
+            if any(j != k and _inside(middle, r, near) for j, r in enumerate(rings)):
+                continue
+            ka, kb = key(start), key(end)
+            if (kb, ka) in pieces:
+                del pieces[kb, ka]
+            else:
+                pieces[ka, kb] = (start, end)
+    following: dict[tuple, list] = {}
+    for (ka, kb), (start, end) in pieces.items():
+        following.setdefault(ka, []).append((kb, start, end))
+    out = []
+    while following:
+        at = next(iter(following))
+        ring, way = [], None
+        while at in following:
+            options = following[at]
+            if way is not None and len(options) > 1:  # where rings touch in a corner, the sharpest right turn keeps them apart
+                options.sort(key=lambda o: np.arctan2(way[0] * (o[2] - o[1])[1] - way[1] * (o[2] - o[1])[0], way @ (o[2] - o[1])))
+            to, start, end = options.pop(0)
+            if not options:
+                del following[at]
+            ring.append(start)
+            way, at = end - start, to
+        ring = _without_straight_corners(np.array(ring), near)
+        if len(ring) > 2:
+            out.append(ring)
+    return out
+
+
+def _inside(point: np.ndarray, ring: np.ndarray, near: float) -> bool:
+    """Strictly inside; not within ``near`` of an edge."""
+    p, q = ring, np.roll(ring, -1, axis=0)
+    way = q - p
+    t = np.clip(((point - p) * way).sum(axis=1) / np.maximum((way**2).sum(axis=1), 1e-300), 0, 1)
+    if np.hypot(*(p + t[:, None] * way - point).T).min() <= near:
+        return False
+    crosses = (p[:, 1] > point[1]) != (q[:, 1] > point[1])
+    x = p[crosses, 0] + (point[1] - p[crosses, 1]) / way[crosses, 1] * way[crosses, 0]
+    return bool((x > point[0]).sum() % 2)
+
+
+def _without_straight_corners(ring: np.ndarray, near: float) -> np.ndarray:
+    before, after = ring - np.roll(ring, 1, axis=0), np.roll(ring, -1, axis=0) - ring
+    bend = np.abs(before[:, 0] * after[:, 1] - before[:, 1] * after[:, 0])
+    return ring[bend > near * (np.hypot(*before.T) + np.hypot(*after.T))]

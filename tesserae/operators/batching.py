@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators.density import unit
 from tesserae.operators.tiling import dense_grid
+from tesserae.sources.tables import durable
 
 
 def normalize99(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -38,18 +39,36 @@ def pack_patches(pixels: DataFrame, keys: list[str], height: int, width: int) ->
     return full.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("plane"))
 
 
+def numbered(samples: DataFrame, key: str, name: str, order: list[Column] | None = None) -> DataFrame:
+    """Adds the place (from 0) of each sample in the order of its key, or in ``order``; the key tells samples apart. Only keys are
+    sorted, range by range, so no task sees them all: a row's place is its place in its range and the rows of the ranges before."""
+    spark = samples.sparkSession
+    columns = [F.col(key)] if order is None else [*order, F.col(key)]
+    keys = samples.select(key, *(c.alias(f"_o{i}") for i, c in enumerate(columns)))
+    by = [f"_o{i}" for i in range(len(columns))]
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(keys.repartitionByRange(tasks, *by).sortWithinPartitions(*by).select(key, F.monotonically_increasing_id().alias("_at")), "places")
+    # the task above bit 33, the place in it below
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    runs = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    # a row per task
+    offsets = runs.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    ranked = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part").select(key, (F.col("_offset") + place).alias(name))
+    return samples.join(ranked, key)
+
+
 def numbered_batches(samples: DataFrame, key: str, size: int) -> DataFrame:
     """Adds batch: ``size`` samples each in the order of the key."""
-    return samples.withColumn("batch", F.floor((F.row_number().over(W.orderBy(key)) - 1) / size).cast("int"))
+    return numbered(samples, key, "_place").withColumn("batch", F.floor(F.col("_place") / size).cast("int")).drop("_place")
 
 
 def collate_sequences(samples: DataFrame, key: str, columns: list[str], size: int) -> DataFrame:
-    """Lists padded with 0 to the longest of their batch."""
+    """Lists padded with 0 to the longest of their batch. A batch's samples meet in one task; ``size`` bounds them."""
     out = numbered_batches(samples, key, size)
-    for c in columns:
-        longest = F.max(F.size(c)).over(W.partitionBy("batch"))
-        out = out.withColumn("_n", longest).withColumn(c, F.concat(F.col(c), F.array_repeat(F.lit(0), F.col("_n") - F.size(c)))).drop("_n")
-    return out
+    batch = W.partitionBy("batch")
+    out = out.withColumns({f"_n{i}": F.max(F.size(c)).over(batch) for i, c in enumerate(columns)})
+    return out.withColumns({c: F.concat(F.col(c), F.array_repeat(F.lit(0), F.col(f"_n{i}") - F.size(c))) for i, c in enumerate(columns)}).drop(*(f"_n{i}" for i in range(len(columns))))
 
 
 def collate_channels(samples: DataFrame, key: str, column: str, size: int) -> DataFrame:
@@ -61,8 +80,9 @@ def collate_channels(samples: DataFrame, key: str, column: str, size: int) -> Da
 
 def train_val_split(patches: DataFrame, fraction: float, seed: int) -> DataFrame:
     """Adds part: exactly round(fraction n) patches are ``val``, the same ones for a seed."""
-    place, n = F.row_number().over(W.orderBy(unit("patch_id", F.lit(seed)), "patch_id")), F.count(F.lit(1)).over(W.partitionBy())
-    return patches.withColumn("part", F.when(place <= F.round(n * fraction), "val").otherwise("train"))
+    total = patches.agg(F.count(F.lit(1)).alias("_total"))
+    placed = numbered(patches, "patch_id", "_place", [unit("patch_id", F.lit(seed))]).join(F.broadcast(total))  # one row
+    return placed.withColumn("part", F.when(F.col("_place") < F.round(F.col("_total") * fraction), "val").otherwise("train")).drop("_place", "_total")
 
 
 def channel_dropout(pixels: DataFrame, keep: float, epoch: int, warmup: int, seed: int, drop_dapi: bool = False, use: list[str] | None = None) -> DataFrame:
@@ -76,35 +96,55 @@ def channel_dropout(pixels: DataFrame, keep: float, epoch: int, warmup: int, see
     return out.withColumn("value", F.when(lost, 0.0).otherwise(F.col("value")))
 
 
-def augment_pixels(pixels: DataFrame, key: str, channels: int, side: int, seed: int, p: float = 0.2, most: float = 0.25, hole: int = 20) -> DataFrame:
-    """Per sample, each with probability p: contrast and brightness within +-most, a square hole in all channels, a square
-    hole in one, and two channels swapped. Columns key, channel, y, x, value. Parameters are drawn once per
-    sample, from its key alone."""
+def augment_pixels(pixels: DataFrame, key: str, channels: int, side: int, seed: int, p: float = 0.2, most: float = 0.25, hole: int = 400) -> DataFrame:
+    """Per sample, each with probability p: contrast and brightness within +-most, a blur (the mean of a window of 3, 5 or 7 pixels,
+    mirrored at the edges), one or two rectangles in all channels, one in a single channel (up to ``hole`` pixels high and
+    wide), and two channels swapped. Columns key, channel, y, x, value; absent pixels are 0 and stay so but for the blur. Parameters
+    are drawn once per sample, from its key alone."""
     draw = lambda what: unit(key, F.lit(seed), F.lit(what))
     hit = lambda what: draw(what + "?") < p
     place = lambda what, n: F.floor(draw(what) * n)
     first, second = place("swap1", channels), place("swap2", channels)
     swapped = F.when(hit("swap") & (F.col("channel") == first), second).when(hit("swap") & (F.col("channel") == second), first).otherwise(F.col("channel"))
-    out = pixels.withColumn("channel", swapped.cast("int"))
+    out = pixels.select(key, swapped.cast("int").alias("channel"), "y", "x", "value")
     contrast, bright = 1 + most * (2 * draw("contrast") - 1), most * (2 * draw("bright") - 1)
     out = out.withColumn("value", F.when(hit("light"), F.col("value") * contrast + bright).otherwise(F.col("value")))
+    radius = F.when(hit("blur"), 1 + place("blur", 3)).otherwise(0).cast("int")
+    out = blurred(blurred(out.withColumn("_r", radius), [key, "channel", "_r"], "y", side), [key, "channel", "_r"], "x", side).drop("_r")
 
     def inside(what: str) -> Column:
         y, x = place(what + "y", side), place(what + "x", side)
-        return (F.col("y") >= y) & (F.col("y") < y + hole) & (F.col("x") >= x) & (F.col("x") < x + hole)
+        height, width = (1 + place(what + c, min(hole, side)) for c in ("h", "w"))
+        return (F.col("y") >= y) & (F.col("y") < y + height) & (F.col("x") >= x) & (F.col("x") < x + width)
 
-    holes = (hit("hole") & inside("hole")) | (hit("one") & (F.col("channel") == place("onechannel", channels)) & inside("one"))
+    every = hit("hole") & (inside("hole1") | ((draw("holes") >= 0.5) & inside("hole2")))
+    holes = every | (hit("one") & (F.col("channel") == place("onechannel", channels)) & inside("one"))
     return out.withColumn("value", F.when(holes, 0.0).otherwise(F.col("value")))
 
 
-def augment_geometry(pixels: DataFrame, key: str, carried: list[str], side: int, seed: int, p: float = 0.5, flows: tuple[str, str] | None = None) -> DataFrame:
-    """Per sample, with probability p, a rotation and a scale of 0.5 to 1.5 about the middle; image and target columns
-    (``carried``) move together and flow vectors (y, x) turn with them. Nearest neighbour: each destination pixel
-    reads the source at the inverse map, outside which it is absent."""
+def blurred(raster: DataFrame, keys: list[str], axis: str, n: int) -> DataFrame:
+    """The mean over 2 _r + 1 pixels along an axis, mirrored at the edges; _r is one of the keys. Each pixel goes to its readers."""
+    r, c = F.col("_r"), F.col(axis)
+    sources = F.filter(F.array(c, -1 - c, 2 * n - 1 - c), lambda s: (s >= -r) & (s < n + r))
+    spread = raster.withColumn("_s", F.explode(sources)).withColumn("_to", F.explode(F.sequence(F.col("_s") - r, F.col("_s") + r))).where(f"_to >= 0 AND _to < {n}")
+    other = [o for o in ("y", "x") if o != axis]
+    return spread.groupBy(*keys, *other, F.col("_to").cast("int").alias(axis)).agg(F.sum(F.col("value") / (2 * r + 1)).alias("value"))
+
+
+def augment_geometry(
+    pixels: DataFrame, key: str, carried: list[str], side: int, seed: int, p: float = 0.5, p_scale: float = 0.75, flows: tuple[str, str] | None = None, mask: str | None = None, crop: int | None = None
+) -> DataFrame:
+    """Per sample, with probability p a rotation and a scale of 0.5 to 1.5 about the middle, then with probability p_scale another
+    such scale; image and target columns (``carried``) move together and flow vectors (y, x) turn with them. Nearest neighbour:
+    each destination pixel reads the source at the inverse map; outside the source it is padding, which is absent, that is 0.
+
+    crop: afterwards a square of this side is cut out, around a pixel with ``mask`` > 0 that the sample's seed chooses (anywhere, if there
+    is none), and moved to the origin."""
     draw = lambda what: unit(key, F.lit(seed), F.lit(what))
-    turned = draw("turn?") < p
-    angle, scale = F.when(turned, 2 * math.pi * draw("angle")).otherwise(0.0), F.when(turned, 0.5 + draw("scale")).otherwise(1.0)
-    grid = dense_grid(pixels.select(key).distinct(), side, side).withColumns({"_a": angle, "_s": scale})
+    turned, resized = draw("turn?") < p, draw("resize?") < p_scale
+    angle = F.when(turned, 2 * math.pi * draw("angle")).otherwise(0.0)
+    scale = F.when(turned, 0.5 + draw("scale")).otherwise(1.0) * F.when(resized, 0.5 + draw("resize")).otherwise(1.0)
+    grid = dense_grid(pixels.select(key).distinct().withColumns({"_a": angle, "_s": scale}), side, side)
     middle = (side - 1) / 2
     dy, dx = F.col("y") - middle, F.col("x") - middle
     sy = F.round((F.cos("_a") * dy - F.sin("_a") * dx) / F.col("_s") + middle)
@@ -115,4 +155,22 @@ def augment_geometry(pixels: DataFrame, key: str, carried: list[str], side: int,
     if flows:
         fy, fx = F.col(flows[0]), F.col(flows[1])
         out = out.withColumns({flows[0]: F.cos("_a") * fy + F.sin("_a") * fx, flows[1]: -F.sin("_a") * fy + F.cos("_a") * fx})
-    return out.select(key, "y", "x", *carried)
+    out = out.select(key, "y", "x", *carried)
+    return out if crop is None else cropped(out, key, side, crop, seed, mask)
+
+
+def cropped(pixels: DataFrame, key: str, side: int, crop: int, seed: int, mask: str | None) -> DataFrame:
+    """A square of ``crop`` pixels of each sample that holds a chosen pixel of the mask, moved to the origin."""
+    draw = lambda what: unit(key, F.lit(seed), F.lit(what))
+    lit = F.lit(False) if mask is None else F.col(mask) > 0
+    choice = F.struct(unit(key, "y", "x", F.lit(seed), F.lit("crop")).alias("u"), "y", "x")
+    held = pixels.groupBy(key).agg(F.min(F.when(lit, choice)).alias("_c"))
+
+    def origin(c: str) -> Column:
+        free = F.floor(draw("crop" + c) * (side - crop + 1))
+        around = F.greatest(F.lit(0), F.least(F.lit(side - crop), F.col(f"_c.{c}") - F.floor(draw("crop" + c) * crop)))
+        return F.when(F.col("_c").isNull(), free).otherwise(around).cast("int")
+
+    moved = pixels.join(held.select(key, origin("y").alias("_oy"), origin("x").alias("_ox")), key)
+    moved = moved.withColumns({"y": F.col("y") - F.col("_oy"), "x": F.col("x") - F.col("_ox")}).drop("_oy", "_ox")
+    return moved.where(f"y >= 0 AND y < {crop} AND x >= 0 AND x < {crop}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import box_overlap, intersection_area, polygon_area
 from tesserae.operators.tiling import spatial_join
+from tesserae.sources.tables import durable
 
 
 def overlap_ratio(cells: DataFrame, nuclei: DataFrame, boxes: bool = True) -> DataFrame:
@@ -59,7 +60,8 @@ def nuclei_per_cell(cells: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def consistent_target(cells: DataFrame, nuclei: DataFrame, contain: float = 0.95, intersect: float | None = 0.05, accepted: set[int] | None = None, max_intersecting: int = 1, boxes: bool = True) -> DataFrame:
     """layer and shape_id of the five layers: with_nuclei, without_nuclei, inconsistent, in_cell, not_in_cell."""
-    pairs = classify_pairs(overlap_ratio(cells, nuclei, boxes), contain, intersect)
+    # joined once, read four times
+    pairs = durable(classify_pairs(overlap_ratio(cells, nuclei, boxes), contain, intersect), "curated-pairs")
     status = cell_status(cells, pairs, accepted)
     layers = status.select(F.col("cell_status").alias("layer"), F.col("cell_id").cast("long").alias("shape_id"))
     own = nucleus_status(nuclei, pairs, status, max_intersecting)

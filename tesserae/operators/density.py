@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.tiling import Grid, _origin, dense_grid
+from tesserae.operators.tiling import Grid, _origin, dense_grid, patch_grid, patch_point_counts, rasterize_polygons, valid_patches
+from tesserae.sources.tables import durable
 
 
 def pixel_of(grid: Grid) -> tuple[Column, Column]:
@@ -40,10 +41,10 @@ def _smooth_axis(raster: DataFrame, keys: list[str], axis: str, n: int, weights:
     radius = len(weights) // 2
     taps = F.array(*(F.struct(F.lit(d - radius).alias("d"), F.lit(float(w)).alias("w")) for d, w in enumerate(weights)))
     other = [c for c in ("y", "x") if c != axis]
-    # the pixels whose window holds this one: in place, or across an edge
-    spread = raster.withColumn("_t", F.explode(taps))
-    sources = F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis))
-    spread = spread.withColumn("_s", F.explode(sources)).withColumn("_to", F.col("_s") + F.col("_t.d")).where(f"_to >= 0 AND _to < {n}")
+    # the pixels whose window holds this one: in place, or across an edge that is near enough
+    sources = F.filter(F.array(F.col(axis), -1 - F.col(axis), 2 * n - 1 - F.col(axis)), lambda s: (s >= -radius) & (s < n + radius))
+    spread = raster.withColumn("_s", F.explode(sources)).withColumn("_t", F.explode(taps))
+    spread = spread.withColumn("_to", F.col("_s") + F.col("_t.d")).where(f"_to >= 0 AND _to < {n}")
     return spread.groupBy(*keys, *other, F.col("_to").cast("int").alias(axis)).agg(F.sum(F.col("value") * F.col("_t.w")).alias("value"))
 
 
@@ -59,11 +60,7 @@ def gaussian_smooth(raster: DataFrame, keys: list[str], height: int, width: int,
     def convolve(plane: pd.DataFrame) -> pd.DataFrame:
         dense = np.zeros((height, width))
         dense[plane["y"], plane["x"]] = plane["value"]
-        r = len(weights) // 2
-        for axis, n in ((0, height), (1, width)):
-            place = np.arange(-r, n + r) % (2 * n)
-            padded = np.take(dense, np.where(place < n, place, 2 * n - 1 - place), axis=axis)
-            dense = sum(w * np.take(padded, np.arange(n) + k, axis=axis) for k, w in enumerate(weights))
+        dense = convolved(dense, weights)
         y, x = np.nonzero(dense)
         out = pd.DataFrame({"y": y.astype("int32"), "x": x.astype("int32"), "value": dense[y, x]})
         for i, k in enumerate(keys):
@@ -73,17 +70,69 @@ def gaussian_smooth(raster: DataFrame, keys: list[str], height: int, width: int,
     return raster.groupBy(*keys).applyInPandas(convolve, schema)
 
 
+def convolved(dense: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Both axes, mirrored at the edges."""
+    r = len(weights) // 2
+    for axis in (0, 1):
+        n = dense.shape[axis]
+        place = np.arange(-r, n + r) % (2 * n)
+        padded = np.take(dense, np.where(place < n, place, 2 * n - 1 - place), axis=axis)
+        dense = sum(w * (padded[k : k + n] if axis == 0 else padded[:, k : k + n]) for k, w in enumerate(weights))
+    return dense
+
+
 def mean_density_per_polygon(labels: DataFrame, density: DataFrame) -> DataFrame:
     """patch_id, label and the mean density of its pixels, zeros included."""
     joined = labels.join(density, ["patch_id", "y", "x"], "left")
     return joined.groupBy("patch_id", "label").agg(F.avg(F.coalesce("value", F.lit(0.0))).alias("mean_density"))
 
 
+def smoothed_means(raster: DataFrame, labels: DataFrame, side: int, sigma: float) -> DataFrame:
+    """What mean_density_per_polygon gives for the smoothed raster (patch_id, y, x), for kernels of any size: each patch is convolved
+    and averaged in one place, so no dense plane is ever a table. Patches without points or without labels have no rows."""
+    weights = kernel(sigma)
+
+    def means(key: tuple, points: pd.DataFrame, pixels: pd.DataFrame) -> pd.DataFrame:
+        if points.empty or pixels.empty:
+            return pd.DataFrame({"patch_id": [], "label": [], "mean_density": []})
+        dense = np.zeros((side, side))
+        dense[points["y"], points["x"]] = 1.0
+        dense = convolved(dense, weights)
+        label = pixels["label"].to_numpy()
+        n = np.bincount(label)
+        total = np.bincount(label, dense[pixels["y"], pixels["x"]])
+        own = np.flatnonzero(n)
+        return pd.DataFrame({"patch_id": key[0], "label": own, "mean_density": total[own] / n[own]})
+
+    pair = raster.select("patch_id", "y", "x").groupBy("patch_id").cogroup(labels.select("patch_id", "y", "x", "label").groupBy("patch_id"))
+    return pair.applyInPandas(means, "patch_id int, label int, mean_density double")
+
+
 def density_threshold(means: DataFrame, percentile: float) -> DataFrame:
     """The percentile of all means, linearly interpolated."""
     return means.agg(F.percentile("mean_density", percentile / 100).alias("threshold"))
 
 
+def dataset_threshold(assigned: DataFrame, shapes: DataFrame, grid: Grid, key: str, sigma: float = 9.0, percentile: float = 5.0, min_points: int = 10, min_cells: int = 1, boxes: bool = True) -> DataFrame:
+    """The density threshold of a slide: over the patches with at least min_points points and min_cells shapes, the percentile of
+    all shapes' mean densities. Points and shapes are filtered by patch before any raster is made."""
+    spark = assigned.sparkSession
+    grids = patch_grid(spark, grid)
+    counts = patch_point_counts(assigned, grids)
+    # a row per patch that is used
+    used = durable(valid_patches(grids, counts, shapes, grid, grid.x1, grid.y1, min_cells, min_points, check_border=False).select("patch_id"), "threshold-patches")
+    raster = presence_raster(assigned.join(used, "patch_id", "left_semi"), grid)
+    labels = rasterize_polygons(shapes, grid, key, boxes).join(used, "patch_id", "left_semi")
+    return density_threshold(smoothed_means(raster, labels, int(grid.width), sigma), percentile)
+
+
+def background_at(pixels: DataFrame, density: DataFrame, threshold: float) -> DataFrame:
+    """patch_id, y, x of those pixels of a sparse table that are background: density below the threshold, or none. Where only
+    labelled pixels are asked for, this spares the dense mask."""
+    place = ["patch_id", "y", "x"]
+    return pixels.select(*place).join(density, place, "left").where(F.coalesce("value", F.lit(0.0)) < threshold).select(*place)
+
+
 def background_mask(patches: DataFrame, density: DataFrame, side: int, threshold: float) -> DataFrame:
     """patch_id, y, x of pixels with density below the threshold; dense, since most have none."""
     grid = dense_grid(patches.select("patch_id"), side, side)

@@ -33,11 +33,12 @@ def scaled_coords(assigned: DataFrame, grid: Grid, target: int) -> DataFrame:
 
 def rna_image(points: DataFrame, keys: list[str], values: DataFrame | None = None, mode: str = "add", order: list[str] | None = None) -> DataFrame:
     """keys, y, x, channel, value: the sum of the points' gene vectors on each pixel (``add``), or the last point's in
-    ``order`` (``last``). Without vectors each point counts 1 in channel 0."""
+    ``order`` (``last``). Without vectors each point counts 1 in channel 0. A gene without a vector is an error where it is read."""
     if values is None:
         wide = points.withColumn("value", F.array(F.lit(1.0)))
     else:
-        wide = points.join(values, "gene")
+        missing = F.raise_error(F.concat(F.lit("no vector for gene "), F.col("gene"))).cast("array<double>")
+        wide = points.join(values, "gene", "left").withColumn("value", F.coalesce(F.col("value").cast("array<double>"), missing))
     if mode == "last":
         wide = wide.groupBy(*keys, "y", "x").agg(F.max_by("value", F.struct(*order)).alias("value"))
         return wide.select(*keys, "y", "x", F.posexplode("value").alias("channel", "value"))
@@ -57,8 +58,10 @@ def max_filter(raster: DataFrame, keys: list[str], height: int, width: int, size
         return F.array_distinct(F.filter(mirrored, lambda p: (p >= 0) & (p < n)))
 
     wide = raster.withColumn("_y", F.explode(readers("y", height))).withColumn("_x", F.explode(readers("x", width)))
-    found = wide.groupBy(*keys, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x")).agg(F.max("value").alias("value"))
-    return found.withColumn("value", F.greatest("value", F.lit(0.0)))
+    found = wide.groupBy(*keys, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x")).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+    span = lambda c, n: F.least(F.col(c) + high, F.lit(n - 1)) - F.greatest(F.col(c) - low, F.lit(0)) + 1
+    full = F.col("_n") == span("y", height) * span("x", width)
+    return found.withColumn("value", F.when(full, F.col("value")).otherwise(F.greatest("value", F.lit(0.0)))).drop("_n")
 
 
 def rna_input(points: DataFrame, keys: list[str], side: int, values: DataFrame | None = None) -> DataFrame:
@@ -67,14 +70,18 @@ def rna_input(points: DataFrame, keys: list[str], side: int, values: DataFrame |
     return gaussian_smooth(max_filter(image, [*keys, "channel"], side, side, 2), [*keys, "channel"], side, side, 0.5)
 
 
-def stamp_embeddings(points: DataFrame, keys: list[str], embeddings: DataFrame, side: int, radius: int, order: list[str]) -> DataFrame:
-    """keys, y, x, value: each point's vector on the (2 radius + 1) square around it, clamped to the edges. Offsets go in
-    turn, points in ``order`` within each, and the last one stays."""
+def stamp_embeddings(points: DataFrame, keys: list[str], embeddings: DataFrame, side: int, radius: int, order: list[str], dimensions: int, sigma: float = 0.0) -> DataFrame:
+    """keys, y, x, channel, value: each point's vector on the (2 radius + 1) square around it, clamped to the edges. Offsets go in
+    turn, points in ``order`` within each, and the last one stays. Points whose gene has no vector, such as padding, stamp
+    zeros. With sigma each channel is smoothed afterwards."""
     offsets = F.array(*(F.struct(F.lit(i).alias("rank"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for i, (dy, dx) in enumerate((a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1))))
-    vectors = points.join(embeddings, "gene").withColumn("_o", F.explode(offsets))
+    vectors = points.join(embeddings, "gene", "left").withColumn("value", F.coalesce(F.col("value").cast("array<double>"), F.array_repeat(F.lit(0.0), dimensions)))
+    vectors = vectors.withColumn("_o", F.explode(offsets))
     clamp = lambda v: F.least(F.greatest(v, F.lit(0)), F.lit(side - 1))
     placed = vectors.select(*keys, clamp(F.col("y") + F.col("_o.dy")).alias("y"), clamp(F.col("x") + F.col("_o.dx")).alias("x"), "value", F.struct("_o.rank", *order).alias("_k"))
-    return placed.groupBy(*keys, "y", "x").agg(F.max_by("value", "_k").alias("value"))
+    stamped = placed.groupBy(*keys, "y", "x").agg(F.max_by("value", "_k").alias("value"))
+    image = stamped.select(*keys, "y", "x", F.posexplode("value").alias("channel", "value"))
+    return gaussian_smooth(image, [*keys, "channel"], side, side, sigma) if sigma > 0 else image
 
 
 def gauss(*parts: Column | str) -> Column:

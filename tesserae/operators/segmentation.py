@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import box_overlap, intersection_area, polygon_area, ring_array, with_bbox
+from tesserae.functions.geometry import area_of, box_overlap, intersection_area, outline_of_union, polygon_area, ring_array, with_bbox
 from tesserae.operators.graph import components
 from tesserae.operators.tiling import Grid, spatial_join, translate_shapes
 from tesserae.sources.tables import durable, read_patch_results, write_layer
@@ -36,8 +36,9 @@ def masked_flow_loss(pixels: DataFrame) -> DataFrame:
 
 
 def labels_to_cells(labels: DataFrame) -> DataFrame:
-    """patch_id, label, area, bounds and centroid of each label's pixels."""
-    return labels.groupBy("patch_id", "label").agg(
+    """patch_id, label, area, bounds, centroid of each label's pixels, and rings: the exact rings of pixel edges around them, corners
+    only. Outer rings have a positive signed area, holes a negative one, so they add up to the area."""
+    measures = labels.groupBy("patch_id", "label").agg(
         F.count(F.lit(1)).alias("area"),
         F.min("x").alias("xmin"),
         F.min("y").alias("ymin"),
@@ -46,10 +47,11 @@ def labels_to_cells(labels: DataFrame) -> DataFrame:
         F.avg(F.col("x") + 0.5).alias("cx"),
         F.avg(F.col("y") + 0.5).alias("cy"),
     )
+    return measures.join(label_rings(labels), ["patch_id", "label"])
 
 
-def outline(y: np.ndarray, x: np.ndarray) -> list[tuple[float, float]]:
-    """The longest ring of pixel edges around a set of pixels, corners only."""
+def outlines(y: np.ndarray, x: np.ndarray) -> list[list[tuple[float, float]]]:
+    """The rings of pixel edges around a set of pixels, corners only."""
     own = set(zip(y.tolist(), x.tolist()))
     edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for r, c in own:
@@ -69,20 +71,28 @@ def outline(y: np.ndarray, x: np.ndarray) -> list[tuple[float, float]]:
                 del edges[at]
             way, at = (end[0] - at[0], end[1] - at[1]), end
             ring.append(at)
-        rings.append(ring[:-1])
-    area = lambda ring: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1])))
-    ring = max(rings, key=area)
-    return [(float(p[0]), float(p[1])) for o, p, q in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]]) if (p[0] - o[0]) * (q[1] - p[1]) != (p[1] - o[1]) * (q[0] - p[0])]
+        ring = ring[:-1]
+        rings.append([(float(p[0]), float(p[1])) for o, p, q in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]]) if (p[0] - o[0]) * (q[1] - p[1]) != (p[1] - o[1]) * (q[0] - p[0])])
+    return rings
+
+
+def outline(y: np.ndarray, x: np.ndarray) -> list[tuple[float, float]]:
+    """The ring of the largest area."""
+    return max(outlines(y, x), key=lambda ring: abs(area_of(np.array(ring))))
 
 
 def label_rings(labels: DataFrame) -> DataFrame:
-    """patch_id, label and the exact ring of pixel edges of each label."""
+    """patch_id, label, rings and ring, the largest of them; a patch's labels are traced together."""
 
     def trace(pixels: pd.DataFrame) -> pd.DataFrame:
-        ring = [{"x": x, "y": y} for x, y in outline(pixels["y"].to_numpy(), pixels["x"].to_numpy())]
-        return pd.DataFrame({"patch_id": [pixels["patch_id"].iloc[0]], "label": [pixels["label"].iloc[0]], "ring": [ring]})
+        points = lambda ring: [{"x": x, "y": y} for x, y in ring]
+        found = []
+        for label, own in pixels.groupby("label"):
+            rings = outlines(own["y"].to_numpy(), own["x"].to_numpy())
+            found.append((pixels["patch_id"].iloc[0], label, [points(r) for r in rings], points(max(rings, key=lambda r: abs(area_of(np.array(r)))))))
+        return pd.DataFrame(found, columns=["patch_id", "label", "rings", "ring"])
 
-    return labels.groupBy("patch_id", "label").applyInPandas(trace, "patch_id int, label int, ring array<struct<x: double, y: double>>")
+    return labels.groupBy("patch_id").applyInPandas(trace, "patch_id int, label int, rings array<array<struct<x: double, y: double>>>, ring array<struct<x: double, y: double>>")
 
 
 def filter_min_area(cells: DataFrame, least: float) -> DataFrame:
@@ -111,29 +121,26 @@ def resolve_conflicts(cells: DataFrame, threshold: float = 0.25, boxes: bool = T
 
 
 def union_groups(cells: DataFrame) -> DataFrame:
-    """One shape per group: its bounds, its cells, and the outline of the union's pixels."""
+    """One shape per group (columns cell_id, group, ring): group, n_cells, area, ring. A cell without conflicts stays as it is; the
+    cells of a larger group become their exact union, whose outer ring is kept; holes count off the area."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        from tesserae.functions.geometry import area_of, clip
-
-        pixels = set()
-        for ring in group["ring"]:
-            points = ring_array(ring)
-            (x0, y0), (x1, y1) = np.floor(points.min(axis=0)).astype(int), np.ceil(points.max(axis=0)).astype(int)
-            for y in range(y0, y1):
-                row = clip(clip(points, 0, -1, -y), 0, 1, y + 1)
-                pixels |= {(y, x) for x in range(x0, x1) if abs(area_of(clip(clip(row, -1, 0, -x), 1, 0, x + 1))) > 1e-12}
-        y, x = np.array(sorted(pixels)).T
-        return pd.DataFrame({"group": [group["group"].iloc[0]], "n_cells": [len(group)], "area": [len(pixels)], "ring": [[{"x": a, "y": b} for a, b in outline(y, x)]]})
+        rings = outline_of_union([ring_array(r) for r in group["ring"]])
+        outer = max(rings, key=area_of)
+        ring = [{"x": x, "y": y} for x, y in outer.tolist()]
+        return pd.DataFrame({"group": [group["group"].iloc[0]], "n_cells": [len(group)], "area": [sum(map(area_of, rings))], "ring": [ring]})
 
-    return cells.groupBy("group").applyInPandas(merge, "group long, n_cells long, area long, ring array<struct<x: double, y: double>>")
+    counted = cells.groupBy("group").agg(F.count(F.lit(1)).alias("n_cells"))
+    alone = cells.join(counted.where("n_cells = 1"), "group").select("group", "n_cells", polygon_area(F.col("ring")).alias("area"), "ring")
+    several = cells.join(counted.where("n_cells > 1").select("group"), "group", "left_semi").select("group", "ring")
+    return alone.unionByName(several.groupBy("group").applyInPandas(merge, "group long, n_cells long, area double, ring array<struct<x: double, y: double>>"))
 
 
 def stitch(results: DataFrame, grid: Grid, least: float = 0.0, threshold: float = 0.25) -> DataFrame:
     """Per-patch cells (patch_id, cell_id, ring in the patch's frame) to the slide's cells, one per group of conflicts."""
     moved = with_bbox(translate_shapes(results, grid)).withColumn("area", polygon_area(F.col("ring")))
     kept = durable(filter_min_area(moved, least), "stitch-cells")
-    return union_groups(resolve_conflicts(kept.select("cell_id", "ring", "xmin", "ymin", "xmax", "ymax"), threshold, boxes=False))
+    return union_groups(durable(resolve_conflicts(kept.select("cell_id", "ring", "xmin", "ymin", "xmax", "ymax"), threshold, boxes=False), "stitch-groups"))
 
 
 def stitch_layer(spark, folder: str, grid: Grid, layer: str, overwrite: bool = False, **options) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators.genes import max_filter
@@ -66,8 +67,8 @@ def label_sizes(labels: DataFrame) -> DataFrame:
 
 
 def drop_small(labels: DataFrame, least: int) -> DataFrame:
-    big = label_sizes(labels).where(F.col("size") >= least).select("patch_id", "label")
-    return labels.join(big, ["patch_id", "label"], "left_semi")
+    """Labels of at least ``least`` pixels, with their size. The labels are read and dealt by label once."""
+    return labels.withColumn("size", F.count(F.lit(1)).over(W.partitionBy("patch_id", "label"))).where(F.col("size") >= least)
 
 
 def cell_contours(labels: DataFrame, side: int, line: int, least: int) -> DataFrame:

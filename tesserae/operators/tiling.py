@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import box_ring, ring_pixels
+from tesserae.functions.geometry import box_ring, is_box, ring_pixels, rings_meet
+
+BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
 
 @dataclass(frozen=True)
@@ -88,10 +90,18 @@ def points_in_box(points: DataFrame, xmin: float, ymin: float, xmax: float, ymax
     return points.where(F.col("x").between(xmin, xmax) & F.col("y").between(ymin, ymax))
 
 
+def _meets_box(shapes: DataFrame, xmin: Column, ymin: Column, xmax: Column, ymax: Column) -> Column:
+    """Whether a shape whose bounding box meets a box meets it itself. Boxes do, so only other rings are looked at."""
+    if "ring" not in shapes.columns:
+        return F.lit(True)
+    return is_box(F.col("ring"), *(F.col(c) for c in BOUNDS)) | rings_meet(F.col("ring"), box_ring(xmin, ymin, xmax, ymax))
+
+
 def shapes_in_box(shapes: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
-    """Shapes whose bounding box meets the closed box; rings are tested exactly as well."""
+    """Shapes that meet the closed box: their bounding boxes do (plain comparisons, which reach the scan), and so do their
+    rings. Shapes without rings are their bounding boxes."""
     near = shapes.where((F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin))
-    return near
+    return near.where(_meets_box(shapes, *(F.lit(float(v)) for v in (xmin, ymin, xmax, ymax))))
 
 
 def _buckets(df: DataFrame, size: float, prefix: str) -> DataFrame:
@@ -102,23 +112,30 @@ def _buckets(df: DataFrame, size: float, prefix: str) -> DataFrame:
 
 
 def spatial_join(left: DataFrame, right: DataFrame, size: float = 32.0) -> DataFrame:
-    """Pairs of shapes with bounding boxes that meet (closed); columns get the prefixes l_ and r_.
+    """Pairs of shapes that meet (closed); columns get the prefixes l_ and r_.
 
-    Both sides go to the grid cells that they touch and meet by equality there; a pair is kept only in the cell
+    Both sides go to the grid cells that their bounding boxes touch and meet by equality there; a pair is kept only in the cell
     that holds the lower corner of the boxes' intersection, so no pair comes twice and none is shuffled to find out.
+    Rings are compared exactly unless both are boxes.
     """
     a, b = _buckets(left, size, "l_"), _buckets(right, size, "r_")
     meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
     first = (F.col("_bx") == F.floor(F.greatest("l_xmin", "r_xmin") / size)) & (F.col("_by") == F.floor(F.greatest("l_ymin", "r_ymin") / size))
-    return a.join(b, ["_bx", "_by"]).where(meet & first).drop("_bx", "_by")
+    pairs = a.join(b, ["_bx", "_by"]).where(meet & first).drop("_bx", "_by")
+    if "ring" not in left.columns or "ring" not in right.columns:
+        return pairs
+    box = lambda s: is_box(F.col(f"{s}ring"), *(F.col(s + c) for c in BOUNDS))
+    return pairs.where((box("l_") & box("r_")) | rings_meet(F.col("l_ring"), F.col("r_ring")))
 
 
 def shapes_of_patches(shapes: DataFrame, grid: Grid) -> DataFrame:
-    """A row for each shape and patch whose closed square its bounding box meets; join-free as for points."""
+    """A row for each shape and patch whose closed square it meets; join-free as for points."""
     (xl, _), (_, xh) = _covering(F.col("xmin"), grid.x0, grid, grid.nx), _covering(F.col("xmax"), grid.x0, grid, grid.nx)
     (yl, _), (_, yh) = _covering(F.col("ymin"), grid.y0, grid, grid.ny), _covering(F.col("ymax"), grid.y0, grid, grid.ny)
     inside = shapes.withColumns({"_xl": xl, "_xh": xh, "_yl": yl, "_yh": yh}).where("_xl <= _xh AND _yl <= _yh")
     wide = inside.withColumn("_ix", F.explode(F.sequence("_xl", "_xh"))).withColumn("_iy", F.explode(F.sequence("_yl", "_yh")))
+    px, py = grid.x0 + F.col("_ix") * float(grid.step), grid.y0 + F.col("_iy") * float(grid.step)
+    wide = wide.where(_meets_box(shapes, px, py, px + float(grid.width), py + float(grid.width)))
     return wide.select((F.col("_iy") * grid.nx + F.col("_ix")).cast("int").alias("patch_id"), *shapes.columns)
 
 

@@ -53,9 +53,14 @@ def nuclei(spark: SparkSession, d: str) -> DataFrame:
     return boxes(own.unionByName(second), "nucleus_id")
 
 
-def annotations(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "nation").selectExpr("n_nationkey AS ann_id", "cast((n_nationkey*197) % 1000 as double) AS cx", "cast((n_regionkey*211 + n_nationkey*31) % 1000 as double) AS cy", "10.0D AS hw", "10.0D AS hh")
-    return boxes(own, "ann_id")
+def annotations(spark: SparkSession, d: str, kind: str | None = None) -> DataFrame:
+    """Diamonds of half a diagonal of 10; all of them, or those of one kind (the region's name)."""
+    own = table(spark, d, "nation").selectExpr("n_nationkey AS ann_id", "n_regionkey", "cast((n_nationkey*197) % 1000 as double) AS cx", "cast((n_regionkey*211 + n_nationkey*31) % 1000 as double) AS cy")
+    if kind is not None:
+        own = own.join(table(spark, d, "region").where(F.col("r_name") == kind), F.col("n_regionkey") == F.col("r_regionkey"))
+    cx, cy = F.col("cx"), F.col("cy")
+    ring = F.array(*(F.struct((cx + x).alias("x"), (cy + y).alias("y")) for x, y in ((10.0, 0.0), (0.0, 10.0), (-10.0, 0.0), (0.0, -10.0))))
+    return own.select("ann_id", (cx - 10.0).alias("xmin"), (cy - 10.0).alias("ymin"), (cx + 10.0).alias("xmax"), (cy + 10.0).alias("ymax"), ring.alias("ring"))
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
@@ -110,8 +115,7 @@ nucleus_boxes AS (SELECT c_custkey::bigint AS nucleus_id,
    (s_suppkey // 2000) * 1000 + (s_suppkey*389) % 1000 + 1.5::double,
    (s_suppkey*613 + (s_suppkey % 2000) // 1000 * 500) % 1000 - 1.0::double, 1.0::double, 1.0::double FROM supplier),
 nuclei AS (SELECT nucleus_id, cx - hw AS xmin, cy - hh AS ymin, cx + hw AS xmax, cy + hh AS ymax FROM nucleus_boxes),
-annotations AS (SELECT n_nationkey AS ann_id, (n_nationkey*197) % 1000 - 10.0::double AS xmin, (n_regionkey*211 + n_nationkey*31) % 1000 - 10.0::double AS ymin,
-   (n_nationkey*197) % 1000 + 10.0::double AS xmax, (n_regionkey*211 + n_nationkey*31) % 1000 + 10.0::double AS ymax FROM nation),
+annotations AS (SELECT n_nationkey AS ann_id, r_name AS kind, ((n_nationkey*197) % 1000)::double AS cx, ((n_regionkey*211 + n_nationkey*31) % 1000)::double AS cy FROM nation JOIN region ON n_regionkey = r_regionkey),
 pixels AS (SELECT 'ch' || label AS channel, vec_id::int AS y, (p - 1)::int AS x, embedding[p]::double AS value FROM embeddings, range(1, 65) r(p)),
 gene_values AS (SELECT 'G' || vec_id AS gene, (k - 1)::int AS channel, embedding[k]::double AS value FROM embeddings, range(1, 4) r(k) WHERE vec_id < 50),
 flow AS (SELECT l_linenumber % 5 AS mask, (l_tax - 0.04::double) AS t_y, (l_discount - 0.05::double) AS t_x, l_discount * 10 AS t_prob,

@@ -23,7 +23,7 @@ def query(sql: str | None = None, extra: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {VIEWS}{extra}\n{sql}"
+            SQL[f.__name__] = f"WITH{' RECURSIVE' if 'reach AS' in extra else ''} {VIEWS}{extra}\n{sql}"
         return f
 
     return add
@@ -158,7 +158,8 @@ def b10_valid_patches(s, d):
     return tiling.valid_patches(patches(s, d), counts, fx.cells(s, d), grid, grid.x1, grid.y1, 50, 4000).select("patch_id")
 
 
-HIT = "SELECT DISTINCT patch_id FROM patches p JOIN annotations a ON a.xmin <= p.xmax AND a.xmax >= p.xmin AND a.ymin <= p.ymax AND a.ymax >= p.ymin"
+#: A diamond meets a box if the box is within its radius by the sum of the distances along both axes.
+HIT = "SELECT DISTINCT patch_id FROM patches JOIN annotations ON greatest(0, xmin - cx, cx - xmax) + greatest(0, ymin - cy, cy - ymax) <= 10"
 
 
 @query(HIT)
@@ -166,9 +167,10 @@ def b11_patches_hit_by(s, d):
     return tiling.patches_hit_by(fx.world(s, d), fx.annotations(s, d))
 
 
-@query(f"SELECT patch_id FROM patches WHERE patch_id NOT IN ({HIT})")
+@query(f"SELECT patch_id FROM patches WHERE patch_id NOT IN ({HIT} AND kind = 'AFRICA')")
 def b12_exclude_patches(s, d):
-    return tiling.exclude_patches(patches(s, d), tiling.patches_hit_by(fx.world(s, d), fx.annotations(s, d))).select("patch_id")
+    """Of the annotations those of one kind."""
+    return tiling.exclude_patches(patches(s, d), tiling.patches_hit_by(fx.world(s, d), fx.annotations(s, d, "AFRICA"))).select("patch_id")
 
 
 def _raster(source: str, name: str) -> str:
@@ -195,16 +197,25 @@ def b14_crop_pixels(s, d):
     return tiling.crop_pixels(fx.pixels(s, d), 4, 10, 40, 200, ["ch3", "ch1"]).withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT k.channel, a.y::int AS y, b.x::int AS x, round(coalesce(p.value, 0), 6) AS value FROM (SELECT DISTINCT channel FROM pixels WHERE y < 90) k, range(0, 100) a(y), range(0, 70) b(x)
-LEFT JOIN (SELECT * FROM pixels WHERE y < 90) p ON p.channel = k.channel AND p.y = a.y AND p.x = b.x""")
+def image_height(s, d):
+    return (fx.pixels(s, d).agg(F.max("y")).first()[0] or 0) + 1
+
+
+HEIGHT = ",\nheight AS (SELECT max(y) + 1 AS h FROM pixels)"
+
+
+@query("""SELECT k.channel, a.y::int AS y, b.x::int AS x, round(coalesce(p.value, 0), 6) AS value FROM (SELECT DISTINCT channel FROM pixels) k JOIN (SELECT unnest(range(0, h + 10)) AS y FROM height) a ON true JOIN range(0, 70) b(x) ON true
+LEFT JOIN pixels p ON p.channel = k.channel AND p.y = a.y AND p.x = b.x""", HEIGHT)
 def b15_pad_to_shape(s, d):
-    """All pixels of the image's top, padded."""
-    return tiling.pad_to_shape(fx.pixels(s, d).where("y < 90"), ["channel"], 100, 70).withColumn("value", F.round("value", 6))
+    """The whole image with ten rows and six columns more."""
+    return tiling.pad_to_shape(fx.pixels(s, d), ["channel"], image_height(s, d) + 10, 70).withColumn("value", F.round("value", 6))
 
 
-@query("SELECT channel, oy::int AS y, ox::int AS x, round(value, 6) AS value FROM pixels p JOIN range(0, 150) a(oy) ON p.y = floor(oy * 100 / 150.0) JOIN range(0, 24) b(ox) ON p.x = floor(ox * 64 / 24.0) WHERE p.y < 100")
+@query("SELECT channel, oy::int AS y, ox::int AS x, round(value, 6) AS value FROM pixels p JOIN (SELECT h, h * 3 // 2 AS hh, unnest(range(0, h * 3 // 2)) AS oy FROM height) a ON p.y = oy * h // hh JOIN range(0, 24) b(ox) ON p.x = floor(ox * 64 / 24.0)", HEIGHT)
 def b16_resize_nearest(s, d):
-    return tiling.resize_nearest(fx.pixels(s, d).where("y < 100"), ["channel"], (100, 64), (150, 24)).withColumn("value", F.round("value", 6))
+    """The whole image, half as high again and 24 pixels wide."""
+    h = image_height(s, d)
+    return tiling.resize_nearest(fx.pixels(s, d), ["channel"], (h, 64), (h * 3 // 2, 24)).withColumn("value", F.round("value", 6))
 
 
 COPIES = """,
@@ -324,9 +335,25 @@ def d3_mean_density(s, d):
     return means(s, d).select("patch_id", "label", r6("mean_density"))
 
 
-@query("SELECT round(quantile_cont(mean_density, 0.05), 6) AS threshold FROM means", MEANS)
+def _threshold_sql(sigma: float, side: int) -> str:
+    """Rows are smoothed along y, and along x only where a label reads them."""
+    weights = density.kernel(sigma)
+    r = len(weights) // 2
+    values = ", ".join(f"({i - r}, {float(w)!r}::double)" for i, w in enumerate(weights))
+    return f""",
+used AS MATERIALIZED (SELECT patch_id FROM counts JOIN (SELECT patch_id, count(*) AS k FROM cells_in GROUP BY patch_id) USING (patch_id) WHERE n_points >= 10 AND k >= 1),
+wide_taps(d, w) AS (VALUES {values}),
+reads AS MATERIALIZED (SELECT i, CASE WHEN i + d < 0 THEN -1 - i - d WHEN i + d >= {side} THEN {2 * side - 1} - i - d ELSE i + d END AS j, sum(w) AS w FROM range(0, {side}) a(i), wide_taps GROUP BY ALL),
+high AS MATERIALIZED (SELECT patch_id, i AS y, x, sum(w) AS v FROM presence JOIN used USING (patch_id) JOIN reads ON y = j GROUP BY patch_id, i, x),
+wanted AS MATERIALIZED (SELECT * FROM labels JOIN used USING (patch_id)),
+wide AS (SELECT l.patch_id, l.label, sum(r.w * h.v) AS total FROM wanted l JOIN reads r ON l.x = r.i JOIN high h ON h.patch_id = l.patch_id AND h.y = l.y AND h.x = r.j GROUP BY l.patch_id, l.label),
+wide_means AS (SELECT patch_id, label, coalesce(total, 0) / n AS mean_density FROM (SELECT patch_id, label, count(*) AS n FROM wanted GROUP BY patch_id, label) LEFT JOIN wide USING (patch_id, label))"""
+
+
+@query("SELECT round(quantile_cont(mean_density, 0.05), 6) AS threshold FROM wide_means", LABELS + PRESENCE + _threshold_sql(9.0, 300))
 def d4_density_threshold(s, d):
-    return density.density_threshold(means(s, d), 5).select(r6("threshold"))
+    """With the defaults: a Gaussian of 9, the fifth percentile, patches with ten points and a cell."""
+    return density.dataset_threshold(assigned(s, d), fx.cells(s, d), fx.world(s, d), "cell_id").select(r6("threshold"))
 
 
 BACKGROUND = SMOOTH + """,
@@ -418,20 +445,25 @@ def e6_max_filter(s, d):
     return genes.max_filter(crowd(s, d).drop("channel"), ["patch_id"], 64, 64, 2)
 
 
-@query("SELECT patch_id, 0 AS channel, y, x, round(value, 6) AS value FROM soft", SCALED + FILTERED + _smooth_sql("top", "patch_id", 0.5, 64, "soft"))
+TOP_IMAGE = """,
+top_image AS (SELECT patch_id, channel, i::int AS y, j::int AS x, CASE WHEN count(*) = (i - greatest(i - 1, 0) + 1) * (j - greatest(j - 1, 0) + 1) THEN max(value) ELSE greatest(max(value), 0) END AS value
+  FROM image, range(0, 64) a(i), range(0, 64) b(j) WHERE i BETWEEN y AND y + 1 AND j BETWEEN x AND x + 1 GROUP BY patch_id, channel, i, j)"""
+
+
+@query("SELECT patch_id, channel, y, x, round(value, 6) AS value FROM soft", IMAGE + TOP_IMAGE + _smooth_sql("top_image", "patch_id, channel", 0.5, 64, "soft"))
 def e7_rna_input(s, d):
-    return genes.rna_input(placed(s, d), ["patch_id"], 64).withColumn("value", F.round("value", 6))
+    return genes.rna_input(placed(s, d), ["patch_id"], 64, fx.gene_values(s, d)).withColumn("value", F.round("value", 6))
 
 
-@query(
-    """SELECT patch_id, y, x, gene FROM (SELECT patch_id, least(greatest(sy + dy, 0), 63)::int AS y, least(greatest(sx + dx, 0), 63)::int AS x,
-  max_by(gene, ((dy + 1) * 3 + dx + 1, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS gene FROM scaled, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE sy < 64 AND sx < 64 GROUP BY ALL)""",
-    SCALED,
-)
+STAMPED = """,
+stamped AS (SELECT patch_id, channel, y, x, value FROM (SELECT patch_id, least(greatest(sy + dy, 0), 63)::int AS y, least(greatest(sx + dx, 0), 63)::int AS x,
+  max_by(gene, ((dy + 1) * 3 + dx + 1, l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS gene FROM scaled, range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE sy < 64 AND sx < 64 GROUP BY ALL) JOIN gene_values USING (gene))"""
+
+
+@query("SELECT patch_id, channel, y, x, round(value, 6) AS value FROM soft", SCALED + STAMPED + _smooth_sql("stamped", "patch_id, channel", 0.5, 64, "soft"))
 def e8_stamp_embeddings(s, d):
-    points = placed(s, d)
-    vectors = points.select("gene").distinct().withColumn("value", F.col("gene"))
-    return genes.stamp_embeddings(points, ["patch_id"], vectors, 64, 1, POINT_KEY).withColumnRenamed("value", "gene")
+    stamped = genes.stamp_embeddings(placed(s, d), ["patch_id"], fx.gene_values(s, d), 64, 1, POINT_KEY, dimensions=3, sigma=0.5)
+    return stamped.select("patch_id", "channel", "y", "x", r6("value"))
 
 
 def _gauss(*parts: str) -> str:
@@ -513,17 +545,26 @@ LAYERS = (
     + _layer("lo", "cells", "cell_id", "SELECT cell_id FROM cell_status WHERE cell_status = 'without_nuclei'")
     + _layer("ln", "nuclei", "nucleus_id", "SELECT nucleus_id FROM nucleus_status WHERE nucleus_status = 'not_in_cell'")
 )
-FRACTIONS = LABELS + BACKGROUND + ",\nfractions AS (SELECT patch_id, label, avg((b.patch_id IS NOT NULL)::int) AS fraction FROM labels l LEFT JOIN background b USING (patch_id, y, x) GROUP BY patch_id, label)"
+FRACTIONS = LABELS + SMOOTH + """,
+marked AS MATERIALIZED (SELECT l.*, (coalesce(value, 0) < 0.0123)::int AS empty FROM labels l LEFT JOIN smooth USING (patch_id, y, x)),
+fractions AS (SELECT patch_id, label, avg(empty) AS fraction FROM marked GROUP BY patch_id, label)"""
+
+
+def sparse_background(s, d, pixels):
+    return density.background_at(pixels, smooth(s, d), 0.0123)
+
 
 
 @query("SELECT patch_id, label, round(fraction, 6) AS fraction FROM fractions", FRACTIONS)
 def f1_label_background_fraction(s, d):
-    return targets.label_background_fraction(labels(s, d), background(s, d)).select("patch_id", "label", r6("fraction"))
+    own = tables.durable(labels(s, d), "labels")
+    return targets.label_background_fraction(own, sparse_background(s, d, own)).select("patch_id", "label", r6("fraction"))
 
 
-@query("SELECT l.* FROM labels l JOIN fractions USING (patch_id, label) WHERE fraction <= 0.05", FRACTIONS)
+@query("SELECT patch_id, y, x, label FROM marked JOIN fractions USING (patch_id, label) WHERE fraction <= 0.05", FRACTIONS)
 def f2_drop_background_labels(s, d):
-    return targets.drop_background_labels(labels(s, d), background(s, d), 0.05)
+    own = tables.durable(labels(s, d), "labels")
+    return targets.drop_background_labels(own, sparse_background(s, d, own), 0.05)
 
 
 MERGED = LAYERS + """,
@@ -559,17 +600,14 @@ def f5_gradient_mask(s, d):
     return targets.gradient_mask(*layers(s, d)).groupBy("patch_id", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") * 300 + F.col("x")).alias("places"))
 
 
-TARGET = ",\ntarget AS (SELECT patch_id, 0 AS channel, y, x, value FROM smooth)"
-
-
 @query(
-    """SELECT patch_id, 0 AS channel, y, x, label::double AS value FROM labels UNION ALL SELECT patch_id, channel + 1, y, x, round(value, 6) FROM target JOIN (SELECT patch_id, y, x FROM labels) USING (patch_id, y, x)
-WHERE (patch_id, y, x) NOT IN (SELECT (patch_id, y, x) FROM background)""",
-    LABELS + BACKGROUND + TARGET,
+    """SELECT patch_id, 0 AS channel, y, x, label::double AS value FROM labels UNION ALL SELECT patch_id, 1, y, x, round(value, 6) FROM smooth JOIN (SELECT patch_id, y, x FROM labels) USING (patch_id, y, x) WHERE value >= 0.0123""",
+    LABELS + SMOOTH,
 )
 def f6_mask_target(s, d):
+    own = tables.durable(labels(s, d), "labels")
     target = smooth(s, d).withColumn("channel", F.lit(0))
-    return targets.mask_target(target, labels(s, d), background(s, d), keep_label=True).withColumn("value", F.round("value", 6))
+    return targets.mask_target(target, own, sparse_background(s, d, own), keep_label=True).withColumn("value", F.round("value", 6))
 
 
 def _contours_sql(source: str, side: int, line: int, least: int) -> str:
@@ -634,29 +672,37 @@ def g3_pack_patches(s, d):
     return packed.select("patch_id", F.size("plane").cast("long").alias("n"), F.round(total(F.col("plane")), 4).alias("total"), F.round(total(weighted), 2).alias("weighted"))
 
 
-GENE_LISTS = GENES + ",\nlists AS (SELECT patch_id, list(DISTINCT gene_index ORDER BY gene_index) AS genes FROM assigned JOIN index USING (gene) WHERE l_partkey % 7 = patch_id % 7 AND l_suppkey % 3 = 0 GROUP BY patch_id)"
+GENE_LISTS = GENES + ",\nlists AS (SELECT patch_id, list(gene_index ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS genes FROM assigned JOIN index USING (gene) GROUP BY patch_id)"
 
 
 @query(
-    """SELECT patch_id, batch, array_to_string(list_concat(genes, list_transform(range(0, max(len(genes)) OVER (PARTITION BY batch) - len(genes)), lambda q: 0)), ',') AS genes
-FROM (SELECT *, ((row_number() OVER (ORDER BY patch_id) - 1) // 3)::int AS batch FROM lists)""",
+    """SELECT patch_id, batch, len(genes) AS n, md5(array_to_string(genes, ',')) AS genes FROM (
+  SELECT patch_id, batch, list_concat(genes, list_transform(range(0, max(len(genes)) OVER (PARTITION BY batch) - len(genes)), lambda q: 0)) AS genes
+  FROM (SELECT *, ((row_number() OVER (ORDER BY patch_id) - 1) // 3)::int AS batch FROM lists))""",
     GENE_LISTS,
 )
 def g4_collate_sequences(s, d):
-    points = fx.transcripts(s, d)
-    own = genes.encode_genes(assigned(s, d), genes.build_gene_index(points)).where("l_partkey % 7 = patch_id % 7 AND l_suppkey % 3 = 0")
-    lists = own.groupBy("patch_id").agg(F.array_sort(F.collect_set("gene_index")).alias("genes"))
-    return batching.collate_sequences(lists, "patch_id", ["genes"], 3).select("patch_id", "batch", F.array_join(F.col("genes").cast("array<string>"), ",").alias("genes"))
+    """The genes of all points of each patch, in the points' order."""
+    own = genes.encode_genes(assigned(s, d), genes.build_gene_index(fx.transcripts(s, d)))
+    in_order = F.array_sort(F.collect_list(F.struct(*POINT_KEY, "gene_index")))
+    lists = own.groupBy("patch_id").agg(F.transform(in_order, lambda p: p["gene_index"]).alias("genes"))
+    out = batching.collate_sequences(lists, "patch_id", ["genes"], 3)
+    return out.select("patch_id", "batch", F.size("genes").cast("long").alias("n"), F.md5(F.array_join(F.col("genes").cast("array<string>"), ",").cast("binary")).alias("genes"))
 
 
 @query(
-    """SELECT patch_id, batch, k AS channels, (max(k) OVER (PARTITION BY batch))::int AS padded FROM (SELECT patch_id, (1 + patch_id % 3)::int AS k, ((row_number() OVER (ORDER BY patch_id) - 1) // 4)::int AS batch FROM patches)"""
+    """SELECT patch_id, batch, k AS channels, (max(k) OVER (PARTITION BY batch))::int AS padded, round(total * k * (k + 1) / 2, 4) AS total
+FROM (SELECT patch_id, sum(value) AS total, (1 + patch_id % 3)::int AS k, ((row_number() OVER (ORDER BY patch_id) - 1) // 4)::int AS batch FROM crowd GROUP BY patch_id)""",
+    SCALED + FILTERED,
 )
 def g5_collate_channels(s, d):
-    planes = patches(s, d).select("patch_id", F.expr("transform(sequence(1, 1 + patch_id % 3), c -> array_repeat(cast(c as double), 4))").alias("planes"))
+    """Planes of point counts: one to three for a patch, the k-th k times as bright."""
+    packed = batching.pack_patches(crowd(s, d).drop("channel"), ["patch_id"], 64, 64)
+    planes = packed.select("patch_id", F.transform(F.sequence(F.lit(1), 1 + F.col("patch_id") % 3), lambda k: F.transform("plane", lambda v: v * k)).alias("planes"))
     out = batching.collate_channels(planes, "patch_id", "planes", 4)
     real = F.size(F.filter("planes", lambda p: F.exists(p, lambda v: v > 0)))
-    return out.select("patch_id", "batch", real.alias("channels"), F.size("planes").alias("padded"))
+    total = F.aggregate(F.flatten("planes"), F.lit(0.0), lambda a, v: a + v)
+    return out.select("patch_id", "batch", real.alias("channels"), F.size("planes").alias("padded"), F.round(total, 4).alias("total"))
 
 
 @query(f"""SELECT patch_id, CASE WHEN row_number() OVER (ORDER BY {_unit('patch_id', '42')}, patch_id) <= round(count(*) OVER () * 0.1) THEN 'val' ELSE 'train' END AS part FROM patches""")
@@ -680,29 +726,50 @@ def _u(what: str) -> str:
 
 
 def _hole(what: str) -> str:
-    return f"y >= floor({_u(what + 'y')} * 64) AND y < floor({_u(what + 'y')} * 64) + 20 AND x >= floor({_u(what + 'x')} * 64) AND x < floor({_u(what + 'x')} * 64) + 20"
+    u = lambda c: f"floor({_u(what + c)} * 64)"
+    return f"(y >= {u('y')} AND y < {u('y')} + 1 + {u('h')} AND x >= {u('x')} AND x < {u('x')} + 1 + {u('w')})"
+
+
+def _blur_sql(source: str, axis: str, name: str) -> str:
+    to = f"(CASE WHEN {axis} < 0 THEN -1 - {axis} WHEN {axis} > 63 THEN 127 - {axis} ELSE {axis} END)"
+    other = "x" if axis == "y" else "y"
+    return f""",
+{name}_map AS (SELECT r, i, j, sum(w) AS w FROM (SELECT r, q AS i, {to.replace(axis, '(q + o)')} AS j, 1.0 / (2.0 * r + 1) AS w FROM range(0, 4) k(r), range(0, 64) a(q), range(-3, 4) t(o) WHERE abs(o) <= r) GROUP BY r, i, j),
+{name} AS (SELECT patch_id, channel, s.r, {other}, i::int AS {axis}, sum(value * w) AS value FROM {source} s JOIN {name}_map m ON m.r = s.r AND m.j = s.{axis} GROUP BY ALL)"""
+
+
+AUGMENTED = f""",
+lit AS (SELECT patch_id, y, x, (CASE WHEN {_u('swap?')} < 0.2 AND channel = floor({_u('swap1')} * 3) THEN floor({_u('swap2')} * 3) WHEN {_u('swap?')} < 0.2 AND channel = floor({_u('swap2')} * 3) THEN floor({_u('swap1')} * 3) ELSE channel END)::int AS channel,
+  CASE WHEN {_u('blur?')} < 0.2 THEN 1 + floor({_u('blur')} * 3) ELSE 0 END AS r,
+  CASE WHEN {_u('light?')} < 0.2 THEN value * (1 + 0.25 * (2 * {_u('contrast')} - 1)) + 0.25 * (2 * {_u('bright')} - 1) ELSE value END AS value FROM image)""" + _blur_sql("lit", "y", "blur_y") + _blur_sql("blur_y", "x", "blur_x")
 
 
 @query(
-    f"""SELECT patch_id, channel, y, x, round(CASE WHEN ({_u('hole?')} < 0.2 AND {_hole('hole')}) OR ({_u('one?')} < 0.2 AND channel = floor({_u('onechannel')} * 3) AND {_hole('one')}) THEN 0
-  WHEN {_u('light?')} < 0.2 THEN value * (1 + 0.25 * (2 * {_u('contrast')} - 1)) + 0.25 * (2 * {_u('bright')} - 1) ELSE value END, 6) AS value
-FROM (SELECT patch_id, y, x, value, (CASE WHEN {_u('swap?')} < 0.2 AND channel = floor({_u('swap1')} * 3) THEN floor({_u('swap2')} * 3) WHEN {_u('swap?')} < 0.2 AND channel = floor({_u('swap2')} * 3) THEN floor({_u('swap1')} * 3) ELSE channel END)::int AS channel FROM image)""",
-    IMAGE,
+    f"""SELECT patch_id, channel, y, x, round(CASE WHEN ({_u('hole?')} < 0.2 AND ({_hole('hole1')} OR ({_u('holes')} >= 0.5 AND {_hole('hole2')}))) OR ({_u('one?')} < 0.2 AND channel = floor({_u('onechannel')} * 3) AND {_hole('one')}) THEN 0
+  ELSE value END, 6) AS value FROM blur_x""",
+    IMAGE + AUGMENTED,
 )
 def g8_augment_pixels(s, d):
     image = genes.rna_image(placed(s, d), ["patch_id"], fx.gene_values(s, d))
     return batching.augment_pixels(image, "patch_id", 3, 64, 8).select("patch_id", "channel", "y", "x", r6("value"))
 
 
-@query(
-    f"""SELECT patch_id, g.y::int AS y, g.x::int AS x, i.value FROM (SELECT patch_id, a.y, b.x,
+TURNED = f""",
+turns AS (SELECT patch_id, CASE WHEN {_u('turn?')} < 0.5 THEN 2 * pi() * {_u('angle')} ELSE 0 END AS an,
+  (CASE WHEN {_u('turn?')} < 0.5 THEN 0.5 + {_u('scale')} ELSE 1 END) * (CASE WHEN {_u('resize?')} < 0.75 THEN 0.5 + {_u('resize')} ELSE 1 END) AS sc FROM patches),
+turned AS MATERIALIZED (SELECT g.patch_id, g.y::int AS y, g.x::int AS x, i.value, cos(an) * i.value + sin(an) * (i.y - i.x) AS fy, -sin(an) * i.value + cos(an) * (i.y - i.x) AS fx FROM (SELECT patch_id, an, a.y, b.x,
     round((cos(an) * (a.y - 31.5) - sin(an) * (b.x - 31.5)) / sc + 31.5)::int AS sy, round((sin(an) * (a.y - 31.5) + cos(an) * (b.x - 31.5)) / sc + 31.5)::int AS sx
-  FROM (SELECT patch_id, CASE WHEN {_u('turn?')} < 0.5 THEN 2 * pi() * {_u('angle')} ELSE 0 END AS an, CASE WHEN {_u('turn?')} < 0.5 THEN 0.5 + {_u('scale')} ELSE 1 END AS sc FROM patches), range(0, 64) a(y), range(0, 64) b(x)) g
-JOIN crowd i ON i.patch_id = g.patch_id AND i.y = g.sy AND i.x = g.sx""".replace("SELECT patch_id, g.y", "SELECT g.patch_id, g.y"),
-    SCALED + FILTERED,
-)
+  FROM turns, range(0, 64) a(y), range(0, 64) b(x)) g JOIN crowd i ON i.patch_id = g.patch_id AND i.y = g.sy AND i.x = g.sx),
+held AS (SELECT patch_id, min_by((y, x), {_unit('patch_id', 'y', 'x', '8', chr(39) + 'crop' + chr(39))}) AS c FROM turned WHERE value > 0 GROUP BY patch_id),
+origins AS (SELECT patch_id, greatest(0, least(16, c[1] - floor({_u('cropy')} * 48)))::int AS oy, greatest(0, least(16, c[2] - floor({_u('cropx')} * 48)))::int AS ox FROM held)"""
+
+
+@query("SELECT patch_id, y - oy AS y, x - ox AS x, value, round(fy, 6) AS fy, round(fx, 6) AS fx FROM turned JOIN origins USING (patch_id) WHERE y - oy BETWEEN 0 AND 47 AND x - ox BETWEEN 0 AND 47", SCALED + FILTERED + TURNED)
 def g9_augment_geometry(s, d):
-    return batching.augment_geometry(crowd(s, d).drop("channel"), "patch_id", ["value"], 64, 8)
+    """Counts of points with a flow of (count, y - x); the crop holds a pixel with points."""
+    image = crowd(s, d).select("patch_id", "y", "x", "value", F.col("value").alias("fy"), (F.col("y") - F.col("x")).cast("double").alias("fx"))
+    out = batching.augment_geometry(image, "patch_id", ["value", "fy", "fx"], 64, 8, flows=("fy", "fx"), mask="value", crop=48)
+    return out.select("patch_id", "y", "x", "value", r6("fy"), r6("fx"))
 
 
 # H. Segmentation, evaluation, stitching
@@ -737,9 +804,24 @@ def h2_masked_flow_loss(s, d):
     return segmentation.masked_flow_loss(fx.flow(s, d)).select(r6("loss"))
 
 
-@query("SELECT patch_id, label, count(*) AS area, min(x) AS xmin, min(y) AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax, round(avg(x + 0.5), 6) AS cx, round(avg(y + 0.5), 6) AS cy FROM labels GROUP BY patch_id, label", LABELS)
+BESIDE = LABELS + """,
+beside AS (SELECT patch_id, label, count(*) AS n FROM (SELECT a.patch_id, a.label FROM labels a JOIN labels b ON a.patch_id = b.patch_id AND a.label = b.label AND a.y = b.y AND b.x = a.x + 1
+  UNION ALL SELECT a.patch_id, a.label FROM labels a JOIN labels b ON a.patch_id = b.patch_id AND a.label = b.label AND a.x = b.x AND b.y = a.y + 1) GROUP BY patch_id, label)"""
+
+
+@query(
+    """SELECT patch_id, label, count(*) AS area, min(x) AS xmin, min(y) AS ymin, max(x) + 1 AS xmax, max(y) + 1 AS ymax, round(avg(x + 0.5), 6) AS cx, round(avg(y + 0.5), 6) AS cy,
+  count(*)::double AS ring_area, (4 * count(*) - 2 * coalesce(any_value(n), 0))::double AS perimeter FROM labels LEFT JOIN beside USING (patch_id, label) GROUP BY patch_id, label""",
+    BESIDE,
+)
 def h3_labels_to_cells(s, d):
-    return segmentation.labels_to_cells(labels(s, d)).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    """The rings by the area that they enclose and their length."""
+    own = segmentation.labels_to_cells(tables.durable(labels(s, d), "labels"))
+    add = lambda a, v: a + v
+    area = F.aggregate(F.transform("rings", geo.signed_area), F.lit(0.0), add)
+    length = F.aggregate(F.transform("rings", geo.perimeter), F.lit(0.0), add)
+    measures = own.withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6), "ring_area": area, "perimeter": length})
+    return measures.drop("rings", "ring")
 
 
 @query("SELECT patch_id, label, count(*) AS area FROM labels GROUP BY patch_id, label HAVING count(*) >= 150", LABELS)
@@ -757,20 +839,31 @@ def moved_copies(s, d):
 
 
 GROUPS = COPIES + """,
-edges AS (SELECT a.cell_id AS a, b.cell_id AS b FROM copies a JOIN copies b ON a.cell_id < b.cell_id AND a.part = b.part),
-groups AS (SELECT c.cell_id, min(k.cell_id) AS grp FROM copies c JOIN copies k USING (part) GROUP BY c.cell_id)"""
+sized AS MATERIALIZED (SELECT *, (xmax - xmin) * (ymax - ymin) AS whole FROM copies),
+edges AS MATERIALIZED (SELECT a.cell_id AS a, b.cell_id AS b FROM sized a JOIN sized b ON a.cell_id < b.cell_id AND a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax
+  WHERE (least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) >= 0.25 * least(a.whole, b.whole)),
+both_ways AS MATERIALIZED (SELECT a, b FROM edges UNION ALL SELECT b, a FROM edges),
+reach AS (SELECT cell_id AS node, cell_id AS other FROM copies UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+groups AS (SELECT node AS cell_id, min(other) AS grp FROM reach GROUP BY node)"""
 
 
 @query('SELECT cell_id, grp AS "group" FROM groups', GROUPS)
 def h6_resolve_conflicts(s, d):
-    """Here all conflicts are between copies of one cell, which is what the SQL says."""
     return segmentation.resolve_conflicts(moved_copies(s, d)).select("cell_id", "group")
 
 
-@query('SELECT grp AS "group", count(*) AS n_cells FROM groups GROUP BY grp', GROUPS)
+#: The area of a union of boxes: of the grid of all their sides those cells that a box covers.
+UNIONS = GROUPS + """,
+members AS MATERIALIZED (SELECT grp, xmin, ymin, xmax, ymax FROM groups JOIN copies USING (cell_id)),
+xs AS (SELECT grp, x AS a, lead(x) OVER (PARTITION BY grp ORDER BY x) AS b FROM (SELECT grp, xmin AS x FROM members UNION SELECT grp, xmax FROM members)),
+ys AS (SELECT grp, y AS a, lead(y) OVER (PARTITION BY grp ORDER BY y) AS b FROM (SELECT grp, ymin AS y FROM members UNION SELECT grp, ymax FROM members)),
+covered AS (SELECT DISTINCT xs.grp, xs.a, xs.b, ys.a AS c, ys.b AS d FROM xs JOIN ys USING (grp) JOIN members m ON m.grp = xs.grp AND m.xmin <= xs.a AND m.xmax >= xs.b AND m.ymin <= ys.a AND m.ymax >= ys.b)"""
+
+
+@query('SELECT grp AS "group", n_cells, round(area, 6) AS area FROM (SELECT grp, count(*) AS n_cells FROM members GROUP BY grp) JOIN (SELECT grp, sum((b - a) * (d - c)) AS area FROM covered GROUP BY grp) USING (grp)', UNIONS)
 def h7_stitch(s, d):
     path = tables.scratch(s, "cells")
     copies(s, d).repartition("patch_id").write.partitionBy("patch_id").parquet(path)
     layer = tables.scratch(s, "layer")
     segmentation.stitch_layer(s, path, fx.world(s, d), layer)
-    return s.read.parquet(layer).select("group", "n_cells")
+    return s.read.parquet(layer).select("group", "n_cells", r6("area"))

@@ -6,17 +6,26 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local session may use a temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Only a local session, in which driver and executors are one process, may fall back on a
+    temporary folder; elsewhere a missing setting is an error.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = spark.sparkContext.getCheckpointDir()
+    if path:
+        return path.rstrip("/")
     path = "file://" + tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -44,8 +53,8 @@ def read_points(spark: SparkSession, path: str, x: str = "x", y: str = "y", gene
 
 
 def write_patch_points(assigned: DataFrame, path: str) -> None:
-    """One folder per patch. Rows are dealt by patch first, so a folder has few files."""
-    assigned.select("patch_id", "x", "y", "gene").repartition("patch_id").write.partitionBy("patch_id").parquet(path)
+    """One folder per patch. Rows are dealt by patch first, so a folder has few files; a patch too large for one task is split."""
+    assigned.select("patch_id", "x", "y", "gene").hint("rebalance", "patch_id").write.partitionBy("patch_id").parquet(path)
 
 
 def bounds_table(patches: DataFrame) -> DataFrame:
@@ -73,18 +82,31 @@ def write_layer(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def materialize_missing(patches: DataFrame, cache: str, experiment: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Features of all patches: those cached for the experiment, and the rest computed and appended.
 
-    A patch counts as cached once any of its rows is, and a patch's rows are appended together.
+    A table beside the cache says which patches have been computed, those without any feature row too. It is written after
+    their rows, each run's rows in a part of their own (column run), so a run that was cut short counts for nothing.
     """
     spark = patches.sparkSession
-    try:
-        known = spark.read.parquet(cache).where(F.col("experiment") == experiment)
-    except Exception as error:  # a cache that does not exist yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        known = None
-    missing = patches if known is None else patches.join(known.select("patch_id").distinct(), "patch_id", "left_anti")
-    compute(missing).withColumn("experiment", F.lit(experiment)).write.mode("append").parquet(cache)
-    return spark.read.parquet(cache).where(F.col("experiment") == experiment).drop("experiment").join(patches.select("patch_id"), "patch_id", "left_semi")
+    own = F.col("experiment") == experiment
+    done = _existing(spark, f"{cache}-done")
+    missing = patches if done is None else patches.join(done.where(own).select("patch_id"), "patch_id", "left_anti")
+    missing = durable(missing, "missing-patches")
+    if not missing.isEmpty():
+        run = uuid.uuid4().hex
+        labels = {"experiment": F.lit(experiment), "run": F.lit(run)}
+        compute(missing).withColumns(labels).write.mode("append").parquet(cache)
+        missing.select("patch_id").withColumns(labels).write.mode("append").parquet(f"{cache}-done")
+    runs = spark.read.parquet(f"{cache}-done").where(own).join(patches.select("patch_id"), "patch_id", "left_semi")
+    features = spark.read.parquet(cache).where(own).drop("experiment")
+    return features.join(runs.select("patch_id", "run"), ["patch_id", "run"], "left_semi").drop("run")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import box_ring, intersection_area, overlap_area, polygon_area, polygon_centroid, ring_pixels
+from tesserae.functions.geometry import area_of, box_ring, clip, coverage, intersection_area, outline_of_union, overlap_area, polygon_area, polygon_centroid, ring_pixels, with_bbox
 from tesserae.operators import batching, curation, density, genes, segmentation, targets, tiling
 from tesserae.operators.tiling import Grid
 
@@ -127,6 +127,164 @@ def test_chain_of_cells_is_one_group(spark):
     assert rows(groups, "cell_id", "group") == [(1, 1), (2, 1), (3, 1), (4, 4)]
     merged = segmentation.union_groups(groups)
     assert rows(merged, "group", "n_cells", "area") == [(1, 3, 200), (4, 1, 100)]
+    ring = merged.where("n_cells = 3").first()["ring"]
+    assert sorted((p["x"], p["y"]) for p in ring) == [(0, 0), (0, 10), (20, 0), (20, 10)]
+
+
+def test_a_lone_cell_stays_as_it_is(spark):
+    cells = box_frame(spark, "cell_id", [(1, (0.5, 0.5, 10.5, 10.5)), (2, (100, 0, 110, 10)), (3, (104, 0, 114, 10))])
+    merged = {r["group"]: r for r in segmentation.union_groups(segmentation.resolve_conflicts(cells, boxes=False)).collect()}
+    assert merged[1]["area"] == 100 and [(p["x"], p["y"]) for p in merged[1]["ring"]] == [(0.5, 0.5), (10.5, 0.5), (10.5, 10.5), (0.5, 10.5)]
+    assert merged[2]["n_cells"] == 2 and merged[2]["area"] == pytest.approx(140)
+
+
+def test_cells_below_the_threshold_stay_apart(spark):
+    cells = box_frame(spark, "cell_id", [(1, (0, 0, 10, 10)), (2, (7.5, 0, 17.5, 10)), (3, (100, 0, 110, 10)), (4, (107.6, 0, 117.6, 10))])
+    assert rows(segmentation.resolve_conflicts(cells), "cell_id", "group") == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+RNG = np.random.default_rng(8)
+
+
+def star(corners, cx=0.0, cy=0.0, size=10.0):
+    """A simple polygon: corners at rising angles, with gaps below half a turn."""
+    angle = (np.arange(corners) + RNG.uniform(0, 0.4, corners)) * 2 * np.pi / corners
+    reach = RNG.uniform(0.3, 1, corners) * size
+    return np.stack([cx + reach * np.cos(angle), cy + reach * np.sin(angle)], axis=1)
+
+
+@pytest.mark.parametrize("corners", [4, 7, 12])
+def test_union_of_polygons_by_areas(corners):
+    """area(A or B) = area(A) + area(B) - area(A and B), of rings anywhere."""
+    for _ in range(30):
+        a, b = star(corners), star(corners + 1, *RNG.uniform(-6, 6, 2))
+        rings = outline_of_union([a, b])
+        assert sum(map(area_of, rings)) == pytest.approx(area_of(a) + area_of(b) - overlap_area(a, b), rel=1e-6)
+
+
+def test_unions_that_share_edges_and_leave_holes():
+    box = lambda x0, y0, x1, y1: np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)
+    beside = outline_of_union([box(0, 0, 2, 2), box(2, 0, 4, 2)])
+    assert len(beside) == 1 and sorted(map(tuple, beside[0])) == [(0, 0), (0, 2), (4, 0), (4, 2)]
+    same = outline_of_union([box(0, 0, 2, 2), box(0, 0, 2, 2)])
+    assert len(same) == 1 and area_of(same[0]) == 4
+    within = outline_of_union([box(0, 0, 9, 9), box(3, 3, 5, 5)[::-1]])
+    assert len(within) == 1 and area_of(within[0]) == 81
+    frame = outline_of_union([box(0, 0, 9, 2), box(0, 7, 9, 9), box(0, 0, 2, 9), box(7, 0, 9, 9)])
+    assert sorted(round(area_of(r), 6) for r in frame) == [-25, 81]
+    shifted = outline_of_union([box(1, 1, 11, 11), box(1.5, 1, 11.5, 11)])
+    assert len(shifted) == 1 and area_of(shifted[0]) == pytest.approx(105) and len(shifted[0]) == 4
+
+
+def test_pixels_by_running_areas_as_by_clipping():
+    for corners in (3, 5, 9):
+        ring = star(corners, *RNG.uniform(0, 5, 2), size=6)
+        y0, x0, got = coverage(ring)
+        for y in range(got.shape[0]):
+            row = clip(clip(ring, 0, -1, -(y0 + y)), 0, 1, y0 + y + 1)
+            want = [abs(area_of(clip(clip(row, -1, 0, -(x0 + x)), 1, 0, x0 + x + 1))) for x in range(got.shape[1])]
+            assert got[y] == pytest.approx(want, abs=1e-9)
+
+
+def ring_frame(spark, key, items):
+    rings = [(i, [{"x": float(x), "y": float(y)} for x, y in ring]) for i, ring in items]
+    return with_bbox(spark.createDataFrame(rings, f"{key} long, ring array<struct<x: double, y: double>>"))
+
+
+SHAPES = [
+    (1, [(0, 0), (10, 0), (0, 10)]),  # a triangle
+    (2, [(8, 8), (12, 8), (12, 12), (8, 12)]),  # its bounding box meets the triangle's, it does not
+    (3, [(5, 5), (9, 5), (9, 9), (5, 9)]),  # touches the long side in a point
+    (4, [(1, 1), (2, 1), (2, 2), (1, 2)]),  # inside the triangle
+    (5, [(20, 0), (30, 0), (30, 10), (20, 10), (20, 8), (28, 8), (28, 2), (20, 2)]),  # a hook
+    (6, [(22, 4), (24, 4), (24, 6), (22, 6)]),  # in the hook's mouth
+]
+
+
+def test_pairs_that_meet_exactly(spark):
+    shapes = ring_frame(spark, "k", SHAPES)
+    pairs = tiling.spatial_join(shapes, shapes, 7.0).where("l_k < r_k")
+    assert rows(pairs, "l_k", "r_k") == [(1, 3), (1, 4), (2, 3)]
+
+
+def test_shapes_in_a_box_exactly(spark):
+    shapes = ring_frame(spark, "k", SHAPES)
+    assert rows(tiling.shapes_in_box(shapes, 6, 6, 8.5, 8.5), "k") == [(2,), (3,)]
+    assert rows(tiling.shapes_in_box(shapes, 22, 3, 26, 7), "k") == [(6,)]
+    assert rows(tiling.shapes_in_box(shapes, -5, -5, 50, 50), "k") == [(k,) for k in range(1, 7)]
+
+
+def test_patches_by_exact_shapes(spark):
+    grid = Grid(0, 0, 40, 20, 10, 0)
+    triangle = ring_frame(spark, "k", [(1, [(1, 1), (19, 1), (1, 19)])])
+    assert rows(tiling.patches_hit_by(grid, triangle), "patch_id") == [(0,), (1,), (4,), (5,)]
+    small = ring_frame(spark, "k", [(1, [(1, 1), (17, 1), (1, 17)])])
+    assert rows(tiling.patches_hit_by(grid, small), "patch_id") == [(0,), (1,), (4,)]
+    counts = spark.createDataFrame([(k, 1) for k in range(8)], "patch_id int, n_points long")
+    patches = tiling.patch_grid(spark, grid)
+    assert rows(tiling.valid_patches(patches, counts, small, grid, 40, 20, 1, 0), "patch_id") == [(0,), (1,), (4,)]
+
+
+def test_places_without_a_single_task(spark):
+    ids = spark.range(1000).selectExpr("cast((id * 37) % 1000 as int) AS patch_id").repartition(7)
+    assert rows(batching.numbered(ids, "patch_id", "n"), "patch_id", "n") == [(k, k) for k in range(1000)]
+
+
+def test_threshold_of_a_dataset_skips_empty_patches(spark):
+    grid = Grid(0, 0, 60, 20, 20, 0)
+    points = spark.createDataFrame([(float(x % 20), float(x % 7)) for x in range(40)] + [(45.0, 5.0)], "x double, y double")
+    cells = box_frame(spark, "cell_id", [(1, (2, 2, 6, 6)), (2, (42, 2, 46, 6)), (3, (25, 2, 28, 6))])
+    own = tiling.assign_points_to_patches(points, grid)
+    got = density.dataset_threshold(own, cells, grid, "cell_id", sigma=2.0, percentile=50).first()[0]
+    raster = density.presence_raster(own.where("patch_id = 0"), grid).withColumn("value", F.lit(1.0))
+    dense = np.zeros((20, 20))
+    for r in raster.collect():
+        dense[r["y"], r["x"]] = 1
+    assert got == pytest.approx(density.convolved(dense, density.kernel(2.0))[2:6, 2:6].mean())
+
+
+def test_means_by_patch_as_by_tables(spark):
+    grid = Grid(0, 0, 40, 20, 20, 0)
+    points = spark.createDataFrame([(float(x * 7 % 40), float(x * 3 % 20)) for x in range(60)], "x double, y double")
+    cells = box_frame(spark, "cell_id", [(1, (2, 2, 6, 6)), (2, (22, 2, 26, 9)), (3, (1, 10, 19, 19))])
+    raster = density.presence_raster(tiling.assign_points_to_patches(points, grid), grid)
+    labels = tiling.rasterize_polygons(cells, grid, "cell_id")
+    smooth = density.gaussian_smooth(raster.withColumn("value", F.lit(1.0)), ["patch_id"], 20, 20, 1.0)
+    plain = rows(density.mean_density_per_polygon(labels, smooth), "patch_id", "label", "mean_density")
+    for a, b in zip(plain, rows(density.smoothed_means(raster, labels, 20, 1.0), "patch_id", "label", "mean_density"), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2])
+
+
+def test_background_of_some_pixels(spark):
+    pixels = spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 0, 2)], "patch_id int, y int, x int")
+    thick = spark.createDataFrame([(0, 0, 1, 0.5), (0, 0, 2, 0.1)], "patch_id int, y int, x int, value double")
+    assert rows(density.background_at(pixels, thick, 0.2), "x") == [(0,), (2,)]
+
+
+def test_a_gene_without_a_vector(spark):
+    points = spark.createDataFrame([(0, 5, 5, "A", 1), (0, 9, 9, "pad", 2)], "patch_id int, y int, x int, gene string, k int")
+    vectors = spark.createDataFrame([("A", [1.0, 2.0])], "gene string, value array<double>")
+    stamped = genes.stamp_embeddings(points, ["patch_id"], vectors, 10, 1, ["k"], dimensions=2)
+    assert stamped.where("x >= 8").agg(F.max("value")).first()[0] == 0 and stamped.where("channel = 1 AND value = 2").count() == 9
+    soft = genes.stamp_embeddings(points, ["patch_id"], vectors, 10, 1, ["k"], dimensions=2, sigma=0.5)
+    assert soft.where("channel = 1").agg(F.sum("value")).first()[0] == pytest.approx(18)
+    with pytest.raises(Exception, match="no vector for gene pad"):
+        genes.rna_image(points, ["patch_id"], vectors).collect()
+
+
+def test_a_crop_holds_a_pixel_of_the_mask(spark):
+    wide = spark.range(40 * 400).selectExpr("cast(id div 400 as int) AS patch_id", "cast(id % 400 div 20 as int) AS y", "cast(id % 20 as int) AS x", "cast(id % 400 = 57 as double) AS m", "1.0D AS v")
+    out = batching.augment_geometry(wide, "patch_id", ["m", "v"], 20, 3, p=0.0, p_scale=0.0, mask="m", crop=6)
+    got = {r["patch_id"]: r for r in out.groupBy("patch_id").agg(F.sum("m").alias("m"), F.sum("v").alias("v"), F.min("y").alias("y"), F.max("x").alias("x")).collect()}
+    assert len(got) == 40 and all((r["m"], r["v"], r["y"], r["x"]) == (1, 36, 0, 5) for r in got.values())
+
+
+def test_blur_is_the_mean_of_the_window(spark):
+    one = spark.createDataFrame([(0, 0, 4, 4, 9.0, 1), (1, 0, 0, 4, 9.0, 1)], "k int, channel int, y int, x int, value double, _r int")
+    out = batching.blurred(batching.blurred(one, ["k", "_r"], "y", 10), ["k", "_r"], "x", 10)
+    got = {(r["k"], r["y"], r["x"]): r["value"] for r in out.collect()}
+    assert {v for (k, _, _), v in got.items() if k == 0} == {1.0} and len([1 for k in got if k[0] == 0]) == 9
+    assert got[1, 0, 4] == pytest.approx(2.0) and got[1, 1, 4] == pytest.approx(1.0)
 
 
 def test_outline_of_an_l_shape():
@@ -141,6 +299,13 @@ def test_rings_of_labels(spark):
     assert sorted((p["x"], p["y"]) for p in ring) == [(0, 0), (0, 2), (3, 0), (3, 2)]
 
 
+def test_rings_of_a_label_with_a_hole_and_an_island(spark):
+    pixels = [(0, y, x, 7) for y in range(5) for x in range(5) if not (1 <= y <= 3 and 1 <= x <= 3)] + [(0, 2, 2, 7)]
+    cell = segmentation.labels_to_cells(spark.createDataFrame(pixels, "patch_id int, y int, x int, label int")).first()
+    areas = sorted(area_of(np.array([(p["x"], p["y"]) for p in ring])) for ring in cell["rings"])
+    assert areas == [-9, 1, 25] and cell["area"] == 17 and len(cell["ring"]) == 4
+
+
 def test_split_is_exact_and_repeatable(spark):
     ids = spark.range(50).selectExpr("cast(id as int) AS patch_id")
     first = rows(batching.train_val_split(ids, 0.1, 42), "patch_id", "part")

@@ -39,12 +39,37 @@ def test_only_missing_patches_are_computed(spark, tmp_path):
         return p.selectExpr("patch_id", "patch_id * 10 AS feature")
 
     path = str(tmp_path / "cache")
-    tables.materialize_missing(patches.limit(2), path, "a", compute)
+    tables.materialize_missing(patches.where("patch_id < 2"), path, "a", compute)
     assert tables.materialize_missing(patches, path, "a", compute).count() == 3
     tables.materialize_missing(patches, path, "b", compute)
     assert asked == [[0, 1], [2], [0, 1, 2]]
 
 
+def test_a_patch_without_features_is_computed_once(spark, tmp_path):
+    patches, asked = spark.createDataFrame([(0,), (1,)], "patch_id int"), []
+
+    def compute(p):
+        asked.append(sorted(r["patch_id"] for r in p.collect()))
+        return p.where("patch_id = 1").selectExpr("patch_id", "patch_id * 10 AS feature")
+
+    path = str(tmp_path / "cache")
+    for _ in range(2):
+        assert tables.materialize_missing(patches, path, "a", compute).count() == 1
+    assert asked == [[0, 1]]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:
+            master = "local-cluster[2,1,1024]"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.shared_dir(Session)
+
+
 def test_stream_is_the_batch(spark, tmp_path):
     points(spark).repartition(3).write.parquet(str(tmp_path / "in"))
     stream = tile_stream(read_point_stream(spark, str(tmp_path / "in")), GRID, box=(0, 0, 400, 300))
