@@ -4,17 +4,16 @@ Tokens are lower-cased words and one end per text. The model is a bigram model:
 Good-Turing discounted relative frequency d(r) r / c(history) for r up to K and the plain one beyond; a pair
 not seen has alpha(history) p(word). Words are discounted the same way and what that frees is the
 probability of an unknown word. alpha is what the history's pairs leave, divided by the probability
-of all words not seen after it, so every distribution adds up to one exactly.
-
-Every word is a history, and so is the start of a text; ``share`` above 0 leaves that to words that make up so much of
-the training tokens, and after any other word the model backs off with weight one.
-
-Work is cut by pair. Each task packs its texts' pairs into one row per bucket of pairs, so a bucket holds all counts of
-its pairs, whichever history they have: a frequent history is spread over all buckets. Counts are stored as tables. What a
-pair needs besides, the counts of its two words and its history's weight, is summed and answered by buckets of words: each
-part of a table sends its own sums and asks for the whole ones, so a word costs a row of numbers per part and not per
-pair. Only the counts of counts reach the driver. Then the texts' pairs meet the finished table bucket by bucket, and each
-block of texts gets its part of the scores.
+of all words not seen after it, so every distribution adds up to one exactly. Every word is a history, and so is the start of
+a text; a history that training has not seen leaves the word its own probability.
+
+Work is cut into blocks of texts and buckets of keys. A block sends its different words and pairs once, as sorted 64-bit keys
+with their training counts, one row per bucket; a bucket adds them up, stores the table of counts and answers each block with
+the totals of its keys in the same order. So a word or pair costs a bucket one entry per block, however frequent
+it is, and no key travels twice. With the totals a block knows the discounted probabilities of all its tokens. What a
+history's pairs leave is summed from blocks too: of all blocks that have a pair one owns it and counts it in. Histories'
+weights are stored and answered like counts, to the blocks that back off from them. Only the counts of counts reach the
+driver.
 """
 
 from __future__ import annotations
@@ -30,11 +29,13 @@ from tesserae.llm.blocks import LOWER, mix, pieces, word_hashes, words
 from tesserae.llm.packing import pack, text_blocks, unpack
 from tesserae.llm.shared import documents, durable, text_batches, whole
 
-#: Counts up to K are discounted. SHARE: of the training tokens, for a word to be a history (0: every word is one).
-K, SHARE = 5, 0.0
-#: Bytes and texts that are packed together; tokens whose pairs are found together; pairs in a row of a stored table.
-PACK_BYTES, PACK_TEXTS, SLICE, PART = 3 << 20, 60_000, 1 << 22, 1 << 15
+#: Counts up to K are discounted.
+K = 5
+#: Bytes and texts of a block. Bytes of text for which there is a bucket at least.
+PACK_BYTES, PACK_TEXTS, SHARE_BYTES = 6 << 20, 60_000, 32 << 20
 START, END = np.uint64(1), np.uint64(2)  # as hashes of words
+#: Orders of n-grams, and the buckets of histories.
+WORDS, PAIRS = 0, 1
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -64,23 +65,18 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, prior, at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_id, held_out, bytes and offsets of up to PACK_BYTES of texts at a time (columns doc_id, held, text)."""
-    for rows, data, offsets in text_blocks(batches, "text", PACK_BYTES, PACK_TEXTS):
-        yield rows["doc_id"].combine_chunks(), rows["held"].to_numpy().astype(bool), data, offsets
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """Number, doc_id, held_out, and the tokens of up to ``size`` bytes of texts at a time (columns doc_id, held, text)."""
+    from pyspark import TaskContext
+
+    for k, (rows, data, offsets) in enumerate(text_blocks(batches, "text", size, PACK_TEXTS)):
+        yield TaskContext.get().partitionId() << 24 | k, rows["doc_id"].combine_chunks(), rows["held"].to_numpy().astype(bool), _tokens(data, offsets)
 
 
-#: Some pairs: histories, pairs of each, words of all, and each pair's word among these (two halves: the upper one is
-#: nearly always 0). Then what is known of each pair.
-_NAMES = [np.uint64, np.uint32, np.uint64, np.uint16, np.uint16]
-_COUNTED = [*_NAMES, np.uint32]
-#: Entries of each pair; text and times of each of these.
-_PLACED = [*_NAMES, np.uint16, np.uint16, np.uint16]
-#: A part of a bucket's table: history, word, count of the pair; then also counts of the history (0: none) and the word.
-_PAIRS = [np.uint64, np.uint64, np.int64]
-_KNOWN = [*_PAIRS, np.int64, np.int64]
 _ROWS = "bucket int, kind int, block long, n array<long>, data binary"
 _TYPES = {"bucket": pa.int32(), "kind": pa.int32(), "block": pa.int64(), "n": pa.list_(pa.int64()), "data": pa.binary()}
+#: Kinds of rows: what a block sends, a stored table, sums, an answer to a block, a block's texts.
+SENT, TABLE, SUMS, ANSWER, TEXTS = range(5)
 
 
 def _rows(found: list[tuple]) -> pa.Table:
@@ -88,164 +84,91 @@ def _rows(found: list[tuple]) -> pa.Table:
     return pa.table([pa.array([f[i] for f in found], t) for i, t in enumerate(_TYPES.values())], names=list(_TYPES))
 
 
-def _send(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    for f in found:
-        yield from _rows([f]).to_batches()
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Whole numbers byte by byte: all lowest bytes, then the next ones. High bytes are mostly 0 and take no room once compressed."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).ravel()
 
 
-def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
-    """By the hash's top."""
-    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Sorted keys as planes of their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
-def _sums(x: np.ndarray, head: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(x, head) if len(head) else x[:0]
+def _keys(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(_numbers(planes), dtype=np.uint64)
 
 
-def _slices(token: np.ndarray, prior: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """The tokens in pieces, with their words and each token's place of history << 24 | place of word among these."""
-    for i in range(0, len(token), SLICE):
-        s = slice(i, i + SLICE)
-        unique, which = np.unique(np.concatenate([token[s], [START, prior[i]]]), return_inverse=True)
-        word, history = which[:-2], np.concatenate([which[-1:], which[:-3]])
-        yield s, unique, np.where(prior[s] == START, which[-2], history) << 24 | word
+def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket's sorted keys begin: buckets are ranges of keys."""
+    edges = [np.uint64(-(-(b << 64) // buckets)) for b in range(1, buckets)]
+    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]])
 
 
-def _deal(unique: np.ndarray, pair: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Sorted pairs by bucket: which of them, and their _NAMES."""
-    history, word = pair >> 24, pair & 0xFFFFFF
-    bucket = _bucket(mix(unique[history] * np.uint64(0xA5A3564EDCE5B0B3) + unique[word]), buckets)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        c = order[cuts[b] : cuts[b + 1]]
-        head = _heads(history[c])
-        words_, at = np.unique(word[c], return_inverse=True)
-        runs = np.diff(np.concatenate([head, [len(c)]]))
-        yield int(b), c, [unique[history[c[head]]], runs.astype(np.uint32), unique[words_], (at & 0xFFFF).astype(np.uint16), (at >> 16).astype(np.uint16)]
+def _pair_keys(words_: np.ndarray, which: np.ndarray, at: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each token's pair with the token before it, and that history's place among the words."""
+    history = np.empty_like(which)
+    history[1:] = which[:-1]
+    history[at[:-1]] = start
+    spread = mix(words_ * np.uint64(0x9E3779B97F4A7C15))
+    return mix(spread[history] * np.uint64(0xA5A3564EDCE5B0B3) + spread[which]), history
 
 
-def _places(vocabulary: np.ndarray, names: list[np.ndarray]) -> np.ndarray:
-    """place of the history in the vocabulary << 32 | place of the word, of each pair."""
-    word = np.searchsorted(vocabulary, names[2])[names[3].astype(np.int64) | names[4].astype(np.int64) << 16]
-    return np.repeat(np.searchsorted(vocabulary, names[0]), names[1]) << 32 | word
+def _different(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The different words and the start, sorted; each token's place among these; the start's."""
+    words_, which = np.unique(np.concatenate([token, [START]]), return_inverse=True)
+    return words_, which[:-1], int(which[-1])
 
 
-def _count(batches, buckets: int) -> Iterator[tuple]:
-    """Pairs of each block with their training counts; those of held-out texts alone have 0."""
-    for _, held, data, offsets in _blocks(batches):
-        token, prior, at = _tokens(data, offsets)
+def _count(batches, buckets: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Each block's different words and pairs with their training counts; those of held-out texts alone have 0."""
+    for block, _, held, (token, _, at) in _blocks(batches, size):
         train = np.repeat(~held, np.diff(at))
-        for s, unique, pair in _slices(token, prior):
-            pair, which = np.unique(pair, return_inverse=True)
-            n = np.bincount(which, train[s], len(pair)).astype(np.uint32)
-            for b, c, names in _deal(unique, pair, buckets):
-                yield b, 0, None, None, pack([*names, n[c]])
-
-
-def _place(batches, buckets: int) -> Iterator[tuple]:
-    """Pairs of each block with the texts that have them (kind 0), and the block's rows (kind 3)."""
-    from pyspark import TaskContext
-
-    for k, (ids, held, data, offsets) in enumerate(_blocks(batches)):
-        block = TaskContext.get().partitionId() << 24 | k
-        token, prior, at = _tokens(data, offsets)
-        valid = ids.is_valid().to_numpy(zero_copy_only=False)
-        yield block % buckets, 3, block, None, pack([ids.cast(pa.int64()).fill_null(0).to_numpy(), valid.astype(np.uint8), held.astype(np.uint8), np.diff(at).astype(np.int64)])
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        for s, unique, pair in _slices(token, prior):
-            key = np.sort(pair.astype(np.uint64) << np.uint64(16) | text[s].astype(np.uint64))  # 24, 24 and 16 bits
-            head = _heads(key)
-            times = np.diff(np.concatenate([head, [len(key)]]))
-            copies = -(-times // 65535)  # more times than 16 bits hold: several entries
-            key = np.repeat(key[head], copies)
-            part = np.full(len(key), 65535, np.int64)
-            part[np.cumsum(copies) - 1] = times - (copies - 1) * 65535
-            pair = (key >> np.uint64(16)).astype(np.int64)
-            first = _heads(pair)
-            entries = np.diff(np.concatenate([first, [len(key)]]))
-            for b, c, names in _deal(unique, pair[first], buckets):
-                n = entries[c]
-                e = np.arange(n.sum()) + np.repeat(first[c] - np.cumsum(n) + n, n)
-                yield b, 0, block, None, pack([*names, n.astype(np.uint16), (key[e] & np.uint64(0xFFFF)).astype(np.uint16), part[e].astype(np.uint16)])
-
-
-def _table(table: pa.Table) -> pa.Table:
-    """One bucket's pairs with their training counts, in parts (kind 1) sorted by history, then word."""
-    parts = [unpack(x.as_buffer(), _COUNTED) for x in table["data"]]
-    vocabulary = np.unique(np.concatenate([x for p in parts for x in (p[0], p[2])]))
-    pairs, which = np.unique(np.concatenate([_places(vocabulary, p) for p in parts]), return_inverse=True)
-    n = np.bincount(which, np.concatenate([p[5] for p in parts]), len(pairs)).astype(np.int64)
-    history, word = vocabulary[pairs >> 32], vocabulary[pairs & 0xFFFFFFFF]
+        words_, which, start = _different(token)
+        pairs, pair = np.unique(_pair_keys(words_, which, at, start)[0], return_inverse=True)
+        spread, order = _spread(words_)
+        found = []
+        for kind, keys, n in ((WORDS, spread, np.bincount(which, train, len(words_))[order]), (PAIRS, pairs, np.bincount(pair, train, len(pairs)))):
+            cuts = _cuts(keys, buckets)
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[b], cuts[b + 1])
+                found.append((kind * buckets + int(b), SENT, block, None, pack([_steps(keys[own]), _planes(n[own])])))
+        yield from _rows(found).to_batches()
+
+
+def _spread(words_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as keys that fill all buckets evenly, sorted, and the words' order there. START and END keep keys of their own."""
+    keys = mix(words_ + np.uint64(0x5851F42D4C957F2D))
+    order = np.argsort(keys)
+    return keys[order], order
+
+
+def _sent(table: pa.Table, kinds: list) -> tuple[list[int], list[list[np.ndarray]]]:
+    """Blocks in order and their arrays."""
+    rows = sorted(zip(table["block"].to_pylist(), table["data"]), key=lambda r: r[0])
+    return [b for b, _ in rows], [unpack(x.as_buffer(), kinds) for _, x in rows]
+
+
+def _total(table: pa.Table, buckets: int) -> pa.Table:
+    """One bucket: its stored table of counts, how many keys are seen how often, and each block's answer: its keys' totals, and whether
+    it is the first block that has the key in training."""
     bucket = table["bucket"][0].as_py()
-    return _rows([(bucket, 1, i, None, pack([x[i : i + PART] for x in (history, word, n)])) for i in range(0, len(n), PART)])
-
-
-def _counted_as(history: np.ndarray) -> np.ndarray:
-    """The token that comes as often as this history: the word itself, or for the start the end."""
-    return np.where(history == START, END, history)
-
-
-def _ask(key: np.ndarray, values: list[np.ndarray], bucket: int, part: int, buckets: int) -> Iterator[tuple]:
-    """Values of unique words, to the words' buckets; block tells who asks."""
-    to = _bucket(mix(key), buckets)
-    order = np.argsort(to, kind="stable")
-    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)):
-        c = order[cuts[b] : cuts[b + 1]]
-        yield int(b), 0, bucket << 32 | part, None, pack([key[c], *(x[c] for x in values)])
-
-
-def _ask_words(bucket: int, part: int, data, buckets: int) -> Iterator[tuple]:
-    history, word, n = unpack(data, _PAIRS)
-    key, at = np.unique(np.concatenate([word, _counted_as(history)]), return_inverse=True)
-    return _ask(key, [np.bincount(at[: len(n)], n, len(key)).astype(np.int64)], bucket, part, buckets)
-
-
-def _by_count(n: np.ndarray) -> list[int]:
-    return np.bincount(np.minimum(n, K + 2), minlength=K + 3)[1 : K + 2].tolist()
-
-
-def _answer_words(table: pa.Table) -> pa.Table:
-    """One bucket of words: each part's words with their counts (kind 4), and sums of all (kind 2)."""
-    asked = [unpack(x.as_buffer(), [np.uint64, np.int64]) for x in table["data"]]
-    words_, at = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-    count = np.bincount(at, np.concatenate([a[1] for a in asked]), len(words_)).astype(np.int64)
-    cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
-    out = [(block >> 32, 4, block & 0xFFFFFFFF, None, pack([a[0], count[at[i:j]]])) for block, a, i, j in zip(table["block"].to_pylist(), asked, cuts, cuts[1:])]
-    return _rows([*out, (0, 2, None, [int(count.sum()), *_by_count(count), int((count > 0).sum())], None)])
-
-
-def _by_kind(table: pa.Table, kinds: dict[int, list]) -> dict[int, list[tuple[int, list[np.ndarray]]]]:
-    """Block and arrays of the rows of each kind, by block."""
-    found = zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["data"])
-    rows = [(k, block, x) for k, block, x in found if k in kinds]
-    return {kind: sorted(((block, unpack(x.as_buffer(), types)) for k, block, x in rows if k == kind), key=lambda r: r[0]) for kind, types in kinds.items()}
-
-
-def _answers(rows: list) -> list[np.ndarray]:
-    """Sorted words and their values from all answers to a bucket."""
-    columns = [np.concatenate(c) for c in zip(*(r for _, r in rows))]
-    key, at = np.unique(columns[0], return_index=True)
-    return [key, *(c[at] for c in columns[1:])]
-
-
-def _know(table: pa.Table, least: float) -> pa.Table:
-    """One bucket's parts with the counts of histories and words, and how many pairs are seen how often (kind 2)."""
-    rows = _by_kind(table, {1: _PAIRS, 4: [np.uint64, np.int64]})
-    words_, count = _answers(rows[4])
-    bucket, out, sums = table["bucket"][0].as_py(), [], np.zeros(K + 1, np.int64)
-    for part, (history, word, n) in rows[1]:
-        of = count[np.searchsorted(words_, _counted_as(history))]
-        of = np.where((history == START) | (of >= least), of, 0)
-        n = np.where(of > 0, n, 0)
-        sums += _by_count(n)
-        out.append((bucket, 1, part, None, pack([history, word, n, of, count[np.searchsorted(words_, word)]])))
-    return _rows([*out, (bucket, 2, None, sums.tolist(), None)])
+    blocks, sent = _sent(table, [np.uint8, np.uint8])
+    keys = [_keys(x[0]) for x in sent]
+    n = np.concatenate([_numbers(x[1]) for x in sent]).astype(np.int64)
+    names, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, n, len(names)).astype(np.int64)
+    seen = np.flatnonzero(n)
+    owns = np.zeros(len(n), bool)
+    owns[seen[np.unique(at[seen], return_index=True)[1]]] = True
+    known = total > 0
+    ends = np.cumsum([0, *map(len, keys)])
+    out = [(bucket, ANSWER, block, None, pack([_planes(total[at[i:j]]), np.packbits(owns[i:j]), np.bitwise_xor.reduce(k)[None]])) for block, k, i, j in zip(blocks, keys, ends, ends[1:])]
+    of = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
+    return _rows([*out, (bucket, TABLE, None, None, pack([_steps(names[known]), _planes(total[known])])), (bucket // buckets, SUMS, None, [int(total.sum()), *of, int(known.sum())], None)])
 
 
 def discounts(of: np.ndarray) -> np.ndarray:
@@ -289,112 +212,147 @@ class Weights:
         beta = np.where(some, left / count, 1 / (count + 1))
         return beta / np.maximum(1 - seen, self.unknown), np.where(some, 1.0, count / (count + 1))
 
-    def pair_probability(self, n: np.ndarray, history: np.ndarray, alpha: np.ndarray, scale: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """history: counts; word: the words' own probabilities, to which unseen pairs back off."""
-        d = np.concatenate([[0], self.d_pair, [1]])[np.minimum(n, K + 1)]
-        return np.where(n > 0, scale * d * n / np.maximum(history, 1), alpha * word)
+    def discounted(self, n: np.ndarray) -> np.ndarray:
+        """Counts of pairs after their discount."""
+        return np.concatenate([[0], self.d_pair, [1]])[np.minimum(n, K + 1)] * n
 
 
-def _ask_weights(bucket: int, part: int, data, weights: Weights, buckets: int) -> Iterator[tuple]:
-    history, _, n, of, count = unpack(data, _KNOWN)
-    head = _heads(history)
-    left, seen = (_sums(x, head) for x in weights.left_and_seen(n, weights.word_probability(count)))
-    keep = of[head] > 0
-    return _ask(history[head][keep], [x[keep] for x in (of[head], left, seen)], bucket, part, buckets)
+def _send_texts(batches, size: int) -> Iterator[pa.RecordBatch]:
+    """Each block's rows and tokens, as places among its words."""
+    for block, ids, held, (token, _, at) in _blocks(batches, size):
+        words_, which, _ = _different(token)
+        valid = ids.is_valid().to_numpy(zero_copy_only=False)
+        data = [ids.cast(pa.int64()).fill_null(0).to_numpy(), valid.astype(np.uint8), held.astype(np.uint8), np.diff(at).astype(np.int64), _steps(words_), which.astype(np.uint16), (which >> 16).astype(np.uint16)]
+        yield from _rows([(0, TEXTS, block, None, pack(data))]).to_batches()
+
+
+_TEXTS = [np.int64, np.uint8, np.uint8, np.int64, np.uint8, np.uint16, np.uint16]
+#: What a block knows of its texts before the weights of histories: rows, known tokens, base scores, scores without weights; then
+#: entries of a text and a history (its place among those asked for) with how often its weight and its scale count.
+_PARTIAL = [np.int64, np.uint8, np.uint8, np.int64, np.int64, np.float64, np.float64, np.int64, np.int64, np.int64, np.int64]
 
 
-def _answer_weights(table: pa.Table, weights: Weights) -> pa.Table:
-    """One bucket of histories: each part's histories with their weights (kind 5)."""
-    blocks, data = table["block"].to_pylist(), table["data"]
-    order = sorted(range(len(blocks)), key=blocks.__getitem__)  # sums do not hang on the rows' order
-    asked = [unpack(data[i].as_buffer(), [np.uint64, np.int64, np.float64, np.float64]) for i in order]
-    names, first, at = np.unique(np.concatenate([a[0] for a in asked]), return_index=True, return_inverse=True)
-    count, left, seen = (np.concatenate([a[c] for a in asked]) for c in (1, 2, 3))
-    alpha, scale = weights.alpha(count[first], np.bincount(at, left, len(names)), np.bincount(at, seen, len(names)))
-    cuts = np.cumsum([0, *(len(a[0]) for a in asked)])
-    return _rows([(blocks[o] >> 32, 5, blocks[o] & 0xFFFFFFFF, None, pack([a[0], alpha[at[i:j]], scale[at[i:j]]])) for o, a, i, j in zip(order, asked, cuts, cuts[1:])])
+def _answered(table: pa.Table, first: int, buckets: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals and ownership of a block's sorted keys from the answers of buckets ``first`` and on."""
+    found = {b: unpack(x.as_buffer(), [np.uint8, np.uint8, np.uint64]) for b, x in zip(table["bucket"].to_pylist(), table["data"])}
+    total, owns, cuts = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), _cuts(keys, buckets)
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[b], cuts[b + 1])
+        planes, bits, check = found.get(first + int(b), (np.zeros(0, np.uint8), None, np.zeros(1, np.uint64)))
+        if len(planes) != 8 * (cuts[b + 1] - cuts[b]) or check[0] != np.bitwise_xor.reduce(keys[own]):
+            raise RuntimeError("the documents came in other partitions when they were read again: write them to a table first")
+        total[own] = _numbers(planes)
+        owns[own] = np.unpackbits(bits, count=cuts[b + 1] - cuts[b])
+    return total, owns
+
+
+def _measure(texts: pa.Table, answers: pa.Table, weights: Weights, buckets: int) -> pa.Table:
+    """One block with its answers: what it adds to its histories' sums, and its texts' scores but for the weights."""
+    if not len(texts):
+        return _rows([])
+    block = texts["block"][0].as_py()
+    ids, valid, held, tokens, steps, low, high = unpack(texts["data"][0].as_buffer(), _TEXTS)
+    words_, which = _keys(steps), low.astype(np.int64) | high.astype(np.int64) << 16
+    start, end = np.searchsorted(words_, [START, END])
+    at = np.concatenate([[0], np.cumsum(tokens)])
+    spread, order = _spread(words_)
+    count = np.zeros(len(words_), np.int64)
+    count[order] = _answered(answers, WORDS * buckets, buckets, spread)[0]
+    key, history = _pair_keys(words_, which, at, int(start))
+    pairs, first, pair = np.unique(key, return_index=True, return_inverse=True)
+    n, owns = _answered(answers, PAIRS * buckets, buckets, pairs)
+    of = count.copy()
+    of[start] = count[end]  # the start comes as often as the end
+    # by pair
+    before, word = history[first], weights.word_probability(count[which[first]])
+    left, seen = weights.left_and_seen(n, word)
+    add = lambda x, some: np.bincount(before[some], x[some], len(words_))
+    mine, discounted = owns & (n > 0), add(left, n > 0) > 0
+    own_left, own_seen = add(left, mine), add(seen, mine)
+    score = np.log10(np.where(n > 0, weights.discounted(n) / np.maximum(of[before], 1), word))
+    # a weight counts for pairs that are not seen; a scale may count where no pair here shows that the history is discounted
+    weigh, scale = (n == 0) & (of[before] > 0), (n > 0) & ~discounted[before]
+    text = np.repeat(np.arange(len(ids)), tokens)
+    sums = [np.bincount(text, x, len(ids)) for x in ((count[which] > 0).astype(float), np.log10((count[which] + 0.1) / (weights.tokens + 0.1 * (weights.types + 1))), score[pair])]
+    open_ = np.flatnonzero((weigh | scale)[pair])
+    entries, back = np.unique(text[open_] * len(words_) + history[open_], return_inverse=True)
+    times = [np.bincount(back, x[pair[open_]], len(entries)).astype(np.int64) for x in (weigh, scale)]
+    asked, place = np.unique(entries % len(words_), return_inverse=True)
+    # histories are keyed like words, so a history is in one bucket whichever block it comes from
+    told = np.union1d(np.flatnonzero(np.bincount(before[mine], minlength=len(words_))), asked)
+    keys, by = _spread(words_[told])
+    told = told[by]
+    wanted = np.isin(told, asked)
+    found, cuts = [], _cuts(keys, buckets)
+    for b in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[b], cuts[b + 1])
+        found.append((int(b), SENT, block, None, pack([_steps(keys[own]), _planes(of[told[own]]), own_left[told[own]], own_seen[told[own]], np.packbits(wanted[own])])))
+    # asked histories in the order in which they are answered
+    rank = np.zeros(len(words_), np.int64)
+    rank[told[wanted]] = np.arange(wanted.sum())
+    partial = [ids, valid, held, tokens, sums[0].astype(np.int64), sums[1], sums[2], entries // len(words_), rank[asked[place]], *times]
+    return _rows([*found, (0, TEXTS, block, None, pack(partial))])
 
 
-def _score(table: pa.Table, weights: Weights) -> pa.Table:
-    """One bucket: its part of each block's texts (places, known tokens, base score, score), and the blocks' rows as they are."""
+def _weigh(table: pa.Table, weights: Weights) -> pa.Table:
+    """One bucket of histories: their stored weights, and each block's answer."""
     bucket = table["bucket"][0].as_py()
-    own = [(bucket, 3, block, None, x.as_py()) for k, block, x in zip(table["kind"].to_pylist(), table["block"].to_pylist(), table["data"]) if k == 3]
-    rows = _by_kind(table, {0: _PLACED, 1: _KNOWN, 5: [np.uint64, np.float64, np.float64]})
-    if not rows[1]:
-        return _rows(own)
-    history, word, n, of, count = (np.concatenate(c) for c in zip(*(r for _, r in rows[1])))
-    alpha, scale = np.ones(len(n)), np.ones(len(n))
-    if rows[5]:
-        names, *found = _answers(rows[5])
-        at = np.minimum(np.searchsorted(names, history), len(names) - 1)
-        alpha, scale = (np.where(of > 0, x[at], 1.0) for x in found)
-    base = np.log10((count + 0.1) / (weights.tokens + 0.1 * (weights.types + 1)))
-    score = np.log10(weights.pair_probability(n, of, alpha, scale, weights.word_probability(count)))
-    known = (count > 0).astype(float)
-    vocabulary = np.unique(np.concatenate([history, word]))
-    keys = np.searchsorted(vocabulary, history) << 32 | np.searchsorted(vocabulary, word)
-    out = own
-    for block, p in rows[0]:
-        at = np.repeat(np.searchsorted(keys, _places(vocabulary, p)), p[5])
-        texts, times = p[6], p[7].astype(float)
-        size = int(texts.max()) + 1
-        sums = [np.bincount(texts, times * x[at], size) for x in (known, base, score)]
-        there = np.flatnonzero(np.bincount(texts, minlength=size))
-        out.append((bucket, 0, block, None, pack([there.astype(np.uint16), sums[0][there].astype(np.uint32), sums[1][there], sums[2][there]])))
+    blocks, sent = _sent(table, [np.uint8, np.uint8, np.float64, np.float64, np.uint8])
+    keys = [_keys(x[0]) for x in sent]
+    names, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    of = np.concatenate([_numbers(x[1]) for x in sent]).astype(np.int64)[first]
+    # sums in the order of blocks, so that they are the same each time
+    left, seen = (np.bincount(at, np.concatenate([x[c] for x in sent]), len(names)) for c in (2, 3))
+    alpha, scale = weights.alpha(of, left, seen)
+    out, ends = [(bucket, TABLE, None, None, pack([_steps(names), _planes(of), alpha, scale]))], np.cumsum([0, *map(len, keys)])
+    for block, x, i, j in zip(blocks, sent, ends, ends[1:]):
+        wanted = at[i:j][np.unpackbits(x[4], count=j - i).astype(bool)]
+        if len(wanted):
+            out.append((bucket, ANSWER, block, None, pack([alpha[wanted], scale[wanted]])))
     return _rows(out)
 
 
-def katz_scores(docs: DataFrame, share: float = SHARE, buckets: int | None = None) -> DataFrame:
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+    """One block's rows with their scores."""
+    names, kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    if not len(texts):
+        return pa.table([pa.array([], t) for t in kinds], names=names)
+    ids, valid, held, tokens, known, base, score, text, place, weighed, scaled = unpack(texts["data"][0].as_buffer(), _PARTIAL)
+    rows = [unpack(x.as_buffer(), [np.float64, np.float64]) for _, x in sorted(zip(answers["bucket"].to_pylist(), answers["data"]), key=lambda r: r[0])]
+    if rows:
+        alpha, scale = (np.log10(np.concatenate([r[c] for r in rows])) for c in (0, 1))
+        score = score + np.bincount(text, weighed * alpha[place] + scaled * scale[place], len(ids))
+    return pa.table([pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(tokens), pa.array(known), pa.array(base), pa.array(score)], names=names)
+
+
+def katz_scores(docs: DataFrame, buckets: int | None = None, block_bytes: int = PACK_BYTES) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability).
 
     Null and empty texts have one token, the end. Rows count as often as they come, repeated or not; a null doc_id
     trains. Without training tokens everything is unknown: base_score and score stay finite. An empty
-    table gives no rows. Texts of any length are scored whole.
+    table gives no rows. Texts of any length are scored whole. The documents are read twice and must come in the same
+    partitions both times, as tables do; that is checked, and anything else is an error.
     """
     spark = docs.sparkSession
     text_batches(spark, 64)  # a bucket's rows have up to some hundred kilobytes
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held"), whole("text").alias("text"))
-    counted = texts.mapInArrow(lambda b: _send(_count(b, buckets)), _ROWS)
-    tables = durable(counted.groupBy("bucket").applyInArrow(_table, _ROWS), "katz-pairs")
-
-    def asking(df: DataFrame, ask) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                for bucket, part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    yield from _send(ask(bucket, part, data.as_buffer()))
-
-        return df.where("kind = 1").select("bucket", "block", "data").mapInArrow(run, _ROWS)
-
-    answers = durable(asking(tables, lambda *r: _ask_words(*r, buckets)).groupBy("bucket").applyInArrow(_answer_words, _ROWS), "katz-words")
-
-    def total(df: DataFrame, size: int) -> np.ndarray:
-        row = df.where("kind = 2").agg(*(F.sum(F.col("n")[i]) for i in range(size))).first()
-        return np.array([x or 0 for x in row], np.int64)
-
-    word_sums = total(answers, K + 3)
-    least = share * int(word_sums[0])
-    known = tables.unionByName(answers.where("kind = 4")).groupBy("bucket").applyInArrow(lambda t: _know(t, least), _ROWS)
-    known = durable(known, "katz-known")
-    weights = spark.sparkContext.broadcast(Weights(word_sums, total(known, K + 1)))
-    alphas = asking(known, lambda *r: _ask_weights(*r, weights.value, buckets)).groupBy("bucket").applyInArrow(lambda t: _answer_weights(t, weights.value), _ROWS)
-    placed = texts.mapInArrow(lambda b: _send(_place(b, buckets)), _ROWS)
-    scored = placed.unionByName(known.where("kind = 1")).unionByName(alphas).groupBy("bucket").applyInArrow(lambda t: _score(t, weights.value), _ROWS)
-
-    def gather(table: pa.Table) -> pa.Table:
-        flags = [k == 3 for k in table["kind"].to_pylist()]
-        ids, valid, held, tokens = unpack(table["data"][flags.index(True)].as_buffer(), [np.int64, np.uint8, np.uint8, np.int64])
-        sums = np.zeros((3, len(ids)))
-        for i, f in enumerate(flags):
-            if not f:
-                there, known, base, score_ = unpack(table["data"][i].as_buffer(), [np.uint16, np.uint32, np.float64, np.float64])
-                sums[:, there] += (known, base, score_)
-        return pa.table(
-            [pa.array(ids, mask=valid == 0), pa.array(held.astype(bool)), pa.array(tokens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
-        )
-
-    rows = scored.groupBy("block").applyInArrow(gather, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    if not buckets:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARE_BYTES)
+    sent = texts.mapInArrow(lambda b: _count(b, buckets, block_bytes), _ROWS)
+    counts = durable(sent.groupBy("bucket").applyInArrow(lambda t: _total(t, buckets), _ROWS), "katz-counts")
+    sums = {r["bucket"]: np.array(r["n"], np.int64) for r in counts.where(F.col("kind") == SUMS).groupBy("bucket").agg(F.array(*(F.sum(F.col("n")[i]) for i in range(K + 3))).alias("n")).collect()}  # a row for words and one for pairs
+    none = np.zeros(K + 3, np.int64)
+    weights = spark.sparkContext.broadcast(Weights(sums.get(WORDS, none), sums.get(PAIRS, none)[1 : K + 2]))
+    answers = counts.where(F.col("kind") == ANSWER).groupBy("block")
+    blocks = texts.mapInArrow(lambda b: _send_texts(b, block_bytes), _ROWS).groupBy("block")
+    partial = durable(blocks.cogroup(answers).applyInArrow(lambda t, a: _measure(t, a, weights.value, buckets), _ROWS), "katz-partial")
+    stored = durable(partial.where(F.col("kind") == SENT).groupBy("bucket").applyInArrow(lambda t: _weigh(t, weights.value), _ROWS), "katz-weights")
+    answers = stored.where(F.col("kind") == ANSWER).groupBy("block")
+    rows = partial.where(F.col("kind") == TEXTS).groupBy("block").cogroup(answers).applyInArrow(_score, _SCORES)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -3,8 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
+import tesserae.llm.katz as katz
 from tesserae.llm.katz import K, discounts, katz_scores
 
 SCHEMA = "doc_id long, text string, score string"
@@ -15,7 +17,7 @@ def texts():
     return [*out, None, "", "  ", "the the the the " * 30, "unseen words only", "the cat", "the cat"]
 
 
-def brute(rows, share):
+def brute(rows):
     """The same model, written down directly."""
     def tokens(t):
         return [*re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)})), None]
@@ -24,8 +26,7 @@ def brute(rows, share):
     train = [tokens(t) for (_, t), h in zip(rows, held) if not h]
     word = Counter(w for t in train for w in t)
     total = sum(word.values())
-    known = {w for w, n in word.items() if w is not None and n >= share * total} | {"<s>"}
-    pair = Counter((v, w) for t in train for v, w in zip(["<s>", *t], t) if v in known)
+    pair = Counter((v, w) for t in train for v, w in zip(["<s>", *t], t))
     dw = discounts([sum(n == r for n in word.values()) for r in range(1, K + 2)]) if word else None
     dp = discounts([sum(n == r for n in pair.values()) for r in range(1, K + 2)])
     d = lambda x, n: x[n - 1] if n <= K else 1.0
@@ -59,12 +60,13 @@ def brute(rows, share):
     return out
 
 
-@pytest.mark.parametrize("share", [1e-4, 0.05])
-def test_same_as_written_down(spark, share):
+@pytest.mark.parametrize("size", [6 << 20, 200])
+def test_same_as_written_down(spark, size):
+    """In one block for each task and in many."""
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
-    got = sorted(map(tuple, katz_scores(docs, share).collect()))
-    for g, w in zip(got, brute(rows, share), strict=True):
+    got = sorted(map(tuple, katz_scores(docs, block_bytes=size).collect()))
+    for g, w in zip(got, brute(rows), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:])
 
@@ -81,6 +83,29 @@ def test_pairs_after_rare_words_of_a_large_table(spark, buckets):
     """Histories far below 1/10,000 of the tokens, and more pairs than a stored row holds."""
     rows = list(enumerate(" ".join(f"w{(i * 37 + k * k) % 9000} x{(i + k) % 50} of the" for k in range(60)) + f" rare{i % 300} pair{i % 300}" for i in range(900)))
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA).repartition(3)
-    for g, w in zip(sorted(map(tuple, katz_scores(docs, buckets=buckets).collect())), brute(rows, 0), strict=True):
+    for g, w in zip(sorted(map(tuple, katz_scores(docs, buckets=buckets).collect())), brute(rows), strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:])
+
+
+def test_histories_that_are_never_discounted(spark):
+    """All pairs of some histories come more than K times, so one more token makes room; texts that do not train back off from them."""
+    rows = [(i, "a b a b c d") for i in range(40)] + [(i, f"a x{i} b c zz") for i in range(40, 80)]
+    docs = spark.createDataFrame([(i, t, "") for i, t in rows], SCHEMA).repartition(5)
+    for g, w in zip(sorted(map(tuple, katz_scores(docs, buckets=3).collect())), brute(rows), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:])
+
+
+def test_other_partitions_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1}", "") for i in range(50)], SCHEMA).repartition(2)
+    send = katz._send_texts
+    monkeypatch.setattr(katz, "_send_texts", lambda batches, size: send((b.slice(1) for b in batches), size))
+    with pytest.raises(Exception, match="other partitions"):
+        katz_scores(docs).collect()
+
+
+def test_keys_survive_packing():
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 1000, dtype=np.uint64))
+    assert (katz._keys(katz._steps(keys)) == keys).all()
+    cuts = katz._cuts(keys, 7)
+    assert all((b << 64) // 7 <= int(k) < ((b + 1) << 64) // 7 + 1 for b in range(7) for k in keys[cuts[b] : cuts[b + 1]])
