@@ -181,7 +181,7 @@ def _possible(n, m, i, j, r, s):
 _PAIRS = "bucket int, list long, x long, y long, n int, place int, role int"
 
 
-def _lists(table: pa.Table) -> pa.Table:
+def _lists(table: pa.Table, longest: int) -> pa.Table:
     """One bucket: candidate pairs (list null), and the entries of long lists (y null)."""
     parts = [unpack(x.as_buffer(), _LISTED) for x in table["data"]]
     key, place, role = (np.concatenate([p[c] for p in parts]) for c in (0, 2, 3))
@@ -194,11 +194,11 @@ def _lists(table: pa.Table) -> pa.Table:
     key, name, n, place, role = key[once], name[once], n[once], place[once], role[once]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.concatenate([head, [len(key)]]))
-    long = np.repeat(length > LIST, length)
+    long = np.repeat(length > longest, length)
     xs, ys = [], []
-    short = np.flatnonzero(np.repeat((length > 1) & (length <= LIST), length))
+    short = np.flatnonzero(np.repeat((length > 1) & (length <= longest), length))
     k2, v2, n2, p2, r2 = key[short], name[short], n[short], place[short], role[short]
-    for d in range(1, LIST):
+    for d in range(1, longest):
         if len(k2) <= d:
             break
         i = np.flatnonzero(k2[d:] == k2[:-d])
@@ -393,7 +393,8 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rank = np.clip(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)).astype(np.int64), 0, 15).astype(np.uint64)
     table = spark.sparkContext.broadcast(rank)
     sent = texts.select("text").mapInArrow(lambda b: _send(b, buckets, light, table.value), "bucket int, data binary")
-    listed = durable(sent.groupBy("bucket").applyInArrow(_lists, _PAIRS), "jaccard-lists")
+    longest = LIST
+    listed = durable(sent.groupBy("bucket").applyInArrow(lambda t: _lists(t, longest), _PAIRS), "jaccard-lists")
     nodes = rows.where("n > 1").groupBy("name").agg(F.min(F.struct("id", "hash")).alias("first"))
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
@@ -411,7 +412,7 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     found = components(linked(pairs))
     for turn in range(ROUNDS + 1):
-        entries = lists.withColumn("component", F.col("x")) if turn == 0 else _open_lists(lists, found)
+        entries = lists.withColumn("component", F.col("x")) if turn == 0 < ROUNDS else _open_lists(lists, found)
         if entries.isEmpty():
             break
         if turn < ROUNDS:
