@@ -6,8 +6,12 @@ them: a run of neighbouring strings with one smallest gram is a stretch of text,
 to equal grams. Each run is reported to its gram's bucket with a hash of the stretch, of 128 bits. Grams only bring runs
 together, so 32 bits of theirs do.
 
-A bucket settles equal stretches at once: all but those of the smallest doc_id go. Only where one gram has
-different stretches of different documents are their bytes fetched and their suffixes compared: in the order of doc_id
+Equal stretches are settled at once, within a block of texts before anything is sent and then in the bucket: all but those of
+the smallest doc_id go. So a passage costs a bucket one entry per block, however many documents have it. A gram that
+comes very often in different stretches, as at the edge of such a passage, is taken apart: its strings are dealt one by
+one, each by its own hash, over all buckets.
+
+Only where one gram has different stretches of different documents are their bytes fetched and their suffixes compared: in the order of doc_id
 a batch of suffixes is sorted (down to LENGTH bytes) into a suffix array and merge-scanned against the family's
 levels; what it finds there starts in an earlier document. Then it becomes a level itself, and levels of equal
 size merge, so there are only logarithmically many.
@@ -31,12 +35,15 @@ LENGTH, GRAM = 50, 16
 #: Bytes of texts worked on together; suffixes sorted together; strings of a run at most (longer runs are split).
 BLOCK, BATCH, RUN = 4 << 20, 1 << 16, 255
 _LAST = np.iinfo(np.int64).max
+#: Grams are counted in 2**SKETCH counters. One that comes HOT times or more (with those that share its counter) is taken apart.
+SKETCH, HOT = 18, 1 << 17
 #: Values of bytes in the second half of a stretch's hash, independent of those in the first.
 _SECOND_VALUE = np.random.Generator(np.random.PCG64(20250311)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest gram's hash, first place, number of strings, and the two halves of the stretch's hash of each run of strings."""
+def runs(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest gram's hash, first place, number of strings, and the two halves of the stretch's hash of each run of strings. Strings
+    under a hot gram (a flag for each counter) are runs of their own, with their own hash for the gram's."""
     n = len(data)
     none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     if n < length:
@@ -68,43 +75,86 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
         next_gap = np.concatenate([gaps, [count]])[np.searchsorted(gaps, first)]
         end = np.minimum(end, next_gap)
     size = end - first
-    parts = -(-size // RUN)
+    key = mix(least[first] + np.uint64(1))  # smallest hashes are small: spread them over the buckets
+    single = np.zeros(len(key), bool) if hot is None else hot[(key & np.uint64(len(hot) - 1)).view(np.int64)]
+    unit = np.where(single, 1, RUN)
+    parts = -(-size // unit)
     if parts.max() > 1:
         step = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first, size = np.repeat(first, parts) + step * RUN, np.minimum(np.repeat(size, parts) - step * RUN, RUN)
+        unit, single, key = np.repeat(unit, parts), np.repeat(single, parts), np.repeat(key, parts)
+        first, size = np.repeat(first, parts) + step * unit, np.minimum(np.repeat(size, parts) - step * unit, unit)
     stop = first + size + length - 1
     stretch = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
     np.cumsum(_SECOND_VALUE[data] * up[:n], out=total[1:])
     second = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
-    return mix(least[first] + np.uint64(1)), first, size, stretch, second  # smallest hashes are small: spread them over the buckets
+    return np.where(single, mix(stretch + np.uint64(2)), key), first, size, stretch, second
 
 
 _RUNS = [np.uint32, np.uint32, np.uint64, np.uint64, np.uint8, np.uint32, np.int64, np.uint32]
 
 
-def _send(batches, buckets: int):
+def _survey(batches):
+    """This task's counts of smallest grams, in 64 parts."""
+    counts = np.zeros(1 << SKETCH, np.uint32)
+    for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
+        for i, j in pieces(offsets):
+            key = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
+            counts += np.bincount((key & np.uint64((1 << SKETCH) - 1)).view(np.int64), minlength=1 << SKETCH).astype(np.uint32)
+    parts = [x.tobytes() for x in counts.reshape(64, -1)] if counts.any() else []
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in table["counts"])
+    return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
+
+
+def hot_grams(texts: DataFrame, least: int) -> np.ndarray:
+    """A flag for each counter, from the whole table: whether its grams come ``least`` times or more."""
+    # 64 parts of a table of fixed size
+    parts = texts.select("text").mapInArrow(_survey, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
+    out = np.zeros((64, (1 << SKETCH) // 64), bool)
+    for r in parts:
+        out[r["part"]] = np.frombuffer(r["counts"], np.int64) >= least
+    return out.ravel()
+
+
+_SENT = "bucket int, block long, kind int, data binary"
+#: Kinds of rows: runs that go, runs (whose bytes are needed, once settled), a block's documents.
+GONE, OPEN, FACTS = range(3)
+
+
+def _send(batches, buckets: int, hot: np.ndarray):
     from pyspark import TaskContext
 
-    names, kinds = ["bucket", "block", "data"], [pa.int32(), pa.int64(), pa.binary()]
+    names, kinds = ["bucket", "block", "kind", "data"], [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+
+    def row(bucket: int, block: int, kind: int, arrays: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((bucket, block, kind, pack(arrays)), kinds)], names=names)
+
     for k, (rows, data, offsets) in enumerate(text_blocks(batches, "text", BLOCK, 1 << 20)):
         block = TaskContext.get().partitionId() << 24 | k
         ids, hashes = rows["id"].combine_chunks().to_numpy(), rows["hash"].combine_chunks().to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - block % buckets], kinds[0]), pa.array([block], kinds[1]), pa.array([pack([ids, hashes, offsets.astype(np.int64)])], kinds[2])], names=names)
-        found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in pieces(offsets)]
+        yield row(-1 - block % buckets, block, FACTS, [ids, hashes, offsets.astype(np.int64)])
+        found = [runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], hot) for i, j in pieces(offsets)]
         gram, _, size, stretch, second = (np.concatenate([x[c] for x in found]) for c in range(5))
         first = np.concatenate([x[1] + offsets[i] for x, (i, _) in zip(found, pieces(offsets))])
         bucket = ((gram >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         key = gram.astype(np.uint32)  # the lower half; the upper one chose the bucket
         doc = np.searchsorted(offsets, first, "right") - 1
-        # of equal stretches of one document and gram, one stands for all if it is settled here
         order = np.lexsort((ids[doc], second, stretch, key, bucket))
         key, first, size, stretch, second, doc, bucket = (x[order] for x in (key, first, size, stretch, second, doc, bucket))
+        # of equal stretches of this block those of the smallest document alone go on; the others are settled
+        head = np.flatnonzero(_starts(bucket, key, stretch, second))
+        later = ids[doc] > np.repeat(ids[doc[head]], np.diff(np.concatenate([head, [len(key)]])))
+        if later.any():
+            yield row(-1 - block % buckets, block, GONE, [doc[later].astype(np.uint32), first[later].astype(np.uint32), size[later].astype(np.uint8), key[later]])
+            key, first, size, stretch, second, doc, bucket = (x[~later] for x in (key, first, size, stretch, second, doc, bucket))
         cuts = np.searchsorted(bucket, np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[b], cuts[b + 1])
             here, which = np.unique(doc[s], return_inverse=True)
-            payload = pack([key[s], first[s].astype(np.uint32), stretch[s], second[s], size[s].astype(np.uint8), which.astype(np.uint32), ids[here], here.astype(np.uint32)])
-            yield pa.RecordBatch.from_arrays([pa.array([b], kinds[0]), pa.array([block], kinds[1]), pa.array([payload], kinds[2])], names=names)
+            yield row(int(b), block, OPEN, [key[s], first[s].astype(np.uint32), stretch[s], second[s], size[s].astype(np.uint8), which.astype(np.uint32), ids[here], here.astype(np.uint32)])
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -120,10 +170,10 @@ _FOUND = [np.uint32, np.uint32, np.uint8, np.uint32]
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """One bucket: for each block the runs that go (key 0 unused, kind 0) and those whose bytes are needed (kind 1)."""
+    """One bucket: for each block the runs that go and those whose bytes are needed."""
     bucket = table["bucket"][0].as_py()
     if bucket < 0:
-        return table.append_column("kind", pa.array([2] * len(table), pa.int32()))
+        return table
     blocks = table["block"].to_numpy()
     parts = [unpack(x.as_buffer(), _RUNS) for x in table["data"]]
     sizes = [len(p[0]) for p in parts]
@@ -144,7 +194,7 @@ def _settle(table: pa.Table) -> pa.Table:
     differ = np.minimum.reduceat(smallest, at) != np.maximum.reduceat(smallest, at) if len(at) else several
     need = np.repeat(several & differ, n) & ~gone
     out_block, out_kind, out = [], [], []
-    for kind, chosen in ((0, order[gone]), (1, order[need])):
+    for kind, chosen in ((GONE, order[gone]), (OPEN, order[need])):
         chosen = chosen[np.argsort(block[chosen], kind="stable")]
         cuts = np.searchsorted(block[chosen], np.arange(len(parts) + 1))
         for b in np.flatnonzero(np.diff(cuts)):
@@ -152,15 +202,15 @@ def _settle(table: pa.Table) -> pa.Table:
             out_block.append(int(blocks[b]))
             out_kind.append(kind)
             out.append(pack([doc[c], first[c], size[c], key[c]]))
-    return pa.table([pa.array([bucket] * len(out), pa.int32()), pa.array(out_block, pa.int64()), pa.array(out, pa.binary()), pa.array(out_kind, pa.int32())], names=["bucket", "block", "data", "kind"])
+    return pa.table([pa.array([bucket] * len(out), pa.int32()), pa.array(out_block, pa.int64()), pa.array(out_kind, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "block", "kind", "data"])
 
 
 def _by_document(table: pa.Table) -> pa.Table:
     """One block: per document the spans that go and the runs that are needed."""
     kinds, buckets = table["kind"].to_numpy(), table["bucket"].to_numpy()
-    ids, hashes, offsets = unpack(table["data"][int(np.flatnonzero(kinds == 2)[0])].as_buffer(), [np.int64, np.int64, np.int64])
+    ids, hashes, offsets = unpack(table["data"][int(np.flatnonzero(kinds == FACTS)[0])].as_buffer(), [np.int64, np.int64, np.int64])
     facts = []
-    for kind in (0, 1):
+    for kind in (GONE, OPEN):
         rows = np.flatnonzero(kinds == kind)
         parts = [unpack(table["data"][int(r)].as_buffer(), _FOUND) for r in rows]
         doc, first, size, key = (np.concatenate([np.zeros(0, t), *(p[c] for p in parts)]) for c, t in enumerate(_FOUND))
@@ -304,7 +354,7 @@ def _cut(batches, with_text: bool):
         yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = True, buckets: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = True, buckets: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes that
     stay; null without ``with_text``).
 
@@ -317,8 +367,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, buckets: int | None
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     identity: list[Column] = [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash")]
     texts = docs.select("doc_id", whole("text").alias("text"), *identity)
-    sent = texts.select("id", "hash", "text").mapInArrow(lambda b: _send(b, buckets), "bucket int, block long, data binary")
-    settled = sent.groupBy("bucket").applyInArrow(_settle, "bucket int, block long, data binary, kind int")
+    flags = spark.sparkContext.broadcast(hot_grams(texts, hot))  # 2**SKETCH flags
+    sent = texts.select("id", "hash", "text").mapInArrow(lambda b: _send(b, buckets, flags.value), _SENT)
+    settled = sent.groupBy("bucket").applyInArrow(_settle, _SENT)
     found = durable(settled.groupBy("block").applyInArrow(_by_document, "id long, hash long, gone binary, need binary"), "repeats-found")
     # rows that repeat a doc_id and a text have one entry
     needed = found.where("need IS NOT NULL").groupBy("id", "hash").agg(F.first("need").alias("need"))

@@ -2,10 +2,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tesserae.llm.blocks import _BYTE_VALUE, mix, powers
-from tesserae.llm.suffixes import GRAM, LENGTH, Family, remove_repeats, repeated, runs
+from tesserae.llm.packing import unpack
+from tesserae.llm.suffixes import _RUNS, GRAM, LENGTH, OPEN, SKETCH, Family, _send, remove_repeats, repeated, runs
 
 
 def brute(rows):
@@ -41,14 +43,16 @@ def test_edges(edge, nothing):
     assert remove_repeats(nothing).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 17, 20, 1])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_same_as_brute_force(spark, seed):
+def test_same_as_brute_force(spark, seed, hot):
+    """With no gram taken apart, the frequent ones, or all."""
     r = random.Random(seed)
     passages = ["".join(r.choice("abcd é") for _ in range(r.randrange(30, 300))) for _ in range(12)]
     texts = ["".join(r.choice(passages)[r.randrange(20) :] + "".join(r.choice("abcdef ") for _ in range(r.randrange(60))) for _ in range(r.randrange(6))) for _ in range(80)]
     texts += ["ab" * 400, "ab" * 300, "z" * 49, "z" * 50, "z" * 51, "z" * 500]
     docs = spark.createDataFrame([(i * 3 % 101, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    assert rows_of(remove_repeats(docs, buckets=7)) == brute(docs.collect())
+    assert rows_of(remove_repeats(docs, buckets=7, hot=hot)) == brute(docs.collect())
 
 
 def test_levels_stay_logarithmic():
@@ -88,3 +92,27 @@ def test_stretches_that_agree_in_32_bits_stay(spark):
     assert pair[0] != pair[1]
     docs = spark.createDataFrame(list(enumerate(pair)), "doc_id long, text string")
     assert [x["n_removed"] for x in remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_a_block_sends_one_of_equal_stretches():
+    """Five hundred copies of a passage, each between other words, cost about as much as one."""
+    passage = "a passage that many documents share, word for word, and that is longer than fifty bytes by far; "
+    table = lambda n: pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([passage * 3] * n)], names=["id", "hash", "text"])
+
+    class Task:
+        partitionId = staticmethod(lambda: 0)
+
+    def entries(n):
+        rows = [r for r in _send([table(n)], 4, np.zeros(1 << SKETCH, bool))]
+        return sum(len(unpack(r["data"][0].as_buffer(), _RUNS)[0]) for r in rows if r["kind"][0].as_py() == OPEN)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr("pyspark.TaskContext.get", lambda: Task)
+        assert entries(500) == entries(1)
+
+
+def test_hot_strings_are_dealt_one_by_one():
+    data = np.frombuffer(b"abcdefghij" * 30, np.uint8)
+    offsets = np.array([0, 300])
+    plain, single = runs(data, offsets), runs(data, offsets, np.ones(1 << SKETCH, bool))
+    assert plain[2].sum() == len(single[2]) == 251 and (single[2] == 1).all() and len(set(single[0].tolist())) == 10
