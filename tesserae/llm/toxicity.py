@@ -1,9 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of word pairs. A pair counts once in every different text that has it, so copies weigh nothing. In a
-class a word follows another with its discounted share of the pairs of that history; what the discounts free goes to
-the class's word model. That counts as Kneser-Ney does: after how many different words has the word been seen in the class?
-It is discounted in turn, and what that frees goes to the word's count over both classes, the backoff that they share.
+Each class has a model of word pairs. Counts are Kneser-Ney's: after how many different words has the pair, or the word, been seen
+in the class? So copies and near copies of a text weigh nothing. In a
+class a word follows another with its discounted share of the pairs of that history; what the discounts free goes to the same
+share over both classes, and what this frees to the class's word model. That
+is discounted in turn, and what that frees goes to the word's count over both classes, the backoff that they share.
 Discounts are in proportion to the classes' sizes, for each history and for the words, so an expression too
 rare to tell the classes apart has the shared probability in either, and its logarithms differ by a constant only.
 
@@ -22,14 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.blocks import pieces, utf8, word_hashes
+from tesserae.llm.blocks import mix, pieces, utf8, word_hashes
 from tesserae.llm.blocks import words as split_words
 from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
 
 #: Labelled rows that the models and the logistic fit may learn from, at most; those with the smallest hash are taken.
 MODEL_ROWS, FIT_ROWS = 12_000, 6_000
-#: Discount of the rarer class's counts; the other's is larger by the ratio of their sizes.
-DISCOUNT = 1.5
+#: Discounts of the rarer class's counts of words and of pairs; the other's are larger by the ratio of their sizes.
+DISCOUNT, PAIR_DISCOUNT = 1.5, 3.0
+#: Discount of pairs of both classes together.
+SHARED_DISCOUNT = 0.75
 TOP = 3
 
 # Bytes as words see them: A-Z lower case, other ASCII signs as spaces.
@@ -43,29 +46,35 @@ def _hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     clean = _CLEAN[data]
     starts, ends, before = split_words(clean, offsets)
     word = word_hashes(clean, starts, ends)
-    prior = np.zeros_like(word)
-    prior[1:] = word[:-1]
-    prior[before[:-1][np.diff(before) > 0]] = 0
-    return word, prior, before
+    return word, _before(word, before), before
+
+
+def _before(value: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The value of the word before each word, 0 at the start of a text."""
+    out = np.zeros_like(value)
+    out[1:] = value[:-1]
+    out[before[:-1][np.diff(before) > 0]] = 0
+    return out
 
 
 def _pair(prior: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (prior * np.uint64(0x9E3779B97F4A7C15) + word) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return mix(prior * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's different word pairs."""
+    """Each document's different word pairs with the words before them."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         data, offsets = utf8(batch.column(0))
         for i, j in pieces(offsets):
             word, prior, before = _hashed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             doc = np.repeat(np.arange(j - i), np.diff(before)).astype(np.uint64)
-            _, at = np.unique(_pair(doc, _pair(prior, word)), return_index=True)
+            context = _before(prior, before)
+            _, at = np.unique(_pair(_pair(doc, context), _pair(prior, word)), return_index=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(prior[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(toxic[i:j][doc[at].astype(np.int64)].astype(np.int32))],
-                names=["prior", "word", "toxic"],
+                [*(pa.array(x[at].view(np.int64)) for x in (context, prior, word)), pa.array(toxic[i:j][doc[at].astype(np.int64)].astype(np.int32))],
+                names=["context", "prior", "word", "toxic"],
             )
 
 
@@ -117,18 +126,19 @@ class Models:
         return out
 
 
-def train_models(counted: DataFrame, discount: float = DISCOUNT) -> Models:
-    """counted: prior, word, toxic of the different pairs of each learning text (their number is bounded, so is what comes here)."""
-    pairs = durable(counted.groupBy("prior", "word").agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1")), "toxicity-pairs")
+def train_models(counted: DataFrame, discount: float = DISCOUNT, pair_discount: float = PAIR_DISCOUNT) -> Models:
+    """counted: context, prior, word, toxic of each learning text's pairs (their number is bounded, so is what comes here)."""
+    contexts = counted.groupBy("context", "prior", "word").agg(F.max(1 - F.col("toxic")).alias("c0"), F.max("toxic").alias("c1"))
+    pairs = durable(contexts.groupBy("prior", "word").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")), "toxicity-pairs")
     seen = [(F.col(c) > 0).cast("long") for c in ("n0", "n1")]
     words = durable(pairs.groupBy("word").agg(F.sum(seen[0]).alias("n0"), F.sum(seen[1]).alias("n1"), F.count(F.lit(1)).alias("both")), "toxicity-words")
     total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1", "both"))).first()
     n = np.maximum([total["n0"], total["n1"]], 1).astype(float)
     d = discount * n / n.min()
     kept = words.where((F.col("n0") > float(d[0])) | (F.col("n1") > float(d[1])))
-    # a pair exceeds a discount if the rarer class alone would be expected to have it more than ``discount`` times
-    sums = pairs.groupBy("prior").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1")).where(f"least(h0, h1) > {discount}")
-    times = F.col("least_h") / F.lit(float(discount))
+    # a pair exceeds a discount if the rarer class would be expected to have it more than ``pair_discount`` times
+    sums = pairs.groupBy("prior").agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1")).where(f"least(h0, h1) > {pair_discount}")
+    times = F.col("least_h") / F.lit(float(pair_discount))
     over = pairs.join(sums.withColumn("least_h", F.least("h0", "h1")), "prior").where((F.col("n0") * times > F.col("h0")) | (F.col("n1") * times > F.col("h1")))
     over = over.join(words.select("word", "both", F.col("n0").alias("w0"), F.col("n1").alias("w1")), "word").toPandas()
     kept = kept.toPandas()
@@ -141,11 +151,15 @@ def train_models(counted: DataFrame, discount: float = DISCOUNT) -> Models:
     word = kept["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
     h = over[["h0", "h1"]].to_numpy(float)
-    excess = np.maximum(over[["n0", "n1"]].to_numpy(float) / h - discount / h.min(axis=1, initial=np.inf)[:, None], 0)
+    n2 = over[["n0", "n1"]].to_numpy(float)
+    off = pair_discount / h.min(axis=1, initial=np.inf)
+    # of the classes, and of both together, from which each pair gives a part of one
+    excess = np.maximum(np.c_[n2 / h - off[:, None], (n2.sum(axis=1) - SHARED_DISCOUNT) / h.sum(axis=1)], 0)
     prior = over["prior"].to_numpy(np.int64).view(np.uint64)
     histories, which = np.unique(prior, return_inverse=True)
-    left = np.maximum(1 - np.stack([np.bincount(which, excess[:, c], len(histories)) for c in (0, 1)], 1), 1e-9)  # what each history leaves to the word model
-    q = excess + left[which] * word_probability(over[["w0", "w1"]].to_numpy(float), over["both"].to_numpy(float))
+    left = np.maximum(1 - np.stack([np.bincount(which, excess[:, c], len(histories)) for c in range(3)], 1), 1e-9)  # what each history leaves to the next level
+    shared = excess[:, 2:] + left[which, 2:] * word_probability(over[["w0", "w1"]].to_numpy(float), over["both"].to_numpy(float))
+    q = excess[:, :2] + left[which, :2] * shared
     pair = _pair(prior, over["word"].to_numpy(np.int64).view(np.uint64))
     by = np.argsort(pair)
     return Models(word[order], np.log(p[:, 1] / p[:, 0])[order], float(np.log(rest[1] / rest[0])), (histories, np.log(left[:, 1] / left[:, 0])), (pair[by], np.log(q[:, 1] / q[:, 0])[by]))
@@ -193,9 +207,7 @@ def toxicity_scorer(docs: DataFrame, labels: DataFrame, model_rows: int = MODEL_
     ]
     # at most model_rows + fit_rows rows of two numbers
     sample = durable(docs.select("doc_id", whole("text").alias("text")).join(F.broadcast(taken[0].unionByName(taken[1])), "doc_id").select("text", "toxic", "fit"), "toxicity-sample")
-    # copies of a text count once
-    learned = sample.where("fit = 0").groupBy(F.xxhash64("text").alias("key"), "text").agg(F.max("toxic").alias("toxic"))
-    counted = learned.select("text", "toxic").mapInArrow(_count_words, "prior long, word long, toxic int")
+    counted = sample.where("fit = 0").select("text", "toxic").mapInArrow(_count_words, "context long, prior long, word long, toxic int")
     models = spark.sparkContext.broadcast(train_models(counted))
 
     def measured(batches):
