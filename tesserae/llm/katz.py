@@ -32,7 +32,7 @@ from tesserae.llm.shared import documents, durable, text_batches, whole
 #: Counts up to K are discounted.
 K = 5
 #: Bytes and texts of a block. Bytes of text for which there is a bucket at least.
-PACK_BYTES, PACK_TEXTS, SHARE_BYTES = 6 << 20, 60_000, 32 << 20
+PACK_BYTES, PACK_TEXTS, SHARE_BYTES = 3 << 20, 60_000, 16 << 20
 START, END = np.uint64(1), np.uint64(2)  # as hashes of words
 #: Orders of n-grams, and the buckets of histories.
 WORDS, PAIRS = 0, 1
