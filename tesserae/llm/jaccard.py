@@ -24,9 +24,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.blocks import LOWER, mix, pieces, shingle_hashes, word_hashes, words
-from tesserae.llm.components import components
 from tesserae.llm.packing import pack, text_blocks, unpack
 from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
+from tesserae.operators.graph import components
 
 WIDTH = 5
 #: The table of counts has 2**18 counters for up to 2**18 rows and one for each row of larger tables, 2**22 at most: a shingle
@@ -368,7 +368,7 @@ def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
     for side in ("x", "y"):
         links = links.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
     roots = links.select(*(F.coalesce(f"c_{side}", side).alias(side) for side in ("x", "y"))).where("x <> y")
-    joined = durable(components(roots).withColumnsRenamed({"node": "root", "component": "further"}), "jaccard-joined")
+    joined = durable(components(roots.toDF("a", "b")).withColumnsRenamed({"node": "root", "component": "further"}), "jaccard-joined")
     old = found.join(joined, found.component == joined.root, "left").select("node", F.coalesce("further", "component").alias("component"))
     alone = joined.join(found, joined.root == found.node, "left_anti").select(F.col("root").alias("node"), F.col("further").alias("component"))
     return durable(old.unionByName(alone), "jaccard-found")
@@ -410,7 +410,7 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
         return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
 
-    found = components(linked(pairs))
+    found = components(linked(pairs).toDF("a", "b"))
     for turn in range(ROUNDS + 1):
         entries = lists.withColumn("component", F.col("x")) if turn == 0 < ROUNDS else _open_lists(lists, found)
         if entries.isEmpty():

@@ -1,46 +1,17 @@
-"""Helpers of all operators here: durable tables, free column names, text columns."""
+"""Helpers of all operators here: free column names, text columns, and the core's durable tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.tables import durable  # noqa: F401  the operators here take it from this module
+
 #: White space as the operators' contracts state it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only a local session, in which driver and executors are one process, may fall back on a
-    temporary folder; elsewhere a missing setting is an error.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    found = sc.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    path = "file://" + tempfile.mkdtemp(prefix="spark-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there, and a
-    lost executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}
