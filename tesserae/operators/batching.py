@@ -27,6 +27,7 @@ def stack_channels(*layers: DataFrame) -> DataFrame:
     for k, layer in enumerate(layers):
         own = layer.withColumn("_layer", F.lit(k))
         out = own if out is None else out.unionByName(own)
+    # a row per channel
     ranks = out.select("_layer", "channel").distinct().withColumn("rank", F.row_number().over(W.orderBy("_layer", "channel")) - 1)
     return out.join(ranks, ["_layer", "channel"]).drop("_layer")
 

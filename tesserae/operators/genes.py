@@ -13,7 +13,7 @@ from tesserae.operators.tiling import Grid, points_in_box
 
 
 def build_gene_index(points: DataFrame) -> DataFrame:
-    """gene and its number from 1 in sorted order; 0 stays free for padding."""
+    """gene and its number from 1 in sorted order; 0 stays free for padding. Only the different genes are sorted, a panel's thousands."""
     return points.select("gene").distinct().select("gene", F.row_number().over(W.orderBy("gene")).alias("gene_index"))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import area_of, box_ring, clip, coverage, intersection_area, outline_of_union, overlap_area, polygon_area, polygon_centroid, ring_pixels, with_bbox
+from tesserae.functions.geometry import area_of, box_ring, clip, coverage, intersection_area, outline_of_union, overlap_area, overlap_areas, polygon_area, polygon_centroid, ring_pixels, with_bbox
 from tesserae.operators import batching, curation, density, genes, segmentation, targets, tiling
 from tesserae.operators.tiling import Grid
 
@@ -162,6 +162,23 @@ def test_union_of_polygons_by_areas(corners):
         assert sum(map(area_of, rings)) == pytest.approx(area_of(a) + area_of(b) - overlap_area(a, b), rel=1e-6)
 
 
+def test_many_overlaps_as_triangle_by_triangle():
+    def one(a, b):
+        total = 0.0
+        for i in range(1, len(b) - 1):
+            triangle = b[[0, i, i + 1]]
+            sign, part = np.sign(area_of(triangle)), a
+            for p, q in zip(triangle, np.roll(triangle, -1, axis=0)):
+                nx, ny = sign * (q[1] - p[1]), -sign * (q[0] - p[0])
+                part = clip(part, nx, ny, nx * p[0] + ny * p[1])
+            total += sign * abs(area_of(part))
+        return abs(total)
+
+    a, b = [star(int(n)) for n in RNG.integers(3, 12, 60)], [star(int(n), *RNG.uniform(-12, 12, 2)) for n in RNG.integers(3, 12, 60)]
+    assert overlap_areas(a, b) == pytest.approx([one(x, y) for x, y in zip(a, b)])
+    assert overlap_areas(a, b, most=500) == pytest.approx(overlap_areas(a, b)) and overlap_areas([], []).tolist() == []
+
+
 def test_unions_that_share_edges_and_leave_holes():
     box = lambda x0, y0, x1, y1: np.array([(x0, y0), (x1, y0), (x1, y1), (x0, y1)], float)
     beside = outline_of_union([box(0, 0, 2, 2), box(2, 0, 4, 2)])
