@@ -291,12 +291,14 @@ def _measure(texts: pa.Table, answers: pa.Table, weights: Weights, buckets: int)
     rank = np.zeros(len(words_), np.int64)
     rank[told[wanted]] = np.arange(wanted.sum())
     partial = [ids, valid, held, tokens, sums[0].astype(np.int64), sums[1], sums[2], entries // len(words_), rank[asked[place]], *times]
-    return _rows([*found, (0, TEXTS, block, None, pack(partial))])
+    return _rows([*found, (-1 - block % (4 * buckets), TEXTS, block, None, pack(partial))])
 
 
 def _weigh(table: pa.Table, weights: Weights) -> pa.Table:
-    """One bucket of histories: their stored weights, and each block's answer."""
+    """One bucket of histories: their stored weights, and each block's answer. Rows of texts stay as they are."""
     bucket = table["bucket"][0].as_py()
+    if bucket < 0:
+        return table
     blocks, sent = _sent(table, [np.uint8, np.uint8, np.float64, np.float64, np.uint8])
     keys = [_keys(x[0]) for x in sent]
     names, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -320,8 +322,8 @@ def _score(texts: pa.Table, answers: pa.Table) -> pa.Table:
     names, kinds = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     if not len(texts):
         return pa.table([pa.array([], t) for t in kinds], names=names)
-    ids, valid, held, tokens, known, base, score, text, place, weighed, scaled = unpack(texts["data"][0].as_buffer(), _PARTIAL)
-    rows = [unpack(x.as_buffer(), [np.float64, np.float64]) for _, x in sorted(zip(answers["bucket"].to_pylist(), answers["data"]), key=lambda r: r[0])]
+    ids, valid, held, tokens, known, base, score, text, place, weighed, scaled = unpack(texts["t_data"][0].as_buffer(), _PARTIAL)
+    rows = [unpack(x.as_buffer(), [np.float64, np.float64]) for _, x in sorted(zip(answers["a_bucket"].to_pylist(), answers["a_data"]), key=lambda r: r[0])] if len(answers) else []
     if rows:
         alpha, scale = (np.log10(np.concatenate([r[c] for r in rows])) for c in (0, 1))
         score = score + np.bincount(text, weighed * alpha[place] + scaled * scale[place], len(ids))
@@ -349,10 +351,11 @@ def katz_scores(docs: DataFrame, buckets: int | None = None, block_bytes: int =
     weights = spark.sparkContext.broadcast(Weights(sums.get(WORDS, none), sums.get(PAIRS, none)[1 : K + 2]))
     answers = counts.where(F.col("kind") == ANSWER).groupBy("block")
     blocks = texts.mapInArrow(lambda b: _send_texts(b, block_bytes), _ROWS).groupBy("block")
-    partial = durable(blocks.cogroup(answers).applyInArrow(lambda t, a: _measure(t, a, weights.value, buckets), _ROWS), "katz-partial")
-    stored = durable(partial.where(F.col("kind") == SENT).groupBy("bucket").applyInArrow(lambda t: _weigh(t, weights.value), _ROWS), "katz-weights")
-    answers = stored.where(F.col("kind") == ANSWER).groupBy("block")
-    rows = partial.where(F.col("kind") == TEXTS).groupBy("block").cogroup(answers).applyInArrow(_score, _SCORES)
+    measured = blocks.cogroup(answers).applyInArrow(lambda t, a: _measure(t, a, weights.value, buckets), _ROWS)
+    stored = durable(measured.groupBy("bucket").applyInArrow(lambda t: _weigh(t, weights.value), _ROWS), "katz-weights")
+    # one table from two sides: renamed, so that their columns are told apart
+    partial, answers = (stored.where(F.col("kind") == kind).toDF(*(f"{side}{c}" for c in stored.columns)) for side, kind in (("t_", TEXTS), ("a_", ANSWER)))
+    rows = partial.groupBy("t_block").cogroup(answers.groupBy("a_block")).applyInArrow(_score, _SCORES)
     return rows.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(weights.value.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
