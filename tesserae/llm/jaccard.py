@@ -35,7 +35,7 @@ SKETCH = 18, 22
 #: Lists of up to LIST sets are compared in full. In each of ROUNDS a set meets the pivots of PIVOTS of its lists. What is
 #: left of lists is compared in blocks of CHUNK sets. A bucket of lists is made for each SHARE shingles at least.
 LIST, PIVOTS, ROUNDS, CHUNK, SHARE = 24, 3, 2, 2048, 4 << 20
-PIECE, BLOCK, BITS = 1 << 19, 4 << 20, 1024
+PIECE, BLOCK, BITS = 1 << 18, 2 << 20, 1024
 _LAST = np.iinfo(np.int64).max
 
 

@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 11
 LONG = 200
 #: Words whose pieces without dropout a task keeps.
-CACHED = 1 << 19
+CACHED = 1 << 17
 _MARK = 0x2581  # stands for a space inside pieces
 _OTHER = 0x110000  # stands for that mark itself where a text has it
 _NEVER = np.int64(2**62)
