@@ -1,9 +1,11 @@
 import os
+import random
 from collections import Counter
 
 import pytest
 
 import corpus_pipeline
+from tests.llm.conftest import WORDS
 from tests.llm.test_exact import brute as exact_brute
 from tests.llm.test_jaccard import brute as near_brute
 
@@ -31,9 +33,9 @@ def test_five_stages_in_order():
 
 @pytest.fixture(scope="module")
 def labels(spark, tmp_path_factory):
-    """Toxic rows are told by one word."""
-    words = "alpha beta gamma delta epsilon zeta eta theta".split()
-    rows = [(1000 + i, " ".join(words[(i * k + k * k) % 8] + str((i + k) % 13) for k in range(30)) + (" grubworm scoundrel" if i % 4 == 0 else "")) for i in range(300)]
+    """Toxic rows are told by two words; all others are those of the other rows."""
+    r = random.Random(6)
+    rows = [(1000 + i, " ".join(r.choice(WORDS) + str(r.randrange(23)) for _ in range(60)) + (" grubworm scoundrel" if i % 4 == 0 else "")) for i in range(400)]
     return rows, [(i, int(t.endswith("scoundrel"))) for i, t in rows]
 
 
