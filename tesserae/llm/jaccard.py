@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.blocks import LOWER, mix, pieces, shingle_hashes, word_hashes, words
 from tesserae.llm.packing import pack, text_blocks, unpack
-from tesserae.llm.shared import documents, durable, fresh, text_batches, whole
+from tesserae.llm.shared import bucketed, documents, durable, fresh, text_batches, whole
 from tesserae.operators.graph import components
 
 WIDTH = 5
@@ -399,8 +399,8 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
     involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    # rows that repeat a document repeat links at most
-    sets = durable(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "jaccard-sets")
+    # rows that repeat a document repeat links at most; dealt by name once, the sets stay where they are in all joins
+    sets, drop_sets = bucketed(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "name", "jaccard_sets")
 
     def linked(found: DataFrame) -> DataFrame:
         marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
@@ -421,6 +421,7 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             blocks = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x")
             more = durable(blocks.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
         found = _contracted(linked(more), found)
+    drop_sets()
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")

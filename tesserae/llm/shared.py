@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.sources.tables import durable  # noqa: F401  the operators here take it from this module
+from tesserae.sources.tables import durable, scratch  # noqa: F401  the operators here take durable from this module
 
 #: White space as the operators' contracts state it.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared folder, dealt and sorted by ``key``, so that joins by it shuffle the other side only; and what takes
+    the table's name out of the catalog once it is not needed."""
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(tasks, key).write.format("parquet").option("path", scratch(spark, name)).bucketBy(tasks, key).sortBy(key).saveAsTable(table)
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE {table}") and None
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that df does not have yet."""
     taken = {c.lower() for c in df.columns}
