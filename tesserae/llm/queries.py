@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import exact, hilbert, jaccard, katz, licenses, media, mixing, pieces, suffixes, toxicity
+from tesserae.llm import divergence, exact, hilbert, jaccard, katz, licenses, media, mixing, pieces, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact.OP6_SQL}
+    return {"op4_mixing": mixing.OP4_SQL, "op6_exact_dedup": exact.OP6_SQL, "op12_source_divergence": divergence.OP12_SQL}
