@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tesserae.llm import divergence, exact, hilbert, jaccard, katz, licenses, media, mixing, pieces, repair, suffixes, toxicity
+from tesserae.llm import divergence, exact, hilbert, jaccard, katz, licenses, media, mixing, neighbours, pieces, repair, suffixes, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_media_columns": media.op9_media_columns,
         "op10_license_scan": licenses.op10_license_scan,
+        "op11_near_vectors": neighbours.op11_near_vectors,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_conversation_repair": repair.op13_conversation_repair,
     }
