@@ -16,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,16 +46,20 @@ def terms(text: str):
 def _spilled(seen: dict, counts: dict):
     """Stripes of what a task has folded: seen has documents by language and term, counts occurrences by language, source and term."""
     for lang, df in seen.items():
+        terms = list(df)
+        place = dict(zip(terms, range(len(terms))))
         own = [(source, c) for (of, source), c in counts.items() if of == lang]
-        stripes: dict[bytes, tuple[list, list]] = {t: ([], []) for t in df}
-        for source, c in own:
-            for t, n in c.items():
-                stripes[t][0].append(source)
-                stripes[t][1].append(n)
-        names = list(stripes)
-        for i in range(0, len(names), 10_000):
-            some = names[i : i + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([lang] * len(some), [t.decode() for t in some], [df[t] for t in some], [stripes[t][0] for t in some], [stripes[t][1] for t in some]), _SHAPE)], schema=_SHAPE)
+        row = np.fromiter((place[t] for _, c in own for t in c), np.int64)
+        n = np.fromiter((x for _, c in own for x in c.values()), np.int64)
+        source = np.repeat(np.arange(len(own)), [len(c) for _, c in own])
+        order = np.argsort(row, kind="stable")
+        at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(terms)))])
+        names, docs = pa.array([s for s, _ in own], pa.string()), np.fromiter(df.values(), np.int64)
+        for i in range(0, len(terms), 10_000):
+            j = min(i + 10_000, len(terms))
+            some, ends = order[at[i] : at[j]], (at[i : j + 1] - at[i]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(source[some])), pa.array(n[some]))]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (j - i)), pa.array(terms[i:j], pa.binary()).cast(pa.string()), pa.array(docs[i:j]), *lists], schema=_SHAPE)
 
 
 def _fold(batches, cells: int):
@@ -76,10 +81,18 @@ def _fold(batches, cells: int):
     yield from _spilled(seen, counts)
 
 
+def _starts(table: pa.Table) -> np.ndarray:
+    """Which of sorted stripes are the first of their (lang, term)."""
+    out = np.ones(len(table), bool)
+    if len(table) > 1:
+        lang, term = (table[c].combine_chunks() for c in ("lang", "term"))
+        out[1:] = pc.or_(*(pc.not_equal(c[1:], c[:-1]) for c in (lang, term))).to_numpy(zero_copy_only=False)
+    return out
+
+
 def _merged(table: pa.Table, least: int) -> pa.Table:
     """One stripe for each (lang, term) of sorted stripes; those in fewer documents than ``least`` go."""
-    lang, term = table["lang"].to_pylist(), table["term"].to_pylist()
-    first = np.array([i == 0 or term[i] != term[i - 1] or lang[i] != lang[i - 1] for i in range(len(term))], bool)
+    first = _starts(table)
     heads = np.flatnonzero(first)
     df = np.add.reduceat(table["df"].to_numpy(), heads)
     lists = table["sources"].combine_chunks()
@@ -103,9 +116,7 @@ def _merge(batches, least: int):
     for batch in batches:
         table = pa.Table.from_batches([batch]).cast(_SHAPE)
         table = pa.concat_tables([waiting, table]) if waiting is not None else table
-        lang, term, cut = table["lang"].to_pylist(), table["term"].to_pylist(), len(table)
-        while cut and lang[cut - 1] == lang[-1] and term[cut - 1] == term[-1]:
-            cut -= 1
+        cut = int(np.flatnonzero(_starts(table))[-1]) if len(table) else 0
         if cut:
             yield from _merged(table.slice(0, cut), least).to_batches()
         # of the last term one stripe waits, however many there were
