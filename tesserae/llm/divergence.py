@@ -110,19 +110,24 @@ def _merged(table: pa.Table, least: int) -> pa.Table:
     return pa.table([*columns, pa.ListArray.from_arrays(at, names.dictionary.take(pa.array(source[inside]))), pa.ListArray.from_arrays(at, pa.array(n[inside]))], schema=_SHAPE)
 
 
-def _merge(batches, least: int):
-    """Stripes sorted by (lang, term) merge as they come; what has the last term waits for the next batch."""
-    waiting = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]).cast(_SHAPE)
-        table = pa.concat_tables([waiting, table]) if waiting is not None else table
-        cut = int(np.flatnonzero(_starts(table))[-1]) if len(table) else 0
-        if cut:
-            yield from _merged(table.slice(0, cut), least).to_batches()
+def _merge(batches, least: int, together: int = 20_000):
+    """Stripes sorted by (lang, term) merge as they come, ``together`` at a time; what has the last term waits for the next."""
+    waiting: list[pa.RecordBatch] = []
+
+    def ready(end: bool):
+        table = pa.Table.from_batches(waiting, _SHAPE)
+        cut = len(table) if end else int(np.flatnonzero(_starts(table))[-1])
         # of the last term one stripe waits, however many there were
-        waiting = _merged(table.slice(cut), 0) if len(table) > cut else None
-    if waiting is not None:
-        yield from _merged(waiting, least).to_batches()
+        return _merged(table.slice(0, cut), least).to_batches() if cut else [], [] if end else _merged(table.slice(cut), 0).to_batches()
+
+    for batch in batches:
+        if len(batch):
+            waiting.append(batch.cast(_SHAPE))
+        if sum(map(len, waiting)) >= together:
+            done, waiting = ready(False)
+            yield from done
+    if waiting:
+        yield from ready(True)[0]
 
 
 def shares(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:

@@ -64,3 +64,12 @@ def test_pieces_of_a_long_text_keep_its_terms(monkeypatch):
     monkeypatch.setattr(D, "PIECE", 50)
     text = " ".join(f"Ab{'c' * (i % 70)}9é" for i in range(100))
     assert [t for some in D.terms(text) for t in some] == [w.lower().encode() for w in re.findall(r"[^\W\d_]+", text)]
+
+
+def test_stripes_merge_across_batches():
+    rows = [("en", t, 1, [s], [n]) for t in ("a", "b", "c") for s, n in (("x", 1), ("y", 2), ("x", 4))] + [("fr", "c", 5, ["x"], [1])]
+    batch = D.pa.RecordBatch.from_arrays([D.pa.array(c, f.type) for c, f in zip(zip(*rows), D._SHAPE)], schema=D._SHAPE)
+    for together in (1, 2, 4, 100):
+        out = D.pa.Table.from_batches(D._merge((batch.slice(i, 2) for i in range(0, 10, 2)), 3, together)).to_pylist()
+        got = [(r["lang"], r["term"], r["df"], dict(zip(r["sources"], r["counts"]))) for r in out]
+        assert got == [("en", t, 3, {"x": 5, "y": 2}) for t in "abc"] + [("fr", "c", 5, {"x": 1})]
