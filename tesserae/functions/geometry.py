@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,6 +174,20 @@ def intersection_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(overlap_areas([ring_array(p) for p in a], [ring_array(q) for q in b]), dtype=float)
 
 
+@F.arrow_udf(T.DoubleType())
+def rings_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Areas that shapes share, each an array of rings of which holes run the other way: what their rings share, pair by pair, by sign. A
+    shape of a single ring may run either way."""
+
+    def signed(rings) -> list[tuple[np.ndarray, float]]:
+        arrays = [ring_array(r) for r in rings]
+        return [(r, 1.0 if len(arrays) == 1 or area_of(r) > 0 else -1.0) for r in arrays]
+
+    pairs = [(k, p, q, s * t) for k, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())) for p, s in signed(x) for q, t in signed(y)]
+    areas = overlap_areas([p[1] for p in pairs], [p[2] for p in pairs]) * np.array([p[3] for p in pairs])
+    return pa.array(np.bincount([p[0] for p in pairs], areas, len(a)) if pairs else np.zeros(len(a)), pa.float64())
+
+
 def coverage(points: np.ndarray) -> tuple[int, int, np.ndarray]:
     """First row, first column, and how much of each pixel [p, p + 1) x [q, q + 1) of the bounding box the polygon covers.
 

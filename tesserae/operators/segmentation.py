@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import area_of, box_overlap, intersection_area, outline_of_union, polygon_area, ring_array, with_bbox
+from tesserae.functions.geometry import area_of, box_overlap, box_ring, is_box, outline_of_union, polygon_area, ring_array, rings_overlap, with_bbox
 from tesserae.operators.graph import components
-from tesserae.operators.tiling import Grid, spatial_join, translate_shapes
+from tesserae.operators.tiling import BOUNDS, Grid, spatial_join, translate_shapes
 from tesserae.sources.tables import durable, read_patch_results, write_layer
 
 
@@ -103,37 +103,75 @@ def cell_probability_filter(pixels: DataFrame, least: float = -0.5) -> DataFrame
     return pixels.where(F.col("p_prob") > least)
 
 
-def conflicts(cells: DataFrame, threshold: float = 0.25, boxes: bool = True) -> DataFrame:
-    """a < b: cells (key cell_id) whose overlap is at least ``threshold`` of the smaller one."""
-    pairs = spatial_join(cells, cells).where("l_cell_id < r_cell_id")
-    if boxes:
-        whole = lambda s: (F.col(f"{s}xmax") - F.col(f"{s}xmin")) * (F.col(f"{s}ymax") - F.col(f"{s}ymin"))
-        area, small = box_overlap("l_", "r_"), F.least(whole("l_"), whole("r_"))
-    else:
-        area, small = intersection_area("l_ring", "r_ring"), F.least(polygon_area(F.col("l_ring")), polygon_area(F.col("r_ring")))
-    return pairs.where((area >= threshold * small) & (area > 0)).select(F.col("l_cell_id").alias("a"), F.col("r_cell_id").alias("b"))
+def _shapes(cells: DataFrame, boxes: bool) -> DataFrame:
+    """Cells as shapes of one cell: group, bounds, area, rings, box (it is its bounding box), fresh (not compared yet)."""
+    ring = box_ring(*(F.col(c) for c in BOUNDS)) if boxes else F.col("ring")
+    box = F.lit(True) if boxes else is_box(F.col("ring"), *(F.col(c) for c in BOUNDS))
+    return cells.select(F.col("cell_id").alias("group"), *BOUNDS, polygon_area(ring).alias("area"), F.array(ring).alias("rings"), box.alias("box"), F.lit(True).alias("fresh"))
 
 
-def resolve_conflicts(cells: DataFrame, threshold: float = 0.25, boxes: bool = True) -> DataFrame:
-    """cell_id, group (its component's smallest cell) for all cells."""
-    found = components(conflicts(cells, threshold, boxes))
-    return cells.join(found, cells.cell_id == found.node, "left").select(cells.columns + [F.coalesce("component", "cell_id").alias("group")])
+def conflicts(shapes: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """a < b: shapes (see _shapes), one of them fresh at least, whose overlap is at least ``threshold`` of the smaller one. Bounding
+    boxes meet first; rings are fetched by their shapes' keys, for pairs of which one is not a box."""
+    flat = shapes.drop("rings")
+    pairs = spatial_join(flat.where("fresh"), flat).where("l_group <> r_group AND (l_group < r_group OR NOT r_fresh)")
+    small = F.lit(float(threshold)) * F.least("l_area", "r_area")
+    boxes = pairs.where(F.col("l_box") & F.col("r_box")).where((box_overlap("l_", "r_") >= small) & (box_overlap("l_", "r_") > 0))
+    others = pairs.where(~(F.col("l_box") & F.col("r_box")) & (box_overlap("l_", "r_") >= small) & (box_overlap("l_", "r_") > 0))
+    for s in ("l", "r"):
+        others = others.join(shapes.select(F.col("group").alias(f"{s}_group"), F.col("rings").alias(f"{s}_rings")), f"{s}_group")
+    area = rings_overlap("l_rings", "r_rings")
+    others = others.withColumn("_shared", area).where((F.col("_shared") >= small) & (F.col("_shared") > 0))
+    both = [F.least("l_group", "r_group").alias("a"), F.greatest("l_group", "r_group").alias("b")]
+    return boxes.select(both).unionByName(others.select(both))
 
 
-def union_groups(cells: DataFrame) -> DataFrame:
-    """One shape per group (columns cell_id, group, ring): group, n_cells, area, ring. A cell without conflicts stays as it is; the
-    cells of a larger group become their exact union, whose outer ring is kept; holes count off the area."""
+def resolve_conflicts(cells: DataFrame, threshold: float = 0.25, boxes: bool = True) -> DataFrame:
+    """cell_id, group (its shape's smallest cell) for all cells.
+
+    Pairs that overlap by ``threshold`` of the smaller one become one shape, and their union is compared anew with its own area, until
+    no pair reaches the threshold. A round joins all pairs of current shapes that reach it, so the result does not depend on an
+    order of cells. Only unions of the last round are fresh: what did not change is not compared again. Each round is written.
+    """
+    own = cells.select("cell_id", (box_ring(*(F.col(c) for c in BOUNDS)) if boxes else F.col("ring")).alias("ring"))
+    members = cells.select("cell_id", F.col("cell_id").alias("group"))
+    shapes = durable(_shapes(cells, boxes), "shapes")
+    while True:
+        found = components(conflicts(shapes, threshold))
+        if found.isEmpty():
+            return cells.join(members, "cell_id").select(*cells.columns, "group")
+        moved = members.join(found, members.group == found.node, "left").select("cell_id", F.coalesce("component", "group").alias("group"))
+        members = durable(moved, "members")
+        joined = members.join(found.select(F.col("component").alias("group")).distinct(), "group", "left_semi").join(own, "cell_id")
+        unions = _with_rings_bbox(_unions(joined)).select("group", *BOUNDS, "area", "rings", F.lit(False).alias("box"), F.lit(True).alias("fresh"))
+        rest = shapes.join(found, shapes.group == found.node, "left_anti").withColumn("fresh", F.lit(False))
+        shapes = durable(rest.unionByName(unions), "shapes")
+
+
+def _with_rings_bbox(df: DataFrame) -> DataFrame:
+    corner = lambda least, c: least(F.transform("rings", lambda r: least(r[c])))
+    return df.withColumns({"xmin": corner(F.array_min, "x"), "ymin": corner(F.array_min, "y"), "xmax": corner(F.array_max, "x"), "ymax": corner(F.array_max, "y")})
+
+
+def _unions(cells: DataFrame) -> DataFrame:
+    """The exact union of each group's cells (columns group, ring): group, n_cells, area, rings, the outer one of largest area first.
+    Outer rings have a positive signed area and holes a negative one, so they add up to the area."""
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rings = outline_of_union([ring_array(r) for r in group["ring"]])
-        outer = max(rings, key=area_of)
-        ring = [{"x": x, "y": y} for x, y in outer.tolist()]
-        return pd.DataFrame({"group": [group["group"].iloc[0]], "n_cells": [len(group)], "area": [sum(map(area_of, rings))], "ring": [ring]})
+        rings = sorted(outline_of_union([ring_array(r) for r in group["ring"]]), key=area_of, reverse=True)
+        points = [[{"x": x, "y": y} for x, y in r.tolist()] for r in rings]
+        return pd.DataFrame({"group": [group["group"].iloc[0]], "n_cells": [len(group)], "area": [sum(map(area_of, rings))], "rings": [points]})
 
+    return cells.select("group", "ring").groupBy("group").applyInPandas(merge, "group long, n_cells long, area double, rings array<array<struct<x: double, y: double>>>")
+
+
+def union_groups(cells: DataFrame) -> DataFrame:
+    """One shape per group (columns cell_id, group, ring): group, n_cells, area, rings, and ring, the outer one of largest area. A cell
+    without conflicts stays as it is; the cells of a larger group become their exact union, with its holes."""
     counted = cells.groupBy("group").agg(F.count(F.lit(1)).alias("n_cells"))
-    alone = cells.join(counted.where("n_cells = 1"), "group").select("group", "n_cells", polygon_area(F.col("ring")).alias("area"), "ring")
-    several = cells.join(counted.where("n_cells > 1").select("group"), "group", "left_semi").select("group", "ring")
-    return alone.unionByName(several.groupBy("group").applyInPandas(merge, "group long, n_cells long, area double, ring array<struct<x: double, y: double>>"))
+    alone = cells.join(counted.where("n_cells = 1"), "group").select("group", "n_cells", polygon_area(F.col("ring")).alias("area"), F.array("ring").alias("rings"))
+    several = cells.join(counted.where("n_cells > 1").select("group"), "group", "left_semi")
+    return alone.unionByName(_unions(several)).withColumn("ring", F.col("rings")[0])
 
 
 def stitch(results: DataFrame, grid: Grid, least: float = 0.0, threshold: float = 0.25) -> DataFrame:

@@ -104,24 +104,39 @@ def shapes_in_box(shapes: DataFrame, xmin: float, ymin: float, xmax: float, ymax
     return near.where(_meets_box(shapes, *(F.lit(float(v)) for v in (xmin, ymin, xmax, ymax))))
 
 
-def _buckets(df: DataFrame, size: float, prefix: str) -> DataFrame:
-    bx = F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size))
-    by = F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))
-    renamed = df.select(*(F.col(c).alias(prefix + c) for c in df.columns), bx.alias("_bx"), by.alias("_by"))
-    return renamed.withColumn("_bx", F.explode("_bx")).withColumn("_by", F.explode("_by"))
+def _level(size: float) -> Column:
+    """The level of a shape's own size: at level k grid cells are ``size`` 2^k wide, and its box is no wider than one."""
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(size)) / size))).cast("int")
+
+
+def _buckets(df: DataFrame, size: float, levels: list[int], prefix: str) -> DataFrame:
+    """A row for each grid cell that a shape's box touches at its own level and at those of larger shapes: four a level at most."""
+    renamed = df.select(*(F.col(c).alias(prefix + c) for c in df.columns), _level(size).alias(f"_{prefix}level"), *(F.col(c).alias(f"_{c}") for c in BOUNDS))
+    wide = renamed.withColumn("_level", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"_{prefix}level"))))
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    for axis in ("x", "y"):
+        wide = wide.withColumn(f"_b{axis}", F.explode(F.sequence(F.floor(F.col(f"_{axis}min") / cell), F.floor(F.col(f"_{axis}max") / cell))))
+    return wide.drop(*(f"_{c}" for c in BOUNDS))
 
 
 def spatial_join(left: DataFrame, right: DataFrame, size: float = 32.0) -> DataFrame:
     """Pairs of shapes that meet (closed); columns get the prefixes l_ and r_.
 
-    Both sides go to the grid cells that their bounding boxes touch and meet by equality there; a pair is kept only in the cell
-    that holds the lower corner of the boxes' intersection, so no pair comes twice and none is shuffled to find out.
+    Shapes live in a grid of the level of their own size, so a shape of any size is in four cells at most. Those of two levels
+    meet in cells of the larger one's, to which the smaller one goes too; only levels that occur are used. A pair is kept only in
+    the cell that holds the lower corner of the boxes' intersection, so no pair comes twice and none is shuffled to find out.
     Rings are compared exactly unless both are boxes.
     """
-    a, b = _buckets(left, size, "l_"), _buckets(right, size, "r_")
+    own = left.select(_level(size).alias("k")).unionByName(right.select(_level(size).alias("k")))
+    # a number for each doubling of the size
+    levels = sorted(r["k"] for r in own.where("k IS NOT NULL").distinct().collect())
+    a, b = _buckets(left, size, levels, "l_"), _buckets(right, size, levels, "r_")
     meet = (F.col("l_xmin") <= F.col("r_xmax")) & (F.col("r_xmin") <= F.col("l_xmax")) & (F.col("l_ymin") <= F.col("r_ymax")) & (F.col("r_ymin") <= F.col("l_ymax"))
-    first = (F.col("_bx") == F.floor(F.greatest("l_xmin", "r_xmin") / size)) & (F.col("_by") == F.floor(F.greatest("l_ymin", "r_ymin") / size))
-    pairs = a.join(b, ["_bx", "_by"]).where(meet & first).drop("_bx", "_by")
+    cell = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("_level"))
+    first = (F.col("_bx") == F.floor(F.greatest("l_xmin", "r_xmin") / cell)) & (F.col("_by") == F.floor(F.greatest("l_ymin", "r_ymin") / cell))
+    met = a.join(b, ["_level", "_bx", "_by"]).where((F.col("_level") == F.greatest("_l_level", "_r_level")) & meet & first)
+    pairs = met.drop("_level", "_bx", "_by", "_l_level", "_r_level")
     if "ring" not in left.columns or "ring" not in right.columns:
         return pairs
     box = lambda s: is_box(F.col(f"{s}ring"), *(F.col(s + c) for c in BOUNDS))
