@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.operators.density import unit
+from tesserae.operators.quantiles import percentiles
 from tesserae.operators.tiling import dense_grid
 from tesserae.sources.tables import durable
 
 
 def normalize99(pixels: DataFrame, by: list[str]) -> DataFrame:
     """(v - p1) / (p99 - p1) by group; zeros if these percentiles are within 0.001."""
-    ends = pixels.groupBy(*by).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("_p"))
+    ends = percentiles(pixels, "value", by, [0.01, 0.99]).withColumnRenamed("percentiles", "_p")
     low, high = F.col("_p")[0], F.col("_p")[1]
     scaled = F.when(high - low > 1e-3, (F.col("value") - low) / (high - low)).otherwise(0.0)
     return pixels.join(ends, by).withColumn("value", scaled).drop("_p")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.quantiles import percentiles
 from tesserae.operators.tiling import Grid, _origin, dense_grid, patch_grid, patch_point_counts, rasterize_polygons, valid_patches
 from tesserae.sources.tables import durable
 
@@ -109,8 +110,8 @@ def smoothed_means(raster: DataFrame, labels: DataFrame, side: int, sigma: float
 
 
 def density_threshold(means: DataFrame, percentile: float) -> DataFrame:
-    """The percentile of all means, linearly interpolated."""
-    return means.agg(F.percentile("mean_density", percentile / 100).alias("threshold"))
+    """The percentile of all means, linearly interpolated; null if there are none."""
+    return percentiles(means, "mean_density", [], [percentile / 100]).agg(F.max(F.col("percentiles")[0]).alias("threshold"))
 
 
 def dataset_threshold(assigned: DataFrame, shapes: DataFrame, grid: Grid, key: str, sigma: float = 9.0, percentile: float = 5.0, min_points: int = 10, min_cells: int = 1, boxes: bool = True) -> DataFrame:

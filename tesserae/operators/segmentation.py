@@ -35,10 +35,9 @@ def masked_flow_loss(pixels: DataFrame) -> DataFrame:
     return pixels.where("mask > 0").agg(((square("y") + square("x")) / 2 + entropy).alias("loss"))
 
 
-def labels_to_cells(labels: DataFrame) -> DataFrame:
-    """patch_id, label, area, bounds, centroid of each label's pixels, and rings: the exact rings of pixel edges around them, corners
-    only. Outer rings have a positive signed area, holes a negative one, so they add up to the area."""
-    measures = labels.groupBy("patch_id", "label").agg(
+def label_measures(labels: DataFrame) -> DataFrame:
+    """patch_id, label, area, bounds and centroid of each label's pixels."""
+    return labels.groupBy("patch_id", "label").agg(
         F.count(F.lit(1)).alias("area"),
         F.min("x").alias("xmin"),
         F.min("y").alias("ymin"),
@@ -47,7 +46,12 @@ def labels_to_cells(labels: DataFrame) -> DataFrame:
         F.avg(F.col("x") + 0.5).alias("cx"),
         F.avg(F.col("y") + 0.5).alias("cy"),
     )
-    return measures.join(label_rings(labels), ["patch_id", "label"])
+
+
+def labels_to_cells(labels: DataFrame) -> DataFrame:
+    """label_measures, and rings: the exact rings of pixel edges around each label, corners only. Outer rings have a positive signed
+    area, holes a negative one, so they add up to the area."""
+    return label_measures(labels).join(label_rings(labels), ["patch_id", "label"])
 
 
 def outlines(y: np.ndarray, x: np.ndarray) -> list[list[tuple[float, float]]]:

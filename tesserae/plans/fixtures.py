@@ -69,8 +69,7 @@ def pixels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def gene_values(spark: SparkSession, d: str) -> DataFrame:
-    own = table(spark, d, "embeddings").where("vec_id < 50")
-    return own.select(F.concat(F.lit("G"), F.col("vec_id").cast("string")).alias("gene"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("value"))
+    return table(spark, d, "embeddings").select(F.concat(F.lit("G"), F.col("vec_id").cast("string")).alias("gene"), F.transform(F.slice("embedding", 1, 3), lambda v: v.cast("double")).alias("value"))
 
 
 def flow(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +116,7 @@ nucleus_boxes AS (SELECT c_custkey::bigint AS nucleus_id,
 nuclei AS (SELECT nucleus_id, cx - hw AS xmin, cy - hh AS ymin, cx + hw AS xmax, cy + hh AS ymax FROM nucleus_boxes),
 annotations AS (SELECT n_nationkey AS ann_id, r_name AS kind, ((n_nationkey*197) % 1000)::double AS cx, ((n_regionkey*211 + n_nationkey*31) % 1000)::double AS cy FROM nation JOIN region ON n_regionkey = r_regionkey),
 pixels AS (SELECT 'ch' || label AS channel, vec_id::int AS y, (p - 1)::int AS x, embedding[p]::double AS value FROM embeddings, range(1, 65) r(p)),
-gene_values AS (SELECT 'G' || vec_id AS gene, (k - 1)::int AS channel, embedding[k]::double AS value FROM embeddings, range(1, 4) r(k) WHERE vec_id < 50),
+gene_values AS (SELECT 'G' || vec_id AS gene, (k - 1)::int AS channel, embedding[k]::double AS value FROM embeddings, range(1, 4) r(k)),
 flow AS (SELECT l_linenumber % 5 AS mask, (l_tax - 0.04::double) AS t_y, (l_discount - 0.05::double) AS t_x, l_discount * 10 AS t_prob,
    5 * (l_tax - 0.04::double) + (l_linenumber - 4) / 10.0::double AS p_y,
    5 * (l_discount - 0.05::double) - (l_linenumber - 4) / 10.0::double AS p_x, (l_quantity - 25) / 10.0::double AS p_prob FROM lineitem),

@@ -652,12 +652,13 @@ def g1_normalize99(s, d):
 
 
 @query(
-    """SELECT channel, rank, y, x, round(value, 6) AS value FROM (SELECT CASE WHEN channel IN ('ch1', 'ch3') THEN 0 ELSE 1 END AS layer, * FROM pixels WHERE channel IN ('ch1', 'ch2', 'ch3'))
-JOIN (VALUES ('ch1', 0), ('ch3', 1), ('ch2', 2)) r(channel, rank) USING (channel)"""
+    """SELECT channel, (dense_rank() OVER (ORDER BY CASE WHEN channel[3:]::int % 2 = 1 THEN 0 ELSE 1 END, channel) - 1)::int AS rank, y, x, round(value, 6) AS value FROM pixels"""
 )
 def g2_stack_channels(s, d):
+    """Odd channels as one layer, even ones as another."""
     own = fx.pixels(s, d)
-    return batching.stack_channels(own.where("channel IN ('ch1', 'ch3')"), own.where("channel = 'ch2'")).withColumn("value", F.round("value", 6)).select("channel", "rank", "y", "x", "value")
+    odd = F.substring("channel", 3, 9).cast("int") % 2 == 1
+    return batching.stack_channels(own.where(odd), own.where(~odd)).withColumn("value", F.round("value", 6)).select("channel", "rank", "y", "x", "value")
 
 
 @query(
@@ -826,7 +827,7 @@ def h3_labels_to_cells(s, d):
 
 @query("SELECT patch_id, label, count(*) AS area FROM labels GROUP BY patch_id, label HAVING count(*) >= 150", LABELS)
 def h4_filter_min_area(s, d):
-    return segmentation.filter_min_area(segmentation.labels_to_cells(labels(s, d)), 150).select("patch_id", "label", "area")
+    return segmentation.filter_min_area(segmentation.label_measures(labels(s, d)), 150).select("patch_id", "label", "area")
 
 
 @query("SELECT mask, count(*) AS n, round(sum(p_prob), 4) AS total FROM flow WHERE p_prob > -0.5 GROUP BY mask")

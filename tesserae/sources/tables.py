@@ -95,7 +95,8 @@ def materialize_missing(patches: DataFrame, cache: str, experiment: str, compute
     """Features of all patches: those cached for the experiment, and the rest computed and appended.
 
     A table beside the cache says which patches have been computed, those without any feature row too. It is written after
-    their rows, each run's rows in a part of their own (column run), so a run that was cut short counts for nothing.
+    their rows, each run's rows in a part of their own (column run), so a run that was cut short counts for nothing. Runs that
+    overlap may compute a patch twice; every reader then takes the run that was first to say so (by time, then by name).
     """
     spark = patches.sparkSession
     own = F.col("experiment") == experiment
@@ -106,7 +107,8 @@ def materialize_missing(patches: DataFrame, cache: str, experiment: str, compute
         run = uuid.uuid4().hex
         labels = {"experiment": F.lit(experiment), "run": F.lit(run)}
         compute(missing).withColumns(labels).write.mode("append").parquet(cache)
-        missing.select("patch_id").withColumns(labels).write.mode("append").parquet(f"{cache}-done")
-    runs = spark.read.parquet(f"{cache}-done").where(own).join(patches.select("patch_id"), "patch_id", "left_semi")
+        missing.select("patch_id").withColumns(labels).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{cache}-done")
+    said = spark.read.parquet(f"{cache}-done").where(own).join(patches.select("patch_id"), "patch_id", "left_semi")
+    runs = said.groupBy("patch_id").agg(F.min_by("run", F.struct("at", "run")).alias("run"))
     features = spark.read.parquet(cache).where(own).drop("experiment")
     return features.join(runs.select("patch_id", "run"), ["patch_id", "run"], "left_semi").drop("run")

@@ -58,6 +58,27 @@ def test_a_patch_without_features_is_computed_once(spark, tmp_path):
     assert asked == [[0, 1]]
 
 
+def test_runs_that_overlap_give_each_patch_once(spark, tmp_path):
+    patches, path, inner = spark.createDataFrame([(0,), (1,), (2,)], "patch_id int"), str(tmp_path / "cache"), []
+
+    def compute(p):
+        if not inner:  # another run begins and ends in the midst of this one
+            inner.append(True)
+            inner.append(sorted(map(tuple, tables.materialize_missing(patches.where("patch_id > 0"), path, "a", compute).collect())))
+        return p.selectExpr("patch_id", f"patch_id * 10 + {len(inner)} AS feature")
+
+    got = sorted(map(tuple, tables.materialize_missing(patches, path, "a", compute).collect()))
+    assert inner[1] == [(1, 11), (2, 21)] and got == [(0, 2), (1, 11), (2, 21)]
+    assert sorted(map(tuple, tables.materialize_missing(patches, path, "a", compute).collect())) == got
+
+
+def test_a_run_that_was_cut_short_counts_for_nothing(spark, tmp_path):
+    patches, path = spark.createDataFrame([(0,), (1,)], "patch_id int"), str(tmp_path / "cache")
+    patches.selectExpr("patch_id", "-1 AS feature", "'a' AS experiment", "'cut' AS run").write.parquet(path)
+    got = tables.materialize_missing(patches, path, "a", lambda p: p.selectExpr("patch_id", "patch_id AS feature"))
+    assert sorted(map(tuple, got.collect())) == [(0, 0), (1, 1)]
+
+
 def test_a_cluster_needs_a_shared_folder():
     class Session:
         class conf:
