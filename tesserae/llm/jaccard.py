@@ -11,8 +11,8 @@ candidates are verified on whole sets of these, and equal sets, told by a 64-bit
 Lists of up to LIST sets give all their pairs. Longer lists are worked on by rounds: each set chooses a few of its long lists
 and is compared with one pivot in each, so a round makes a few rows per set, however long the lists are and however many a set is
 in. Linked sets fall into one component, and only lists with several components go on. After the last round the sets of a list
-that are not in its largest component are compared with all others of other components, block by block. That loses nothing, since a component is what
-is asked for.
+that are not in its largest component are compared with all others of other components, block by block: whole sets, of which a block gives
+one link at most for two components. That loses nothing, since a component is what is asked for.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ WIDTH = 5
 #: that comes more often than a counter's mean is told apart, and only those make long lists.
 SKETCH = 18, 22
 #: Lists of up to LIST sets are compared in full. In each of ROUNDS a set meets the pivots of PIVOTS of its lists. What is
-#: left of lists is compared in blocks of CHUNK sets. A bucket of lists is made for each SHARE shingles at least.
-LIST, PIVOTS, ROUNDS, CHUNK, SHARE = 24, 3, 2, 2048, 4 << 20
+#: left of lists is compared in blocks of CHUNK sets, or HELD shingles, on each side. A bucket of lists is made for each SHARE shingles at least.
+LIST, PIVOTS, ROUNDS, CHUNK, HELD, SHARE = 24, 3, 2, 2048, 2 << 20, 4 << 20
 PIECE, BLOCK, BITS = 1 << 18, 2 << 20, 1024
 _LAST = np.iinfo(np.int64).max
 
@@ -248,13 +248,15 @@ def _differ(x: tuple, y: tuple) -> np.ndarray:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """One block of a long list (columns x, n, place, role, component, rest, bits): pairs of a set of the rest and one of the
-    others, in different components, that may link."""
+    """One block of a long list (columns x, n, place, role, component, rest, bits, shingles): links of a set of the rest and one of the
+    others, one at most for two components. Whole sets are compared here, so no candidate leaves the block."""
     t = {c: table[c].to_numpy().astype(np.int64) for c in ("x", "n", "place", "role", "component", "rest")}
     order = np.argsort(t["n"], kind="stable")
     x, n, place, role, comp, rest = (t[c][order] for c in ("x", "n", "place", "role", "component", "rest"))
     size, planes, row = _planes([table["bits"][int(k)].as_buffer() for k in order])
-    left, right = [], []
+    _, ids = np.unique(np.concatenate([np.frombuffer(table["shingles"][int(k)].as_buffer(), np.uint64) for k in order]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    mark, links = np.zeros(int(ids.max(initial=0)) + 1, bool), []
     for i in np.flatnonzero(rest):
         j = np.arange(np.searchsorted(n, -(-3 * n[i] // 4)), np.searchsorted(n, 4 * n[i] // 3, "right"))
         j = j[(comp[j] != comp[i]) & (rest[j] == 0)]
@@ -262,9 +264,16 @@ def _across(table: pa.Table) -> pa.Table:
         j = j[_possible(n[a], n[b], place[a], place[b], role[a], role[b])]
         own = np.full(len(j), i)
         j = j[7 * _differ((planes, size[own], row[own]), (planes, size[j], row[j])) <= n[j] + n[i]]
-        left.append(np.full(len(j), x[i]))
-        right.append(x[j])
-    a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (left, right))
+        if not len(j):
+            continue
+        mark[ids[at[i] : at[i + 1]]] = True
+        shared = np.add.reduceat(mark[np.concatenate([ids[at[k] : at[k + 1]] for k in j])], np.concatenate([[0], np.cumsum(n[j])[:-1]]))
+        mark[ids[at[i] : at[i + 1]]] = False
+        j = j[7 * shared >= 3 * (n[j] + n[i])]
+        _, first = np.unique(comp[j], return_index=True)
+        links += [(x[i], y) for y in x[j[first]]]
+        comp[np.isin(comp, comp[j])] = comp[i]
+    a, b = (np.array(c, np.int64) for c in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
 
@@ -330,11 +339,13 @@ def _verify(batches):
 
 def _open_lists(lists: DataFrame, found: DataFrame) -> DataFrame:
     """The entries of the lists that still have several components: with each set's component, the list's largest (crowd), its
-    sets (k) and the list's (total)."""
+    sets (k) and shingles (w), and the list's (total, weight)."""
     named = lists.join(found, lists.x == found.node, "left").select(*lists.columns, F.coalesce("component", "x").alias("component"))
-    counted = named.groupBy("bucket", "list", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = F.max(F.struct("k", "component")).alias("top")
-    split = counted.groupBy("bucket", "list").agg(largest, F.sum("k").alias("total"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("bucket", "list", F.col("top.component").alias("crowd"), F.col("top.k").alias("k"), "total")
+    counted = named.groupBy("bucket", "list", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("w"))
+    largest = F.max(F.struct("k", "component", "w")).alias("top")
+    sums = [F.sum("k").alias("total"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("parts")]
+    split = counted.groupBy("bucket", "list").agg(largest, *sums).where("parts > 1")
+    split = split.select("bucket", "list", F.col("top.component").alias("crowd"), F.col("top.k").alias("k"), "total", F.col("top.w").alias("w"), "weight")
     return durable(named.join(durable(split, "jaccard-split"), ["bucket", "list"]), "jaccard-open")
 
 
@@ -353,7 +364,8 @@ def _blocks_of(entries: DataFrame) -> DataFrame:
     """Open lists in blocks in which all pairs of a block's rest with others are to be compared: bucket, list, i, j and the
     entry. The rest are the sets outside a list's largest component."""
     entries = entries.withColumn("rest", (F.col("component") != F.col("crowd")).cast("int"))
-    rests, alls = (F.ceil(c / CHUNK).cast("int") for c in (F.col("total") - F.col("k"), F.col("total")))
+    chunks = lambda sets, shingles: F.greatest(F.ceil(sets / CHUNK), F.ceil(shingles / HELD)).cast("int")
+    rests, alls = chunks(F.col("total") - F.col("k"), F.col("weight") - F.col("w")), chunks(F.col("total"), F.col("weight"))
     # block (i, j) has the rest's i-th chunk and everyone's j-th; of the rest every set is in chunk i and in chunk j
     own, every = F.pmod(F.xxhash64("x"), rests).cast("int"), F.pmod(F.xxhash64("x", F.lit(1)), alls).cast("int")
     as_rest = F.transform(F.sequence(F.lit(0), alls - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(1).alias("rest")))
@@ -374,6 +386,31 @@ def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
     return durable(old.unionByName(alone), "jaccard-found")
 
 
+def _united(sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, component of the sets that the candidate pairs and the long lists link."""
+
+    def linked(found: DataFrame) -> DataFrame:
+        marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
+        for side in ("x", "y"):
+            found = found.join(marks.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+        found = found.mapInArrow(_near, "x long, y long")
+        a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
+        return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
+
+    found = components(linked(pairs).toDF("a", "b"))
+    for turn in range(ROUNDS + 1):
+        entries = lists.withColumn("component", F.col("x")) if turn == 0 < ROUNDS else _open_lists(lists, found)
+        if entries.isEmpty():
+            break
+        if turn < ROUNDS:
+            more = _stars(entries, turn)
+        else:  # every pair of the lists has been tried then, or both its sets were in one component already
+            blocks = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x")
+            more = durable(blocks.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
+        found = _contracted(linked(more) if turn < ROUNDS else more, found)
+    return found
+
+
 def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Per row: id, hash (of the text), n (its shingles), least (its component's smallest id)."""
     spark = docs.sparkSession
@@ -402,26 +439,10 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     # rows that repeat a document repeat links at most; dealt by name once, the sets stay where they are in all joins
     sets, drop_sets = bucketed(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "name", "jaccard_sets")
 
-    def linked(found: DataFrame) -> DataFrame:
-        marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
-        for side in ("x", "y"):
-            found = found.join(marks.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        found = found.mapInArrow(_near, "x long, y long")
-        a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
-        return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
-
-    found = components(linked(pairs).toDF("a", "b"))
-    for turn in range(ROUNDS + 1):
-        entries = lists.withColumn("component", F.col("x")) if turn == 0 < ROUNDS else _open_lists(lists, found)
-        if entries.isEmpty():
-            break
-        if turn < ROUNDS:
-            more = _stars(entries, turn)
-        else:  # every pair of the lists has been tried then, or both its sets were in one component already
-            blocks = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x")
-            more = durable(blocks.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
-        found = _contracted(linked(more), found)
-    drop_sets()
+    try:
+        found = _united(sets, lists, pairs)
+    finally:
+        drop_sets()
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")

@@ -93,6 +93,34 @@ def test_a_crowd_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(2000)) and all(got[i] == i for i in range(2000, 2300))
 
 
+def form_letters(n, own):
+    """Texts of 100 words, all but the middle ``own`` of them shared."""
+    base = [f"w{k}" for k in range(100)]
+    return [" ".join([*base[: 50 - own // 2], *(f"own{i}x{k}" for k in range(own)), *base[50 + own - own // 2 :]]) for i in range(n)]
+
+
+def test_form_letters_that_hardly_link_give_few_rows(spark, monkeypatch):
+    """300 sets of mutual similarity just under the threshold, and some just above: blocks give links only."""
+    texts = form_letters(300, 11) + form_letters(320, 9)[300:]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    given = []
+    kept = jaccard.durable
+    monkeypatch.setattr(jaccard, "durable", lambda df, name: given.append((name, out := kept(df, name))) or out)
+    want = brute(docs.collect())
+    assert rows_of(near_components(docs)) == want and len({c for _, _, c in want}) > 250
+    more = [df.count() for name, df in given if name == "jaccard-more"]
+    assert more[-1] < 50 and sum(more) < 3 * 3 * 320
+
+
+def test_a_block_links_components_once(spark):
+    sets = [np.unique(np.concatenate([np.arange(90), np.arange(1000 * i, 1000 * i + 10)])).astype(np.uint64) for i in range(1, 60)]
+    n, bits = len(sets[0]), jaccard.np.packbits(np.zeros(1024, bool)).tobytes()
+    rows = {"x": range(59), "n": [n] * 59, "place": [0] * 59, "role": [3] * 59, "component": range(59), "rest": [int(i < 30) for i in range(59)]}
+    table = jaccard.pa.table({**{c: jaccard.pa.array(list(v)) for c, v in rows.items()}, "bits": jaccard.pa.array([bits] * 59, jaccard.pa.binary()), "shingles": jaccard.pa.array([s.tobytes() for s in sets], jaccard.pa.binary())})
+    links = jaccard._across(table)
+    assert len(links) == 58  # as many as a tree over all 59 sets
+
+
 def test_one_round_makes_few_rows_per_set(spark):
     lists = spark.range(40_000).selectExpr("cast(id % 50 as int) AS bucket", "id % 50 AS list", "id div 50 AS x", "100 AS n", "0 AS place", "1 AS role")
     assert jaccard._stars(lists.withColumn("component", F.col("x")), 0).count() < 3 * 800
