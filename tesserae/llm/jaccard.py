@@ -247,16 +247,14 @@ def _differ(x: tuple, y: tuple) -> np.ndarray:
     return out
 
 
-def _across(table: pa.Table) -> pa.Table:
-    """One block of a long list (columns x, n, place, role, component, rest, bits, shingles): links of a set of the rest and one of the
-    others, one at most for two components. Whole sets are compared here, so no candidate leaves the block."""
-    t = {c: table[c].to_numpy().astype(np.int64) for c in ("x", "n", "place", "role", "component", "rest")}
-    order = np.argsort(t["n"], kind="stable")
-    x, n, place, role, comp, rest = (t[c][order] for c in ("x", "n", "place", "role", "component", "rest"))
-    size, planes, row = _planes([table["bits"][int(k)].as_buffer() for k in order])
-    _, ids = np.unique(np.concatenate([np.frombuffer(table["shingles"][int(k)].as_buffer(), np.uint64) for k in order]), return_inverse=True)
-    at = np.concatenate([[0], np.cumsum(n)])
-    mark, links = np.zeros(int(ids.max(initial=0)) + 1, bool), []
+_ENTRY = "bucket int, list long, i int, j int, x long, n int, place int, role int, component long, rest int"
+
+
+def _meetings(table: pa.Table, comp: np.ndarray):
+    """The sets of one block of a long list (columns of _ENTRY, bits), by size: each of the rest, and those of the others that are not in its
+    component (comp, which may change meanwhile) and that their parities do not rule out."""
+    n, place, role, rest = (table[c].to_numpy().astype(np.int64) for c in ("n", "place", "role", "rest"))
+    size, planes, row = _planes([x.as_buffer() for x in table["bits"]])
     for i in np.flatnonzero(rest):
         j = np.arange(np.searchsorted(n, -(-3 * n[i] // 4)), np.searchsorted(n, 4 * n[i] // 3, "right"))
         j = j[(comp[j] != comp[i]) & (rest[j] == 0)]
@@ -264,8 +262,28 @@ def _across(table: pa.Table) -> pa.Table:
         j = j[_possible(n[a], n[b], place[a], place[b], role[a], role[b])]
         own = np.full(len(j), i)
         j = j[7 * _differ((planes, size[own], row[own]), (planes, size[j], row[j])) <= n[j] + n[i]]
-        if not len(j):
-            continue
+        if len(j):
+            yield i, j
+
+
+def _busy(table: pa.Table) -> pa.Table:
+    """The entries of a block that have to be compared whole with others of it."""
+    table = table.sort_by("n")
+    busy = np.zeros(len(table), bool)
+    for i, j in _meetings(table, table["component"].to_numpy()):
+        busy[i] = busy[j] = True
+    return table.drop_columns(["bits"]).filter(pa.array(busy))
+
+
+def _across(table: pa.Table) -> pa.Table:
+    """One block of a long list (columns of _ENTRY, bits, shingles): links of a set of the rest and one of the others, one at most for two
+    components. Whole sets are compared here, so no candidate pair leaves the block."""
+    table = table.sort_by("n")
+    x, n, comp = table["x"].to_numpy(), table["n"].to_numpy().astype(np.int64), table["component"].to_numpy().copy()
+    _, ids = np.unique(np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in table["shingles"]]), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    mark, links = np.zeros(int(ids.max(initial=0)) + 1, bool), []
+    for i, j in _meetings(table, comp):
         mark[ids[at[i] : at[i + 1]]] = True
         shared = np.add.reduceat(mark[np.concatenate([ids[at[k] : at[k + 1]] for k in j])], np.concatenate([[0], np.cumsum(n[j])[:-1]]))
         mark[ids[at[i] : at[i + 1]]] = False
@@ -405,8 +423,11 @@ def _united(sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
         if turn < ROUNDS:
             more = _stars(entries, turn)
         else:  # every pair of the lists has been tried then, or both its sets were in one component already
-            blocks = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x")
-            more = durable(blocks.groupBy("bucket", "list", "i", "j").applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
+            # parities choose the sets that have to be compared whole; only these bring their shingles
+            entry = [c.split()[0] for c in _ENTRY.split(", ")]
+            busy = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY)
+            blocks = durable(busy, "jaccard-busy").join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x").select(*entry, "bits", "shingles")
+            more = durable(blocks.groupBy(*entry[:4]).applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
         found = _contracted(linked(more) if turn < ROUNDS else more, found)
     return found
 

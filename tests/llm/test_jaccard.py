@@ -117,6 +117,7 @@ def test_a_block_links_components_once(spark):
     n, bits = len(sets[0]), jaccard.np.packbits(np.zeros(1024, bool)).tobytes()
     rows = {"x": range(59), "n": [n] * 59, "place": [0] * 59, "role": [3] * 59, "component": range(59), "rest": [int(i < 30) for i in range(59)]}
     table = jaccard.pa.table({**{c: jaccard.pa.array(list(v)) for c, v in rows.items()}, "bits": jaccard.pa.array([bits] * 59, jaccard.pa.binary()), "shingles": jaccard.pa.array([s.tobytes() for s in sets], jaccard.pa.binary())})
+    assert jaccard._busy(table.drop_columns(["shingles"])).equals(table.drop_columns(["bits", "shingles"]))
     links = jaccard._across(table)
     assert len(links) == 58  # as many as a tree over all 59 sets
 
