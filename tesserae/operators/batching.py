@@ -34,11 +34,15 @@ def stack_channels(*layers: DataFrame) -> DataFrame:
 
 
 def pack_patches(pixels: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
-    """A row per key with ``plane``: all height x width values, row by row."""
-    grid = dense_grid(pixels.select(*keys).distinct(), height, width)
-    full = grid.join(pixels, [*keys, "y", "x"], "left")
-    cell = F.struct("y", "x", F.coalesce("value", F.lit(0.0)).alias("v"))
-    return full.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["v"]).alias("plane"))
+    """A row per key with ``plane``: all height x width values, row by row; absent pixels are 0 and those outside are left out. One
+    aggregate of the sparse pixels, whose gaps are filled in its result: no dense table, no join."""
+    inside = F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)
+    cell = F.struct((F.col("y") * width + F.col("x")).cast("int").alias("at"), F.coalesce("value", F.lit(0.0)).alias("v"))
+    sparse = pixels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(inside, cell))).alias("_s"))
+    zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+    last = lambda i: F.when(i > 0, F.get("_s", i - 1)["at"]).otherwise(-1)
+    filled = F.flatten(F.transform("_s", lambda c, i: F.concat(zeros(c["at"] - last(i) - 1), F.array(c["v"]))))
+    return sparse.withColumn("plane", F.concat(filled, zeros(height * width - 1 - last(F.size("_s"))))).drop("_s")
 
 
 def numbered(samples: DataFrame, key: str, name: str, order: list[Column] | None = None) -> DataFrame:

@@ -48,7 +48,8 @@ def rna_image(points: DataFrame, keys: list[str], values: DataFrame | None = Non
 
 def max_filter(raster: DataFrame, keys: list[str], height: int, width: int, size: int) -> DataFrame:
     """Maximum over a size x size window from i - size/2 to i + (size - 1)/2, mirrored at the edges; absent pixels
-    are 0, so a window with an absent pixel is 0 at least."""
+    are 0, so a window with an absent pixel is 0 at least. One axis goes after the other, with the number of pixels that are there, so
+    a pixel is sent to ``size`` places twice."""
     low, high = size // 2, (size - 1) // 2
 
     def readers(c: str, n: int) -> Column:
@@ -57,8 +58,11 @@ def max_filter(raster: DataFrame, keys: list[str], height: int, width: int, size
         mirrored = F.concat(near, F.sequence(-1 - F.col(c) - high, -1 - F.col(c) + low), F.sequence(2 * n - 1 - F.col(c) - high, 2 * n - 1 - F.col(c) + low))
         return F.array_distinct(F.filter(mirrored, lambda p: (p >= 0) & (p < n)))
 
-    wide = raster.withColumn("_y", F.explode(readers("y", height))).withColumn("_x", F.explode(readers("x", width)))
-    found = wide.groupBy(*keys, F.col("_y").cast("int").alias("y"), F.col("_x").cast("int").alias("x")).agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("_n"))
+    found = raster.select(*keys, "y", "x", "value", F.lit(1).cast("long").alias("_n"))
+    for axis, other, n in (("y", "x", height), ("x", "y", width)):
+        wide = found.withColumn("_to", F.explode(readers(axis, n)))
+        found = wide.groupBy(*keys, other, F.col("_to").cast("int").alias(axis)).agg(F.max("value").alias("value"), F.sum("_n").alias("_n"))
+    found = found.select(*keys, "y", "x", "value", "_n")
     span = lambda c, n: F.least(F.col(c) + high, F.lit(n - 1)) - F.greatest(F.col(c) - low, F.lit(0)) + 1
     full = F.col("_n") == span("y", height) * span("x", width)
     return found.withColumn("value", F.when(full, F.col("value")).otherwise(F.greatest("value", F.lit(0.0)))).drop("_n")

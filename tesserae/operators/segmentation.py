@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,13 +16,42 @@ from tesserae.operators.tiling import BOUNDS, Grid, spatial_join, translate_shap
 from tesserae.sources.tables import durable, read_patch_results, write_layer
 
 
-def segment_patches(samples: DataFrame, segmenter: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
-    """Every patch row through a caller's function. ``segmenter`` makes it, once per task, so a model is loaded there."""
+#: What segmenters have made in this process, by the call that they are of.
+_MADE: dict[str, Callable] = {}
+
+
+def made_once(name: str, segmenter: Callable[[], Callable]) -> Callable:
+    """What the segmenter makes, for all tasks of a call that a worker's process runs; those of earlier calls are let go."""
+    if name not in _MADE:
+        _MADE.clear()
+        _MADE[name] = segmenter()
+    return _MADE[name]
+
+
+def by_size(batch: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:
+    """Runs of rows with ``most`` list elements at most, or one row."""
+    lists = [c for c in batch.columns if batch[c].dtype == object and batch[c].map(lambda v: hasattr(v, "__len__")).any()]
+    sizes = sum((batch[c].map(lambda v: len(v) if hasattr(v, "__len__") else 1).to_numpy() for c in lists), np.ones(len(batch), np.int64))
+    begin, held = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > begin and held + n > most:
+            yield batch.iloc[begin:i]
+            begin, held = i, 0
+        held += n
+    if len(batch) > begin:
+        yield batch.iloc[begin:]
+
+
+def segment_patches(samples: DataFrame, segmenter: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, most: int = 1 << 24) -> DataFrame:
+    """Every patch row through a caller's function, which ``segmenter`` makes: once in each worker's process, so a model is loaded
+    there and kept for the tasks that follow. A call gets at most ``most`` pixels, or one patch."""
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        segment = segmenter()
+        segment = made_once(name, segmenter)
         for batch in batches:
-            yield segment(batch)
+            for some in by_size(batch, most):
+                yield segment(some)
 
     return samples.mapInPandas(run, schema)
 

@@ -192,6 +192,20 @@ def b13_rasterize_polygons(s, d):
     return labels(s, d)
 
 
+#: A pixel's open square meets a diamond if the point of it that is nearest to the middle is nearer than half a diagonal.
+@query(
+    """SELECT patch_id, y, x, max(label) AS label FROM hit, range(0, 300) a(y0), LATERAL (SELECT y0::int AS y) b, range(0, 300) c(x0), LATERAL (SELECT x0::int AS x) e
+WHERE px + x BETWEEN cx - 11 AND cx + 11 AND py + y BETWEEN cy - 11 AND cy + 11
+  AND greatest(0, px + x - cx, cx - px - x - 1) + greatest(0, py + y - cy, cy - py - y - 1) < 10 GROUP BY patch_id, y, x""",
+    """,
+hit AS MATERIALIZED (SELECT patch_id, xmin AS px, ymin AS py, cx, cy, row_number() OVER (PARTITION BY patch_id ORDER BY ann_id)::int AS label FROM patches
+  JOIN annotations ON greatest(0, xmin - cx, cx - xmax) + greatest(0, ymin - cy, cy - ymax) <= 10)""",
+)
+def b13_rasterize_rings(s, d):
+    """The general path, on diamonds."""
+    return tiling.rasterize_polygons(fx.annotations(s, d), fx.world(s, d), "ann_id", boxes=False)
+
+
 @query("SELECT (CASE channel WHEN 'ch3' THEN 0 ELSE 1 END)::int AS rank, channel, y - 10 AS y, x - 4 AS x, round(value, 6) AS value FROM pixels WHERE channel IN ('ch3', 'ch1') AND y >= 10 AND y < 200 AND x >= 4 AND x < 40")
 def b14_crop_pixels(s, d):
     return tiling.crop_pixels(fx.pixels(s, d), 4, 10, 40, 200, ["ch3", "ch1"]).withColumn("value", F.round("value", 6))

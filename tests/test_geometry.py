@@ -340,3 +340,38 @@ def test_unknown_gene_is_an_error(spark):
     index = genes.build_gene_index(points.where("gene = 'A'"))
     with pytest.raises(Exception, match="unknown gene B"):
         genes.encode_genes(points, index).collect()
+
+
+def test_a_model_is_loaded_once_in_a_worker(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def loader():
+        import tempfile
+
+        tempfile.mkstemp(dir=folder)
+        return lambda samples: samples[["patch_id"]].assign(n=len(samples))
+
+    samples = spark.range(60).selectExpr("cast(id as int) AS patch_id", "array_repeat(0.0D, 10) AS plane").repartition(20)
+    got = segmentation.segment_patches(samples, loader, "patch_id int, n long", most=25).collect()
+    assert sorted(r["patch_id"] for r in got) == list(range(60)) and max(r["n"] for r in got) == 2
+    assert len(list(tmp_path.iterdir())) < 20
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5])
+def test_window_maximum_in_two_steps(spark, size):
+    r = np.random.default_rng(size)
+    dense = np.where(r.random((9, 7)) < 0.6, r.integers(-5, 9, (9, 7)), 0).astype(float)
+    lit = [(int(y), int(x), float(dense[y, x])) for y, x in zip(*np.nonzero(dense))]
+    low, high = size // 2, (size - 1) // 2
+    padded = np.pad(dense, ((low, high), (low, high)), mode="symmetric")
+    want = {(y, x): padded[y : y + size, x : x + size].max() for y in range(9) for x in range(7)}
+    got = {(r["y"], r["x"]): r["value"] for r in genes.max_filter(spark.createDataFrame(lit, "y int, x int, value double"), [], 9, 7, size).collect()}
+    assert all(want[k] == got.get(k, 0.0) for k in want)
+
+
+def test_planes_of_sparse_pixels(spark):
+    pixels = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 1, 2, 2.0), ("a", 5, 0, 9.0), ("b", 1, 1, 3.0), ("c", 7, 7, 4.0), ("d", 0, 1, None)], "k string, y int, x int, value double")
+    packed = batching.pack_patches(pixels, ["k"], 2, 3)
+    assert rows(packed, "k", "plane") == [("a", [1, 0, 0, 0, 0, 2]), ("b", [0, 0, 0, 0, 3, 0]), ("c", [0] * 6), ("d", [0] * 6)]
+    plan = batching.pack_patches(pixels, ["k"], 2, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
