@@ -1,4 +1,4 @@
-"""Polygons as arrays of (x, y): measures as Spark expressions, areas of intersections and pixels as Arrow functions."""
+"""Polygons as arrays of (x, y): measures as Spark expressions, areas of intersections as Arrow functions, pixels of rings and rings of pixels."""
 
 from __future__ import annotations
 
@@ -61,7 +61,7 @@ def is_box(ring: Column, xmin: Column, ymin: Column, xmax: Column, ymax: Column)
     return (F.size(ring) == 4) & (F.size(F.array_distinct(ring)) == 4) & F.forall(ring, corner)
 
 
-def _edges(ring: Column) -> Column:
+def ring_edges(ring: Column) -> Column:
     following = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
     return F.zip_with(ring, following, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
 
@@ -74,7 +74,7 @@ def _holds(ring: Column, point: Column) -> Column:
         x = p["x"] + (point["y"] - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"])
         return ((p["y"] > point["y"]) != (q["y"] > point["y"])) & F.when(p["y"] != q["y"], point["x"] < x).otherwise(False)
 
-    return F.size(F.filter(_edges(ring), left_of)) % 2 == 1
+    return F.size(F.filter(ring_edges(ring), left_of)) % 2 == 1
 
 
 def rings_meet(a: Column, b: Column) -> Column:
@@ -88,7 +88,7 @@ def rings_meet(a: Column, b: Column) -> Column:
         apart = lambda g, h: F.signum(side(g["p"], g["q"], h["p"])) * F.signum(side(g["p"], g["q"], h["q"])) <= 0
         return near & apart(e, f) & apart(f, e)
 
-    return F.exists(_edges(a), lambda e: F.exists(_edges(b), lambda f: meet(e, f))) | _holds(b, a[0]) | _holds(a, b[0])
+    return F.exists(ring_edges(a), lambda e: F.exists(ring_edges(b), lambda f: meet(e, f))) | _holds(b, a[0]) | _holds(a, b[0])
 
 
 def box_overlap(a: str, b: str) -> Column:
@@ -97,21 +97,6 @@ def box_overlap(a: str, b: str) -> Column:
     return side("x") * side("y")
 
 
-def clip(polygon: np.ndarray, nx: float, ny: float, c: float) -> np.ndarray:
-    """The part of a polygon with nx x + ny y <= c."""
-    if not len(polygon):
-        return polygon
-    side = polygon @ np.array([nx, ny]) - c
-    out = []
-    for i in range(len(polygon)):
-        j = (i + 1) % len(polygon)
-        if side[i] <= 0:
-            out.append(polygon[i])
-        if (side[i] < 0 < side[j]) or (side[j] < 0 < side[i]):
-            out.append(polygon[i] + (polygon[j] - polygon[i]) * (side[i] / (side[i] - side[j])))
-    return np.array(out).reshape(-1, 2)
-
-
 def area_of(polygon: np.ndarray) -> float:
     """Signed area."""
     if len(polygon) < 3:
@@ -121,7 +106,7 @@ def area_of(polygon: np.ndarray) -> float:
 
 
 def _clip_many(polygons: np.ndarray, normals: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """clip of many polygons at once, each by its own line. Every corner gives two places, itself and the cut after it; places
+    """The parts of many polygons with n . p <= c, each by its own line, at once. Every corner gives two places, itself and the cut after it; places
     that are not used repeat the corner before, which changes no area."""
     side = (polygons * normals[:, None]).sum(axis=2) - c[:, None]
     after, beyond = np.roll(polygons, -1, axis=1), np.roll(side, -1, axis=1)
@@ -161,10 +146,6 @@ def overlap_areas(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 20)
     return np.abs(out)
 
 
-def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
-    return float(overlap_areas([a], [b])[0])
-
-
 def ring_array(ring) -> np.ndarray:
     return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
 
@@ -188,43 +169,83 @@ def rings_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.bincount([p[0] for p in pairs], areas, len(a)) if pairs else np.zeros(len(a)), pa.float64())
 
 
-def coverage(points: np.ndarray) -> tuple[int, int, np.ndarray]:
-    """First row, first column, and how much of each pixel [p, p + 1) x [q, q + 1) of the bounding box the polygon covers.
-
-    By Green's theorem the polygon's area left of x within a row is the integral of min(X, x) dY along its edges there, so one
-    pass over edges and rows gives the areas left of all pixel borders, and differences give the pixels."""
-    (x0, y0), (x1, y1) = np.floor(points.min(axis=0)).astype(int), np.ceil(points.max(axis=0)).astype(int)
-    p, q = points, np.roll(points, -1, axis=0)
-    p, q = p[p[:, 1] != q[:, 1]], q[p[:, 1] != q[:, 1]]
-    out = np.zeros((max(y1 - y0, 0), max(x1 - x0, 0)))
-    borders = np.arange(x0, x1 + 1)[None]
-    for y in range(y0, y1):
-        a, b = (np.clip(v[:, 1], y, y + 1) for v in (p, q))
-        here = a != b
-        if not here.any():
-            continue
-        a, b, u, v = a[here], b[here], p[here], q[here]
-        slope = (v[:, 0] - u[:, 0]) / (v[:, 1] - u[:, 1])
-        ends = np.sort(np.stack([u[:, 0] + (a - u[:, 1]) * slope, u[:, 0] + (b - u[:, 1]) * slope]), axis=0)
-        low, high = ends[0][:, None], ends[1][:, None]
-        t = np.clip((borders - low) / np.where(high > low, high - low, 1), 0, 1)
-        t = np.where(high > low, t, (borders >= low).astype(float))
-        left = np.minimum(borders, high)
-        mean = t * (low + np.maximum(left, low)) / 2 + (1 - t) * borders  # of min(X, border) along the edge
-        out[y - y0] = np.abs(np.diff(((b - a)[:, None] * mean).sum(axis=0)))
-    return y0, x0, out
-
-
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())])))
-def ring_pixels(ring: pd.Series) -> pd.Series:
-    """Pixels [p, p + 1) x [q, q + 1) whose open interior meets the polygon."""
-
-    def of(points: np.ndarray) -> list[dict[str, int]]:
-        y0, x0, area = coverage(points)
-        y, x = np.nonzero(area > 1e-9)
-        return [{"y": a, "x": b} for a, b in zip((y + y0).tolist(), (x + x0).tolist())]
-
-    return pd.Series([of(ring_array(r)) for r in ring])
+def ring_strips(ring: Column, first: Column, last: Column) -> Column:
+    """The strips low, high of heights in [first, last] between neighbouring corners and whole numbers. Within a strip no edge of the
+    ring begins or ends."""
+    low, high = F.greatest(F.floor(F.array_min(ring["y"])), first), F.least(F.ceil(F.array_max(ring["y"])), last)
+    rows = F.when(low < high, F.transform(F.sequence(low, high), lambda v: v.cast("double"))).otherwise(F.array().cast("array<double>"))
+    levels = F.array_sort(F.array_distinct(F.concat(rows, F.filter(ring["y"], lambda v: (v > low) & (v < high)))))
+    pairs = F.zip_with(levels, F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: F.struct(a.alias("low"), b.alias("high")))
+    return F.filter(pairs, lambda s: s["low"] < s["high"])
+
+
+def strip_crossings(edges: Column, low: Column, high: Column) -> Column:
+    """The edges (see ring_edges) that cross a strip, from left to right: x in its middle, the least and the greatest x there."""
+    middle = (low + high) / 2
+
+    def crossing(e: Column) -> Column:
+        p, q = e["p"], e["q"]
+        x = lambda y: p["x"] + (y - p["y"]) / (q["y"] - p["y"]) * (q["x"] - p["x"])
+        return F.struct(x(middle).alias("x"), F.least(x(low), x(high)).alias("left"), F.greatest(x(low), x(high)).alias("right"))
+
+    here = F.filter(edges, lambda e: (F.least(e["p"]["y"], e["q"]["y"]) < middle) & (F.greatest(e["p"]["y"], e["q"]["y"]) > middle))
+    return F.array_sort(F.transform(here, crossing))
+
+
+def strip_spans(crossings: Column) -> Column:
+    """first, last: columns of the pixels whose open square the polygon meets in a strip; it lies between its crossings, two by two.
+    Less than 1e-9 of a pixel's width is rounding."""
+
+    def span(c: Column, i: Column) -> Column:
+        end = F.get(crossings, i + 1)["right"]
+        return F.when(i % 2 == 0, F.struct(F.floor(c["left"] + 1e-9).alias("first"), (F.ceil(end - 1e-9) - 1).alias("last")))
+
+    return F.array_compact(F.transform(crossings, span))
+
+
+def pixel_rings(label: np.ndarray, y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rings of pixel edges around the pixels of each label: label of each ring, places where rings begin among the corners (and
+    their number), corners (x, y). Labels are in order; outer rings have a positive signed area, holes a negative one.
+
+    An edge is a pixel and a way: right along its top, down, left, up, where the pixel beyond has not its label. Next comes an edge of
+    the pixel diagonally ahead if that one and the one before it have the label, of the pixel ahead if that alone has, else of
+    the pixel itself, so pixels that touch in a corner only are in rings of their own. Doubled pointers find every ring's first
+    edge, then each edge's distance to it.
+    """
+    names, rank = np.unique(np.asarray(label), return_inverse=True)
+    y0, x0 = (int(np.min(v)) - 1 for v in (y, x))
+    height, width = int(np.max(y)) - y0 + 2, int(np.max(x)) - x0 + 2
+    code = np.unique((rank.astype(np.int64) * height + (np.asarray(y, np.int64) - y0)) * width + (np.asarray(x, np.int64) - x0))
+
+    def held(wanted: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(code, wanted), len(code) - 1)
+        return np.where(code[place] == wanted, place, -1)
+
+    ahead = np.stack([held(code + step) for step in (1, width, -1, -width)], axis=1)
+    is_edge = np.roll(ahead, 1, axis=1) < 0
+    number = (np.cumsum(is_edge) - 1).reshape(is_edge.shape)
+    pixel, way = np.nonzero(is_edge)
+    front = ahead[pixel, way]
+    beside = np.where(front >= 0, ahead[front, way - 1], -1)
+    following = number[np.where(front < 0, pixel, np.where(beside < 0, front, beside)), (way + np.where(front < 0, 1, np.where(beside < 0, 0, -1))) % 4]
+    first, jump = np.arange(len(way)), following
+    while True:
+        least = np.minimum(first, first[jump])
+        if (least == first).all():
+            break
+        first, jump = least, jump[jump]
+    root = first == np.arange(len(way))
+    distance, jump = (~root).astype(np.int64), np.where(root, first, following)
+    while not root[jump].all():
+        distance, jump = distance + distance[jump], jump[jump]
+    before = np.empty_like(following)
+    before[following] = np.arange(len(way))
+    order = np.lexsort((np.where(root, -len(way), -distance), first))
+    order = order[way[before[order]] != way[order]]
+    own, side = code[pixel[order]], way[order]
+    corners = np.stack([own % width + x0 + np.isin(side, (1, 2)), own // width % height + y0 + np.isin(side, (2, 3))], axis=1).astype(float)
+    begins = np.flatnonzero(np.r_[True, first[order][1:] != first[order][:-1]])
+    return names[own[begins] // (width * height)], np.r_[begins, len(order)], corners
 
 
 def outline_of_union(rings: list[np.ndarray]) -> list[np.ndarray]:

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import area_of, box_overlap, box_ring, is_box, outline_of_union, polygon_area, ring_array, rings_overlap, with_bbox
+from tesserae.functions.geometry import area_of, box_overlap, box_ring, is_box, outline_of_union, pixel_rings, polygon_area, ring_array, rings_overlap, with_bbox
 from tesserae.operators.graph import components
 from tesserae.operators.tiling import BOUNDS, Grid, spatial_join, translate_shapes
 from tesserae.sources.tables import durable, read_patch_results, write_layer
@@ -84,49 +85,25 @@ def labels_to_cells(labels: DataFrame) -> DataFrame:
     return label_measures(labels).join(label_rings(labels), ["patch_id", "label"])
 
 
-def outlines(y: np.ndarray, x: np.ndarray) -> list[list[tuple[float, float]]]:
-    """The rings of pixel edges around a set of pixels, corners only."""
-    own = set(zip(y.tolist(), x.tolist()))
-    edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for r, c in own:
-        for start, end, beyond in (((c, r), (c + 1, r), (r - 1, c)), ((c + 1, r), (c + 1, r + 1), (r, c + 1)), ((c + 1, r + 1), (c, r + 1), (r + 1, c)), ((c, r + 1), (c, r), (r, c - 1))):
-            if beyond not in own:
-                edges.setdefault(start, []).append(end)
-    rings = []
-    while edges:
-        at = min(edges)
-        ring, way = [at], None
-        while at in edges:
-            ends = edges[at]
-            # where two pixels touch at a corner only, turn left so that the ring stays with its pixel
-            ends.sort(key=lambda e: 0 if way is None else -((e[0] - at[0]) * way[1] - (e[1] - at[1]) * way[0]))
-            end = ends.pop(0)
-            if not ends:
-                del edges[at]
-            way, at = (end[0] - at[0], end[1] - at[1]), end
-            ring.append(at)
-        ring = ring[:-1]
-        rings.append([(float(p[0]), float(p[1])) for o, p, q in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]]) if (p[0] - o[0]) * (q[1] - p[1]) != (p[1] - o[1]) * (q[0] - p[0])])
-    return rings
-
-
-def outline(y: np.ndarray, x: np.ndarray) -> list[tuple[float, float]]:
-    """The ring of the largest area."""
-    return max(outlines(y, x), key=lambda ring: abs(area_of(np.array(ring))))
-
-
 def label_rings(labels: DataFrame) -> DataFrame:
     """patch_id, label, rings and ring, the largest of them; a patch's labels are traced together."""
-
-    def trace(pixels: pd.DataFrame) -> pd.DataFrame:
-        points = lambda ring: [{"x": x, "y": y} for x, y in ring]
-        found = []
-        for label, own in pixels.groupby("label"):
-            rings = outlines(own["y"].to_numpy(), own["x"].to_numpy())
-            found.append((pixels["patch_id"].iloc[0], label, [points(r) for r in rings], points(max(rings, key=lambda r: abs(area_of(np.array(r)))))))
-        return pd.DataFrame(found, columns=["patch_id", "label", "rings", "ring"])
-
-    return labels.groupBy("patch_id").applyInPandas(trace, "patch_id int, label int, rings array<array<struct<x: double, y: double>>>, ring array<struct<x: double, y: double>>")
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+
+    def trace(pixels: pa.Table) -> pa.Table:
+        label, begins, corners = pixel_rings(*(pixels[c].to_numpy() for c in ("label", "y", "x")))
+        points = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], fields=list(point))
+        rings = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), points)
+        after = np.arange(1, len(corners) + 1)
+        after[begins[1:] - 1] = begins[:-1]
+        (x, y), (u, v) = corners.T, corners[after].T
+        size = np.abs(np.add.reduceat(x * v - u * y, begins[:-1]))
+        own = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+        most = np.lexsort((-size, label))[own]
+        patch = pa.array(np.full(len(own), pixels["patch_id"][0].as_py()), pa.int32())
+        nested = pa.ListArray.from_arrays(pa.array(np.r_[own, len(label)], pa.int32()), rings)
+        return pa.Table.from_arrays([patch, pa.array(label[own], pa.int32()), nested, rings.take(pa.array(most))], names=["patch_id", "label", "rings", "ring"])
+
+    return labels.groupBy("patch_id").applyInArrow(trace, "patch_id int, label int, rings array<array<struct<x: double, y: double>>>, ring array<struct<x: double, y: double>>")
 
 
 def filter_min_area(cells: DataFrame, least: float) -> DataFrame:

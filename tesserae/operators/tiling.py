@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import box_ring, is_box, ring_pixels, rings_meet
+from tesserae.functions.geometry import box_ring, is_box, ring_edges, ring_strips, rings_meet, strip_crossings, strip_spans
 
 BOUNDS = ("xmin", "ymin", "xmax", "ymax")
 
@@ -187,7 +187,7 @@ def crop_labels(shapes: DataFrame, grid: Grid, key: str) -> DataFrame:
 
 def rasterize_polygons(shapes: DataFrame, grid: Grid, key: str, boxes: bool = True) -> DataFrame:
     """patch_id, y, x, label of every pixel that a shape touches; the shape with the larger key covers others.
-    boxes: the shapes are axis-parallel boxes, whose pixels are plain arithmetic."""
+    boxes: the shapes are axis-parallel boxes, whose pixels are plain arithmetic. Others are simple polygons, cut into strips."""
     oy, ox = _origin(grid)
     side = int(grid.width)
     labelled = crop_labels(shapes, grid, key)
@@ -202,8 +202,12 @@ def rasterize_polygons(shapes: DataFrame, grid: Grid, key: str, boxes: bool = Tr
         ).where("y0 <= y1 AND x0 <= x1")
         pixels = spans.withColumn("y", F.explode(F.sequence("y0", "y1"))).withColumn("x", F.explode(F.sequence("x0", "x1")))
     else:
-        pixels = labelled.select("patch_id", "label", oy.alias("oy"), ox.alias("ox"), F.explode(ring_pixels("ring")).alias("p"))
-        pixels = pixels.select("patch_id", "label", (F.col("p.y") - F.col("oy")).alias("y"), (F.col("p.x") - F.col("ox")).alias("x")).where(f"y BETWEEN 0 AND {side - 1} AND x BETWEEN 0 AND {side - 1}")
+        # row by row of pixels, and between corners within a row: plain columns, no shuffle
+        strips = labelled.select("patch_id", "label", oy.alias("oy"), ox.alias("ox"), ring_edges(F.col("ring")).alias("edges"), F.explode(ring_strips(F.col("ring"), oy, oy + side)).alias("s"))
+        crossed = strips.select("patch_id", "label", "ox", (F.floor("s.low") - F.col("oy")).alias("y"), strip_crossings(F.col("edges"), F.col("s.low"), F.col("s.high")).alias("at"))
+        spans = crossed.select("patch_id", "label", "ox", "y", F.explode(strip_spans(F.col("at"))).alias("s"))
+        x0, x1 = F.greatest(F.col("s.first") - F.col("ox"), F.lit(0)), F.least(F.col("s.last") - F.col("ox"), F.lit(side - 1))
+        pixels = spans.select("patch_id", "label", "y", x0.alias("x0"), x1.alias("x1")).where("x0 <= x1").withColumn("x", F.explode(F.sequence("x0", "x1")))
     return pixels.groupBy("patch_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).agg(F.max("label").alias("label"))
 
 

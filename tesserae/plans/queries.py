@@ -118,6 +118,14 @@ def b5_points_in_box(s, d):
     return tiling.points_in_box(fx.transcripts(s, d), 100, 200, 400, 500).select("x", "y", "gene")
 
 
+@query("SELECT x, y, gene FROM transcripts WHERE x BETWEEN 100 AND 400 AND y BETWEEN 200 AND 500")
+def b5_clustered_points(s, d):
+    """From files that lie along a curve through the plane."""
+    path = tables.scratch(s, "clustered-points")
+    tables.write_clustered_points(fx.transcripts(s, d), path, 16.0)
+    return tiling.points_in_box(s.read.parquet(path), 100, 200, 400, 500).select("x", "y", "gene")
+
+
 @query("SELECT cell_id FROM cells WHERE xmin <= 400 AND xmax >= 100 AND ymin <= 500 AND ymax >= 200")
 def b6_shapes_in_box(s, d):
     return tiling.shapes_in_box(fx.cells(s, d), 100, 200, 400, 500).select("cell_id")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,28 @@ def write_patch_points(assigned: DataFrame, path: str) -> None:
     assigned.select("patch_id", "x", "y", "gene").hint("rebalance", "patch_id").write.partitionBy("patch_id").parquet(path)
 
 
+def _spread(value: Column) -> Column:
+    """The bits of a number below 2^31 with a zero between each two."""
+    for shift in (16, 8, 4, 2, 1):
+        value = F.shiftleft(value, shift).bitwiseOR(value).bitwiseAND(F.lit((2**64 - 1) // (2**shift + 1)))
+    return value
+
+
+def curve_place(x: Column, y: Column, unit: float) -> Column:
+    """Place on the Z-shaped curve of the square of ``unit`` that holds a point. Squares beyond 2^30 of them from 0 count as the last."""
+    square = lambda v: F.least(F.greatest(F.floor(v / unit), F.lit(-(2**30))), F.lit(2**30 - 1)).cast("long") + 2**30
+    return _spread(square(x)).bitwiseOR(F.shiftleft(_spread(square(y)), 1))
+
+
+def write_clustered_points(points: DataFrame, path: str, unit: float, per_file: int = 4_000_000) -> None:
+    """Points along a curve through the plane, about ``per_file`` in a file, so that files and their row groups hold small regions and a
+    box (points_in_box) leaves out most of them by their least and greatest x and y. Dense regions get more files: cuts are quantiles of
+    the rows, within a square by x and y. Points without a coordinate come first. All columns are kept."""
+    files = max(1, -(-points.count() // per_file))
+    place = curve_place(F.col("x"), F.col("y"), unit)
+    points.repartitionByRange(files, place, "x", "y").sortWithinPartitions(place, "x", "y").write.option("maxRecordsPerFile", 2 * per_file).parquet(path)
+
+
 def bounds_table(patches: DataFrame) -> DataFrame:
     return patches.select(
         "patch_id",

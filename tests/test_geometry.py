@@ -4,13 +4,32 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import area_of, box_ring, clip, coverage, intersection_area, outline_of_union, overlap_area, overlap_areas, polygon_area, polygon_centroid, ring_pixels, with_bbox
+from tesserae.functions.geometry import area_of, box_ring, intersection_area, outline_of_union, overlap_areas, pixel_rings, polygon_area, polygon_centroid, with_bbox
 from tesserae.operators import batching, curation, density, genes, segmentation, targets, tiling
 from tesserae.operators.tiling import Grid
 
 L_SHAPE = np.array([(0, 0), (4, 0), (4, 1), (1, 1), (1, 4), (0, 4)], float)
 
 
+def clip(polygon: np.ndarray, nx: float, ny: float, c: float) -> np.ndarray:
+    """The part of a polygon with nx x + ny y <= c."""
+    if not len(polygon):
+        return polygon
+    side = polygon @ np.array([nx, ny]) - c
+    out = []
+    for i in range(len(polygon)):
+        j = (i + 1) % len(polygon)
+        if side[i] <= 0:
+            out.append(polygon[i])
+        if (side[i] < 0 < side[j]) or (side[j] < 0 < side[i]):
+            out.append(polygon[i] + (polygon[j] - polygon[i]) * (side[i] / (side[i] - side[j])))
+    return np.array(out).reshape(-1, 2)
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    return float(overlap_areas([a], [b])[0])
+
+
 def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
@@ -45,8 +64,8 @@ def test_l_shape():
 def test_ring_measures(spark):
     ring = [{"x": float(x), "y": float(y)} for x, y in L_SHAPE]
     df = spark.createDataFrame([(ring, ring)], "a array<struct<x: double, y: double>>, b array<struct<x: double, y: double>>")
-    got = df.select(polygon_area(F.col("a")).alias("area"), polygon_centroid(F.col("a")).alias("c"), intersection_area("a", "b").alias("same"), F.size(ring_pixels("a")).alias("n")).first()
-    assert got["area"] == 7 and got["same"] == pytest.approx(7) and got["n"] == 7
+    got = df.select(polygon_area(F.col("a")).alias("area"), polygon_centroid(F.col("a")).alias("c"), intersection_area("a", "b").alias("same")).first()
+    assert got["area"] == 7 and got["same"] == pytest.approx(7)
     assert got["c"]["x"] == pytest.approx(got["c"]["y"]) == pytest.approx((4 * 2 + 3 * 0.5) / 7)
 
 
@@ -193,14 +212,74 @@ def test_unions_that_share_edges_and_leave_holes():
     assert len(shifted) == 1 and area_of(shifted[0]) == pytest.approx(105) and len(shifted[0]) == 4
 
 
-def test_pixels_by_running_areas_as_by_clipping():
-    for corners in (3, 5, 9):
-        ring = star(corners, *RNG.uniform(0, 5, 2), size=6)
-        y0, x0, got = coverage(ring)
-        for y in range(got.shape[0]):
-            row = clip(clip(ring, 0, -1, -(y0 + y)), 0, 1, y0 + y + 1)
-            want = [abs(area_of(clip(clip(row, -1, 0, -(x0 + x)), 1, 0, x0 + x + 1))) for x in range(got.shape[1])]
-            assert got[y] == pytest.approx(want, abs=1e-9)
+def pixels_by_clipping(ring):
+    """Pixels of which a polygon covers more than rounding."""
+    (x0, y0), (x1, y1) = np.floor(ring.min(axis=0)).astype(int), np.ceil(ring.max(axis=0)).astype(int)
+    rows = {y: clip(clip(ring, 0, -1, -y), 0, 1, y + 1) for y in range(y0, y1)}
+    return {(y, x) for y, row in rows.items() for x in range(x0, x1) if abs(area_of(clip(clip(row, -1, 0, -x), 1, 0, x + 1))) > 1e-12}
+
+
+def test_pixels_of_rings_as_by_clipping(spark):
+    """Stars, an L, boxes on and off whole numbers; whole, and cut to a patch that holds a part of them."""
+    shapes = [star(corners, *RNG.uniform(20, 80, 2), size=size) for corners in (3, 5, 9, 30) for size in (0.4, 6, 25)]
+    shapes += [L_SHAPE + 10, L_SHAPE[::-1] * 3.5 + 30.25, np.array([(5, 5), (9, 5), (9, 8), (5, 8)], float)]
+    # a hundred columns for each, so that none covers another
+    shapes = [ring + [100 * k, 0] for k, ring in enumerate(shapes)]
+    own = ring_frame(spark, "key", list(enumerate(shapes)))
+    want = set().union(*map(pixels_by_clipping, shapes))
+    for grid in (Grid(0, 0, 1500, 100, 1500, 0), Grid(0, 0, 1520, 120, 40, 0)):
+        found = [(r["y"] + r["patch_id"] // grid.nx * grid.width, r["x"] + r["patch_id"] % grid.nx * grid.width) for r in tiling.rasterize_polygons(own, grid, "key", boxes=False).collect()]
+        assert len(found) == len(want) and set(found) == want
+
+
+def test_rings_need_no_python_to_become_pixels(spark):
+    plan = tiling.rasterize_polygons(ring_frame(spark, "key", [(1, L_SHAPE)]), Grid(0, 0, 40, 40, 40, 0), "key", boxes=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def outlines(y: np.ndarray, x: np.ndarray) -> list[list[tuple[float, float]]]:
+    """The rings of pixel edges around a set of pixels, corners only, edge by edge."""
+    own = set(zip(y.tolist(), x.tolist()))
+    edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in own:
+        for start, end, beyond in (((c, r), (c + 1, r), (r - 1, c)), ((c + 1, r), (c + 1, r + 1), (r, c + 1)), ((c + 1, r + 1), (c, r + 1), (r + 1, c)), ((c, r + 1), (c, r), (r, c - 1))):
+            if beyond not in own:
+                edges.setdefault(start, []).append(end)
+    rings = []
+    while edges:
+        at = min(edges)
+        ring, way = [at], None
+        while at in edges:
+            ends = edges[at]
+            # where two pixels touch at a corner only, turn left so that the ring stays with its pixel
+            ends.sort(key=lambda e: 0 if way is None else (e[0] - at[0]) * way[1] - (e[1] - at[1]) * way[0])
+            end = ends.pop(0)
+            if not ends:
+                del edges[at]
+            way, at = (end[0] - at[0], end[1] - at[1]), end
+            ring.append(at)
+        ring = ring[:-1]
+        rings.append([(float(p[0]), float(p[1])) for o, p, q in zip([ring[-1], *ring], ring, [*ring[1:], ring[0]]) if (p[0] - o[0]) * (q[1] - p[1]) != (p[1] - o[1]) * (q[0] - p[0])])
+    return rings
+
+
+def turned(ring):
+    k = ring.index(min(ring))
+    return tuple(ring[k:] + ring[:k])
+
+
+def test_rings_of_labels_as_edge_by_edge():
+    """Labels that meet, with holes, islands in them, single pixels and corners that touch."""
+    for density in (0.3, 0.6, 0.9):
+        field = RNG.integers(1, 4, (25, 30)) * (RNG.random((25, 30)) < density)
+        y, x = np.nonzero(field)
+        order = RNG.permutation(len(y))
+        y, x = y[order], x[order]
+        label, begins, corners = pixel_rings(field[y, x], y, x)
+        got = sorted((int(k), turned([tuple(c) for c in corners[a:b].tolist()])) for k, a, b in zip(label, begins, begins[1:]))
+        assert got == sorted((k, turned(r)) for k in (1, 2, 3) for r in outlines(*np.nonzero(field == k)))
+        sizes = {k: sum(area_of(corners[a:b]) for own, a, b in zip(label, begins, begins[1:]) if own == k) for k in (1, 2, 3)}
+        assert sizes == {k: (field == k).sum() for k in (1, 2, 3)}
 
 
 def ring_frame(spark, key, items):

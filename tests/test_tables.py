@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tesserae.operators.tiling import Grid, assign_points_to_patches
+from tesserae.operators.tiling import Grid, assign_points_to_patches, points_in_box
 from tesserae.sources import tables
 from tesserae.streaming.points import read_point_stream, tile_stream, write_patch_stream
 
@@ -11,6 +12,33 @@ def points(spark):
     return spark.range(100).selectExpr("cast(id * 5.5 as double) AS x", "cast(id * 2 as double) AS y", "concat('G', id % 3) AS gene")
 
 
+def test_place_on_the_curve_takes_turns_between_bits(spark):
+    pairs = [(0.0, 0.0), (5.5, 3.0), (-1.0, 2.0), (123456.0, -654321.5), (1e30, -1e30)]
+    got = spark.createDataFrame(pairs, "x double, y double").select(tables.curve_place(F.col("x"), F.col("y"), 0.5).alias("p"))
+    bits = lambda v: min(max(int(v // 0.5) + 2**30, 0), 2**31 - 1)
+    assert [r["p"] for r in got.collect()] == [sum((bits(x) >> k & 1) << 2 * k | (bits(y) >> k & 1) << 2 * k + 1 for k in range(31)) for x, y in pairs]
+
+
+def test_a_box_reads_few_files_of_points_along_a_curve(spark, tmp_path):
+    """Half of all points are in one small square; some have no coordinates."""
+    spread = spark.range(20_000).selectExpr("cast(id * 7919 % 10007 / 10 as double) AS x", "cast(id * 104729 % 10009 / 10 as double) AS y", "id")
+    dense = spark.range(20_000).selectExpr("cast(500 + id % 100 / 100 as double) AS x", "cast(500 + id % 89 / 89 as double) AS y", "id")
+    own = spread.unionByName(dense).unionByName(spark.sql("SELECT cast(null as double) AS x, 1D AS y, -1L AS id"))
+    path = str(tmp_path / "p")
+    tables.write_clustered_points(own, path, 4.0, per_file=1000)
+    back = spark.read.parquet(path)
+    assert back.count() == 40_001 and back.exceptAll(own).isEmpty()
+    sizes = [r["n"] for r in back.groupBy("_metadata.file_path").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 30 and max(sizes) <= 2000
+    bounds = back.groupBy("_metadata.file_path").agg(*(f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("x", "y"))).collect()
+    for box in ((100, 100, 150, 150), (500, 500, 500.1, 500.1)):
+        near = [b for b in bounds if b["min_x"] <= box[2] and b["max_x"] >= box[0] and b["min_y"] <= box[3] and b["max_y"] >= box[1]]
+        assert len(near) * 5 <= len(bounds)
+        held = points_in_box(back, *box)
+        assert held.count() == points_in_box(own, *box).count() > 0
+        assert held.select("_metadata.file_path").distinct().count() <= len(near)
+
+
 def test_missing_columns(spark, tmp_path):
     points(spark).drop("gene").write.parquet(str(tmp_path / "p"))
     with pytest.raises(ValueError, match="gene"):
