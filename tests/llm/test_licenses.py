@@ -38,6 +38,25 @@ MORE = [
 ]
 
 
+#: Notices with words left out or changed, identifiers, and texts that only look like notices; and the labels.
+LOOSE = {
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 3 of the License.": "gpl,gpl-3.0",
+    "// SPDX-License-Identifier: Apache-2.0\nint main() { return 0; }": "apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0",
+    "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "cc0-1.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at a site": "epl-2.0",
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish": "unlicense",
+    "Permission is granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "the license of this software is granted to any person free of charge and a copy of the public domain": "",
+    "version 3 of the program is free software as published": "",
+}
+
+
+def test_notices_with_words_left_out(spark):
+    got = license_scan(spark.createDataFrame(list(enumerate(LOOSE)), "doc_id long, text string")).collect()
+    assert {list(LOOSE)[r["doc_id"]]: r["labels"] for r in got} == LOOSE
+
+
 def test_same_as_brute_force(spark, edge):
     rows = [(i, t) for i, t in enumerate(TEXTS)]
     docs = edge.select("doc_id", "text", "kept", "row").unionByName(spark.createDataFrame([(100 + i, t, None, None) for i, t in rows], "doc_id long, text string, kept boolean, row long"))
@@ -55,12 +74,15 @@ def whole_brute(texts):
     split = [[w for w in SEPARATOR.split((t or "").translate({c: c + 32 for c in range(65, 91)})) if w] for t in texts]
     vocabulary = {w for _, notice, _ in TEMPLATES for w in notice.split()}
     weight = {w: math.log((len(texts) + 1) / (sum(w in words for words in map(set, split)) + 0.5)) + 0.01 for w in vocabulary}
+    templates_with = {w: sum(w in notice.split() for _, notice, _ in TEMPLATES) for w in vocabulary}
     out = []
     for text, words in zip(texts, split):
         labels, best = set(filter(None, brute(text)[4].split(","))), 0.5 * (brute(text)[1] > 0)
         for label, notice, phrases in TEMPLATES:
             notice = notice.split()
-            rare = sorted(set(notice), key=lambda w: (-weight[w], w))[:KEEP]
+            if 2 * len(set(notice) & set(words)) < len(set(notice)):
+                continue
+            rare = sorted(set(notice) & set(words), key=lambda w: (-weight[w], templates_with[w], w))[:KEEP]
             votes = [(i - p, w) for i, w in enumerate(words) if w in rare for p, v in enumerate(notice) if v == w]
             for window in {k for s, _ in votes for k in (s * 2 // SLACK, s * 2 // SLACK - 1)}:
                 own = [(s, w) for s, w in votes if window in (s * 2 // SLACK, s * 2 // SLACK - 1)]
@@ -77,7 +99,7 @@ def whole_brute(texts):
 
 
 def test_labels_and_scores_as_by_brute_force(spark, edge):
-    docs = spark.createDataFrame(list(enumerate([*TEXTS, *MORE, *(r["text"] for r in edge.collect())])), "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame(list(enumerate([*TEXTS, *MORE, *LOOSE, *(r["text"] for r in edge.collect())])), "doc_id long, text string").repartition(3)
     rows = sorted(docs.collect())
     got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in license_scan(docs).collect()}
     assert [got[r["doc_id"]] for r in rows] == whole_brute([r["text"] for r in rows])
