@@ -17,22 +17,23 @@ BLOCK_BYTES = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE_VALUE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SPACE_BYTE = np.zeros(256, bool)
 SPACE_BYTE[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for k, b in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, b, np.uint64)
+def powers(n: int, base: int = int(_BASE)) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    found = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        if len(_powers.get((base, b), ())) < n:
+            p = np.full(max(n, BLOCK_BYTES + 1), b, np.uint64)
             p[0] = 1
-            _powers[k] = np.cumprod(p, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+            _powers[base, b] = np.cumprod(p, dtype=np.uint64)
+        found.append(_powers[base, b])
+    return found[0], found[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -37,7 +37,10 @@ BLOCK, BATCH, RUN = 4 << 20, 1 << 16, 255
 _LAST = np.iinfo(np.int64).max
 #: Grams are counted in 2**SKETCH counters. One that comes HOT times or more (with those that share its counter) is taken apart.
 SKETCH, HOT = 18, 1 << 17
-#: Values of bytes in the second half of a stretch's hash, independent of those in the first.
+#: Bytes of text for which there is a bucket at least.
+BUCKET = 64 << 20
+#: Base of the second half of a stretch's hash, and values of bytes there, independent of those in the first.
+_SECOND_BASE = 0xD1342543DE82EF95
 _SECOND_VALUE = np.random.Generator(np.random.PCG64(20250311)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -85,6 +88,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, hot: np.ndarray | None = None, l
         first, size = np.repeat(first, parts) + step * unit, np.minimum(np.repeat(size, parts) - step * unit, unit)
     stop = first + size + length - 1
     stretch = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
+    up, down = powers(n + 1, _SECOND_BASE)
     np.cumsum(_SECOND_VALUE[data] * up[:n], out=total[1:])
     second = mix((total[stop] - total[first]) * down[first] + size.astype(np.uint64))
     return np.where(single, mix(stretch + np.uint64(2)), key), first, size, stretch, second
@@ -94,14 +98,15 @@ _RUNS = [np.uint32, np.uint32, np.uint64, np.uint64, np.uint8, np.uint32, np.int
 
 
 def _survey(batches):
-    """This task's counts of smallest grams, in 64 parts."""
-    counts = np.zeros(1 << SKETCH, np.uint32)
+    """This task's counts of smallest grams, in 64 parts, and in one part more the halves of its number of bytes."""
+    counts, size = np.zeros(1 << SKETCH, np.uint32), 0
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
+        size += len(data)
         for i, j in pieces(offsets):
             key = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]
             counts += np.bincount((key & np.uint64((1 << SKETCH) - 1)).view(np.int64), minlength=1 << SKETCH).astype(np.uint32)
-    parts = [x.tobytes() for x in counts.reshape(64, -1)] if counts.any() else []
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "counts"])
+    parts = [*(counts.reshape(64, -1) if counts.any() else []), np.array([size & 0xFFFFFFFF, size >> 32], np.uint32)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(65 - len(parts), 65), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "counts"])
 
 
 def _add_counts(table: pa.Table) -> pa.Table:
@@ -109,14 +114,18 @@ def _add_counts(table: pa.Table) -> pa.Table:
     return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-def hot_grams(texts: DataFrame, least: int) -> np.ndarray:
-    """A flag for each counter, from the whole table: whether its grams come ``least`` times or more."""
-    # 64 parts of a table of fixed size
+def hot_grams(texts: DataFrame, least: int) -> tuple[np.ndarray, int]:
+    """A flag for each counter, from the whole table: whether its grams come ``least`` times or more; and the bytes of all texts."""
+    # 65 parts of a table of fixed size
     parts = texts.select("text").mapInArrow(_survey, "part int, counts binary").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
-    out = np.zeros((64, (1 << SKETCH) // 64), bool)
+    out, size = np.zeros((64, (1 << SKETCH) // 64), bool), 0
     for r in parts:
-        out[r["part"]] = np.frombuffer(r["counts"], np.int64) >= least
-    return out.ravel()
+        counts = np.frombuffer(r["counts"], np.int64)
+        if r["part"] == 64:
+            size = int(counts[0]) + (int(counts[1]) << 32)
+        else:
+            out[r["part"]] = counts >= least
+    return out.ravel(), size
 
 
 _SENT = "bucket int, block long, kind int, data binary"
@@ -364,10 +373,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = True, buckets: int | None
     """
     spark = docs.sparkSession
     text_batches(spark)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     identity: list[Column] = [F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash")]
     texts = docs.select("doc_id", whole("text").alias("text"), *identity)
-    flags = spark.sparkContext.broadcast(hot_grams(texts, hot))  # 2**SKETCH flags
+    heavy, size = hot_grams(texts, hot)
+    flags = spark.sparkContext.broadcast(heavy)  # 2**SKETCH flags
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     sent = texts.select("id", "hash", "text").mapInArrow(lambda b: _send(b, buckets, flags.value), _SENT)
     settled = sent.groupBy("bucket").applyInArrow(_settle, _SENT)
     found = durable(settled.groupBy("block").applyInArrow(_by_document, "id long, hash long, gone binary, need binary"), "repeats-found")
