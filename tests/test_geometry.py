@@ -385,8 +385,9 @@ def test_blur_is_the_mean_of_the_window(spark):
 
 def test_outline_of_an_l_shape():
     y, x = np.array([(0, 0), (0, 1), (1, 0), (2, 0)]).T
-    ring = segmentation.outline(y, x)
-    assert sorted(ring) == [(0, 0), (0, 3), (1, 1), (1, 3), (2, 0), (2, 1)]
+    label, begins, corners = pixel_rings(np.full(4, 3), y, x)
+    assert label.tolist() == [3] and begins.tolist() == [0, 6]
+    assert sorted(map(tuple, corners.tolist())) == [(0, 0), (0, 3), (1, 1), (1, 3), (2, 0), (2, 1)]
 
 
 def test_rings_of_labels(spark):
