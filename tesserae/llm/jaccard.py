@@ -17,6 +17,8 @@ one link at most for two components. That loses nothing, since a component is wh
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -295,29 +297,37 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
 
-def _sets_of(batches):
-    """name, shingles of documents (sorted), and the parities of BITS or more classes of them."""
+def _marks_of(batches):
+    """name, size n of documents' sets, and the parities of BITS or more classes of their shingles."""
     for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
         for _, _, h, at in _pieces(data, offsets):
-            _, name = _set_keys(h, at)
+            n, name = _set_keys(h, at)
             spread = mix(h)
             bits = []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 width = max(BITS, 1 << int(2 * (j - i) - 1).bit_length())
                 odd = np.bincount((spread[i:j] % np.uint64(width)).view(np.int64), minlength=width) & 1
                 bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n.astype(np.int64)), pa.array(bits, pa.binary())], names=["name", "n", "bits"])
+
+
+def _sets_of(batches):
+    """name, shingles of documents (sorted)."""
+    for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
+        for _, _, h, at in _pieces(data, offsets):
+            _, name = _set_keys(h, at)
             shingles = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(name), shingles.cast(pa.binary()), pa.array(bits, pa.binary())], names=["name", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), shingles.cast(pa.binary())], names=["name", "shingles"])
 
 
 def _near(batches):
-    """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y; n: bytes of shingles)."""
+    """x, y of pairs whose parities do not rule out a link (columns x, y, n_x, bits_x, n_y, bits_y)."""
     for batch in batches:
         sides = []
         for c in ("bits_x", "bits_y"):
             size, planes, row = _planes([v.as_buffer() for v in batch.column(c)])
             sides.append((planes, size, row))
-        keep = 56 * _differ(*sides) <= batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
+        keep = 7 * _differ(*sides) <= batch.column("n_x").to_numpy() + batch.column("n_y").to_numpy()
         yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["x", "y"]).filter(pa.array(keep))
 
 
@@ -404,31 +414,38 @@ def _contracted(links: DataFrame, found: DataFrame) -> DataFrame:
     return durable(old.unionByName(alone), "jaccard-found")
 
 
-def _united(sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, component of the sets that the candidate pairs and the long lists link."""
+def _united(marks: DataFrame, fetched: Callable[[DataFrame], DataFrame], lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, component of the sets that the candidate pairs and the long lists link. marks: name, n, bits of all of them;
+    fetched: name, shingles of those that are named."""
 
     def linked(found: DataFrame) -> DataFrame:
-        marks = sets.select("name", F.octet_length("shingles").alias("n"), "bits")
         for side in ("x", "y"):
             found = found.join(marks.select(F.col("name").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-        found = found.mapInArrow(_near, "x long, y long")
-        a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
-        return durable(found.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
-
+        near = durable(found.mapInArrow(_near, "x long, y long"), "jaccard-near")
+        sets, drop = bucketed(fetched(near.select("x").unionByName(near.select(F.col("y").alias("x")))), "name", "jaccard_sets")
+        try:
+            a, b = sets.select(F.col("name").alias("x"), F.col("shingles").alias("a")), sets.select(F.col("name").alias("y"), F.col("shingles").alias("b"))
+            return durable(near.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(_verify, "x long, y long"), "jaccard-links")
+        finally:
+            drop()
+
+    if ROUNDS:  # the first round does not ask for components, so its pairs are compared with the others
+        pairs = pairs.unionByName(_stars(lists.withColumn("component", F.col("x")), 0)).distinct()
     found = components(linked(pairs).toDF("a", "b"))
-    for turn in range(ROUNDS + 1):
-        entries = lists.withColumn("component", F.col("x")) if turn == 0 < ROUNDS else _open_lists(lists, found)
+    for turn in range(min(ROUNDS, 1), ROUNDS + 1):
+        entries = _open_lists(lists, found)
         if entries.isEmpty():
             break
         if turn < ROUNDS:
-            more = _stars(entries, turn)
+            more = linked(_stars(entries, turn))
         else:  # every pair of the lists has been tried then, or both its sets were in one component already
             # parities choose the sets that have to be compared whole; only these bring their shingles
             entry = [c.split()[0] for c in _ENTRY.split(", ")]
-            busy = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY)
-            blocks = durable(busy, "jaccard-busy").join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x").select(*entry, "bits", "shingles")
+            own = marks.select(F.col("name").alias("x"), "bits")
+            busy = durable(_blocks_of(entries).join(own, "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY), "jaccard-busy")
+            blocks = busy.join(own, "x").join(fetched(busy.select("x")).withColumnRenamed("name", "x"), "x").select(*entry, "bits", "shingles")
             more = durable(blocks.groupBy(*entry[:4]).applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
-        found = _contracted(linked(more) if turn < ROUNDS else more, found)
+        found = _contracted(more, found)
     return found
 
 
@@ -457,13 +474,17 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
     involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    # rows that repeat a document repeat links at most; dealt by name once, the sets stay where they are in all joins
-    sets, drop_sets = bucketed(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "name", "jaccard_sets")
+    marks, drop_marks = bucketed(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_marks_of, "name long, n long, bits binary"), "name", "jaccard_marks")
+
+    def fetched(names: DataFrame) -> DataFrame:
+        """Whole sets are made anew from the texts when they are needed, which few are; rows that repeat a document repeat links at most."""
+        own = names.distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
+        return texts.join(own, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary")
 
     try:
-        found = _united(sets, lists, pairs)
+        found = _united(marks, fetched, lists, pairs)
     finally:
-        drop_sets()
+        drop_marks()
     # a node's component is named by its smallest document
     smallest = nodes.select("name", "first.id").join(found, F.col("name") == F.col("node"), "left").withColumn("component", F.coalesce("component", "name"))
     named = smallest.join(smallest.groupBy("component").agg(F.min("id").alias("least")), "component").select("name", "least")
