@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import area_of, box_overlap, box_ring, is_box, outline_of_union, pixel_rings, polygon_area, ring_array, rings_overlap, with_bbox
 from tesserae.operators.graph import components
+from tesserae.operators.planes import each_patch
 from tesserae.operators.tiling import BOUNDS, Grid, spatial_join, translate_shapes
 from tesserae.sources.tables import durable, read_patch_results, write_layer
 
@@ -85,25 +86,67 @@ def labels_to_cells(labels: DataFrame) -> DataFrame:
     return label_measures(labels).join(label_rings(labels), ["patch_id", "label"])
 
 
+POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+RINGS = "array<array<struct<x: double, y: double>>>"
+
+
+def traced(label: np.ndarray, y: np.ndarray, x: np.ndarray) -> list:
+    """The labels in order, their rings, and the largest one of each."""
+    label, begins, corners = pixel_rings(label, y, x)
+    points = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], fields=list(POINT))
+    rings = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), points)
+    after = np.arange(1, len(corners) + 1)
+    after[begins[1:] - 1] = begins[:-1]
+    (cx, cy), (u, v) = corners.T, corners[after].T
+    size = np.abs(np.add.reduceat(cx * v - u * cy, begins[:-1]))
+    own = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+    most = np.lexsort((-size, label))[own]
+    nested = pa.ListArray.from_arrays(pa.array(np.r_[own, len(label)], pa.int32()), rings)
+    return [label[own], nested, rings.take(pa.array(most))]
+
+
 def label_rings(labels: DataFrame) -> DataFrame:
     """patch_id, label, rings and ring, the largest of them; a patch's labels are traced together."""
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
     def trace(pixels: pa.Table) -> pa.Table:
-        label, begins, corners = pixel_rings(*(pixels[c].to_numpy() for c in ("label", "y", "x")))
-        points = pa.StructArray.from_arrays([pa.array(corners[:, 0]), pa.array(corners[:, 1])], fields=list(point))
-        rings = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), points)
-        after = np.arange(1, len(corners) + 1)
-        after[begins[1:] - 1] = begins[:-1]
-        (x, y), (u, v) = corners.T, corners[after].T
-        size = np.abs(np.add.reduceat(x * v - u * y, begins[:-1]))
-        own = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-        most = np.lexsort((-size, label))[own]
+        own, rings, ring = traced(*(pixels[c].to_numpy() for c in ("label", "y", "x")))
         patch = pa.array(np.full(len(own), pixels["patch_id"][0].as_py()), pa.int32())
-        nested = pa.ListArray.from_arrays(pa.array(np.r_[own, len(label)], pa.int32()), rings)
-        return pa.Table.from_arrays([patch, pa.array(label[own], pa.int32()), nested, rings.take(pa.array(most))], names=["patch_id", "label", "rings", "ring"])
+        return pa.Table.from_arrays([patch, pa.array(own, pa.int32()), rings, ring], names=["patch_id", "label", "rings", "ring"])
+
+    return labels.groupBy("patch_id").applyInArrow(trace, f"patch_id int, label int, rings {RINGS}, ring {RINGS[6:-1]}")
+
+
+MEASURES = {"label": "int", "area": "bigint", "xmin": "int", "ymin": "int", "xmax": "int", "ymax": "int", "cx": "double", "cy": "double"}
+
+
+def plane_measures(label: np.ndarray) -> list[np.ndarray]:
+    """label_measures of a patch's plane."""
+    y, x = np.nonzero(label)
+    found = label[y, x]
+    area = np.bincount(found)
+    own = np.flatnonzero(area)
+    order = np.argsort(found, kind="stable")
+    begins = np.r_[0, np.cumsum(area[own])[:-1]]
+    if not len(own):
+        return [own] * len(MEASURES)
+    ends = [reach.reduceat(v[order], begins) + step for reach, step in ((np.minimum, 0), (np.maximum, 1)) for v in (x, y)]
+    return [own, area[own], *ends, *(np.bincount(found, v + 0.5)[own] / area[own] for v in (x, y))]
+
+
+def measures_of_shapes(shapes: DataFrame, side: int) -> DataFrame:
+    """label_measures of spans of shapes (polygon_spans)."""
+    return each_patch([shapes], side, plane_measures, MEASURES)
+
+
+def cells_of_shapes(shapes: DataFrame, side: int) -> DataFrame:
+    """labels_to_cells of spans of shapes: a patch is painted, measured and traced in one place."""
+
+    def cells(label: np.ndarray) -> list:
+        y, x = np.nonzero(label)
+        _, rings, ring = traced(label[y, x], y, x)
+        return [*plane_measures(label), rings, ring]
 
-    return labels.groupBy("patch_id").applyInArrow(trace, "patch_id int, label int, rings array<array<struct<x: double, y: double>>>, ring array<struct<x: double, y: double>>")
+    return each_patch([shapes], side, cells, MEASURES | {"rings": RINGS, "ring": RINGS[6:-1]})
 
 
 def filter_min_area(cells: DataFrame, least: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import density, planes, tiling
+from tesserae.operators import density, planes, segmentation, targets, tiling
 from tesserae.operators.tiling import Grid, boxes
 
 GRID = Grid(0, 0, 40, 40, 20, 0)
@@ -68,3 +68,52 @@ def test_means_and_background_as_by_tables(spark, slide):
     empty = density.background_of_points(raster, patches, SIDE, 1.0, 0.05)
     assert rows(empty, "patch_id", "y", "x") == rows(density.background_mask(patches, smooth, SIDE, 0.05), "patch_id", "y", "x")
     assert "Join" not in plan_of(empty) and "Join" not in plan_of(means)
+
+
+def same(got, want, *columns):
+    for a, b in zip(rows(got, *columns), rows(want, *columns), strict=True):
+        assert a == pytest.approx(b)
+    assert "Join" not in plan_of(got)
+
+
+def test_masks_of_shapes_as_by_tables(spark, slide):
+    cells, raster = slide
+    smooth = density.gaussian_smooth(raster.withColumn("value", F.lit(1.0)), ["patch_id"], SIDE, SIDE, 1.0)
+    patches = tiling.patch_grid(spark, GRID)
+    empty = density.background_mask(patches, smooth, SIDE, 0.15)
+    own = [cells.where(f"cell_id % 4 = {k}") for k in (3, 1, 2)]
+    spans, labels = ([f(c, GRID, "cell_id") for c in [cells, *own]] for f in (tiling.polygon_spans, tiling.rasterize_polygons))
+    background = (SIDE, 1.0, 0.15)
+    same(targets.background_fractions(raster, spans[0], *background), targets.label_background_fraction(labels[0], empty), "patch_id", "label", "fraction")
+    same(targets.foreground_labels(raster, spans[0], *background, 0.5), targets.drop_background_labels(labels[0], empty, 0.5), "patch_id", "y", "x", "label")
+    masked = targets.mask_target(smooth.withColumn("channel", F.lit(0)), labels[0], empty, keep_label=True)
+    same(targets.masked_density(raster, spans[0], *background), masked, "patch_id", "channel", "y", "x", "value")
+    same(targets.corrected_empty(raster, patches, spans[1:], *background), targets.corrected_background(empty, labels[1:]), "patch_id", "y", "x")
+    same(targets.gradient_planes(raster, patches, spans[1:], *background), targets.gradient_mask(*labels[1:], empty), "patch_id", "y", "x", "mask")
+
+
+def test_merged_layers_need_no_join_of_pixels(spark, slide):
+    cells, _ = slide
+    own = [cells.where(f"cell_id % 4 = {k}") for k in (3, 1, 2)]
+    merged = targets.merge_shape_layers(*(tiling.polygon_spans(c, GRID, "cell_id") for c in own), SIDE)
+    want = targets.merge_label_layers(*(tiling.rasterize_polygons(c, GRID, "cell_id") for c in own))
+    same(merged, want, "patch_id", "y", "x", "label")
+    assert "LeftAnti" not in plan_of(want)
+
+
+@pytest.mark.parametrize("line", [1, 2, 3, 4, 5])
+def test_contours_of_shapes_as_by_tables(spark, slide, line):
+    cells, _ = slide
+    want = targets.cell_contours(tiling.rasterize_polygons(cells, GRID, "cell_id"), SIDE, line, 4)
+    same(targets.contours_of_shapes(tiling.polygon_spans(cells, GRID, "cell_id"), SIDE, line, 4), want, "patch_id", "y", "x", "value")
+    assert "Join" not in plan_of(want)
+
+
+def test_cells_of_shapes_as_by_tables(spark, slide):
+    cells, _ = slide
+    labels, spans = tiling.rasterize_polygons(cells, GRID, "cell_id"), tiling.polygon_spans(cells, GRID, "cell_id")
+    columns = ["patch_id", "label", "area", "xmin", "ymin", "xmax", "ymax", "cx", "cy"]
+    same(segmentation.measures_of_shapes(spans, SIDE), segmentation.label_measures(labels), *columns)
+    got, want = segmentation.cells_of_shapes(spans, SIDE), segmentation.labels_to_cells(labels)
+    assert rows(got, *columns, "rings", "ring") == rows(want, *columns, "rings", "ring") and "Join" not in plan_of(got)
+    same(targets.sizes_of_shapes(spans, SIDE, 5), targets.label_sizes(targets.drop_small(labels, 5)), "patch_id", "label", "size")
