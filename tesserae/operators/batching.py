@@ -157,7 +157,8 @@ def augment_geometry(
     sx = F.round((F.sin("_a") * dy + F.cos("_a") * dx) / F.col("_s") + middle)
     wanted = grid.select(key, "y", "x", "_a", sy.cast("int").alias("_sy"), sx.cast("int").alias("_sx"))
     source = pixels.select(key, F.col("y").alias("_sy"), F.col("x").alias("_sx"), *carried)
-    out = wanted.join(source, [key, "_sy", "_sx"])
+    # the planner takes the grid for small, since its estimates do not see what an explode adds, and would broadcast it
+    out = wanted.hint("merge").join(source, [key, "_sy", "_sx"])
     if flows:
         fy, fx = F.col(flows[0]), F.col(flows[1])
         out = out.withColumns({flows[0]: F.cos("_a") * fy + F.sin("_a") * fx, flows[1]: -F.sin("_a") * fy + F.cos("_a") * fx})
