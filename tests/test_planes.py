@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import density, planes, segmentation, targets, tiling
+from tesserae.operators import density, genes, planes, segmentation, targets, tiling
 from tesserae.operators.tiling import Grid, boxes
 
 GRID = Grid(0, 0, 40, 40, 20, 0)
@@ -117,3 +117,28 @@ def test_cells_of_shapes_as_by_tables(spark, slide):
     got, want = segmentation.cells_of_shapes(spans, SIDE), segmentation.labels_to_cells(labels)
     assert rows(got, *columns, "rings", "ring") == rows(want, *columns, "rings", "ring") and "Join" not in plan_of(got)
     same(targets.sizes_of_shapes(spans, SIDE, 5), targets.label_sizes(targets.drop_small(labels, 5)), "patch_id", "label", "size")
+
+
+def crowd(spark):
+    return spark.range(400).selectExpr("cast(id % 3 as int) AS patch_id", "cast((id * 7) % 11 as int) AS y", "cast((id * 5) % 12 as int) AS x", "concat('G', id * 13 % 5) AS gene", "(id * 31) % 101 AS k", "id AS id")
+
+
+def test_inputs_of_planes_as_by_scattering(spark, monkeypatch):
+    """Few copies of a pixel are shuffled; larger planes take the other way, with the same rows."""
+    vectors = spark.createDataFrame([(f"G{k}", [k - 2.0, 1.5 * k]) for k in range(4)], "gene string, value array<double>")
+    points, known = crowd(spark), crowd(spark).where("gene <> 'G4'")
+    raster = genes.rna_image(known, ["patch_id"], vectors)
+    made = lambda: [
+        genes.max_filter(raster, ["patch_id", "channel"], 12, 12, 3),
+        genes.rna_input(known, ["patch_id"], 12, vectors),
+        genes.stamp_embeddings(points, ["patch_id"], vectors, 12, 1, ["k", "id"], 2),
+        genes.stamp_embeddings(points, ["patch_id"], vectors, 12, 1, ["k", "id"], 2, 0.5),
+    ]
+    got = made()
+    assert all("Generate explode(array_distinct" not in plan_of(df) and "explode([[" not in plan_of(df) for df in got)
+    got = [rows(df, "patch_id", "channel", "y", "x", "value") for df in got]
+    for module in (genes, density):
+        monkeypatch.setattr(module, "PLANE", 0)
+    for a, b in zip(got, made()):
+        for p, q in zip(a, rows(b, "patch_id", "channel", "y", "x", "value"), strict=True):
+            assert p == pytest.approx(q)
