@@ -21,7 +21,8 @@ def test_resizing_an_image_of_many_rows(spark):
 
 
 def test_the_grid_of_turned_samples_is_not_broadcast(spark):
-    pixels = spark.createDataFrame([(1, 3, 3, 1.0)], "patch_id int, y int, x int, value double")
+    # a range, since its size is known
+    pixels = spark.range(1).selectExpr("cast(id as int) AS patch_id", "3 AS y", "3 AS x", "1.0D AS value")
     turned = batching.augment_geometry(pixels, "patch_id", ["value"], 64, 8)
     assert "SortMergeJoin" in plan_of(turned) and "BroadcastHashJoin" not in plan_of(turned)
 
