@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.functions.geometry import area_of, box_overlap, box_ring, is_box, outline_of_union, pixel_rings, polygon_area, ring_array, rings_overlap, with_bbox
+from tesserae.functions.geometry import box_corners, box_overlap, box_ring, is_box, outline_of_union, outlines_of_boxes, pixel_rings, polygon_area, rings_overlap, with_bbox
 from tesserae.operators.graph import components
 from tesserae.operators.planes import each_patch
 from tesserae.operators.tiling import BOUNDS, Grid, spatial_join, translate_shapes
@@ -197,7 +197,8 @@ def resolve_conflicts(cells: DataFrame, threshold: float = 0.25, boxes: bool = T
         moved = members.join(found, members.group == found.node, "left").select("cell_id", F.coalesce("component", "group").alias("group"))
         members = durable(moved, "members")
         joined = members.join(found.select(F.col("component").alias("group")).distinct(), "group", "left_semi").join(own, "cell_id")
-        unions = _with_rings_bbox(_unions(joined)).select("group", *BOUNDS, "area", "rings", F.lit(False).alias("box"), F.lit(True).alias("fresh"))
+        box = (F.size("rings") == 1) & is_box(F.col("rings")[0], *(F.col(c) for c in BOUNDS))
+        unions = _with_rings_bbox(_unions(joined)).select("group", *BOUNDS, "area", "rings", box.alias("box"), F.lit(True).alias("fresh"))
         rest = shapes.join(found, shapes.group == found.node, "left_anti").withColumn("fresh", F.lit(False))
         shapes = durable(rest.unionByName(unions), "shapes")
 
@@ -210,13 +211,62 @@ def _with_rings_bbox(df: DataFrame) -> DataFrame:
 def _unions(cells: DataFrame) -> DataFrame:
     """The exact union of each group's cells (columns group, ring): group, n_cells, area, rings, the outer one of largest area first.
     Outer rings have a positive signed area and holes a negative one, so they add up to the area."""
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        rings = sorted(outline_of_union([ring_array(r) for r in group["ring"]]), key=area_of, reverse=True)
-        points = [[{"x": x, "y": y} for x, y in r.tolist()] for r in rings]
-        return pd.DataFrame({"group": [group["group"].iloc[0]], "n_cells": [len(group)], "area": [sum(map(area_of, rings))], "rings": [points]})
-
-    return cells.select("group", "ring").groupBy("group").applyInPandas(merge, "group long, n_cells long, area double, rings array<array<struct<x: double, y: double>>>")
+    # few bytes are much work, so the number of tasks does not follow the bytes
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = cells.select("group", "ring").repartition(tasks, "group").groupBy("group").agg(F.collect_list("ring").alias("cells"))
+    return lists.mapInArrow(_merged, f"group long, n_cells long, area double, rings {RINGS}")
+
+
+#: Cells of grids of boxes (outlines_of_boxes) that are traced together. A group with more is merged by itself, edge by edge.
+TRACED = 1 << 20
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unions of lists of rings (columns group, cells). Groups of boxes are traced together, others one by one."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        lists = batch.column("cells")
+        rings = lists.flatten()
+        points = rings.flatten()
+        xy = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], axis=1)
+        count, corners = (v.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for v in (lists, rings))
+        at, start = np.r_[0, np.cumsum(count)], np.r_[0, np.cumsum(corners)]
+        owner = np.repeat(np.arange(len(count)), count)
+        bounds, plain = np.zeros((len(corners), 4)), np.zeros(len(corners), bool)
+        four = np.flatnonzero(corners == 4)
+        places = start[four][:, None] + np.arange(4)
+        bounds[four], plain[four] = box_corners(xy[places, 0], xy[places, 1])
+        together = (np.bincount(owner, ~plain, len(count)) == 0) & (count > 0) & (4 * count**3 <= TRACED)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cost = np.cumsum(np.where(together, 4 * count**3, 0)) // TRACED
+        for run in np.unique(cost[together]):
+            own = together & (cost == run)
+            some = own[owner]
+            found.append(outlines_of_boxes(bounds[some], owner[some]))
+        for k in np.flatnonzero(~together):
+            one = outline_of_union([xy[start[i] : start[i + 1]] for i in range(at[k], at[k + 1])])
+            found.append((np.full(len(one), k), np.r_[0, np.cumsum([len(r) for r in one])].astype(np.int64), np.concatenate([np.zeros((0, 2)), *one])))
+        yield _as_rows(batch.column("group"), count, found)
+
+
+def _as_rows(group: pa.Array, count: np.ndarray, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """group, n_cells, area and rings from rings of groups (see outlines_of_boxes), the largest signed area first."""
+    own, corners = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
+    length = np.concatenate([np.diff(f[1]) for f in found])
+    begin = np.cumsum(length) - length
+    ring = np.repeat(np.arange(len(own)), length)
+    after = np.arange(1, len(corners) + 1)
+    after[begin + length - 1] = begin
+    x, y = (corners - corners[begin[ring]]).T
+    size = np.bincount(ring, x * y[after] - x[after] * y, len(own)) / 2
+    order = np.lexsort((-size, own))
+    area = np.bincount(own, size, len(count))
+    take = np.repeat(begin[order] - (np.cumsum(length[order]) - length[order]), length[order]) + np.arange(len(corners))
+    points = pa.StructArray.from_arrays([pa.array(corners[take, k]) for k in (0, 1)], fields=list(POINT))
+    rings = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length[order])], pa.int32()), points)
+    nested = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(own, minlength=len(count)))], pa.int32()), rings)
+    return pa.RecordBatch.from_arrays([group, pa.array(count, pa.int64()), pa.array(area), nested], names=["group", "n_cells", "area", "rings"])
 
 
 def union_groups(cells: DataFrame) -> DataFrame:
