@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.geometry import area_of, outlines_of_boxes, ring_array, with_bbox
 from tesserae.operators import segmentation, tiling
+from tesserae.plans import queries
 
 
 def boxes(spark, own):
@@ -124,3 +125,17 @@ def test_groups_that_touch_in_a_corner_keep_their_area():
     for rings, area in zip(merged["rings"].to_pylist(), merged["area"].to_pylist()):
         areas = [area_of(ring_array(r)) for r in rings]
         assert areas == sorted(areas, reverse=True) and sum(areas) == area
+
+
+def test_copies_of_a_small_file_are_dealt_over_all_tasks(spark):
+    assert queries.copies(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_union_that_is_a_box_is_known_as_one(spark, monkeypatch):
+    """Pairs of boxes are compared in closed form; before, unions were compared ring by ring."""
+    seen = []
+    compare = segmentation.conflicts
+    monkeypatch.setattr(segmentation, "conflicts", lambda shapes, threshold: seen.append(shapes) or compare(shapes, threshold))
+    groups = segmentation.resolve_conflicts(boxes(spark, {1: (0, 0, 10, 6), 2: (3, 0, 13, 6), 3: (40, 0, 50, 6), 4: (42, 2, 52, 8)}))
+    assert {r.cell_id: r.group for r in groups.collect()} == {1: 1, 2: 1, 3: 3, 4: 3}
+    assert {r.group: (r.box, r.area) for r in seen[-1].collect()} == {1: (True, 78.0), 3: (False, 88.0)}
