@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.operators.density import unit
+from tesserae.operators.planes import PLANE
 from tesserae.operators.quantiles import percentiles
 from tesserae.operators.tiling import dense_grid
 from tesserae.sources.tables import durable
@@ -106,7 +112,10 @@ def augment_pixels(pixels: DataFrame, key: str, channels: int, side: int, seed:
     """Per sample, each with probability p: contrast and brightness within +-most, a blur (the mean of a window of 3, 5 or 7 pixels,
     mirrored at the edges), one or two rectangles in all channels, one in a single channel (up to ``hole`` pixels high and
     wide), and two channels swapped. Columns key, channel, y, x, value; absent pixels are 0 and stay so but for the blur. Parameters
-    are drawn once per sample, from its key alone."""
+    are drawn once per sample, from its key alone. A sample is augmented in one place, channel by channel; on planes too large for
+    that, pixels are rows, and each goes to its readers."""
+    if side * side <= PLANE:
+        return _augmented_planes(pixels, key, channels, side, seed, p, most, hole)
     draw = lambda what: unit(key, F.lit(seed), F.lit(what))
     hit = lambda what: draw(what + "?") < p
     place = lambda what, n: F.floor(draw(what) * n)
@@ -128,6 +137,70 @@ def augment_pixels(pixels: DataFrame, key: str, channels: int, side: int, seed:
     return out.withColumn("value", F.when(holes, 0.0).otherwise(F.col("value")))
 
 
+def _augmented_planes(pixels: DataFrame, key: str, channels: int, side: int, seed: int, p: float, most: float, hole: int) -> DataFrame:
+    """augment_pixels, each sample's planes in one place. A draw is an MD5, so as a column it costs far more than its pixel."""
+    none = np.iinfo(np.int32).min
+
+    def mean(plane: np.ndarray, axis: int, radius: int) -> np.ndarray:
+        out = np.zeros_like(plane)
+        for step in range(-radius, radius + 1):
+            at = np.arange(side) + step
+            at = np.where(at < 0, -1 - at, np.where(at >= side, 2 * side - 1 - at, at))
+            here = (at >= 0) & (at < side)
+            out[(slice(None),) * axis + (here,)] += plane.take(at[here], axis)
+        return out
+
+    def augment(rows: pa.Table) -> pa.Table:
+        text = rows["_text"][0].as_py()
+        draw = lambda what: int(hashlib.md5("|".join([*([] if text is None else [text]), str(seed), what]).encode()).hexdigest()[:13], 16) / (1 << 52)
+        hit = lambda what: draw(what + "?") < p
+        place = lambda what, n: math.floor(draw(what) * n)
+        y, x = (pc.fill_null(rows[c], -1).to_numpy() for c in "yx")
+        own = (y >= 0) & (y < side) & (x >= 0) & (x < side)
+        at = (y * side + x)[own]
+        channel, known = pc.fill_null(rows["channel"], none).to_numpy()[own], rows["value"].is_valid().to_numpy()[own]
+        value = pc.fill_null(rows["value"], 0.0).to_numpy()[own]
+        if hit("swap"):
+            first, second = place("swap1", channels), place("swap2", channels)
+            channel = np.where(channel == first, second, np.where(channel == second, first, channel))
+        if hit("light"):
+            value = np.where(known, value * (1 + most * (2 * draw("contrast") - 1)) + most * (2 * draw("bright") - 1), 0.0)
+        radius = 1 + place("blur", 3) if hit("blur") else 0
+
+        def inside(what: str) -> np.ndarray:
+            out = np.zeros((side, side), bool)
+            top, left = place(what + "y", side), place(what + "x", side)
+            height, width = (1 + place(what + c, min(hole, side)) for c in ("h", "w"))
+            out[top : top + height, left : left + width] = True
+            return out
+
+        every = np.zeros((side, side), bool)
+        if hit("hole"):
+            every |= inside("hole1")
+            if draw("holes") >= 0.5:
+                every |= inside("hole2")
+        one, single = (place("onechannel", channels), inside("one")) if hit("one") else (None, every)
+        made = []
+        for c in np.unique(channel).tolist():
+            mine = channel == c
+            there, valid = (np.bincount(at[some], minlength=side * side).reshape(side, side) for some in (mine, mine & known))
+            plane = np.bincount(at[mine & known], value[mine & known], side * side).reshape(side, side)
+            for axis in (0, 1) if radius else ():
+                there, valid, plane = mean(there, axis, radius), mean(valid, axis, radius), mean(plane / (2 * radius + 1), axis, radius)
+            plane = np.where(every | single if c == one else every, 0.0, plane)
+            row, column = np.nonzero(there)
+            empty = (valid == 0) & ~(every | single if c == one else every)
+            made.append((np.full(len(row), c), row, column, plane[row, column], empty[row, column]))
+        channel, y, x, value, empty = (np.concatenate([m[k] for m in made]) if made else np.zeros(0) for k in range(5))
+        keys = rows[key].combine_chunks().take(pa.array(np.zeros(len(y), np.int64)))
+        ints = [pa.array(channel.astype(np.int32), mask=channel == none), pa.array(y.astype(np.int32)), pa.array(x.astype(np.int32))]
+        return pa.Table.from_arrays([keys, *ints, pa.array(value, pa.float64(), mask=empty.astype(bool))], names=[key, "channel", "y", "x", "value"])
+
+    whole = pixels.select(key, *(F.col(c).cast("int").alias(c) for c in ("channel", "y", "x")), F.col("value").cast("double").alias("value"), F.col(key).cast("string").alias("_text"))
+    ints = [T.StructField(c, T.IntegerType()) for c in ("channel", "y", "x")]
+    return whole.groupBy(key).applyInArrow(augment, T.StructType([T.StructField(key, pixels.schema[key].dataType), *ints, T.StructField("value", T.DoubleType())]))
+
+
 def blurred(raster: DataFrame, keys: list[str], axis: str, n: int) -> DataFrame:
     """The mean over 2 _r + 1 pixels along an axis, mirrored at the edges; _r is one of the keys. Each pixel goes to its readers."""
     r, c = F.col("_r"), F.col(axis)
