@@ -35,6 +35,8 @@ SKETCH = 18, 22
 #: Lists of up to LIST sets are compared in full. In each of ROUNDS a set meets the pivots of PIVOTS of its lists. What is
 #: left of lists is compared in blocks of CHUNK sets, or HELD shingles, on each side. A bucket of lists is made for each SHARE shingles at least.
 LIST, PIVOTS, ROUNDS, CHUNK, HELD, SHARE = 24, 3, 2, 2048, 2 << 20, 4 << 20
+#: A set brings that many of its lists along, so that two sets are compared whole in one of those they share.
+SEEN = 64
 PIECE, BLOCK, BITS = 1 << 18, 2 << 20, 1024
 _LAST = np.iinfo(np.int64).max
 
@@ -275,6 +277,38 @@ def _busy(table: pa.Table) -> pa.Table:
     return table.drop_columns(["bits"]).filter(pa.array(busy))
 
 
+def _owned(table: pa.Table) -> pa.Table:
+    """The entries of a block (columns of _ENTRY, bits, seen) without those whose meetings all come in other lists too. Sets that are near share many
+    lists; two of them are compared in the first list, by its place in the set with the smaller name, of those that compare them. seen: a
+    set's first SEEN lists, so a set that is in more may be compared more than once."""
+    table = table.sort_by("n")
+    name, n, place = (table[c].to_numpy().astype(np.int64) for c in ("x", "n", "place"))
+    here = table["bucket"][0].as_py() << 33 | table["list"][0].as_py()
+    seen = table["seen"].combine_chunks()
+    at = np.concatenate([[0], np.cumsum(seen.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))])
+    rows = seen.flatten()
+    places, lists, roles = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "at", "role"))
+    keep = np.zeros(len(table), bool)
+    for i, j in _meetings(table, table["component"].to_numpy()):
+        mine = at[i] + np.argsort(lists[at[i] : at[i + 1]])
+        theirs = np.concatenate([np.arange(at[k], at[k + 1]) for k in j])
+        other = np.repeat(j, at[j + 1] - at[j])
+        own = mine[np.minimum(np.searchsorted(lists[mine], lists[theirs]), len(mine) - 1)]
+        met = lists[own] == lists[theirs]
+        own, theirs, other = own[met], theirs[met], other[met]
+        small = np.where(n[other] >= n[i], own, theirs), np.where(n[other] >= n[i], theirs, own)
+        sizes = np.minimum(n[i], n[other]), np.maximum(n[i], n[other])
+        fits = _possible(*sizes, *(places[s] for s in small), *(roles[s] for s in small))
+        # of sets of one size either may be taken for the smaller one
+        fits &= (n[other] != n[i]) | _possible(*sizes, *(places[s] for s in small[::-1]), *(roles[s] for s in small[::-1]))
+        first = name[i] < name[other]
+        then, now = np.where(first, places[own], places[theirs]), np.where(first, place[i], place[other])
+        j = np.setdiff1d(j, other[fits & ((then < now) | ((then == now) & (lists[own] < here)))])
+        keep[j] = True
+        keep[i] |= len(j) > 0
+    return table.drop_columns(["bits", "seen"]).filter(pa.array(keep))
+
+
 def _across(table: pa.Table) -> pa.Table:
     """One block of a long list (columns of _ENTRY, bits, shingles): links of a set of the rest and one of the others, one at most for two
     components. Whole sets are compared here, so no candidate pair leaves the block."""
@@ -426,7 +460,11 @@ def _united(sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
             # parities choose the sets that have to be compared whole; only these bring their shingles
             entry = [c.split()[0] for c in _ENTRY.split(", ")]
             busy = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY)
-            blocks = durable(busy, "jaccard-busy").join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x").select(*entry, "bits", "shingles")
+            busy = durable(busy, "jaccard-busy")
+            lists_of = F.array_sort(F.collect_set(F.struct("place", F.shiftleft(F.col("bucket").cast("long"), 33).bitwiseOR(F.col("list")).alias("at"), "role")))
+            seen = busy.groupBy("x").agg(F.slice(lists_of, 1, SEEN).alias("seen"))
+            owned = busy.join(sets.select(F.col("name").alias("x"), "bits"), "x").join(seen, "x").select(*entry, "bits", "seen").groupBy(*entry[:4]).applyInArrow(_owned, _ENTRY)
+            blocks = durable(owned, "jaccard-owned").join(sets.select(F.col("name").alias("x"), "bits", "shingles"), "x").select(*entry, "bits", "shingles")
             more = durable(blocks.groupBy(*entry[:4]).applyInArrow(_across, "x long, y long").distinct(), "jaccard-more")
         found = _contracted(linked(more) if turn < ROUNDS else more, found)
     return found

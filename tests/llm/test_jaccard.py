@@ -132,3 +132,24 @@ def test_counts_of_shared_values_that_begin_alike():
     runs = [[np.unique(r.integers(0, 40, r.integers(0, 30)).astype(np.uint64)) for _ in range(50)] for _ in range(2)]
     (a, b), at = [np.concatenate(x) for x in runs], [np.concatenate([[0], np.cumsum([len(v) for v in x])]) for x in runs]
     assert jaccard.shared_counts(a, at[0], b, at[1]).tolist() == [len(np.intersect1d(x, y)) for x, y in zip(*runs)]
+
+
+def test_sets_that_share_many_lists_are_compared_in_one():
+    """Three near sets in five lists, the last two of which do not compare one of the pairs: before, all came whole in every list."""
+    names, n = [11, 22, 33], 40
+    place = {k: {x: k for x in names} for k in range(5)}
+    place[1][33] = 39  # 33 shares too little after that place
+    entry = {(k, x): {"bucket": 3, "list": k, "i": 0, "j": 0, "x": x, "n": n, "place": place[k][x], "role": 3, "component": x, "rest": r, "bits": bytes(128)} for k in range(5) for x in names for r in (0, 1)}
+    seen = {x: sorted(({"place": place[k][x], "at": 3 << 33 | k, "role": 3} for k in range(5)), key=lambda s: (s["place"], s["at"])) for x in names}
+    schema = jaccard.pa.schema([(c, t) for c, t in zip(jaccard._ENTRY.replace(" int", "").replace(" long", "").split(", "), [jaccard.pa.int32(), jaccard.pa.int64(), *[jaccard.pa.int32()] * 2, jaccard.pa.int64(), *[jaccard.pa.int32()] * 3, jaccard.pa.int64(), jaccard.pa.int32()])])
+    seen_type = jaccard.pa.list_(jaccard.pa.struct([("place", jaccard.pa.int32()), ("at", jaccard.pa.int64()), ("role", jaccard.pa.int32())]))
+    schema = schema.append(jaccard.pa.field("bits", jaccard.pa.binary())).append(jaccard.pa.field("seen", seen_type))
+
+    def kept(of, lists):
+        rows = [entry[k, x] | {"rest": r, "seen": of[x]} for k in lists for x in names for r in (0, 1)]
+        return jaccard._owned(jaccard.pa.Table.from_pylist(rows, schema=schema))
+
+    assert [sorted(set(kept(seen, [k])["x"].to_pylist())) for k in range(5)] == [names, [], [], [], []]
+    # a list before that does not compare a pair does not take it away
+    later = {x: s[1:] for x, s in seen.items()}
+    assert [sorted(set(kept(later, [k])["x"].to_pylist())) for k in range(1, 5)] == [[11, 22], names, [], []]
