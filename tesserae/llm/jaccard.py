@@ -24,20 +24,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserae.llm.blocks import LOWER, mix, pieces, shingle_hashes, word_hashes, words
-from tesserae.llm.packing import pack, text_blocks, unpack
+from tesserae.llm.packing import by_byte, from_bytes, pack, text_blocks, unpack
 from tesserae.llm.shared import bucketed, documents, durable, fresh, text_batches, whole
 from tesserae.operators.graph import components
 
 WIDTH = 5
-#: The table of counts has 2**18 counters for up to 2**18 rows and one for each row of larger tables, 2**22 at most: a shingle
+#: The table of counts has four counters or more for each row, 2**18 at least and 2**22 at most: a shingle
 #: that comes more often than a counter's mean is told apart, and only those make long lists.
 SKETCH = 18, 22
+#: The digest of the documents whose sets are compared has DIGEST bits or more for each row, 2**27 at most, in PARTS parts; a row
+#: sets HASHES of them. It lets a few others through, whose sets are made and not asked for.
+DIGEST, PARTS, HASHES = (16, 27), 64, 4
 #: Lists of up to LIST sets are compared in full. In each of ROUNDS a set meets the pivots of PIVOTS of its lists. What is
 #: left of lists is compared in blocks of CHUNK sets, or HELD shingles, on each side. A bucket of lists is made for each SHARE shingles at least.
 LIST, PIVOTS, ROUNDS, CHUNK, HELD, SHARE = 24, 3, 2, 2048, 2 << 20, 4 << 20
 #: A set brings that many of its lists along, so that two sets are compared whole in one of those they share.
 SEEN = 64
-PIECE, BLOCK, BITS = 1 << 18, 2 << 20, 1024
+PIECE, BLOCK, BITS, FEW = 1 << 18, 2 << 20, 1024, 256
 _LAST = np.iinfo(np.int64).max
 
 
@@ -89,7 +92,7 @@ def _survey(batches, bits: int):
             np.add.at(counts, (h & np.uint64((1 << bits) - 1)).view(np.int64), 1)
         m = rows.num_rows
         yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks(), rows["hash"].combine_chunks(), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(keys)), pa.nulls(m, kinds[4]), pa.nulls(m, kinds[5])], names=names)
-    parts = [x.tobytes() for x in counts.reshape(64, -1)] if counts.any() else []
+    parts = [by_byte(x).tobytes() for x in counts.reshape(PARTS, -1)] if counts.any() else []
     m = len(parts)
     yield pa.RecordBatch.from_arrays([*(pa.nulls(m, k) for k in kinds[:4]), pa.array(range(m), kinds[4]), pa.array(parts, kinds[5])], names=names)
 
@@ -97,7 +100,7 @@ def _survey(batches, bits: int):
 def _add_counts(table: pa.Table) -> pa.Table:
     total = np.zeros(len(table["counts"][0].as_buffer()) // 4, np.int64)
     for x in table["counts"]:
-        total += np.frombuffer(x.as_buffer(), np.uint32)
+        total += from_bytes(np.frombuffer(x.as_buffer(), np.uint8), np.uint32)
     return pa.table([table["part"].slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
@@ -119,14 +122,15 @@ def boundary(sizes: dict[int, int], counts: np.ndarray) -> int:
     return out
 
 
-_LISTED = [np.uint32, np.uint32, np.uint32, np.uint8, np.int64, np.uint32]
+#: Of entries, those of a set together: keys, places and roles; of sets: names, sizes and how many entries. Places, sizes and numbers by byte.
+_LISTED = [np.uint32, np.uint8, np.uint8, np.int64, np.uint8, np.uint8]
 #: What an entry may be: found by a larger set, looking for smaller ones, a pair of shingles.
 INDEX, PROBE, SUBSET = 1, 2, 4
 
 
 def _entries(h: np.ndarray, at: np.ndarray, light: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
     """Keys, set, place in the order, and role of all entries of some sets."""
-    order = rank[(h & np.uint64(len(rank) - 1)).view(np.int64)] << np.uint64(60) | h >> np.uint64(4)
+    order = rank[(h & np.uint64(len(rank) - 1)).view(np.int64)].astype(np.uint64) << np.uint64(60) | h >> np.uint64(4)
     _sort_each(order, at)
     n = np.diff(at)
     owner = np.repeat(np.arange(len(n)), n)
@@ -165,12 +169,16 @@ def _send(batches, buckets: int, light: int, rank: np.ndarray):
             continue
         key, name, n, place, role = (np.concatenate([f[c] for f in found]) for c in range(5))
         bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        own = np.unique(name, return_inverse=True)[1]
+        order = np.argsort(bucket << 32 | own, kind="stable")
+        bucket, own, key, name, n, place, role = (v[order] for v in (bucket, own, key, name, n, place, role))
+        head = np.flatnonzero(np.concatenate([[len(own) > 0], (own[1:] != own[:-1]) | (bucket[1:] != bucket[:-1])]))
+        many = np.diff(np.concatenate([head, [len(own)]]))
+        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+        heads = np.searchsorted(head, cuts)
         for b in np.flatnonzero(np.diff(cuts)):
-            c = order[cuts[b] : cuts[b + 1]]
-            names, first, which = np.unique(name[c], return_index=True, return_inverse=True)
-            payload = pack([key[c].astype(np.uint32), which.astype(np.uint32), place[c].astype(np.uint32), role[c], names, n[c][first].astype(np.uint32)])
+            c, d = slice(cuts[b], cuts[b + 1]), slice(heads[b], heads[b + 1])
+            payload = pack([key[c].astype(np.uint32), by_byte(place[c].astype(np.uint32)), role[c], name[head[d]], by_byte(n[head[d]].astype(np.uint32)), by_byte(many[d].astype(np.uint32))])
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "data"])
 
 
@@ -186,8 +194,9 @@ _PAIRS = "bucket int, list long, x long, y long, n int, place int, role int"
 def _lists(table: pa.Table, longest: int) -> pa.Table:
     """One bucket: candidate pairs (list null), and the entries of long lists (y null)."""
     parts = [unpack(x.as_buffer(), _LISTED) for x in table["data"]]
-    key, place, role = (np.concatenate([p[c] for p in parts]) for c in (0, 2, 3))
-    name, n = (np.concatenate([p[c][p[1]] for p in parts]) for c in (4, 5))
+    key, role, name = (np.concatenate([p[c] for p in parts]) for c in (0, 2, 3))
+    place, n, many = (np.concatenate([from_bytes(p[c], np.uint32) for p in parts]) for c in (1, 4, 5))
+    name, n = np.repeat(name, many), np.repeat(n, many)
     key = key.astype(np.int64) << 1 | (role == SUBSET)
     order = np.lexsort((name, n, key))
     key, name, n, place, role = key[order], name[order], n[order].astype(np.int64), place[order].astype(np.int64), role[order]
@@ -329,19 +338,54 @@ def _across(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["x", "y"])
 
 
-def _sets_of(batches):
-    """name, shingles of documents (sorted), and the parities of BITS or more classes of them."""
-    for _, data, offsets in text_blocks(batches, "text", BLOCK, 1 << 20):
+def _spots(keys: np.ndarray, width: int):
+    """The places of HASHES bits of each key in its part of a digest, which has ``width`` bits."""
+    h = mix(keys.view(np.uint64))
+    step = h >> np.uint64(32) | np.uint64(1)
+    for _ in range(HASHES):
+        yield (h & np.uint64(width - 1)).view(np.int64)
+        h = h + step
+
+
+def _digest(table: pa.Table, width: int) -> pa.Table:
+    """One part of the digest of some keys."""
+    bits = np.zeros(width, bool)
+    for at in _spots(table["key"].to_numpy(), width):
+        bits[at] = True
+    return pa.table([table["part"].slice(0, 1), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["part", "bits"])
+
+
+def _held(keys: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """Whether a digest (a row of bytes for each part) may have been made with each key: true for all it was made with."""
+    part, keep = keys % PARTS, np.ones(len(keys), bool)
+    for at in _spots(keys, digest.shape[1] * 8):
+        keep &= digest[part, at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+    return keep
+
+
+def _sets_of(batches, digest: np.ndarray):
+    """name, shingles (sorted) of the documents that the digest holds (columns key, text); and the parities of BITS or more classes of them, and of
+    FEW or more and at least as many as there are shingles, which rule out most of a long list's pairs."""
+
+    def held():
+        for batch in batches:
+            batch = batch.filter(pa.array(_held(batch.column("key").to_numpy(), digest)))
+            if len(batch):
+                yield batch.select(["text"])
+
+    for _, data, offsets in text_blocks(held(), "text", BLOCK, 1 << 20):
         for _, _, h, at in _pieces(data, offsets):
             _, name = _set_keys(h, at)
             spread = mix(h)
-            bits = []
+            bits, few = [], []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
                 width = max(BITS, 1 << int(2 * (j - i) - 1).bit_length())
-                odd = np.bincount((spread[i:j] % np.uint64(width)).view(np.int64), minlength=width) & 1
-                bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+                odd = (np.bincount((spread[i:j] % np.uint64(width)).view(np.int64), minlength=width) & 1).astype(np.uint8)
+                bits.append(np.packbits(odd, bitorder="little").tobytes())
+                odd = np.bitwise_xor.reduce(odd.reshape(-1, max(FEW, 1 << int(j - i - 1).bit_length())), axis=0)
+                few.append(np.packbits(odd, bitorder="little").tobytes())
             shingles = pa.Array.from_buffers(pa.large_binary(), len(name), [None, pa.py_buffer((at * 8).astype(np.int64)), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([pa.array(name), shingles.cast(pa.binary()), pa.array(bits, pa.binary())], names=["name", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(name), shingles.cast(pa.binary()), pa.array(bits, pa.binary()), pa.array(few, pa.binary())], names=["name", "shingles", "bits", "few"])
 
 
 def _near(batches):
@@ -459,7 +503,7 @@ def _united(sets: DataFrame, lists: DataFrame, pairs: DataFrame) -> DataFrame:
         else:  # every pair of the lists has been tried then, or both its sets were in one component already
             # parities choose the sets that have to be compared whole; only these bring their shingles
             entry = [c.split()[0] for c in _ENTRY.split(", ")]
-            busy = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), "bits"), "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY)
+            busy = _blocks_of(entries).join(sets.select(F.col("name").alias("x"), F.col("few").alias("bits")), "x").select(*entry, "bits").groupBy(*entry[:4]).applyInArrow(_busy, _ENTRY)
             busy = durable(busy, "jaccard-busy")
             lists_of = F.array_sort(F.collect_set(F.struct("place", F.shiftleft(F.col("bucket").cast("long"), 33).bitwiseOR(F.col("list")).alias("at"), "role")))
             seen = busy.groupBy("x").agg(F.slice(lists_of, 1, SEEN).alias("seen"))
@@ -475,10 +519,11 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     text_batches(spark)
     texts = docs.select(F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("id"), F.xxhash64(whole("text")).alias("hash"), whole("text").alias("text"))
-    width = min(max(max(docs.count(), 1).bit_length(), SKETCH[0]), SKETCH[1])
+    total = max(docs.count(), 1)
+    width = min(max((4 * total).bit_length(), SKETCH[0]), SKETCH[1])
     survey = durable(texts.mapInArrow(lambda b: _survey(b, width), "id long, hash long, n long, name long, part int, counts binary"), "jaccard-survey")
     rows = survey.where("part IS NULL").select("id", "hash", "n", "name")
-    # 64 parts of a table of bounded size
+    # PARTS parts of a table of bounded size
     parts = survey.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(_add_counts, "part int, counts binary").collect()
     counts = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(parts, key=lambda r: r["part"])]) if parts else np.zeros(1 << width, np.int64)
     # a row per size class: eight to each doubling
@@ -486,7 +531,7 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     light = boundary({r["n"]: r["k"] for r in classes}, counts)
     buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(counts.sum()) // SHARE)
     # shingles by how much more often than the mean their counter was hit: 0 below twice the mean, then by doublings
-    rank = np.clip(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)).astype(np.int64), 0, 15).astype(np.uint64)
+    rank = np.clip(np.log2(np.maximum(counts, 1) / max(counts.mean(), 1)).astype(np.int64), 0, 15).astype(np.uint8)
     table = spark.sparkContext.broadcast(rank)
     sent = texts.select("text").mapInArrow(lambda b: _send(b, buckets, light, table.value), "bucket int, data binary")
     longest = LIST
@@ -494,9 +539,17 @@ def _members(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     nodes = rows.where("n > 1").groupBy("name").agg(F.min(F.struct("id", "hash")).alias("first"))
     lists = listed.where("y IS NULL").select("bucket", "list", "x", "n", "place", "role")
     pairs = durable(listed.where("y IS NOT NULL").select("x", "y").distinct(), "jaccard-pairs")
-    involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select("first.id", "first.hash").distinct()
-    # rows that repeat a document repeat links at most; dealt by name once, the sets stay where they are in all joins
-    sets, drop_sets = bucketed(texts.join(involved, ["id", "hash"], "left_semi").select("text").mapInArrow(_sets_of, "name long, shingles binary, bits binary"), "name", "jaccard_sets")
+    involved = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).unionByName(lists.select("x")).distinct().join(nodes, F.col("x") == F.col("name")).select(F.xxhash64("first.id", "first.hash").alias("key"))
+    # each task takes the documents that are asked for by a digest of bounded size, so no text is shuffled
+    span = 1 << max(min((DIGEST[0] * total).bit_length(), DIGEST[1]) - (PARTS - 1).bit_length(), 6)
+    held = involved.withColumn("part", F.pmod("key", F.lit(PARTS)).cast("int")).groupBy("part").applyInArrow(lambda t: _digest(t, span), "part int, bits binary")
+    bits = np.zeros((PARTS, span // 8), np.uint8)
+    for r in held.collect():
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    digest = spark.sparkContext.broadcast(bits)
+    # rows that repeat a document, or that the digest lets through, repeat links at most; dealt by name once, the sets stay where they are in all joins
+    keyed = texts.select(F.xxhash64("id", "hash").alias("key"), "text")
+    sets, drop_sets = bucketed(keyed.mapInArrow(lambda b: _sets_of(b, digest.value), "name long, shingles binary, bits binary, few binary"), "name", "jaccard_sets")
 
     try:
         found = _united(sets, lists, pairs)

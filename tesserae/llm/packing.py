@@ -21,6 +21,16 @@ def unpack(data, kinds: list) -> list[np.ndarray]:
     return [np.frombuffer(data[a:b], k) for a, b, k in zip(ends[:-1], ends[1:], kinds)]
 
 
+def by_byte(x: np.ndarray) -> np.ndarray:
+    """The lowest byte of each number, then the next of each, so that small numbers leave runs of zeros that compress."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).ravel()
+
+
+def from_bytes(x: np.ndarray, kind) -> np.ndarray:
+    """The numbers that by_byte took apart."""
+    return np.ascontiguousarray(x.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int, most_texts: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Rows in order, together until their texts reach a size: the rows without ``column``, bytes, offsets.
     A longer text is a block of its own."""
