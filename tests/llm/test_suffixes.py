@@ -116,3 +116,44 @@ def test_hot_strings_are_dealt_one_by_one():
     offsets = np.array([0, 300])
     plain, single = runs(data, offsets), runs(data, offsets, np.ones(1 << SKETCH, bool))
     assert plain[2].sum() == len(single[2]) == 251 and (single[2] == 1).all() and len(set(single[0].tolist())) == 10
+
+
+def shuffled(spark):
+    """Bytes that the session's stages have written for shuffles so far."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    none = gateway.jvm.java.util.ArrayList()
+    stages = sc.statusStore().stageList(none, False, False, gateway.new_array(gateway.jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_and_lone_grams_are_not_shuffled(spark):
+    """Many blocks of one task. Half of the texts are new, each other one has 2,000 bytes of one that lies some blocks before."""
+    r = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    new = [letters[x].tobytes().decode() for x in r.integers(0, 26, (1000, 36_000))]
+    rows = [(2 * i, t) for i, t in enumerate(new)] + [(2 * i + 1, f"<{i}>{new[i][1000:3000]}<{i}>") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = shuffled(spark)
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in remove_repeats(docs, with_text=False).collect()}
+    assert got == {d: (2000, 1) if d % 2 else (0, 0) for d, _ in rows}
+    assert shuffled(spark) - before < 0.7 * sum(len(t) for _, t in rows)
+
+
+def test_runs_end_with_their_texts(spark):
+    """Texts of one block that go as a whole have a run each."""
+    docs = spark.createDataFrame([(i, "a text that is there again and again, and long enough for it to go") for i in range(4)], "doc_id long, text string").coalesce(1)
+    assert sorted((x["doc_id"], x["n_spans"], x["n_removed"] == x["n_bytes"]) for x in remove_repeats(docs).collect()) == [(0, 0, False), (1, 1, True), (2, 1, True), (3, 1, True)]
+
+
+def test_copies_send_little(spark):
+    """Whole texts that come three times, in blocks of their own, and the same with equal doc_ids, which take nothing from each other."""
+    r = np.random.default_rng(4)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    new = [letters[x].tobytes().decode() for x in r.integers(0, 26, (150, 36_000))]
+    rows = [(i + 1000 * k, t) for k in (2, 0, 1) for i, t in enumerate(new)] + [(0, new[0]), (None, new[1]), (7000, new[2][:999]), (7000, new[2][:999])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    before = shuffled(spark)
+    got = sorted((x["doc_id"] is None, x["doc_id"], x["n_removed"], x["n_spans"]) for x in remove_repeats(docs, with_text=False).collect())
+    assert got == sorted((d is None, d, *((0, 0) if d is not None and d < 1000 else (len(t), 1))) for d, t in rows)
+    assert shuffled(spark) - before < 0.3 * sum(len(t) for _, t in rows)
